@@ -84,7 +84,7 @@ def map_texts(df: DataFrame, fn: Callable[[list[str | None]], dict[str, np.ndarr
             for a, b in chunks(texts, max_chars):
                 cols = fn(texts[a:b])
                 kept = [batch.column(i).slice(a, b - a).cast(kinds.field(i).type) for i in range(n_keep)]
-                made = [cols[f.name] if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], kinds.field(f.name).type) for f in added.fields]
+                made = [cols[f.name].cast(kinds.field(f.name).type) if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], kinds.field(f.name).type) for f in added.fields]
                 yield pa.RecordBatch.from_arrays([*kept, *made], schema=kinds)
 
     return data.mapInArrow(run, schema)
@@ -106,3 +106,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed,
     # max_docs bounds this broadcast and what comes to the driver
     got = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "__q_y", "__q_text", *[f"__q_{c}" for c in extra])
     return sorted((tuple(r) for r in got.collect()), key=lambda r: tuple(("" if x is None else x) for x in r))
+
+
+def filter_texts(df: DataFrame, fn: Callable[[list[str | None]], np.ndarray], *, text_col: str = "text", max_chars: int = 2_000_000) -> DataFrame:
+    """The rows for which fn, given bounded lists of whole texts, says True; nothing is shuffled."""
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for a, b in chunks(texts, max_chars):
+                yield batch.slice(a, b - a).filter(pa.array(fn(texts[a:b]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

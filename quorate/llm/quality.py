@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_texts, training_sample
+from .common import chunks, filter_texts, map_texts, training_sample
 from .crf import Chain, fit_lines, fit_logistic
 from .lines import Lines, line_arrays, line_features
 
@@ -99,14 +99,29 @@ def rule_columns(texts: list[str | None], model: QualityModel, min_words: int, m
     }
 
 
-def quality_rules(docs: DataFrame, model: QualityModel, *, min_words: int = 50, max_repeat_pct: int = 50, min_content_pct: int = 50) -> DataFrame:
+MIN_WORDS, MAX_REPEAT_PCT, MIN_CONTENT_PCT, THRESHOLD = 50, 50, 50, 0.7
+
+
+def quality_rules(docs: DataFrame, model: QualityModel, *, min_words: int = MIN_WORDS, max_repeat_pct: int = MAX_REPEAT_PCT, min_content_pct: int = MIN_CONTENT_PCT) -> DataFrame:
     """Operator 4: base counts and rules, then the share of words in lines that Viterbi decoding labels content decides."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     return map_texts(docs, lambda texts: rule_columns(texts, held.value, min_words, max_repeat_pct, min_content_pct),
                      "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_words long")
 
 
-def classify_quality(docs: DataFrame, model: QualityModel, *, threshold: float = 0.7) -> DataFrame:
+def filter_rules(docs: DataFrame, model: QualityModel, *, min_words: int = MIN_WORDS, max_repeat_pct: int = MAX_REPEAT_PCT, min_content_pct: int = MIN_CONTENT_PCT) -> DataFrame:
+    """The rows that operator 4 keeps."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_texts(docs, lambda texts: rule_columns(texts, held.value, min_words, max_repeat_pct, min_content_pct)["kept"])
+
+
+def filter_quality(docs: DataFrame, model: QualityModel, *, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that operator 6 predicts to be good."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_texts(docs, lambda texts: held.value.scores(line_arrays(texts)) >= threshold)
+
+
+def classify_quality(docs: DataFrame, model: QualityModel, *, threshold: float = THRESHOLD) -> DataFrame:
     """Operator 6: doc_id, score (P(quality = 1)) and predicted (score >= threshold)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 

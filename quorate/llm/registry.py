@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, toxicity, warc
+from . import bpe, knn, licences, line_dedup, packing, quality, setsketch, toxicity, warc
 from .common import table
 
 TOKENIZER = tuple(public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")) + (public_tokenizers.PATTERN,)
@@ -39,9 +39,36 @@ def op6_quality_classifier(spark, sf_dir):
     return quality.classify_quality(docs, model).withColumn("held_out", F.coalesce(fold == 2, F.lit(False)))
 
 
+def op7_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op8_setsketch(spark, sf_dir):
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_voronoi_knn(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return knn.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), 10)
+
+
+def op10_licences(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan_licences(docs, licences.fit(docs))
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_QUERIES = (op1_warc, op2_toxicity, op3_best_two_fit, op4_quality_rules, op5_prefix_bpe, op6_quality_classifier, op7_line_dedup, op8_setsketch, op9_voronoi_knn, op10_licences, pipeline)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_warc, op2_toxicity, op3_best_two_fit, op4_quality_rules, op5_prefix_bpe, op6_quality_classifier)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql():
-    return {}
+    return {"op7_line_dedup": line_dedup.ORACLE, "op9_voronoi_knn": knn.ORACLE}
