@@ -10,7 +10,7 @@ bounds can use, every vector is copied once for each query block; blocks hold up
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part; shorter vectors count as padded with zeros; a null id
 takes no part; ties go to the smaller id; fewer than k candidates give fewer rows; of rows that repeat an id each is a candidate of its own,
-except for queries of that id; an empty table gives an empty result; other columns take no part.
+except for queries of that id; a score beyond 64 bits is an error; an empty table gives an empty result; other columns take no part.
 """
 from __future__ import annotations
 
@@ -63,7 +63,7 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1) < 2.0**53:
         return (a @ b.T).astype(np.int64)
     whole = lambda m: np.array([[int(v) for v in r] for r in m], dtype=object).reshape(m.shape)
-    return (whole(a) @ whole(b).T).astype(np.int64)
+    return whole(a) @ whole(b).T
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1024, pivots: int = PIVOTS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -73,7 +73,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1
     asked = materialize(integer_vectors(queries, scale, id_col, vec_col), "queries")
     dim, n_data = data.agg(F.coalesce(F.max(F.size("x")), F.lit(0)), F.count(F.lit(1))).first()
     dim = max(dim, asked.agg(F.coalesce(F.max(F.size("x")), F.lit(0))).first()[0], 1)
-    rows = data.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").collect()
+    # ids alone are sorted; SAMPLE bounds the broadcast and what comes back
+    some = data.select(F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).select("id")
+    rows = data.join(F.broadcast(some), "id", "left_semi").orderBy("id").select("x").collect()
     sample = np.zeros((len(rows), dim))
     for i, r in enumerate(rows):
         sample[i, :len(r[0])] = r[0]
@@ -158,13 +160,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1
                 own = np.flatnonzero(ids != query)
                 r = row[own]
                 if len(r) > k:
-                    kth = -np.partition(-r, k - 1)[k - 1]
+                    kth = np.sort(r)[-k] if r.dtype == object else -np.partition(-r, k - 1)[k - 1]
                     own = own[r >= kth]
                 # ids ascend, so that a stable order by score leaves ties to smaller ids
                 best = own[np.argsort(-row[own], kind="stable")[:k]]
                 asks += [query] * len(best)
                 found.append(ids[best])
-                scores.append(row[best])
+                scores.append(row[best].astype(np.int64))
         return pd.DataFrame({"query_id": np.array(asks, np.int64), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
 
     key = ["cell", "block", "slice"]
