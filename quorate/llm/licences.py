@@ -218,8 +218,11 @@ def fit_rows(texts: list[str | None], seed: int = 11, rounds: int = 200) -> Lice
 
 
 def fit(docs: DataFrame, max_docs: int = MAX_SAMPLE_DOCS) -> LicenceModel:
-    rows = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text")).orderBy("h").limit(max_docs).collect()
-    return fit_rows([r["text"] for r in rows])
+    texts = docs.filter(F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    # hashes alone are sorted; max_docs bounds the broadcast, and one text per hash comes back
+    some = texts.select("h").distinct().orderBy("h").limit(max_docs)
+    rows = texts.join(F.broadcast(some), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text")).collect()
+    return fit_rows([r["text"] for r in sorted(rows, key=lambda r: r["h"])])
 
 
 def scan(texts: list[str | None], model: LicenceModel) -> dict[str, pa.Array]:
