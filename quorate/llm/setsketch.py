@@ -4,8 +4,9 @@ Each document's set of word shingles gets SetSketch registers: of each of m hash
 truncated power of a base near 1.  Registers of a union are the larger of the parts' registers, and equal registers tell of similar
 sets.  Documents of equal sets are collapsed; those that share all registers of a band become candidates; the register
 comparison's joint likelihood, given both set sizes, drops pairs that are far below the threshold; what is left is decided on full
-sets.  Work on a group of candidates is cut into blocks of bounded size, every pair of blocks in a task of its own, and a task gives
-back a spanning forest of links, never all pairs.
+sets.  In a group of candidates each is first compared with the group's root; those that are similar are settled.  Only the others are
+compared with the whole group, in tasks of a block of them and a block of the group; a task gives back a spanning forest of links, never
+all pairs.
 
 With rows r in a band, pairs at the threshold t are missed with probability (1 - t^r)^bands: 1e-7 at 0.85 (34 bands of 6) and 1.3e-7 at
 0.8 (40 bands of 5); the likelihood cut lies five standard deviations below the threshold.
@@ -23,12 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize
+from .common import chunks, map_texts, materialize
 from .components import connected_components
 
 BASE = 1.001
 RATE = 20.0
 LIMIT = (1 << 16) - 1
+#: Parts that the documents of one set are spread over in the join with their representative.
+SALTS = 16
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -171,42 +174,47 @@ class Forest:
             self.up = above
 
 
-def link_likely(regs: np.ndarray, sizes: np.ndarray, cut: float) -> np.ndarray:
-    """Roots of the graph of pairs whose estimated similarity reaches the cut. Compares a row only with those not yet in its tree."""
-    f = Forest(len(regs))
-    for i in range(len(regs) - 1):
+def _settled_first(n: int, settled: np.ndarray) -> Forest:
+    """A forest in which the settled rows, which are known to be linked, are one tree."""
+    f = Forest(n)
+    done = np.flatnonzero(settled)
+    if len(done):
+        f.up[done] = done[0]
+    return f
+
+
+def link_likely(regs: np.ndarray, sizes: np.ndarray, cut: float, settled: np.ndarray, ask: np.ndarray) -> np.ndarray:
+    """Roots after comparing each asking row with the rows that are not yet in its tree, by estimated similarity."""
+    f = _settled_first(len(regs), settled)
+    for i in np.flatnonzero(ask):
         roots = f.roots()
-        rest = np.flatnonzero(roots[i + 1:] != roots[i]) + i + 1
-        if not len(rest):
-            if len(np.unique(roots)) == 1:
-                break
-            continue
-        f.join(i, rest[likely(regs[i], regs[rest], sizes[i], sizes[rest], cut)])
+        rest = np.flatnonzero(roots != roots[i])
+        if len(rest):
+            f.join(i, rest[likely(regs[i], regs[rest], sizes[i], sizes[rest], cut)])
     return f.roots()
 
 
-def link_exact(values: np.ndarray, first: np.ndarray, similar_pct: int) -> np.ndarray:
-    """Roots of the graph of pairs whose full sets are similar enough. Of any two trees at the end, all pairs between them were checked."""
+def link_exact(values: np.ndarray, first: np.ndarray, similar_pct: int, settled: np.ndarray, ask: np.ndarray) -> np.ndarray:
+    """Roots after comparing each asking row's full set with all others.
+
+    An asking row that is already linked with the settled tree is passed over: any row that it might link is in that tree too, or asks
+    somewhere itself and finds it there.
+    """
     n = len(first) - 1
-    f, sizes = Forest(n), np.diff(first)
-    if n < 2:
+    f, sizes = _settled_first(n, settled), np.diff(first)
+    if n < 2 or not ask.any():
         return f.roots()
     _, local = np.unique(values, return_inverse=True)
     flag = np.zeros(local.max() + 1 if len(local) else 1, np.int64)
-
-    def check(i: int) -> None:
+    main = int(np.flatnonzero(settled)[0]) if settled.any() else -1
+    for i in np.flatnonzero(ask):
+        if main >= 0 and f.find(i) == f.find(main):
+            continue
         own = local[first[i]:first[i + 1]]
         flag[own] = 1
         both = np.add.reduceat(flag[local], first[:-1])
         flag[own] = 0
-        hit = 100 * both >= similar_pct * (sizes + sizes[i] - both)
-        f.join(i, np.flatnonzero(hit))
-
-    # the first row gathers the main tree; every row outside of it is checked against all
-    check(0)
-    for i in range(1, n):
-        if f.find(i) != f.find(0):
-            check(i)
+        f.join(i, np.flatnonzero(100 * both >= similar_pct * (sizes + sizes[i] - both)))
     return f.roots()
 
 
@@ -222,37 +230,74 @@ def _sketches(docs: DataFrame, p: Params) -> DataFrame:
     return map_texts(docs, run, "n_shingles long, __q_f1 long, __q_f2 long, __q_regs binary")
 
 
+def _starred(nodes: DataFrame, payload: str, alike, label: str) -> DataFrame:
+    """Adds ``settled``: whether a node's payload is alike that of its group's root, which links it to the root. One row and one copy of
+    the root's payload for each node; a hot root's rows are split by the join."""
+    heads = nodes.filter("node = root").groupBy("root").agg(F.min(F.struct(F.col(payload).alias("p"), F.col("n").alias("n"))).alias("h"))
+    joined = nodes.join(heads, "root").select("node", "root", "n", payload, F.col("h.p").alias("__q_p"), F.col("h.n").alias("__q_n"))
+    kind = dict(nodes.dtypes)[payload]
+
+    def run(batches):
+        for pdf in batches:
+            own = (pdf["node"] == pdf["root"]).to_numpy()
+            ok = own | alike(pdf[payload].tolist(), pdf["n"].to_numpy(), pdf["__q_p"].tolist(), pdf["__q_n"].to_numpy())
+            yield pdf[["node", "root", "n", payload]].assign(settled=ok)
+
+    return materialize(joined.mapInPandas(run, f"node long, root long, n long, {payload} {kind}, settled boolean"), label)
+
+
 def _tasks(nodes: DataFrame, p: Params) -> DataFrame:
-    """Deal nodes (node, root, n, ...) into tasks __q_task: small groups share tasks; a large group is cut into blocks, and each pair of blocks is a task."""
-    sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("__q_c"), F.sum("n").alias("__q_s"))
-    blocks = F.greatest(F.ceil(F.col("__q_c") / p.block_nodes), F.ceil(F.col("__q_s") / p.block_shingles)).cast("int")
-    large = sizes.withColumn("__q_b", blocks).filter("__q_b > 1").select("root", "__q_b")
-    total = nodes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    """Deal starred nodes into tasks __q_task.
+
+    A group without loose nodes needs none.  Small groups share tasks.  A group that is larger than a block is cut: its loose nodes into blocks, all its nodes into blocks, and each
+    pair of a loose block and a block is a task.  Settled nodes are one tree already, so pairs among them need no task.
+    """
+    sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.count_if(~F.col("settled")).alias("lc"), F.coalesce(F.sum(F.when(~F.col("settled"), F.col("n"))), F.lit(0)).alias("ls"))
+    n_blocks = lambda c, s: F.greatest(F.ceil(F.col(c) / p.block_nodes), F.ceil(F.col(s) / p.block_shingles)).cast("int")
+    need = sizes.filter("lc > 0").select("root", n_blocks("c", "s").alias("__q_b"), n_blocks("lc", "ls").alias("__q_l"), "c", "s")
+    total = need.filter("__q_b <= 1").agg(F.sum("c"), F.sum("s")).first()
     shared = max(1, -(-(total[0] or 0) // 400), -(-(total[1] or 0) // 400_000))
-    cut = nodes.join(large, "root", "left").withColumn("__q_i", F.pmod(F.xxhash64("node"), F.col("__q_b")).cast("int"))
-    other = F.explode(F.when(F.col("__q_b").isNull(), F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("__q_b") - 1), lambda j: j != F.col("__q_i"))))
-    cut = cut.withColumn("__q_j", other)
-    key = F.when(F.col("__q_b").isNull(), F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(shared)).cast("string"))).otherwise(
-        F.concat_ws(":", "root", F.least("__q_i", "__q_j"), F.greatest("__q_i", "__q_j")))
-    return cut.withColumn("__q_task", key).drop("__q_b", "__q_i", "__q_j")
-
+    cut = nodes.join(need.drop("c", "s"), "root")
+    small, big = F.col("__q_b") <= 1, F.col("__q_b") > 1
+    task = lambda i, j: F.concat_ws(":", "root", i, j)
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    own = F.pmod(F.xxhash64("node"), F.col("__q_b")).cast("int")
+    loose = F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.col("__q_l"), F.lit(1))).cast("int")
+    # as one of all nodes beside each loose block; as a loose node beside each block
+    beside = F.transform(upto(F.col("__q_l")), lambda i: F.struct(task(i, own).alias("task"), F.lit(False).alias("ask")))
+    asking = F.when(F.col("settled"), F.array().cast("array<struct<task:string,ask:boolean>>")).otherwise(F.transform(upto(F.col("__q_b")), lambda j: F.struct(task(loose, j).alias("task"), F.lit(True).alias("ask"))))
+    one = F.array(F.struct(F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(shared)).cast("string")).alias("task"), (~F.col("settled")).alias("ask")))
+    cut = cut.withColumn("__q_t", F.explode(F.when(small, one).when(big, F.concat(beside, asking))))
+    return cut.select(*nodes.columns, F.col("__q_t.task").alias("__q_task"), F.col("__q_t.ask").alias("__q_ask"))
+
+
+def _groups(pdf, link):
+    """(a, b) links of a task: link(rows, settled, ask) -> roots, for each group in it. A loose row that is there and asks counts once."""
+    import pandas as pd
 
-def _by_root(pdf):
-    pdf = pdf.sort_values(["root", "node"], kind="stable").reset_index(drop=True)
+    out = []
+    twice = ~pdf["__q_ask"] & ~pdf["settled"] & pdf["node"].isin(pdf.loc[pdf["__q_ask"], "node"])
+    pdf = pdf[~twice].sort_values(["root", "node"], kind="stable").reset_index(drop=True)
     root = pdf["root"].to_numpy()
     first = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
-    return pdf, list(zip(first, [*first[1:], len(pdf)]))
+    for a, b in zip(first, [*first[1:], len(pdf)]):
+        part = pdf.iloc[a:b]
+        ids = part["node"].to_numpy()
+        out.append(pd.DataFrame({"a": ids, "b": ids[link(part, part["settled"].to_numpy(bool), part["__q_ask"].to_numpy(bool))]}))
+    found = pd.concat(out)
+    return found[found["a"] != found["b"]]
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Operator 8: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
-    import pandas as pd
-
     sketched = materialize(_sketches(docs, p), "sketches")
     sets = ["n_shingles", "__q_f1", "__q_f2"]
     able = sketched.filter("n_shingles > 0 and doc_id is not null")
-    reps = able.groupBy(*sets).agg(F.min("doc_id").alias("rep"))
-    mapped = materialize(able.join(reps, sets).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("__q_regs")).alias("regs")), "sets")
+    # only sets that occur more than once need the join; each is copied to every salt, so that a hot set's documents spread
+    reps = able.groupBy(*sets).agg(F.min("doc_id").alias("__q_rep"), F.count(F.lit(1)).alias("__q_c")).filter("__q_c > 1").select(*sets, "__q_rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__q_s"))
+    salted = able.withColumn("__q_s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    rep = F.coalesce("__q_rep", "doc_id")
+    mapped = materialize(salted.join(reps, [*sets, "__q_s"], "left").select("doc_id", "n_shingles", rep.alias("rep"), F.when(F.col("doc_id") == rep, F.col("__q_regs")).alias("regs")), "sets")
     heads = mapped.filter("regs is not null").select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "regs")
 
     width = 2 * p.rows
@@ -263,37 +308,40 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     def members(edges: DataFrame) -> DataFrame:
         return edges.select("node", "root").unionByName(edges.select(F.col("root").alias("node"), "root").distinct())
 
-    def estimated(key, pdf):
-        pdf, spans = _by_root(pdf)
-        out = []
-        for a, b in spans:
-            part = pdf.iloc[a:b]
-            regs = np.frombuffer(b"".join(part["regs"]), "<u2").reshape(b - a, p.m)
-            roots = link_likely(regs, part["n"].to_numpy().astype(float), p.cut)
-            ids = part["node"].to_numpy()
-            out.append(pd.DataFrame({"a": ids, "b": ids[roots]}))
-        found = pd.concat(out)
-        return found[found["a"] != found["b"]]
-
-    pool = materialize(members(candidates).join(heads, "node").dropDuplicates(["node", "n", "regs"]), "pool")
-    likely_links = _tasks(pool, p).groupBy("__q_task").applyInPandas(estimated, "a long, b long")
-    refined = connected_components(likely_links, "a", "b", "likely")
-
-    def verified(key, pdf):
-        pdf, spans = _by_root(pdf)
-        out = []
-        for a, b in spans:
-            values, first = shingle_sets(pdf["text"].iloc[a:b].tolist(), p.shingle)
-            ids = pdf["node"].to_numpy()[a:b]
-            out.append(pd.DataFrame({"a": ids, "b": ids[link_exact(values, first, p.similar_pct)]}))
-        found = pd.concat(out)
-        return found[found["a"] != found["b"]]
-
+    rows_of = lambda blobs: np.frombuffer(b"".join(blobs), "<u2").reshape(len(blobs), p.m)
+
+    def close_registers(own, n, heads_, m):
+        return likely(rows_of(own), rows_of(heads_), n.astype(float), m.astype(float), p.cut) if len(own) else np.zeros(0, bool)
+
+    def close_texts(own, n, heads_, m):
+        out = np.zeros(len(own), bool)
+        for a, b in chunks([(x or "") + (y or "") for x, y in zip(own, heads_)], 2_000_000):
+            values, first = shingle_sets(own[a:b] + heads_[a:b], p.shingle)
+            sets_ = [values[x:y] for x, y in zip(first, first[1:])]
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets_[:b - a], sets_[b - a:])], np.int64)
+            size = np.diff(first)
+            out[a:b] = 100 * both >= p.similar_pct * (size[:b - a] + size[b - a:] - both)
+        return out
+
+    def stage(pool: DataFrame, payload: str, alike, link, label: str) -> DataFrame:
+        """Links to roots by the stars, and those that the tasks find, as components."""
+        starred = _starred(pool, payload, alike, f"{label}-stars")
+        stars = starred.filter("settled and node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = _tasks(starred, p).groupBy("__q_task").applyInPandas(lambda pdf: _groups(pdf, link), "a long, b long")
+        return connected_components(stars.unionByName(found), "a", "b", label)
+
+    def link_registers(part, settled, ask):
+        return link_likely(rows_of(part["regs"].tolist()), part["n"].to_numpy().astype(float), p.cut, settled, ask)
+
+    def link_texts(part, settled, ask):
+        values, first = shingle_sets(part["text"].tolist(), p.shingle)
+        return link_exact(values, first, p.similar_pct, settled, ask)
+
+    pool = members(candidates).join(heads, "node").dropDuplicates(["node", "n", "regs"])
+    refined = stage(pool, "regs", close_registers, link_registers, "likely")
     sized = members(refined).join(heads.select("node", "n"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    read = materialize(texts.join(sized, "node").dropDuplicates(["node", "text"]), "texts")
-    links = _tasks(read, p).groupBy("__q_task").applyInPandas(verified, "a long, b long")
-    final = connected_components(links, "a", "b", "links")
+    final = stage(texts.join(sized, "node").dropDuplicates(["node", "text"]), "text", close_texts, link_texts, "links")
 
     joined = mapped.select("doc_id", "n_shingles", "rep").join(final.select(F.col("node").alias("rep"), F.col("root").alias("__q_root")), "rep", "left")
     linked = joined.select("doc_id", "n_shingles", F.coalesce("__q_root", "rep").alias("component_id"))
