@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,6 @@ from quorate.functions import stats as st
 
 def equivalence_probability(pairs: DataFrame, a: str, b: str, logits: Callable, temperature: float = 1.0) -> DataFrame:
     """Adds score = softmax(logits / T)[1]; logits(series a, series b) -> frame with columns 0 and 1."""
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -45,6 +45,22 @@ def checked(cands: DataFrame, checker: Callable, cache: DataFrame | None = None)
     return known.unionByName(fresh, allowMissingColumns=True).drop("__key")
 
 
+def typecheck_filter(cands: DataFrame, checker: Callable, cache: DataFrame | None = None, drop_empty: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(survivors, failures): candidates that pass the checker, and the others; without drop_empty a problem without survivors keeps all."""
+    rows = checked(cands, checker, cache)
+    if drop_empty:
+        return rows.filter("typechecks"), rows.filter("not typechecks")
+    any_ok = rows.groupBy("problem_id").agg(F.bool_or("typechecks").alias("__any"))
+    j = rows.join(any_ok, "problem_id")
+    return j.filter("typechecks or not __any").drop("__any"), j.filter("not typechecks and __any").drop("__any")
+
+
+def proof_outcomes(pairs: DataFrame, prover: Callable) -> DataFrame:
+    """Adds ok: prover(a, b) and prover(b, a) both hold; prover(series, series) -> series of booleans."""
+    run = F.pandas_udf(prover, "boolean")
+    return pairs.withColumn("__ab", run("a", "b")).withColumn("__ba", run("b", "a")).withColumn("ok", F.col("__ab") & F.col("__ba")).drop("__ab", "__ba")
+
+
 def sample_candidates(problems: DataFrame, prompt: str, n: int, model: Callable, seed: int = 0) -> DataFrame:
     """(problem_id, candidate_index, candidate): n samples per prompt; model(series of prompts, series of seeds) -> series of texts."""
     rows = problems.select("problem_id", F.col(prompt).alias("prompt"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("candidate_index")).withColumn("seed", st.crc_seed(seed, F.col("problem_id")) + F.col("candidate_index"))

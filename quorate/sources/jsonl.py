@@ -66,6 +66,11 @@ def resolve_split(spark: SparkSession, path: str, split: str, formats: tuple[str
     raise FileNotFoundError(f"no split {split!r} in {path}")
 
 
+def local_name(name: str, known: dict[str, str]) -> str:
+    """The folder that stands for a published data set's name, or the name itself."""
+    return known.get(name.strip().rstrip("/"), name)
+
+
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:
     """An Arrow stream or file as a table; the driver reads it, so it is for small caches."""
     import pyarrow as pa
