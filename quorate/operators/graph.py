@@ -108,6 +108,48 @@ def rank_components(stats: DataFrame, by: str = "size_then_cohesion") -> DataFra
     return stats.withColumn("rank", F.row_number().over(w))
 
 
+def _needed(share: float, n: int) -> int:
+    """The members, itself included, that a member must be adjacent to: share of n, rounded up but for rounding errors."""
+    return int(share * n + 0.999999)
+
+
+def _thin(inside, link, share: float):
+    """Drop the member with the least support (of equals the smallest index) while one has too little."""
+    inside = inside.copy()
+    while share > 0 and inside.sum() >= 2:
+        support, need = link[:, inside].sum(1), _needed(share, int(inside.sum()))
+        weak = [(support[k], k) for k in inside.nonzero()[0] if support[k] < need]
+        if not weak:
+            break
+        inside[min(weak)[1]] = False
+    return inside
+
+
+def densify(clusters: DataFrame, edges: DataFrame, share: float) -> DataFrame:
+    """(problem_id, indices): clusters thinned until each member is adjacent to enough of the others."""
+    import numpy as np
+    import pandas as pd
+
+    inner = edges.select(*KEY).groupBy("problem_id").agg(F.collect_list(F.struct("i", "j")).alias("edges"))
+    rows = clusters.select("problem_id", "indices").join(inner, "problem_id", "left")
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                at = {v: k for k, v in enumerate(sorted(r.indices))}
+                link = np.eye(len(at), dtype=bool)
+                for e in r.edges if r.edges is not None else ():
+                    if e["i"] in at and e["j"] in at:
+                        link[at[e["i"]], at[e["j"]]] = link[at[e["j"]], at[e["i"]]] = True
+                keep = _thin(np.ones(len(at), bool), link, share)
+                out.append([int(v) for v, k in at.items() if keep[k]])
+            yield pd.DataFrame({"problem_id": pdf["problem_id"], "indices": out})
+
+    kind = dict(clusters.dtypes)["problem_id"]
+    return rows.mapInPandas(run, f"problem_id {kind}, indices array<int>")
+
+
 def support_clusters(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, share: float = 0.7) -> DataFrame:
     """(problem_id, indices, size, cohesion): clusters grown from each node by mean score while enough members are adjacent; they may overlap."""
     import numpy as np
@@ -116,9 +158,6 @@ def support_clusters(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, share
     listed = (nodes.select("problem_id", F.col("candidate_index").alias("i"), F.lit(-1).alias("j"), F.lit(0.0).alias("score"), F.lit(False).alias("linked"))
               .unionByName(pairs.join(edges.select(*KEY, F.lit(True).alias("linked")), KEY, "left").select(*KEY, "score", F.coalesce("linked", F.lit(False)).alias("linked"))))
 
-    def needed(n: int) -> int:
-        return int(share * n + 0.999999)
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(pdf.loc[pdf.j < 0, "i"].unique())
         at = {v: k for k, v in enumerate(ids)}
@@ -135,16 +174,11 @@ def support_clusters(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, share
             while not inside.all():
                 size = int(inside.sum())
                 support, mean = link[:, inside].sum(1), s[:, inside].sum(1) / size
-                able = np.flatnonzero(~inside & (support >= needed(size)))
+                able = np.flatnonzero(~inside & (support >= _needed(share, size)))
                 if not len(able):
                     break
                 inside[max(able, key=lambda k: (mean[k], support[k], -k))] = True
-            while inside.sum() >= 2 and share > 0:
-                support = link[:, inside].sum(1)
-                bad = [k for k in np.flatnonzero(inside) if support[k] < needed(int(inside.sum()))]
-                if not bad:
-                    break
-                inside[min(bad, key=lambda k: (support[k], k))] = False
+            inside = _thin(inside, link, share)
             members = tuple(int(v) for v in ids[inside])
             if members not in found:
                 block = s[np.ix_(inside, inside)]

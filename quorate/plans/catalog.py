@@ -522,6 +522,13 @@ def _(s, d):
     return r9(graph.support_clusters(_nodes(s, d), graph.threshold_edges(p, _T), p, 0.5))
 
 
+@query("OP-129_densify")
+def _(s, d):
+    e = _edges(s, d)
+    comps = graph.components(_nodes(s, d), e).groupBy("problem_id", "component").agg(F.array_sort(F.collect_list("candidate_index")).alias("indices"))
+    return graph.densify(comps, e, 0.3)
+
+
 @query("OP-130_ranked_components", f"WITH {VEC}, {_COS}, {_EDGES}, {_COMPS}, {_COMPSTAT} SELECT problem_id, array_to_string(indices, ',') AS indices, (row_number() OVER (PARTITION BY problem_id ORDER BY size DESC, cohesion DESC, component))::INTEGER AS rank, size::INTEGER AS size, cohesion FROM cst")
 def _(s, d):
     c, _stats = graph.ranked_components(_nodes(s, d), _cos(s, d), _T)

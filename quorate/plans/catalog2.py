@@ -649,6 +649,16 @@ def _(s, d):
     return etl.pending(etl.sweep(s, a=[0.1, 0.2, 0.3], b=[1.0, 2.0]), s.createDataFrame([(1,), (4,)], "idx int"), "idx").select("idx", "a", "b")
 
 
+@query("OP-253_critic_table", f"WITH {CONV}, {_LP}, r AS (SELECT problem_id, arg_min(candidate, row_no) AS reference FROM cc GROUP BY 1), x AS (SELECT problem_id, candidate AS a, reference AS b, label, 'pred_vs_ref' AS task FROM cc JOIN r USING (problem_id) UNION ALL SELECT lp.problem_id, p.candidate, q.candidate, lp.label, 'cand_vs_cand' FROM lp JOIN cc p ON p.problem_id = lp.problem_id AND p.candidate_index = i JOIN cc q ON q.problem_id = lp.problem_id AND q.candidate_index = j) SELECT problem_id, a, b, label, task FROM x UNION ALL SELECT problem_id, b, a, label, task FROM x")
+def _(s, d):
+    c = fx.conv_candidates(s, d)
+    ref = etl.reference_pairs(c.join(ca.lookup_first(c, "problem_id", "row_no", "candidate").withColumnRenamed("candidate", "reference"), "problem_id"))
+    t = c.select("problem_id", "candidate_index", "candidate")
+    pairs = etl.labelled_pairs(c).join(t.select("problem_id", F.col("candidate_index").alias("i"), F.col("candidate").alias("a")), ["problem_id", "i"]).join(t.select("problem_id", F.col("candidate_index").alias("j"), F.col("candidate").alias("b")), ["problem_id", "j"])
+    cols = ["problem_id", "a", "b", "label", "task"]
+    return etl.symmetrize(ref.select(*cols).unionByName(pairs.withColumn("task", F.lit("cand_vs_cand")).select(*cols))).select(*cols)
+
+
 @query("OP-254_pairwise_loss", f"WITH {LINE}, x AS (SELECT p.score_a - n.score_a AS d FROM lc p JOIN lc n ON n.problem_id = p.problem_id AND p.label = 1 AND n.label = 0) SELECT count(*) AS pairs, round(avg(CASE WHEN d >= 0 THEN ln(1 + exp(-d)) ELSE -d + ln(1 + exp(d)) END), 8) AS loss, round(avg(d), 9) AS mean_margin, round(avg(CASE WHEN d > 0 THEN 1.0::DOUBLE ELSE 0 END), 9) AS rank_acc FROM x")
 def _(s, d):
     x = etl.pairwise_loss(fx.scored_lines(s, d))

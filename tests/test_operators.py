@@ -107,6 +107,14 @@ def test_support_clusters(spark):
     assert (0, 1, 2) in got and got[0, 1, 2] == pytest.approx(0.9) and all(len(k) < 4 for k in got)
 
 
+def test_densify(spark):
+    e = pairs(spark, {(0, 1): 1, (0, 2): 1, (1, 2): 1, (2, 3): 1})
+    c = spark.createDataFrame([("p", [0, 1, 2, 3]), ("p", [3]), ("q", [0, 1])], "problem_id string, indices array<int>")
+    got = sorted((r["problem_id"], r["indices"]) for r in graph.densify(c, e, 0.75).collect())
+    assert got == [("p", [0, 1, 2]), ("p", [3]), ("q", [1])]
+    assert sorted(r["indices"] for r in graph.densify(c, e, 0.0).collect()) == [[0, 1], [0, 1, 2, 3], [3]]
+
+
 def test_component_ranks(spark):
     df = spark.createDataFrame([("p", [0, 1], 2, 0.5), ("p", [2], 1, 1.0), ("p", [3, 4], 2, 0.7)], "problem_id string, indices array<int>, size int, cohesion double")
     order = lambda by: [r["indices"][0] for r in graph.rank_components(df, by).orderBy("rank").collect()]
