@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from functools import lru_cache
 from itertools import chain
 
@@ -21,8 +22,13 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-#: What a worker remembers at most; beyond it a cache starts anew.
-MAX_CACHED = 500_000
+#: What a worker remembers at most, of pieces and of pairs; beyond it a cache starts anew.
+MAX_CACHED = 800_000
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class _Pieces(dict):
@@ -33,7 +39,7 @@ class _Pieces(dict):
         self.bpe = bpe
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.bpe.encode_piece(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        ids = pack_ids(self.bpe.encode_piece(piece.encode("utf-8", "surrogatepass")))
         if len(piece) <= 64:
             if len(self) >= MAX_CACHED:
                 self.clear()
@@ -46,6 +52,8 @@ class PrefixBpe:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
+        # every beginning of a token, with the token's id if it is one itself, else -1
+        self._begins = {token[:i]: -1 for token in ranks for i in range(1, len(token))} | ranks
         self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self.pieces = _Pieces(self)
@@ -71,24 +79,38 @@ class PrefixBpe:
         return known
 
     def _fits(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        if (known := self._pairs.get(key)) is None:
-            if len(self._pairs) >= MAX_CACHED:
-                self._pairs.clear()
-            known = self._pairs[key] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        """Whether tokens a and b, in this order, are the encoding of their bytes."""
+        if len(self._pairs) >= MAX_CACHED:
+            self._pairs.clear()
+        known = self._pairs[a << 32 | b] = self._is_whole(b) and self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
-        """last[i] is the token that ends the encoding of data[:i + 1]; adds the entries that are missing."""
-        ranks, fits = self.ranks, self._fits
-        for end in range(len(last) + 1, len(data) + 1):
-            for begin in range(max(0, end - self.longest), end):
-                token = ranks.get(data[begin:end])
-                if token is not None and self._is_whole(token) and (not begin or fits(last[begin - 1], token)):
-                    last.append(token)
-                    break
-            else:
+        """last[i] is the token that ends the encoding of data[:i + 1]; adds the entries that are missing.
+
+        From each place, tokens that begin there are followed byte by byte; the one that may follow the place's own last token claims its end.
+        """
+        old, size = len(last), len(data)
+        last.extend([-1] * (size - old))
+        begins, pairs = self._begins.get, self._pairs
+        for begin in range(max(0, old - self.longest + 1), size):
+            if begin and last[begin - 1] < 0:
                 raise ValueError("the vocabulary lacks a byte")
+            before = last[begin - 1] << 32 if begin else 0
+            for end in range(max(begin, old) + 1, min(begin + self.longest, size) + 1):
+                token = begins(data[begin:end])
+                if token is None:
+                    break
+                if token < 0 or last[end - 1] >= 0:
+                    continue
+                if begin:
+                    ok = pairs.get(before | token)
+                    if ok is None:
+                        ok = self._fits(last[begin - 1], token)
+                else:
+                    ok = self._is_whole(token)
+                if ok:
+                    last[end - 1] = token
         return last
 
     def walk(self, data: bytes, last: list[int]) -> list[int]:
