@@ -32,6 +32,8 @@ RATE = 20.0
 LIMIT = (1 << 16) - 1
 #: Parts that the documents of one set are spread over in the join with their representative.
 SALTS = 16
+#: Nodes of a group that meet its root in one place, about.
+PART = 256
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -232,9 +234,10 @@ def _sketches(docs: DataFrame, p: Params) -> DataFrame:
 
 def _starred(nodes: DataFrame, payload: str, alike, label: str) -> DataFrame:
     """Adds ``settled``: whether a node's payload is alike that of its group's root, which links it to the root. One row and one copy of
-    the root's payload for each node; a hot root's rows are split by the join."""
-    heads = nodes.filter("node = root").groupBy("root").agg(F.min(F.struct(F.col(payload).alias("p"), F.col("n").alias("n"))).alias("h"))
-    joined = nodes.join(heads, "root").select("node", "root", "n", payload, F.col("h.p").alias("__q_p"), F.col("h.n").alias("__q_n"))
+    the root's payload for each node; a large group's rows are dealt into parts, each with a copy of the root's payload."""
+    heads = nodes.filter("node = root").groupBy("root").agg(F.min(F.struct(F.col(payload).alias("p"), F.col("n").alias("n"))).alias("h"), F.max("parts").alias("parts"))
+    heads = heads.select("root", "h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    joined = nodes.join(heads, ["root", "part"]).select("node", "root", "n", payload, F.col("h.p").alias("__q_p"), F.col("h.n").alias("__q_n"))
     kind = dict(nodes.dtypes)[payload]
 
     def run(batches):
@@ -306,7 +309,11 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     candidates = connected_components(banded.join(hubs, "key"), "node", "hub", "candidates")
 
     def members(edges: DataFrame) -> DataFrame:
-        return edges.select("node", "root").unionByName(edges.select(F.col("root").alias("node"), "root").distinct())
+        """(node, root, parts, part): all nodes of all groups, roots included; a group of more than PART nodes is in several parts."""
+        every = edges.select("node", "root").unionByName(edges.select(F.col("root").alias("node"), "root").distinct())
+        large = edges.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("__q_k")).filter("__q_k > 1")
+        parts = F.coalesce("__q_k", F.lit(1))
+        return every.join(large, "root", "left").select("node", "root", parts.alias("parts"), F.pmod(F.xxhash64("node", F.lit(2)), parts).cast("int").alias("part"))
 
     rows_of = lambda blobs: np.frombuffer(b"".join(blobs), "<u2").reshape(len(blobs), p.m)
 
@@ -347,3 +354,16 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     linked = joined.select("doc_id", "n_shingles", F.coalesce("__q_root", "rep").alias("component_id"))
     alone = sketched.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+#: Documents that share a shingle, counted; DuckDB on the small tables only.
+ORACLE = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, reach) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id, coalesce(c.component_id, w.doc_id) = w.doc_id AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
+"""
