@@ -11,7 +11,7 @@ TOKENIZER = tuple(public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte
 
 
 def op1_warc(spark, sf_dir):
-    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+    return warc.warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_toxicity(spark, sf_dir):
@@ -71,4 +71,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op7_line_dedup": line_dedup.ORACLE, "op9_voronoi_knn": knn.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_setsketch": setsketch.ORACLE, "op9_voronoi_knn": knn.ORACLE}

@@ -225,3 +225,11 @@ def warc_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     write_monolithic(with_revisits(pages, min_bytes), raw)
     normalise(spark, raw, target)
     return resolve(materialize(read_archives(read_index(spark, target)), "warc-read"))
+
+
+ORACLE = r"""WITH d AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+x AS (SELECT page_id, strlen(p) AS n, sha1(p) AS hx FROM d),
+b AS (SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hx, (5 * i + 1)::BIGINT, 5))::BIGINT >> s) & 31) + 1, 1)), '')), '') AS payload_digest FROM x),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f
+"""
