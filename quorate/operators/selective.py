@@ -119,34 +119,41 @@ def resolve_threshold(explicit: float | None, recommendations: list[dict], targe
     raise ValueError(f"no recommendation for target {target}")
 
 
-def leave_one_out(examples: DataFrame, target: float, min_accepted: int = 5) -> DataFrame:
+def leave_one_out(examples: DataFrame, target: float, min_accepted: int = 5, chunk: int = 50_000) -> DataFrame:
     """(omitted, threshold, omitted_accepted, omitted_correct) of every fold, without recomputing it.
 
     Omitting the example at place r shortens every prefix that reaches r by one row, so a fold's answer is the better of two parts:
-    full prefixes before r, and prefixes from r on with one row (and the example's correctness) less.  Both are running maxima over
-    the ordered curve, taken once forwards and once backwards for each of the two values of correctness.
+    full prefixes before r, and prefixes behind r with one row (and the example's correctness) less.  Both are running maxima over the
+    ordered curve: within chunks of consecutive places, and over one row of maxima for each chunk.
     """
-    c = prefix_curve(examples).cache()
+    c = prefix_curve(examples)
     r = lambda x: F.round(x, 12)
 
-    def key(k: Column, ok: Column, last: Column) -> tuple[Column, Column]:
+    def keys(k: Column, ok: Column, last: Column, suffix: str) -> list[Column]:
         low, _ = st.wilson(ok, k)
-        acc = st.rate(ok, k)
-        able = k >= min_accepted
-        certified = F.when(able & (r(low) >= target), F.struct(k.alias("k"), r(low).alias("low"), r(acc).alias("acc"), last.alias("thr")))
-        best = F.when(able, F.struct(r(low).alias("low"), r(acc).alias("acc"), k.alias("k"), last.alias("thr")))
-        return certified, best
+        acc, able = st.rate(ok, k), k >= min_accepted
+        return [F.when(able & (r(low) >= target), F.struct(k.alias("k"), r(low).alias("low"), r(acc).alias("acc"), last.alias("thr"))).alias(f"c{suffix}"),
+                F.when(able, F.struct(r(low).alias("low"), r(acc).alias("acc"), k.alias("k"), last.alias("thr"))).alias(f"b{suffix}")]
 
     k, ok, thr = F.col("accepted"), F.col("correct"), F.col("threshold")
-    rows = c.select("*", *[x.alias(n) for n, x in zip(("c_full", "b_full"), key(k, ok, thr))], *[x.alias(f"{n}{y}") for y in (0, 1) for n, x in zip(("c_less", "b_less"), key(k - 1, ok - y, thr))])
-    # positions are ordered by place; the forward part needs maxima before r, the backward part maxima after r
-    before = Window.orderBy("accepted").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy("accepted").rowsBetween(1, Window.unboundedFollowing)
-    pick = lambda n: F.when(F.col("selected_correct") == 1, F.max(f"{n}1").over(after)).otherwise(F.max(f"{n}0").over(after))
-    f = rows.select("problem_id", "selected_correct", "threshold", "accepted", F.max("c_full").over(before).alias("cf"), F.max("b_full").over(before).alias("bf"), pick("c_less").alias("cl"), pick("b_less").alias("bl"))
-    certified, best = F.greatest("cf", "cl"), F.greatest("bf", "bl")
-    loo = F.coalesce(certified["thr"], best["thr"])
-    return f.select(F.col("problem_id").alias("omitted"), loo.alias("loo_threshold"), certified.isNotNull().alias("meets_target"), (F.col("threshold") >= loo).alias("omitted_accepted"), F.col("selected_correct").alias("omitted_correct"))
+    rows = c.select("problem_id", "selected_correct", "threshold", "accepted", F.floor((k - 1) / chunk).alias("chunk"), *keys(k, ok, thr, "f"), *keys(k - 1, ok, thr, "0"), *keys(k - 1, ok - 1, thr, "1"))
+    forward, backward = ("cf", "bf"), ("c0", "b0", "c1", "b1")
+
+    def running(df: DataFrame, by: Column | str, order: str, prefix: str) -> list[Column]:
+        # frames that grow with the row; one that shrinks would be computed anew for each row
+        before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        after = Window.partitionBy(by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+        return [F.max(n).over(before).alias(f"{prefix}{n}") for n in forward] + [F.max(n).over(after).alias(f"{prefix}{n}") for n in backward]
+
+    inside = rows.select("problem_id", "selected_correct", "threshold", "chunk", *running(rows, "chunk", "accepted", "i_"))
+    tops = rows.groupBy("chunk").agg(*[F.max(n).alias(n) for n in (*forward, *backward)])
+    outside = tops.select("chunk", *running(tops, F.lit(0), "chunk", "o_"))
+    both = inside.join(outside, "chunk")
+    top = lambda n: F.greatest(f"i_{n}", f"o_{n}")
+    less = lambda n: F.when(F.col("selected_correct") == 1, top(f"{n}1")).otherwise(top(f"{n}0"))
+    f = both.select("problem_id", "selected_correct", "threshold", F.greatest(top("cf"), less("c")).alias("certified"), F.greatest(top("bf"), less("b")).alias("best"))
+    loo = F.coalesce("certified.thr", "best.thr")
+    return f.select(F.col("problem_id").alias("omitted"), loo.alias("loo_threshold"), F.col("certified").isNotNull().alias("meets_target"), (F.col("threshold") >= loo).alias("omitted_accepted"), F.col("selected_correct").alias("omitted_correct"))
 
 
 def stability(folds: DataFrame, full_threshold: float) -> DataFrame:

@@ -185,6 +185,7 @@ def test_selective_goldens(spark):
     e = spark.createDataFrame([(f"p{i}", float(6 - i), int(c == "T"), 1) for i, c in enumerate("TTTFTF")], "problem_id string, confidence double, selected_correct int, has_any_correct int")
     curve = sv.prefix_curve(e)
     folds = sv.leave_one_out(e, 0.32, 2).collect()
+    assert sorted(map(tuple, folds)) == sorted(map(tuple, sv.leave_one_out(e, 0.32, 2, chunk=2).collect()))
     for f in folds:
         rest = e.filter(F.col("problem_id") != f["omitted"])
         want = sv.recommend(sv.prefix_curve(rest), [0.32], 2).first()
