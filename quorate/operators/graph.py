@@ -1,23 +1,15 @@
 """Similarity graphs inside problems. Edges are (problem_id, i, j, score) with i < j, nodes (problem_id, candidate_index)."""
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorate.operators.pairs import both_ways, knn_edges
+from quorate.operators.windows import cut as _cut
 
 KEY = ["problem_id", "i", "j"]
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quorate-graph-"))
-    return df.checkpoint()
-
-
 def threshold_edges(pairs: DataFrame, threshold: float, mutual_k: int = 0) -> DataFrame:
     """Pairs at or above the threshold; with mutual_k, only those that are among each other's mutual_k best of all pairs."""
     edges = pairs.filter(F.col("score") >= threshold)

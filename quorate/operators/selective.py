@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorate.functions import stats as st
-from quorate.operators.windows import global_prefix
+from quorate.operators.windows import cut, global_prefix
 
 KEYS = ("chosen_probability", "probability_margin", "score_margin")
 
@@ -126,7 +126,7 @@ def leave_one_out(examples: DataFrame, target: float, min_accepted: int = 5, chu
     full prefixes before r, and prefixes behind r with one row (and the example's correctness) less.  Both are running maxima over the
     ordered curve: within chunks of consecutive places, and over one row of maxima for each chunk.
     """
-    c = prefix_curve(examples)
+    c = cut(prefix_curve(examples))
     r = lambda x: F.round(x, 12)
 
     def keys(k: Column, ok: Column, last: Column, suffix: str) -> list[Column]:

@@ -1,6 +1,10 @@
 """Windows: per problem, and ordered prefixes over a whole table without a single-partition window."""
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -8,6 +12,16 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint into the folder that the cluster names, or into one of this process where none is named."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = tempfile.mkdtemp(prefix="quorate-cut-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def per_problem(*order: Column | str):
     return Window.partitionBy("problem_id").orderBy(*order)
 
@@ -18,12 +32,13 @@ def global_prefix(df: DataFrame, key: str, tie: str, sums: dict[str, str], range
     Rows are cut into ranges of the key at approximate quantiles; a range's rows are numbered by a window of its own, and offsets
     come from one row per range.  A single value of the key is never spread, so its rows form one range.
     """
+    df = cut(df)  # it is read three times
     marks = df.agg(F.percentile_approx(F.col(key), [i / ranges for i in range(1, ranges)], 10_000).alias("q")).first()["q"] or []
     marks = sorted(set(marks), reverse=True)
-    cut = F.lit(0)
+    place = F.lit(0)
     for m in marks:
-        cut = cut + F.when(F.col(key) < F.lit(m), 1).otherwise(0)
-    cut_df = df.withColumn("__range", cut)
+        place = place + F.when(F.col(key) < F.lit(m), 1).otherwise(0)
+    cut_df = df.withColumn("__range", place)
     own = Window.partitionBy("__range").orderBy(F.desc(key), F.col(tie).asc())
     part = cut_df.withColumn("__k", F.row_number().over(own))
     for name, col in sums.items():
