@@ -11,6 +11,23 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
+#: Links of a node that are joined in one place, about.
+PART = 256
+
+
+def _with_least(both: DataFrame) -> DataFrame:
+    """Links in both directions (node, root), each with the smallest of its node and the node's neighbours as __q_m.
+
+    The links of a node with many are dealt into parts, each of which meets a copy of the node's row.
+    """
+    parts = F.ceil(F.count(F.lit(1)) / PART).cast("int")
+    least = both.groupBy("node").agg(F.min("root").alias("__q_m"), parts.alias("__q_k")).withColumn("__q_m", F.least("node", "__q_m"))
+    many = least.filter("__q_k > 1").select("node", "__q_k")
+    dealt = both.join(many, "node", "left").withColumn("__q_s", F.pmod(F.xxhash64("root"), F.coalesce("__q_k", F.lit(1))).cast("int")).drop("__q_k")
+    spread = least.select("node", "__q_m", F.explode(F.sequence(F.lit(0), F.col("__q_k") - 1)).alias("__q_s"))
+    return dealt.join(spread, ["node", "__q_s"])
+
+
 def _is_star(edges: DataFrame) -> bool:
     """Whether no node has two parents and no parent has a parent."""
     parents = edges.select(F.col("root").alias("node")).distinct()
@@ -24,8 +41,7 @@ def connected_components(links: DataFrame, a: str, b: str, label: str = "compone
     edges = materialize(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root")).distinct(), label)
     while not _is_star(edges):
         both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        least = both.groupBy("node").agg(F.min("root").alias("__q_m")).withColumn("__q_m", F.least("node", "__q_m"))
-        large = both.join(least, "node").filter("root > node").select(F.col("root").alias("node"), F.col("__q_m").alias("root")).distinct()
+        large = _with_least(both).filter("root > node").select(F.col("root").alias("node"), F.col("__q_m").alias("root")).distinct()
         large = materialize(large, label)
         down = large.groupBy("node").agg(F.min("root").alias("__q_m"))
         small = (large.join(down, "node").filter("root <> __q_m").select(F.greatest("root", "__q_m").alias("node"), F.least("root", "__q_m").alias("root"))
