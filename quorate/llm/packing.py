@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import chunks, materialize
 
 #: Pieces that are packed together, about.
-GROUP = 8192
+GROUP = 16_384
 END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
