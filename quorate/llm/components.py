@@ -13,17 +13,24 @@ from .common import discard, materialize
 
 #: Links of a node that are joined in one place, about.
 PART = 256
+#: Nodes with more links than that are broadcast up to this number of them; beyond it they are joined.
+MAX_BROADCAST = 50_000
 
 
-def _with_least(both: DataFrame) -> DataFrame:
-    """Links in both directions (node, root), each with the smallest of its node and the node's neighbours as __q_m.
-
-    The links of a node with many are dealt into parts, each of which meets a copy of the node's row.
-    """
+def _least(both: DataFrame, label: str) -> DataFrame:
+    """(node, __q_m, __q_k): the smallest of a node and its neighbours, and the number of parts that its links are dealt into."""
     parts = F.ceil(F.count(F.lit(1)) / PART).cast("int")
-    least = both.groupBy("node").agg(F.min("root").alias("__q_m"), parts.alias("__q_k")).withColumn("__q_m", F.least("node", "__q_m"))
+    return materialize(both.groupBy("node").agg(F.min("root").alias("__q_m"), parts.alias("__q_k")).withColumn("__q_m", F.least("node", "__q_m")), label)
+
+
+def _with_least(both: DataFrame, least: DataFrame) -> DataFrame:
+    """Links in both directions (node, root) with their node's __q_m. The links of a node with many are dealt into parts, each of which
+    meets a copy of the node's row."""
     many = least.filter("__q_k > 1").select("node", "__q_k")
-    dealt = both.join(many, "node", "left").withColumn("__q_s", F.pmod(F.xxhash64("root"), F.coalesce("__q_k", F.lit(1))).cast("int")).drop("__q_k")
+    n = many.count()
+    if not n:
+        return both.join(least.drop("__q_k"), "node")
+    dealt = both.join(F.broadcast(many) if n <= MAX_BROADCAST else many, "node", "left").withColumn("__q_s", F.pmod(F.xxhash64("root"), F.coalesce("__q_k", F.lit(1))).cast("int")).drop("__q_k")
     spread = least.select("node", "__q_m", F.explode(F.sequence(F.lit(0), F.col("__q_k") - 1)).alias("__q_s"))
     return dealt.join(spread, ["node", "__q_s"])
 
@@ -41,12 +48,13 @@ def connected_components(links: DataFrame, a: str, b: str, label: str = "compone
     edges = materialize(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root")).distinct(), label)
     while not _is_star(edges):
         both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        large = _with_least(both).filter("root > node").select(F.col("root").alias("node"), F.col("__q_m").alias("root")).distinct()
+        least = _least(both, label)
+        large = _with_least(both, least).filter("root > node").select(F.col("root").alias("node"), F.col("__q_m").alias("root")).distinct()
         large = materialize(large, label)
         down = large.groupBy("node").agg(F.min("root").alias("__q_m"))
         small = (large.join(down, "node").filter("root <> __q_m").select(F.greatest("root", "__q_m").alias("node"), F.least("root", "__q_m").alias("root"))
                  .unionByName(down.select("node", F.col("__q_m").alias("root"))).distinct())
         after = materialize(small, label)
-        discard(edges, large)
+        discard(edges, large, least)
         edges = after
     return edges
