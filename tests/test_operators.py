@@ -275,3 +275,32 @@ def test_scorer_interfaces(spark):
     both = scorers.proof_outcomes(spark.createDataFrame([("x", "x"), ("x", "xy")], "a string, b string"), lambda a, b: pd.Series([q.startswith(p) for p, q in zip(a, b)]))
     assert [r["ok"] for r in both.collect()] == [True, False]
     assert samples.count() == 6 and samples.select("candidate").distinct().count() == 6
+
+
+def test_audit_of_a_pair(spark):
+    n, p = nodes(spark, 1, 1, 1), pairs(spark, {(0, 1): 0.95, (0, 2): 0.2, (1, 2): 0.1})
+    comps, stats = graph.ranked_components(n, p, 0.5)
+    c = spark.createDataFrame([("p", i, t, y) for i, (t, y) in enumerate([("first text", 1), ("b", 1), ("c", 0)])], "problem_id string, candidate_index int, candidate string, label int")
+    a = se.audit(c, comps, p, top_edges=1, snippet=8).first()
+    assert stats.first()["edges_after"] == 1
+    assert (a["components"][0]["indices"], a["components"][0]["n_labeled_correct"]) == ([0, 1], 2)
+    assert [(e["i"], e["j"], e["score"]) for e in a["top_edges"]] == [(0, 1, 0.95)] and a["candidates"][0]["snippet"] == "first..."
+
+
+def test_best_key_per_coverage(spark):
+    rows = [("p1", 0.9, 0.8, 1.0, 1), ("p2", 0.8, 0.1, 1.0, 0), ("p3", 0.7, 0.7, 1.0, 1)]
+    e = spark.createDataFrame(rows, "problem_id string, chosen_probability double, probability_margin double, score_margin double, selected_correct int")
+    got = {round(r["target"], 3): (r["best_key"], r["accuracy"]) for r in sv.best_key_per_coverage(e, [2 / 3, 1.0]).collect()}
+    assert got[0.667] == ("probability_margin", 1.0) and got[1.0][0] == "chosen_probability"
+
+
+def test_seeds_and_pair_temperature(spark):
+    from zlib import crc32
+
+    from quorate.functions import stats as st
+
+    df = spark.createDataFrame([("a",), ("problem 7",)], "problem_id string")
+    assert [r[0] for r in df.select(st.crc_seed(17, F.col("problem_id"))).collect()] == [crc32(b"a") ^ 17, crc32(b"problem 7") ^ 17]
+    s = scored(spark, {f"p{i}": [(x, y)] for i, (x, y) in enumerate(zip((4, 3, -4, -3, 4, -4), (1, 0, 0, 1, 1, 0)))})
+    probs = s.select("label", st.sigmoid(F.col("score")).alias("prob"))
+    assert cal.fit_pair_temperature(probs) == pytest.approx(cal.fit_temperature(s), rel=1e-4)
