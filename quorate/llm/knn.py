@@ -10,7 +10,7 @@ bounds can use, every vector is copied once for each query block; blocks hold up
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part; shorter vectors count as padded with zeros; a null id
 takes no part; ties go to the smaller id; fewer than k candidates give fewer rows; of rows that repeat an id each is a candidate of its own,
-except for queries of that id; a score beyond 64 bits is an error; an empty table gives an empty result; other columns take no part.
+except for queries of that id, and each is a query of its own; a score beyond 64 bits is an error; an empty table gives an empty result; other columns take no part.
 """
 from __future__ import annotations
 
@@ -92,7 +92,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1
 
     placed_schema = "id long, cell int, far double, norm double, x array<double>"
     data_cells = materialize(data.mapInArrow(place, placed_schema), "data-cells")
-    query_cells = materialize(asked.mapInArrow(place, placed_schema), "query-cells")
+    # a key of its own for each row, as ids may repeat; it is written, so that it stays what it is
+    query_cells = materialize(asked.mapInArrow(place, placed_schema).withColumn("row", F.monotonically_increasing_id()), "query-cells")
     # one row for each of a bounded number of cells
     radius = np.full(len(centres), -1.0)
     blocks = np.zeros(len(centres), np.int64)
@@ -104,19 +105,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1
     reach = spark.sparkContext.broadcast(radius)
 
     def summarise(batches):
-        best = np.full((len(used), 0), 0.0)
+        best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in used]
         for batch in batches:
-            x, norm = _matrix(batch.column(1), dim), np.asarray(batch.column(0))
+            ids, x, norm = np.asarray(batch.column(0)), _matrix(batch.column(2), dim), np.asarray(batch.column(1))
             p = held.value[used]
-            low = (p @ x.T) - reach.value[used][:, None] * norm[None, :]
-            low -= SLACK * np.abs(low)
-            best = np.concatenate([best, low], 1)
-            if best.shape[1] > k + 1:
-                best = -np.partition(-best, k, axis=1)[:, :k + 1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(used, best.shape[1]).astype(np.int32)), pa.array(best.ravel())], ["cell", "low"])
-
-    # k + 1, as a query's own vector may be among them
-    lows = data_cells.select("norm", "x").mapInArrow(summarise, "cell int, low double")
+            lows = (p @ x.T) - reach.value[used][:, None] * norm[None, :]
+            lows -= SLACK * np.abs(lows)
+            for n, low in enumerate(lows):
+                among, low = np.concatenate([best[n][0], ids]), np.concatenate([best[n][1], low])
+                order = np.argsort(-low, kind="stable")
+                top = order[np.sort(np.unique(among[order], return_index=True)[1])[:k + 1]]
+                best[n] = among[top], low[top]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(used, [len(b[0]) for b in best]).astype(np.int32)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], ["cell", "id", "low"])
+
+    # k + 1 ids, each by its best row, as a query's own id may be among them with any number of rows
+    lows = data_cells.select("id", "norm", "x").mapInArrow(summarise, "cell int, id long, low double").groupBy("cell", "id").agg(F.max("low").alias("low"))
     ranked = lows.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("low")))).filter(F.col("r") <= k + 1)
     surely = np.full(len(centres), np.inf)
     for c, low, n in ranked.groupBy("cell").agg(F.min("low"), F.count(F.lit(1))).collect():
@@ -143,20 +146,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1
 
     sent = data_cells.select("id", "cell", "norm", "x").mapInArrow(copy, "cell int, block int, id long, x binary").withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
     n_blocks_col = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
-    waiting = query_cells.select("cell", F.pmod(F.xxhash64("id"), n_blocks_col).cast("int").alias("block"), "id", "x").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    waiting = query_cells.select("cell", F.pmod(F.xxhash64("row"), n_blocks_col).cast("int").alias("block"), "row", "id", "x").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
     def solve(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(d):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+            return pd.DataFrame({"row": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
         qx = np.zeros((len(q), dim))
         for i, v in enumerate(q["x"]):
             qx[i, :len(v)] = v
         d = d.sort_values("id", kind="stable")
         ids, dx = d["id"].to_numpy(), np.frombuffer(b"".join(d["x"]), "<f8").reshape(len(d), dim)
-        asks, found, scores = [], [], []
+        asks, keys, found, scores = [], [], [], []
         for a in range(0, len(q), 256):
             s = _products(qx[a:a + 256], dx)
-            for row, query in zip(s, q["id"].to_numpy()[a:a + 256]):
+            for row, query, key in zip(s, q["id"].to_numpy()[a:a + 256], q["row"].to_numpy()[a:a + 256]):
                 own = np.flatnonzero(ids != query)
                 r = row[own]
                 if len(r) > k:
@@ -165,13 +168,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1
                 # ids ascend, so that a stable order by score leaves ties to smaller ids
                 best = own[np.argsort(-row[own], kind="stable")[:k]]
                 asks += [query] * len(best)
+                keys += [key] * len(best)
                 found.append(ids[best])
                 scores.append(row[best].astype(np.int64))
-        return pd.DataFrame({"query_id": np.array(asks, np.int64), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
+        return pd.DataFrame({"row": np.array(keys, np.int64), "query_id": np.array(asks, np.int64), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
 
     key = ["cell", "block", "slice"]
-    partial = waiting.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(solve, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    partial = waiting.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(solve, "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -228,6 +228,17 @@ def test_top_k_bounds_prune_far_cells(spark):
     assert got_top(knn.top_k(df, q, 10)) == brute_top(rows, [r for r in rows if r[0] % 20 == 0], 10)
 
 
+@pytest.mark.parametrize("copies", [1, 30])
+def test_top_k_repeated_ids(spark, copies):
+    """Each row of a repeated query id is a query of its own, and its id's own rows, however many, do not raise the bound."""
+    rng = np.random.default_rng(6)
+    centres = np.eye(8)[:4] * 40
+    rows = [(i, [float(x) for x in centres[i % 4] * (1 + i % 3) + rng.normal(size=8)]) for i in range(400)]
+    rows += [(40, [float(x) for x in centres[n % 4] * 5]) for n in range(copies)] + [rows[60]] * copies
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert got_top(knn.top_k(df, df.filter("vec_id % 20 = 0"), 10)) == brute_top(rows, [r for r in rows if r[0] % 20 == 0], 10)
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------------------
 
 
