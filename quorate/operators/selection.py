@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quorate.functions import stats as st
 from quorate.functions import text as tx
+from quorate.operators import graph
 from quorate.operators.pairs import both_ways, centrality
+from quorate.operators.windows import cut
 
 
 def first_candidate(cands: DataFrame) -> DataFrame:
@@ -131,6 +133,39 @@ def cluster_score(members: DataFrame, mode: str = "max", k: int = 3, temp: float
     return members.groupBy("problem_id", "component").agg(s.alias("s"), F.count(F.lit(1)).alias("size"), F.min("rank").alias("best_rank")).select("problem_id", "component", how[mode].alias("cluster_score"), "size", "best_rank")
 
 
+def verifier_choice(scored: DataFrame, pairs: DataFrame, threshold: float, *, top_m: int = 20, cluster: str = "mean_top2", cluster_k: int = 3, temp: float = 1.0, rep: str = "best", delta: float = 0.1, mutual_k: int = 0, margin: float = 0.0, mode: str = "components", support: float = 0.7) -> DataFrame:
+    """(problem_id, chosen_index, score, cluster_score, size, cohesion) of scored candidates (problem_id, candidate_index, candidate, score, and typechecks if there are any).
+
+    The top_m best (0: all) of those that typecheck (of all where none does) are clustered; the best cluster is the one with the highest
+    cluster score, of equals the larger, then the earlier; it is represented by its best score or by the simplest within delta of that.
+    """
+    if rep not in ("best", "simple"):
+        raise ValueError(f"unknown representative {rep!r}")
+    valid = scored
+    if "typechecks" in scored.columns:
+        any_ok = F.max(F.coalesce("typechecks", F.lit(False))).over(Window.partitionBy("problem_id"))
+        valid = scored.withColumn("__any", any_ok).filter(F.coalesce("typechecks", F.lit(False)) | ~F.col("__any"))
+    w = Window.partitionBy("problem_id").orderBy(F.desc("score"), "candidate_index")
+    norm = tx.normalize(F.coalesce(F.col("candidate"), F.lit("")))
+    ranked = valid.withColumn("rank", F.row_number().over(w)).select("problem_id", F.col("candidate_index").alias("index"), "score", "rank", (F.col("rank") - 1).alias("candidate_index"), F.length(norm).alias("length"), F.round(tx.penalty(norm, w_binders=0.5, w_prop=0.25), 9).alias("penalty"))
+    top = cut(ranked.filter(F.col("rank") <= top_m) if top_m > 0 else ranked)
+    # clusters are of places by score, so that what goes by index there goes by rank
+    at = lambda index, place: top.select("problem_id", F.col("index").alias(index), F.col("candidate_index").alias(place))
+    placed = pairs.join(at("i", "a"), ["problem_id", "i"]).join(at("j", "b"), ["problem_id", "j"]).select("problem_id", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "score")
+    comps, _stats = graph.ranked_components(top.select("problem_id", "candidate_index"), cut(placed), threshold, rank="size", mutual_k=mutual_k, margin=margin, mode=mode, support=support)
+    comps = cut(comps.select("problem_id", F.col("rank").alias("component"), "indices", "cohesion"))
+    members = comps.select("problem_id", "component", F.explode("indices").alias("candidate_index")).join(top, ["problem_id", "candidate_index"])
+    clusters = cluster_score(members, cluster, cluster_k, temp)
+    best = clusters.groupBy("problem_id").agg(F.max_by(F.struct("component", "cluster_score", "size"), F.struct("cluster_score", "size", -F.col("component"))).alias("c")).select("problem_id", "c.*")
+    inside = members.join(best, ["problem_id", "component"]).withColumn("__top", F.max("score").over(Window.partitionBy("problem_id")))
+    if rep == "simple":
+        inside, key = inside.filter(F.col("score") >= F.col("__top") - delta), F.struct("penalty", -F.col("score"), "length", "index")
+    else:
+        key = F.struct("rank")
+    pick = inside.groupBy("problem_id", "component", "cluster_score", "size").agg(F.min_by(F.struct("index", "score"), key).alias("b"))
+    return pick.join(comps.select("problem_id", "component", "cohesion"), ["problem_id", "component"]).select("problem_id", F.col("b.index").alias("chosen_index"), F.col("b.score").alias("score"), "cluster_score", "size", "cohesion")
+
+
 def audit(cands: DataFrame, comps: DataFrame, pairs: DataFrame, top_components: int = 3, top_edges: int = 5, snippet: int = 60) -> DataFrame:
     """Per problem: its best components with their numbers of correct candidates, its strongest pairs and candidate snippets."""
     lab = cands.select("problem_id", "candidate_index", "label")

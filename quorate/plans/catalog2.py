@@ -145,6 +145,18 @@ for _mode, _expr in (("max", "s[1]"), ("mean_top2", "list_avg(s[1:2])"), ("mean_
         lambda s, d, mode=_mode: r9(se.cluster_score(ev.with_rank(fx.scored_lines(s, d)).filter("rank <= 6").withColumn("component", F.col("part") % 3), mode)))
 
 
+def _judged(s, d):
+    """Conversations with a stand-in for a verifier's score, and their similarities."""
+    c = fx.conv_candidates(s, d).withColumn("score", F.crc32(F.coalesce("candidate", F.lit("")).cast("binary")) % 97 / F.lit(97.0))
+    return c, r9(pr.jaccard_pairs(fx.conv_candidates(s, d)))
+
+
+for _rep in ("best", "simple"):
+    @query(f"OP-153_choice_{_rep}")
+    def _(s, d, rep=_rep):
+        return r9(se.verifier_choice(*_judged(s, d), 0.1, rep=rep, delta=0.3))
+
+
 @query("OP-154_random", f"WITH {LINE}, n AS (SELECT problem_id, count(*) AS n FROM lc GROUP BY 1) SELECT problem_id, (('0x' || left(sha256('123:' || problem_id), 15))::BIGINT % n)::INTEGER AS chosen_index FROM n")
 def _(s, d):
     return se.random_choice(fx.line_candidates(s, d), 123)

@@ -304,3 +304,31 @@ def test_seeds_and_pair_temperature(spark):
     s = scored(spark, {f"p{i}": [(x, y)] for i, (x, y) in enumerate(zip((4, 3, -4, -3, 4, -4), (1, 0, 0, 1, 1, 0)))})
     probs = s.select("label", st.sigmoid(F.col("score")).alias("prob"))
     assert cal.fit_pair_temperature(probs) == pytest.approx(cal.fit_temperature(s), rel=1e-4)
+
+
+def test_verifier_choice(spark):
+    """Of two clusters of the top five the one with the better mean is chosen; a sixth candidate that would link them does not take part."""
+    texts = ["theorem a : 1 = 1 and much more text", "theorem b : 1 = 1", "x", "theorem c", "theorem d", "y"]
+    scores = [0.9, 0.85, 0.95, 0.1, 0.2, 0.05]
+    c = spark.createDataFrame([("p", i, t, v) for i, (t, v) in enumerate(zip(texts, scores))], "problem_id string, candidate_index int, candidate string, score double")
+    p = pairs(spark, {(i, j): 0.9 if (i, j) in {(0, 1), (2, 3), (0, 5), (2, 5)} else 0.1 for i in range(6) for j in range(i + 1, 6)})
+    run = lambda df=c, **kw: se.verifier_choice(df, p, 0.5, **{"top_m": 5, **kw}).collect()
+    best = run()
+    assert [(r["problem_id"], r["chosen_index"], r["size"]) for r in best] == [("p", 0, 2)] and best[0]["cluster_score"] == pytest.approx(0.875)
+    assert run(rep="simple")[0]["chosen_index"] == 1 and run(rep="simple", delta=0.01)[0]["chosen_index"] == 0
+    assert run(cluster="max")[0]["chosen_index"] == 2
+    assert run(top_m=0)[0]["size"] == 5
+    # ties of cluster scores go to the larger cluster, then to the earlier rank
+    tied = spark.createDataFrame([("p", i, "t", 0.5) for i in range(6)], c.schema)
+    assert [(r["chosen_index"], r["size"]) for r in run(tied, cluster="max")] == [(0, 2)]
+    # candidates that do not typecheck take no part where another does
+    assert run(c.withColumn("typechecks", F.col("candidate_index") >= 3))[0]["chosen_index"] == 4
+    assert run(c.withColumn("typechecks", F.lit(False)))[0]["chosen_index"] == 0
+
+
+def test_verifier_choice_is_catalogued(spark, sf):
+    from quorate.plans import catalog, catalog2  # noqa: F401
+
+    for rep in ("best", "simple"):
+        rows = catalog.QUERIES[f"OP-153_choice_{rep}"](spark, sf).collect()
+        assert len(rows) == len({r["problem_id"] for r in rows}) == spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count()
