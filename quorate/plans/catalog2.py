@@ -358,6 +358,29 @@ def _(s, d):
     return leaderboard.top_configs(_grid(s, d), 3).select("config", "n_correct")
 
 
+_CONFIGS = [(t, tie, rank, k, m, 0.7) for t in (0.1, 0.3) for tie in ("medoid", "shortest") for rank in ("size_then_cohesion", "cohesion") for k in (0, 2) for m in (0.0, 0.1)]
+
+
+def _selection_grid(s, d):
+    nodes, sim = _conv_nodes(s, d), r9(pr.jaccard_pairs(fx.conv_candidates(s, d)))
+    cents = lambda **kw: r9(pr.centrality(nodes.select("problem_id", "candidate_index", "length"), sim, **kw))
+    baselines = {
+        "first": se.first_candidate(nodes), "shortest": se.shortest(nodes), "majority": ca.majority(nodes).withColumnRenamed("candidate_index", "chosen_index"), "random": se.random_choice(nodes, 123),
+        "bleu_medoid": se.medoid(_cents(s, d), "length"), "mbr_global": se.medoid(cents(), "length"), "mbr_knn": se.medoid(cents(mode="knn", k=3), "length"),
+    }
+    return leaderboard.selection_grid(nodes.select("problem_id", "candidate_index", "length", "label"), sim, _CONFIGS, baselines, ensemble="medoid")
+
+
+@query("OP-182_selection_grid")
+def _(s, d):
+    return r9(_selection_grid(s, d))
+
+
+@query("OP-184_top_selections")
+def _(s, d):
+    return r9(leaderboard.top_selections(_selection_grid(s, d), 3))
+
+
 _METRICS = "pm AS (SELECT problem_id, min(rank) FILTER (label = 1) AS f, sum(label) AS pos, " + ", ".join(f"coalesce(sum(1 / log2(rank + 1.0)) FILTER (label = 1 AND rank <= {k}), 0) AS d{k}" for k in (1, 3, 5)) + " FROM rk GROUP BY 1)"
 
 

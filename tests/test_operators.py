@@ -332,3 +332,22 @@ def test_verifier_choice_is_catalogued(spark, sf):
     for rep in ("best", "simple"):
         rows = catalog.QUERIES[f"OP-153_choice_{rep}"](spark, sf).collect()
         assert len(rows) == len({r["problem_id"] for r in rows}) == spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count()
+
+
+def test_selection_grid(spark):
+    """Every configuration is selected by itself, beside baselines and an ensemble."""
+    n = nodes(spark, 5, 4, 3, 2, 1).withColumn("label", (F.col("candidate_index") == 3).cast("int"))
+    p = pairs(spark, {(i, j): {(0, 1): 0.6, (0, 2): 0.6, (1, 2): 0.3, (3, 4): 0.9}.get((i, j), 0.1) for i in range(5) for j in range(i + 1, 5)})
+    configs = [(0.5, "first", "size_then_cohesion", 0, 0.0, 0.7), (0.5, "first", "cohesion", 0, 0.0, 0.7), (0.5, "medoid", "size_then_cohesion", 0, 0.2, 0.7), (0.8, "first", "size_then_cohesion", 0, 0.0, 0.7)]
+    g = leaderboard.selection_grid(n, p, configs, {"first": se.first_candidate(n)}, ensemble="first").cache()
+    rows = {(r["config"], r["strategy"]): r for r in g.collect()}
+    assert len(rows) == len(configs) + 2
+    for k, (threshold, tie, rank, mutual, margin, _) in enumerate(configs):
+        comps, _stats = graph.ranked_components(n, p, threshold, rank=rank, mutual_k=mutual, margin=margin)
+        chosen = se.representatives(comps, n, p, tie).first()["chosen_index"]
+        r = rows[k, "selection"]
+        assert (r["threshold"], r["tie_break"], r["cluster_rank"], r["margin"]) == (threshold, tie, rank, margin)
+        assert r["n_correct"] == int(chosen == 3) and r["avg_size"] == comps.filter("rank = 1").first()["size"]
+    assert {r["n_correct"] for r in rows.values()} == {0, 1} and rows[None, "first"]["n_correct"] == 0
+    best = leaderboard.top_selections(g, 3).collect()
+    assert [(r["config"], r["accuracy"]) for r in best[:2]] == [(1, 1), (3, 1)] and len(best) == 3
