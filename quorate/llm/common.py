@@ -90,14 +90,24 @@ def map_texts(df: DataFrame, fn: Callable[[list[str | None]], dict[str, np.ndarr
     return data.mapInArrow(run, schema)
 
 
+def _labelled(labels: DataFrame, label_col: str, allowed) -> DataFrame:
+    return (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("__q_y"))
+            .filter(F.col("__q_y").isin(0, 1) & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg(F.max("__q_y").alias("__q_y")))
+
+
+def class_weights(labels: DataFrame, label_col: str, allowed, max_docs: int) -> np.ndarray:
+    """How many labelled rows a row of training_sample() stands for, by class: 1 unless the cap on the class cuts rows off."""
+    counts = dict(tuple(r) for r in _labelled(labels, label_col, allowed).groupBy("__q_y").agg(F.count(F.lit(1))).collect())
+    return np.array([max(1.0, counts.get(y, 0) / max(1, max_docs // 2)) for y in (0, 1)])
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed, max_docs: int, extra: tuple[str, ...] = ()) -> list:
     """At most max_docs labelled rows, as (doc_id, label, text, *extra), chosen by a hash of the id; half of each class where there are enough.
 
     ``allowed`` is a condition on doc_id: only those rows' labels are read.  Labels other than 0 and 1 are skipped; of several labels
     for one id the largest counts.
     """
-    rows = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("__q_y"))
-            .filter(F.col("__q_y").isin(0, 1) & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg(F.max("__q_y").alias("__q_y")))
+    rows = _labelled(labels, label_col, allowed)
     picked = None
     for y in (0, 1):
         part = rows.filter(F.col("__q_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2)

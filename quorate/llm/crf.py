@@ -33,8 +33,8 @@ class Chain:
         s = x @ self.weights
         return np.stack([np.zeros_like(s), s], axis=1)
 
-    def marginals(self, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """P(label 1) of each row, expected label pairs summed over all neighbours, and the sum of log Z."""
+    def marginals(self, x: np.ndarray, first: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+        """P(label 1) of each row, expected label pairs summed over all neighbours (times the row's weight), and the sum of log Z."""
         e = self.emit(x)
         a, b = np.zeros_like(e), np.zeros_like(e)
         steps = [rows for _, rows in _steps(first)]
@@ -48,7 +48,8 @@ class Chain:
         pairs = np.zeros((2, 2))
         if len(steps) > 1:
             rows = np.concatenate(steps[1:])
-            pairs = np.exp(a[rows - 1][:, :, None] + self.moves + (e[rows] + b[rows])[:, None, :] - z[rows][:, None, None]).sum(0)
+            each = np.exp(a[rows - 1][:, :, None] + self.moves + (e[rows] + b[rows])[:, None, :] - z[rows][:, None, None])
+            pairs = (each if weight is None else each * weight[rows][:, None, None]).sum(0)
         return p[:, 1], pairs, float(z[first[:-1]].sum())
 
     def viterbi(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -86,35 +87,38 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1
     return w
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, first: np.ndarray, start: np.ndarray, l2: float = 1e-3, rounds: int = 120, rate: float = 0.1) -> Chain:
-    """Maximise the conditional likelihood of the label sequences (Adam on all of the bounded sample)."""
-    n = len(y)
-    inner = np.ones(n, bool)
+def fit_chain(x: np.ndarray, y: np.ndarray, first: np.ndarray, start: np.ndarray, l2: float = 1e-3, rounds: int = 120, rate: float = 0.1, weight: np.ndarray | None = None) -> Chain:
+    """Maximise the conditional likelihood of the label sequences (Adam on all of the bounded sample). weight: of each row."""
+    weight = np.ones(len(y)) if weight is None else weight
+    n = weight.sum()
+    inner = np.ones(len(y), bool)
     inner[first[:-1]] = False
     at = np.flatnonzero(inner)
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y[at - 1], y[at]), 1)
-    target = x.T @ y
+    np.add.at(seen, (y[at - 1], y[at]), weight[at])
+    target = x.T @ (weight * y)
     theta = np.concatenate([start, np.zeros(4)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
         chain = Chain(theta[:-4], theta[-4:].reshape(2, 2))
-        p, pairs, _ = chain.marginals(x, first)
-        g = np.concatenate([x.T @ p - target, (pairs - seen).ravel()]) / n + l2 * theta
+        p, pairs, _ = chain.marginals(x, first, weight)
+        g = np.concatenate([x.T @ (weight * p) - target, (pairs - seen).ravel()]) / n + l2 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     return Chain(theta[:-4], theta[-4:].reshape(2, 2))
 
 
-def fit_lines(x: np.ndarray, first: np.ndarray, size: np.ndarray, bad: np.ndarray) -> Chain:
+def fit_lines(x: np.ndarray, first: np.ndarray, size: np.ndarray, bad: np.ndarray, stands_for: np.ndarray | None = None) -> Chain:
     """Learn line labels from document labels: a line model first tells which lines of bad documents are the bad ones, then the chain is fitted.
 
     bad[d] is 1 for a bad document.  Lines of good documents are good; of a bad document, those that the line model finds bad, one at least.
+    stands_for[d] is the number of documents that d stands for.
     """
+    stands_for = np.ones(len(bad)) if stands_for is None else stands_for
     doc = np.repeat(np.arange(len(bad)), np.diff(first))
-    weight = np.sqrt(size + 1.0)
-    of_class = np.bincount(bad[doc], weight, 2)
-    weight = weight / np.maximum(of_class, 1e-9)[bad[doc]]
+    line = np.sqrt(size + 1.0) * stands_for[doc]
+    of_class = np.bincount(bad[doc], line, 2)
+    weight = line / np.maximum(of_class, 1e-9)[bad[doc]]
     y = bad[doc].astype(np.int64)
     w = fit_logistic(x, y, weight)
     for _ in range(2):
@@ -122,6 +126,6 @@ def fit_lines(x: np.ndarray, first: np.ndarray, size: np.ndarray, bad: np.ndarra
         top = np.full(len(bad), -np.inf)
         np.maximum.at(top, doc, s)
         y = ((bad[doc] == 1) & ((s > 0) | (s >= top[doc]))).astype(np.int64)
-        of = np.bincount(y, np.sqrt(size + 1.0), 2)
-        w = fit_logistic(x, y, np.sqrt(size + 1.0) / np.maximum(of, 1e-9)[y])
-    return fit_chain(x, y, first, w)
+        of = np.bincount(y, line, 2)
+        w = fit_logistic(x, y, line / np.maximum(of, 1e-9)[y])
+    return fit_chain(x, y, first, w, weight=stands_for[doc])

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, filter_texts, map_texts, training_sample
+from .common import chunks, class_weights, filter_texts, map_texts, training_sample
 from .crf import Chain, fit_lines, fit_logistic
 from .lines import Lines, line_arrays, line_features
 
@@ -69,17 +69,19 @@ def _share(chain: Chain, x: np.ndarray, first: np.ndarray, words: np.ndarray) ->
 
 def fit(docs: DataFrame, labels: DataFrame, allowed, neighbours: bool, max_docs: int = MAX_TRAINING_DOCS) -> QualityModel:
     rows = training_sample(docs, labels, "quality", allowed, max_docs)
-    return fit_rows([r[2] or "" for r in rows], np.array([r[1] for r in rows], np.int64), neighbours)
+    quality = np.array([r[1] for r in rows], np.int64)
+    return fit_rows([r[2] or "" for r in rows], quality, neighbours, class_weights(labels, "quality", allowed, max_docs)[quality])
 
 
-def fit_rows(texts: list[str], quality: np.ndarray, neighbours: bool) -> QualityModel:
+def fit_rows(texts: list[str], quality: np.ndarray, neighbours: bool, weight: np.ndarray | None = None) -> QualityModel:
+    """weight: how many documents each stands for."""
     x, first, words, _ = _sample_lines(texts, neighbours)
     if len(set(quality.tolist())) < 2:
         p = (quality.sum() + 1) / (len(quality) + 2)
         return QualityModel(_neutral(x), neighbours, np.array([np.log(p / (1 - p)), 0, 0, 0]))
-    chain = fit_lines(x, first, words, 1 - quality)
+    weight = np.ones(len(quality)) if weight is None else weight
+    chain = fit_lines(x, first, words, 1 - quality, weight)
     share, n = _share(chain, x, first, words)
-    weight = np.ones(len(quality))
     return QualityModel(chain, neighbours, fit_logistic(_doc_inputs(share, n), quality.astype(float), weight, l2=1e-4))
 
 

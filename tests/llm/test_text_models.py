@@ -5,6 +5,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quorate.llm import crf, licences, quality, registry, toxicity
 from quorate.llm.lines import line_arrays, line_features
@@ -198,3 +199,17 @@ def test_licence_edge_cases(spark):
     assert len(rows) == len(edge_rows()) and all(not r["families"] for r in rows)
     assert licences.scan_licences(empty_docs(spark), m).count() == 0
     assert licences.scan([licences.TEMPLATES["MIT"][0]], licences.fit(empty_docs(spark)))["families"].to_pylist() == [["MIT"]]
+
+
+def test_capped_classes_keep_their_share(spark):
+    """Where the cap evens the classes out, weights bring their share back: mean scores stay what the labels say."""
+    rng = np.random.default_rng(8)
+    odd = lambda p, a, b: " ".join(a if rng.random() < p else b for _ in range(12))
+    bad = [rng.random() < 0.1 for _ in range(2000)]
+    texts = [odd(0.6 if x else 0.4, "idiot", "day") + ".\n" + odd(0.6 if x else 0.4, "### $$$", "plain words") for x in bad]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(not x), int(x)) for i, x in enumerate(bad)], "doc_id long, quality int, toxic int")
+    for neighbours in (False, True):
+        scores = quality.fit(docs, labels, F.lit(True), neighbours, max_docs=300).scores(line_arrays(texts))
+        assert abs(scores.mean() - 0.9) < 0.06
+    assert abs(toxicity.fit(docs, labels, F.lit(True), max_docs=300).scores(texts).mean() - 0.1) < 0.06
