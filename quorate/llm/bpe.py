@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from bisect import bisect_left
 from functools import lru_cache
 from itertools import chain
 
@@ -24,6 +25,12 @@ from .common import map_texts
 
 #: What a worker remembers at most, of pieces and of pairs; beyond it a cache starts anew.
 MAX_CACHED = 800_000
+#: Characters behind its end that decide where a piece of the pattern ends: it may change if one of them does.
+LOOKAHEAD = 2
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -39,7 +46,7 @@ class _Pieces(dict):
         self.bpe = bpe
 
     def __missing__(self, piece: str) -> bytes:
-        ids = pack_ids(self.bpe.encode_piece(piece.encode("utf-8", "surrogatepass")))
+        ids = pack_ids(self.bpe.encode_piece(_bytes(piece)))
         if len(piece) <= 64:
             if len(self) >= MAX_CACHED:
                 self.clear()
@@ -156,21 +163,26 @@ class EditableText:
         self.replace(len(self.text), len(self.text), text)
 
     def replace(self, begin: int, end: int, text: str) -> None:
-        """Put text in place of self.text[begin:end]; only pieces that touch the edit, and those up to where cuts meet again, are redone."""
+        """Put text in place of self.text[begin:end]; only pieces that read into the edit, and those up to where cuts meet again, are redone.
+
+        A piece's cut depends on the characters up to LOOKAHEAD past its end: a run of white space gives its last character back if a word
+        follows, and a quote asks whether the two characters behind it make a contraction.  Behind the edit the text is the same from any
+        common cut on, as the pattern never looks back.
+        """
         new, shift = self.text[:begin] + text + self.text[end:], len(text) - (end - begin)
-        # a piece looks one character past its end, no further
-        k = next((i for i, (_, e) in enumerate(self.spans) if e >= begin), len(self.spans))
-        old_begins = {a: i for i, (a, _) in enumerate(self.spans) if i >= k and a >= end}
+        k = bisect_left(self.spans, begin - LOOKAHEAD + 1, key=lambda s: s[1])
         at = self.spans[k][0] if k < len(self.spans) else (self.spans[-1][1] if self.spans else 0)
         spans, tables, rest = [], [], len(self.spans)
         for m in self.bpe.pattern.finditer(new, at):
-            if m.start() >= begin + len(text) and m.start() - shift in old_begins:
-                rest = old_begins[m.start() - shift]
-                break
-            data, table = m.group().encode(), []
+            if m.start() >= begin + len(text):
+                same = bisect_left(self.spans, m.start() - shift, lo=k, key=lambda s: s[0])
+                if same < len(self.spans) and self.spans[same][0] == m.start() - shift >= end:
+                    rest = same
+                    break
+            data, table = _bytes(m.group()), []
             j = k + len(spans)
             if j < len(self.spans) and self.spans[j][0] == m.start():  # the bytes before the edit keep their entries
-                before = self.text[slice(*self.spans[j])].encode()
+                before = _bytes(self.text[slice(*self.spans[j])])
                 same = next((i for i, (x, y) in enumerate(zip(before, data)) if x != y), min(len(before), len(data)))
                 table = self.tables[j][:same]
             self.fresh += len(data) - len(table)
@@ -181,7 +193,7 @@ class EditableText:
         self.text = new
 
     def ids(self) -> list[int]:
-        return list(chain.from_iterable(self.bpe.walk(self.text[a:b].encode(), t) for (a, b), t in zip(self.spans, self.tables)))
+        return list(chain.from_iterable(self.bpe.walk(_bytes(self.text[a:b]), t) for (a, b), t in zip(self.spans, self.tables)))
 
 
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
