@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,11 +41,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    return read_back(spark, path, df.schema)
+
+
+def read_back(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table that materialize() wrote, in any session of the application."""
+    out = spark.read.schema(schema).parquet(path)
     out._quorate_path = path
     return out
 
 
+def path_of(df: DataFrame) -> str:
+    return df._quorate_path
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables made by materialize() that nothing reads any more."""
     for df in frames:
@@ -55,6 +65,52 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+#: A key with more than this share of all rows is hot, so that there are fewer hot keys than this, whatever the data: they can be broadcast.
+HOT_KEYS = 10_000
+#: Rows of a hot key that meet in one place, about.
+PART = 64
+
+
+def hot_limit(n_rows: int) -> int:
+    """A key with more rows than this is hot."""
+    return max(PART, n_rows // HOT_KEYS)
+
+
+def parts_of(count: str, n_rows: int):
+    """Parts that the rows of a key are dealt into, by their counted number: 1 unless the key is hot."""
+    return F.when(F.col(count) > hot_limit(n_rows), F.ceil(F.col(count) / PART)).otherwise(F.lit(1)).cast("int")
+
+
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], count: str, n_rows: int, how: str = "inner") -> DataFrame:
+    """Join rows with ``one``, which has a row for each key that is looked for, and for each hot key, with the counted number of the key's rows in
+    column ``count`` (dropped).
+
+    The rows of a hot key are dealt into parts by its count, and its row of ``one`` is copied to each part, so that no key's rows meet in
+    one task.  The table of hot keys that tells rows of their number of parts has fewer than HOT_KEYS rows.  ``rows`` should be a table
+    that was written, as rows are dealt by their place in it.
+    """
+    parts = one.withColumn("__q_k", parts_of(count, n_rows))
+    hot = parts.filter("__q_k > 1").select(*[F.col(k).alias(f"__q_hot{i}") for i, k in enumerate(keys)], F.col("__q_k").alias("__q_of"))
+    same = [F.col(k) == F.col(f"__q_hot{i}") for i, k in enumerate(keys)]
+    dealt = rows.join(F.broadcast(hot), same, "left").withColumn("__q_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("__q_of", F.lit(1))).cast("int"))
+    dealt = dealt.drop("__q_of", *[f"__q_hot{i}" for i in range(len(keys))])
+    copies = parts.withColumn("__q_part", F.explode(F.sequence(F.lit(0), F.col("__q_k") - 1))).drop("__q_k", count)
+    return dealt.join(copies, [*keys, "__q_part"], how).drop("__q_part")
+
+
+def text_slices(column: pa.Array, max_chars: int) -> Iterator[tuple[int, list[str | None]]]:
+    """(place, texts) of a column in consecutive lists of whole texts of about max_chars bytes each; one list at a time is in Python."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    a = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > a and size + n > max_chars:
+            yield a, column.slice(a, i - a).to_pylist()
+            a, size = i, 0
+        size += n
+    if a < len(column):
+        yield a, column.slice(a).to_pylist()
+
+
 def chunks(texts: list[str | None], max_chars: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of whole texts holding about max_chars characters each."""
     a = size = 0
@@ -80,10 +136,9 @@ def map_texts(df: DataFrame, fn: Callable[[list[str | None]], dict[str, np.ndarr
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(n_keep).to_pylist()
-            for a, b in chunks(texts, max_chars):
-                cols = fn(texts[a:b])
-                kept = [batch.column(i).slice(a, b - a).cast(kinds.field(i).type) for i in range(n_keep)]
+            for a, texts in text_slices(batch.column(n_keep), max_chars):
+                cols = fn(texts)
+                kept = [batch.column(i).slice(a, len(texts)).cast(kinds.field(i).type) for i in range(n_keep)]
                 made = [cols[f.name].cast(kinds.field(f.name).type) if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], kinds.field(f.name).type) for f in added.fields]
                 yield pa.RecordBatch.from_arrays([*kept, *made], schema=kinds)
 
@@ -105,7 +160,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed,
     """At most max_docs labelled rows, as (doc_id, label, text, *extra), chosen by a hash of the id; half of each class where there are enough.
 
     ``allowed`` is a condition on doc_id: only those rows' labels are read.  Labels other than 0 and 1 are skipped; of several labels
-    for one id the largest counts.
+    for one id the largest counts; of several rows of documents with one id, the one whose text's hash is smallest.
     """
     rows = _labelled(labels, label_col, allowed)
     picked = None
@@ -113,8 +168,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed,
         part = rows.filter(F.col("__q_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2)
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("__q_text"), *[F.col(c).cast("string").alias(f"__q_{c}") for c in extra])
-    # max_docs bounds this broadcast and what comes to the driver
-    got = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "__q_y", "__q_text", *[f"__q_{c}" for c in extra])
+    # max_docs bounds this broadcast and, with one row for each id, what comes to the driver
+    row = F.struct("__q_text", *[f"__q_{c}" for c in extra])
+    got = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "__q_y").agg(F.min_by(row, F.struct(F.xxhash64("__q_text").alias("h"), *[f"__q_{c}" for c in extra])).alias("r")).select("doc_id", "__q_y", "r.*")
     return sorted((tuple(r) for r in got.collect()), key=lambda r: tuple(("" if x is None else x) for x in r))
 
 
@@ -124,8 +180,7 @@ def filter_texts(df: DataFrame, fn: Callable[[list[str | None]], np.ndarray], *,
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in chunks(texts, max_chars):
-                yield batch.slice(a, b - a).filter(pa.array(fn(texts[a:b]), pa.bool_()))
+            for a, texts in text_slices(batch.column(at), max_chars):
+                yield batch.slice(a, len(texts)).filter(pa.array(fn(texts), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -1,7 +1,7 @@
 """Best-two-fit packing of token sequences (operator 3).
 
 Documents are tokenised, get an end id, and only those longer than a sequence are cut into full pieces (the first piece takes the
-remainder).  Pieces are dealt by a hash into groups of bounded size; a group is packed by itself, which costs at most a part-filled
+remainder).  Pieces are dealt by a hash of their place into groups of bounded size; a group is packed by itself, which costs at most a part-filled
 sequence or so a group.  A sequence is filled greedily, largest piece first, with the largest that still fits; if a gap remains, its
 smallest piece is replaced by the two unpacked pieces that fill the widened gap most tightly.
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, materialize
+from .common import materialize, text_slices
 
 #: Pieces that are packed together, about.
 GROUP = 16_384
@@ -66,10 +66,9 @@ def tokenize_pieces(docs: DataFrame, paths: tuple[str, str, str], capacity: int,
     def run(batches):
         encode = tokenizer(*paths)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts, 2_000_000):
+            for a, texts in text_slices(batch.column(1), 2_000_000):
                 rows: list[tuple] = []
-                for doc, text in zip(ids[a:b], texts[a:b]):
+                for doc, text in zip(batch.column(0).slice(a, len(texts)).to_pylist(), texts):
                     tokens = np.array([*encode(text or ""), END_ID], "<u4")
                     for k, (s, n) in enumerate(cut(len(tokens), capacity)):
                         part = tokens[s:s + n]
@@ -127,7 +126,9 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 def pack_pieces(pieces: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
-    """Adds sequence_id and offset to a table of pieces (it is read twice: once to count)."""
+    """Adds sequence_id and offset to a table of pieces (it is read twice: once to count).
+
+    Pieces are dealt by their place in the table, so that rows that repeat an id, with or without the same text, spread like others."""
     n_groups = -(-pieces.count() // group) or 1
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
@@ -138,7 +139,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, group: int = GROUP) -> DataFra
         pdf["offset"] = offsets
         return pdf
 
-    dealt = pieces.withColumn("__q_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_groups)))
+    dealt = pieces.withColumn("__q_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_groups)))
     return dealt.groupBy("__q_group").applyInPandas(run, schema)
 
 
