@@ -15,15 +15,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, materialize, scratch_path
+from .common import materialize, scratch_path, spread_join
 
 CRLF2 = b"\r\n\r\n"
 #: Bytes of compressed stream that are read at once.
@@ -36,6 +37,13 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def sha1_base32_column(payload: Column) -> Column:
+    """The same of a string column's bytes: five hexadecimal digits are four of base 32."""
+    hexed = F.sha1(payload.cast("binary"))
+    digits = F.concat(*[F.lpad(F.conv(F.substring(hexed, i + 1, 5), 16, 32), 4, "0") for i in range(0, 40, 5)])
+    return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
 def open_fs(uri: str):
     """File system and path of a Hadoop-style URI, for executors."""
     from pyarrow import fs
@@ -49,11 +57,10 @@ def open_fs(uri: str):
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest and refers_to (null for responses)."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
-    keyed = map_texts(base, lambda texts: {"payload_digest": [sha1_base32(t.encode("utf-8", "surrogatepass")) for t in texts]}, "payload_digest string", id_col="page_id", text_col="payload")
-    digests = keyed.select("payload_digest", "page_id")
-    firsts = digests.groupBy("payload_digest").agg(F.min("page_id").alias("__q_first"), F.count(F.lit(1)).alias("__q_n")).filter("__q_n > 1").select("payload_digest", "__q_first")
-    data = map_texts(base, lambda texts: {"payload_digest": [sha1_base32(t.encode("utf-8", "surrogatepass")) for t in texts]}, "payload_digest string", id_col="page_id", text_col="payload", extra=("url", "payload"))
-    out = data.join(firsts, "payload_digest", "left").withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    base = base.withColumn("payload_digest", sha1_base32_column(F.col("payload")))
+    # one row for each digest that occurs more than once: digests and ids alone are grouped
+    firsts = materialize(base.groupBy("payload_digest").agg(F.min("page_id").alias("__q_first"), F.count(F.lit(1)).alias("__q_n")).filter("__q_n > 1"), "digests")
+    out = spread_join(base, firsts, ["payload_digest"], "__q_n", pages.count(), "left").withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     again = F.col("__q_first").isNotNull() & ~F.col("__q_first").eqNullSafe(F.col("page_id")) & (F.col("payload_bytes") >= min_bytes)
     return out.withColumn("refers_to", F.when(again, F.col("__q_first"))).drop("__q_first")
 
@@ -83,15 +90,23 @@ def write_monolithic(records: DataFrame, path: str, date: str = "2025-01-01T00:0
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or many members, as they are inflated."""
-    z = zlib.decompressobj(31)
+    """The bytes of a gzip file of one or many members, as they are inflated, BLOCK of them at a time at most; an error if the last member
+    does not end.  Zero bytes behind a member are padding."""
+    z, begun = zlib.decompressobj(31), False
     while data := stream.read(BLOCK):
         while data:
-            yield z.decompress(data)
-            data = z.unused_data
+            if not begun and not (data := data.lstrip(b"\0")):
+                break
+            begun = True
+            if part := z.decompress(data, BLOCK):
+                yield part
+            data = z.unconsumed_tail
             if z.eof:
-                z = zlib.decompressobj(31)
-    yield z.flush()
+                data, z, begun = z.unused_data, zlib.decompressobj(31), False
+    while begun and not z.eof:
+        if not (part := z.decompress(b"", BLOCK)):
+            raise ValueError("the gzip stream does not end")
+        yield part
 
 
 def parse(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -131,10 +146,13 @@ def read_headers(head: bytes) -> dict[str, str]:
 
 
 def normalise_file(source: str, target: str) -> int:
-    """Rewrite one archive with a member per record, and its index beside it. Both appear under their names only when whole."""
+    """Rewrite one archive with a member per record, and its index beside it. Both appear under their names only when whole.
+
+    Every attempt writes files of its own and moves them last, so that attempts that run at once, or one that outlives its task, do no
+    harm: their content is the same."""
     src_fs, src = open_fs(source)
     dst_fs, dst = open_fs(target)
-    mark = hashlib.md5(source.encode()).hexdigest()[:8]
+    mark = uuid.uuid4().hex
     n = offset = 0
     with src_fs.open_input_stream(src, compression=None) as stream, dst_fs.open_output_stream(f"{dst}.{mark}.part", compression=None) as out, dst_fs.open_output_stream(f"{dst}.idx.{mark}.part", compression=None) as index:
         for headers, record in parse(inflate(stream)):
@@ -144,11 +162,23 @@ def normalise_file(source: str, target: str) -> int:
             index.write(json.dumps({"archive": target, "record": n, "offset": offset, "length": len(member), "record_type": headers.get("warc-type"), "uri": headers.get("warc-target-uri"), "record_id": headers.get("warc-record-id")}).encode() + b"\n")
             offset += len(member)
             n += 1
-    dst_fs.move(f"{dst}.{mark}.part", dst)
-    dst_fs.move(f"{dst}.idx.{mark}.part", f"{dst}.idx")
+    for name in (dst, f"{dst}.idx"):
+        _publish(dst_fs, f"{name}.{mark}.part", name)
     return n
 
 
+def _publish(fs, part: str, name: str) -> None:
+    """Move a whole file to its name; if another attempt's file is there, and the file system does not replace files, that one stays."""
+    from pyarrow.fs import FileType
+
+    try:
+        fs.move(part, name)
+    except OSError:
+        if fs.get_file_info(name).type != FileType.File:
+            raise
+        fs.delete_file(part)
+
+
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Normalise every .gz file of a folder; one row per archive: archive, n_records. Runs at once."""
     fs, path = open_fs(target)
@@ -210,7 +240,9 @@ def read_archives(index: DataFrame) -> DataFrame:
 def resolve(read: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, archive, offset; a revisit takes them from the record it names."""
     full = read.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), F.col("block_digest").alias("stated_digest")).agg(F.max("block_bytes").alias("__q_bytes")).filter("refers_to is not null")
-    joined = read.filter("record_type = 'revisit'").join(full, ["refers_to", "stated_digest"], "left")
+    revisit = read.filter("record_type = 'revisit'")
+    named = materialize(revisit.groupBy("refers_to", "stated_digest").agg(F.count(F.lit(1)).alias("__q_n")).join(full, ["refers_to", "stated_digest"], "left"), "named")
+    joined = spread_join(revisit, named, ["refers_to", "stated_digest"], "__q_n", read.count(), "left")
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset"]
     # a revisit whose named record is missing keeps null bytes
     revisits = joined.withColumn("payload_bytes", F.col("__q_bytes")).withColumn("payload_digest", F.col("stated_digest")).select(cols)
