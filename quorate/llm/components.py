@@ -1,60 +1,33 @@
 """Connected components of an undirected graph as tables: alternating large-star and small-star steps.
 
 Each step turns links towards smaller ids; it ends when every node hangs on the smallest id of its component.  Links stay tables
-throughout: nothing but counts reaches the driver, and each round is written to the shared folder.
+throughout: nothing but counts reaches the driver, and each round is written to the shared folder.  Of a node with many links the links
+are dealt into parts by their counted number wherever they meet the node's row.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
-
-
-#: Links of a node that are joined in one place, about.
-PART = 256
-#: Nodes with more links than that are broadcast up to this number of them; beyond it they are joined.
-MAX_BROADCAST = 50_000
-
-
-def _least(both: DataFrame, label: str) -> DataFrame:
-    """(node, __q_m, __q_k): the smallest of a node and its neighbours, and the number of parts that its links are dealt into."""
-    parts = F.ceil(F.count(F.lit(1)) / PART).cast("int")
-    return materialize(both.groupBy("node").agg(F.min("root").alias("__q_m"), parts.alias("__q_k")).withColumn("__q_m", F.least("node", "__q_m")), label)
-
-
-def _with_least(both: DataFrame, least: DataFrame) -> DataFrame:
-    """Links in both directions (node, root) with their node's __q_m. The links of a node with many are dealt into parts, each of which
-    meets a copy of the node's row."""
-    many = least.filter("__q_k > 1").select("node", "__q_k")
-    n = many.count()
-    if not n:
-        return both.join(least.drop("__q_k"), "node")
-    dealt = both.join(F.broadcast(many) if n <= MAX_BROADCAST else many, "node", "left").withColumn("__q_s", F.pmod(F.xxhash64("root"), F.coalesce("__q_k", F.lit(1))).cast("int")).drop("__q_k")
-    spread = least.select("node", "__q_m", F.explode(F.sequence(F.lit(0), F.col("__q_k") - 1)).alias("__q_s"))
-    return dealt.join(spread, ["node", "__q_s"])
-
-
-def _is_star(edges: DataFrame) -> bool:
-    """Whether no node has two parents and no parent has a parent."""
-    parents = edges.select(F.col("root").alias("node")).distinct()
-    twice = edges.groupBy("node").count().filter("count > 1").select("node")
-    both = edges.join(parents, "node", "left_semi").select("node")
-    return twice.unionByName(both).isEmpty()
+from .common import discard, materialize, spread_join
 
 
 def connected_components(links: DataFrame, a: str, b: str, label: str = "components") -> DataFrame:
     """(node, root) for every node that is not the smallest of its component."""
     edges = materialize(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root")).distinct(), label)
-    while not _is_star(edges):
+    while True:
         both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        least = _least(both, label)
-        large = _with_least(both, least).filter("root > node").select(F.col("root").alias("node"), F.col("__q_m").alias("root")).distinct()
-        large = materialize(large, label)
-        down = large.groupBy("node").agg(F.min("root").alias("__q_m"))
-        small = (large.join(down, "node").filter("root <> __q_m").select(F.greatest("root", "__q_m").alias("node"), F.least("root", "__q_m").alias("root"))
-                 .unionByName(down.select("node", F.col("__q_m").alias("root"))).distinct())
+        n_up = F.count_if(F.col("root") < F.col("node"))
+        least = materialize(both.groupBy("node").agg(F.least("node", F.min("root")).alias("__q_m"), F.count(F.lit(1)).alias("__q_n"), n_up.alias("__q_up")), label)
+        # done if no node has two parents and no parent has a parent
+        if least.filter("__q_up > 1 or (__q_up = 1 and __q_n > 1)").isEmpty():
+            discard(least)
+            return edges
+        met = spread_join(both, least.drop("__q_up"), ["node"], "__q_n", 2 * edges.count())
+        large = materialize(met.filter("root > node").select(F.col("root").alias("node"), F.col("__q_m").alias("root")).distinct(), label)
+        down = large.groupBy("node").agg(F.min("root").alias("__q_m"), F.count(F.lit(1)).alias("__q_n"))
+        turned = spread_join(large, down, ["node"], "__q_n", large.count()).filter("root <> __q_m")
+        small = turned.select(F.greatest("root", "__q_m").alias("node"), F.least("root", "__q_m").alias("root")).unionByName(down.select("node", F.col("__q_m").alias("root"))).distinct()
         after = materialize(small, label)
         discard(edges, large, least)
         edges = after
-    return edges

@@ -24,16 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_texts, materialize
+from .common import PART, chunks, hot_limit, map_texts, materialize, spread_join
 from .components import connected_components
 
 BASE = 1.001
 RATE = 20.0
 LIMIT = (1 << 16) - 1
-#: Parts that the documents of one set are spread over in the join with their representative.
-SALTS = 16
-#: Nodes of a group that meet its root in one place, about.
-PART = 256
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -44,7 +40,7 @@ class Params:
     bands: int = 34
     rows: int = 6
     #: Nodes, and shingles, of a group that one block holds, about.
-    block_nodes: int = 1500
+    block_nodes: int = 1000
     block_shingles: int = 1_500_000
 
     @property
@@ -237,16 +233,16 @@ def _starred(nodes: DataFrame, payload: str, alike, label: str) -> DataFrame:
     the root's payload for each node; a large group's rows are dealt into parts, each with a copy of the root's payload."""
     heads = nodes.filter("node = root").groupBy("root").agg(F.min(F.struct(F.col(payload).alias("p"), F.col("n").alias("n"))).alias("h"), F.max("parts").alias("parts"))
     heads = heads.select("root", "h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    joined = nodes.join(heads, ["root", "part"]).select("node", "root", "n", payload, F.col("h.p").alias("__q_p"), F.col("h.n").alias("__q_n"))
+    joined = nodes.join(heads, ["root", "part"]).select("node", "root", "parts", "part", "n", payload, F.col("h.p").alias("__q_p"), F.col("h.n").alias("__q_n"))
     kind = dict(nodes.dtypes)[payload]
 
     def run(batches):
         for pdf in batches:
             own = (pdf["node"] == pdf["root"]).to_numpy()
             ok = own | alike(pdf[payload].tolist(), pdf["n"].to_numpy(), pdf["__q_p"].tolist(), pdf["__q_n"].to_numpy())
-            yield pdf[["node", "root", "n", payload]].assign(settled=ok)
+            yield pdf[["node", "root", "parts", "part", "n", payload]].assign(settled=ok)
 
-    return materialize(joined.mapInPandas(run, f"node long, root long, n long, {payload} {kind}, settled boolean"), label)
+    return materialize(joined.mapInPandas(run, f"node long, root long, parts int, part int, n long, {payload} {kind}, settled boolean"), label)
 
 
 def _tasks(nodes: DataFrame, p: Params) -> DataFrame:
@@ -255,12 +251,14 @@ def _tasks(nodes: DataFrame, p: Params) -> DataFrame:
     A group without loose nodes needs none.  Small groups share tasks.  A group that is larger than a block is cut: its loose nodes into blocks, all its nodes into blocks, and each
     pair of a loose block and a block is a task.  Settled nodes are one tree already, so pairs among them need no task.
     """
-    sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.count_if(~F.col("settled")).alias("lc"), F.coalesce(F.sum(F.when(~F.col("settled"), F.col("n"))), F.lit(0)).alias("ls"))
+    sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.count_if(~F.col("settled")).alias("lc"), F.coalesce(F.sum(F.when(~F.col("settled"), F.col("n"))), F.lit(0)).alias("ls"), F.max("parts").alias("__q_k"))
     n_blocks = lambda c, s: F.greatest(F.ceil(F.col(c) / p.block_nodes), F.ceil(F.col(s) / p.block_shingles)).cast("int")
-    need = sizes.filter("lc > 0").select("root", n_blocks("c", "s").alias("__q_b"), n_blocks("lc", "ls").alias("__q_l"), "c", "s")
+    need = sizes.filter("lc > 0").select("root", n_blocks("c", "s").alias("__q_b"), n_blocks("lc", "ls").alias("__q_l"), "c", "s", "__q_k")
     total = need.filter("__q_b <= 1").agg(F.sum("c"), F.sum("s")).first()
-    shared = max(1, -(-(total[0] or 0) // 400), -(-(total[1] or 0) // 400_000))
-    cut = nodes.join(need.drop("c", "s"), "root")
+    shared = max(1, -(-(total[0] or 0) // 600), -(-(total[1] or 0) // 600_000))
+    # a large group's nodes meet a copy of its row in each of their parts
+    copies = need.select("root", "__q_b", "__q_l", F.explode(F.sequence(F.lit(0), F.col("__q_k") - 1)).alias("part"))
+    cut = nodes.join(copies, ["root", "part"])
     small, big = F.col("__q_b") <= 1, F.col("__q_b") > 1
     task = lambda i, j: F.concat_ws(":", "root", i, j)
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -271,7 +269,7 @@ def _tasks(nodes: DataFrame, p: Params) -> DataFrame:
     asking = F.when(F.col("settled"), F.array().cast("array<struct<task:string,ask:boolean>>")).otherwise(F.transform(upto(F.col("__q_b")), lambda j: F.struct(task(loose, j).alias("task"), F.lit(True).alias("ask"))))
     one = F.array(F.struct(F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(shared)).cast("string")).alias("task"), (~F.col("settled")).alias("ask")))
     cut = cut.withColumn("__q_t", F.explode(F.when(small, one).when(big, F.concat(beside, asking))))
-    return cut.select(*nodes.columns, F.col("__q_t.task").alias("__q_task"), F.col("__q_t.ask").alias("__q_ask"))
+    return cut.select(*[c for c in nodes.columns if c not in ("parts", "part")], F.col("__q_t.task").alias("__q_task"), F.col("__q_t.ask").alias("__q_ask"))
 
 
 def _groups(pdf, link):
@@ -296,24 +294,25 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     sketched = materialize(_sketches(docs, p), "sketches")
     sets = ["n_shingles", "__q_f1", "__q_f2"]
     able = sketched.filter("n_shingles > 0 and doc_id is not null")
-    # only sets that occur more than once need the join; each is copied to every salt, so that a hot set's documents spread
-    reps = able.groupBy(*sets).agg(F.min("doc_id").alias("__q_rep"), F.count(F.lit(1)).alias("__q_c")).filter("__q_c > 1").select(*sets, "__q_rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__q_s"))
-    salted = able.withColumn("__q_s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    # only sets that occur more than once need the join
+    reps = materialize(able.groupBy(*sets).agg(F.min("doc_id").alias("__q_rep"), F.count(F.lit(1)).alias("__q_c")).filter("__q_c > 1"), "equal-sets")
     rep = F.coalesce("__q_rep", "doc_id")
-    mapped = materialize(salted.join(reps, [*sets, "__q_s"], "left").select("doc_id", "n_shingles", rep.alias("rep"), F.when(F.col("doc_id") == rep, F.col("__q_regs")).alias("regs")), "sets")
+    mapped = materialize(spread_join(able, reps, sets, "__q_c", able.count(), "left").select("doc_id", "n_shingles", rep.alias("rep"), F.when(F.col("doc_id") == rep, F.col("__q_regs")).alias("regs")), "sets")
     heads = mapped.filter("regs is not null").select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "regs")
 
     width = 2 * p.rows
     banded = heads.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width))))).alias("band", "key")).select("node", "key")
-    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("__q_top")).filter("hub < __q_top").select("key", "hub")
-    candidates = connected_components(banded.join(hubs, "key"), "node", "hub", "candidates")
+    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("__q_top"), F.count(F.lit(1)).alias("__q_c")).filter("hub < __q_top")
+    hubs = materialize(hubs.select("key", "hub", "__q_c"), "bands")
+    candidates = connected_components(spread_join(banded, hubs, ["key"], "__q_c", hubs.agg(F.coalesce(F.sum("__q_c"), F.lit(0))).first()[0]), "node", "hub", "candidates")
 
     def members(edges: DataFrame) -> DataFrame:
-        """(node, root, parts, part): all nodes of all groups, roots included; a group of more than PART nodes is in several parts."""
+        """(node, root, parts, part): all nodes of all groups, roots included; a hot group's nodes are dealt into parts by its size."""
         every = edges.select("node", "root").unionByName(edges.select(F.col("root").alias("node"), "root").distinct())
-        large = edges.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("__q_k")).filter("__q_k > 1")
+        # fewer than HOT_KEYS rows, by hot_limit()
+        hot = edges.groupBy("root").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot_limit(edges.count())).select(F.col("root").alias("__q_r"), F.ceil(F.col("c") / PART).cast("int").alias("__q_k"))
         parts = F.coalesce("__q_k", F.lit(1))
-        return every.join(large, "root", "left").select("node", "root", parts.alias("parts"), F.pmod(F.xxhash64("node", F.lit(2)), parts).cast("int").alias("part"))
+        return every.join(F.broadcast(hot), F.col("root") == F.col("__q_r"), "left").select("node", "root", parts.alias("parts"), F.pmod(F.xxhash64("node", F.lit(2)), parts).cast("int").alias("part"))
 
     rows_of = lambda blobs: np.frombuffer(b"".join(blobs), "<u2").reshape(len(blobs), p.m)
 
@@ -350,7 +349,9 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     final = stage(texts.join(sized, "node").dropDuplicates(["node", "text"]), "text", close_texts, link_texts, "links")
 
-    joined = mapped.select("doc_id", "n_shingles", "rep").join(final.select(F.col("node").alias("rep"), F.col("root").alias("__q_root")), "rep", "left")
+    slim = mapped.select("doc_id", "n_shingles", "rep")
+    counted = materialize(slim.groupBy("rep").agg(F.count(F.lit(1)).alias("__q_c")).join(final.select(F.col("node").alias("rep"), F.col("root").alias("__q_root")), "rep", "left").filter("__q_c > 1 or __q_root is not null"), "roots")
+    joined = spread_join(slim, counted, ["rep"], "__q_c", slim.count(), "left")
     linked = joined.select("doc_id", "n_shingles", F.coalesce("__q_root", "rep").alias("component_id"))
     alone = sketched.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
