@@ -1,56 +1,68 @@
 """Cross-site line de-duplication (operator 7).
 
-A line that appears on many distinct sites (``source``) is boilerplate.  A HyperLogLog sketch of sites per line hash is aggregated, map-side
-first; lines whose estimate is near the threshold get an exact distinct count; then boilerplate lines are removed everywhere but in the
-document with the smallest doc_id that has them, so that a text copied to many sites is not lost with all its copies.
+A line that appears on many distinct sites (``source``) is boilerplate, however short it is, if it has a word in it.  A HyperLogLog sketch of
+sites per line hash is aggregated, map-side first; lines whose estimate is near the threshold get an exact distinct count; then boilerplate
+lines are removed everywhere but in the document with the smallest doc_id that has them, so that a text copied to many sites is not lost
+with all its copies.  A line that very many documents have is dealt into parts by its counted number of rows wherever they meet its row.
 
-Defined cases: null texts stay null with n_lines 0; empty texts are one empty line; lines shorter than ``min_chars`` are never boilerplate;
+Defined cases: null texts stay null with n_lines 0; empty texts are one empty line; blank lines are never boilerplate;
 null sources count as no site; rows with a null doc_id lose boilerplate lines unless only such rows have them; repeated rows are cleaned
 alike; an empty table gives an empty result; of other columns those asked for are kept.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, path_of, read_back, spread_join
 
 MIN_SITES = 5
-MIN_CHARS = 20
 #: Estimates within this share of the threshold, and within one of it, are counted exactly; the sketch's standard error is 1.6 percent.
 NEAR = 0.1
 SKETCH_BITS = 12
+#: What separates words.
+BLANKS = " \t\n\x0b\x0c\r"
+#: Lines whose sketches a task holds before it sorts.
+SKETCHES_HELD = 50_000
+
+
+def _own_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application with the same settings but for the number of sketches that are held; the caller's stays as it is."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if spark.conf.isModifiable(k):
+            own.conf.set(k, v)
+    own.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(SKETCHES_HELD))
+    return own
 
 
 def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
-    """(h1, h2, first): the lines on at least min_sites sites and the smallest doc_id that has each. ``lines`` has h1, h2, source, doc_id."""
+    """(h1, h2, first, n): the lines on at least min_sites sites, the smallest doc_id that has each, and its rows. ``lines``, made by
+    materialize(), has h1, h2, source, doc_id."""
     spark = lines.sparkSession
-    key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "50000")
-    try:
-        sketched = materialize(
-            lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("source", SKETCH_BITS).alias("sketch"), F.min("doc_id").alias("first"))
-            .select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
-            .filter(F.col("sites") >= min(min_sites * (1 - NEAR), min_sites - 1)), "line-sites")
-    finally:
-        spark.conf.set(key, before)
+    own = read_back(_own_session(spark), path_of(lines), lines.schema)
+    sketched = materialize(
+        own.groupBy("h1", "h2").agg(F.hll_sketch_agg("source", SKETCH_BITS).alias("sketch"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+        .select("h1", "h2", "first", "n", F.hll_sketch_estimate("sketch").alias("sites"))
+        .filter(F.col("sites") >= min(min_sites * (1 - NEAR), min_sites - 1)), "line-sites")
+    sketched = read_back(spark, path_of(sketched), sketched.schema)
     sure = F.col("sites") > max(min_sites * (1 + NEAR), min_sites + 1)
     near = sketched.filter(~sure)
-    exact = (lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "source").filter("source is not null").distinct()
-             .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites).select("h1", "h2"))
-    return sketched.filter(sure).select("h1", "h2", "first").unionByName(near.join(exact, ["h1", "h2"], "left_semi").select("h1", "h2", "first"))
+    exact = (spread_join(lines.select("h1", "h2", "source"), near.select("h1", "h2", "n"), ["h1", "h2"], "n", lines.count()).filter("source is not null").distinct()
+             .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= min_sites).select("h1", "h2"))
+    return sketched.filter(sure).drop("sites").unionByName(near.drop("sites").join(exact, ["h1", "h2"], "left_semi"))
 
 
-def dedup_lines(docs: DataFrame, *, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_sites: int = MIN_SITES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Operator 7: doc_id, n_lines, n_removed, text (cleaned), and the columns of ``keep`` unchanged."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c) for c in keep if c not in ("doc_id", "text")], F.xxhash64("text").alias("__q_t"))
     # with a limit of -1 nothing is left off at the end
     split = F.split("text", "\n", -1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("__q_t"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("pos", "line"))
-    lines = materialize(rows.filter(F.length("line") >= min_chars).select("doc_id", "source", "__q_t", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")), "lines")
+    worded = F.btrim("line", F.lit(BLANKS)) != ""
+    lines = materialize(rows.filter(worded).select("doc_id", "source", "__q_t", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")), "lines")
     bad = materialize(boilerplate_lines(lines, min_sites), "boilerplate")
-    hit = (lines.join(bad, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
+    hit = (spread_join(lines, bad, ["h1", "h2"], "n", lines.count()).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
            .groupBy("doc_id", "__q_t").agg(F.collect_set("pos").alias("__q_out")).select(F.col("doc_id").alias("__q_d"), F.col("__q_t").alias("__q_h"), "__q_out"))
     out = base.join(hit, F.col("doc_id").eqNullSafe(F.col("__q_d")) & (F.col("__q_t") == F.col("__q_h")), "left")
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("__q_out"), i)), "\n")
@@ -58,10 +70,10 @@ def dedup_lines(docs: DataFrame, *, min_sites: int = MIN_SITES, min_chars: int =
                       F.when(F.col("__q_out").isNull(), F.col("text")).otherwise(kept).alias("text"), *[c for c in keep if c not in ("doc_id", "text")])
 
 
-ORACLE = f"""
+ORACLE = rf"""
 WITH base AS (SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents),
 lines AS (SELECT rid, doc_id, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM base),
-bad AS (SELECT line, min(doc_id) AS first FROM lines WHERE length(line) >= {MIN_CHARS} GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}),
+bad AS (SELECT line, min(doc_id) AS first FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}),
 hit AS (SELECT rid, list(pos) AS gone FROM lines JOIN bad USING (line) WHERE doc_id IS DISTINCT FROM first GROUP BY rid)
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(parts) END::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
   CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(parts, lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text
