@@ -3,6 +3,7 @@ import base64
 import gzip
 import hashlib
 import struct
+import zlib
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -57,10 +58,36 @@ def test_normaliser_rewrites_each_record_as_a_member(tmp_path):
         for line, want in zip((tmp_path / f"{name}.warc.gz.idx").read_text().splitlines(), records):
             x = json.loads(line)
             assert gzip.decompress(blob[x["offset"]:x["offset"] + x["length"]]) == want + b"\r\n\r\n"
-    (tmp_path / "bad.gz").write_bytes(gzip.compress(whole[:-50_000]))
-    with pytest.raises(ValueError):
-        warc.normalise_file(f"file://{tmp_path}/bad.gz", f"file://{tmp_path}/bad.warc.gz")
-    assert not (tmp_path / "bad.warc.gz").exists()
+    # a record that does not end, and a gzip stream that does not end though its records so far do
+    flushed = zlib.compressobj(6, zlib.DEFLATED, 31)
+    ends_at_record = flushed.compress(records[0] + b"\r\n\r\n") + flushed.flush(zlib.Z_FULL_FLUSH)
+    for bad in (gzip.compress(whole[:-50_000]), ends_at_record, gzip.compress(whole)[:-9]):
+        (tmp_path / "bad.gz").write_bytes(bad)
+        with pytest.raises(ValueError):
+            warc.normalise_file(f"file://{tmp_path}/bad.gz", f"file://{tmp_path}/bad.warc.gz")
+        assert not (tmp_path / "bad.warc.gz").exists()
+
+
+def test_inflate_in_bounded_pieces():
+    import io
+
+    data = b"z" * 50_000_000 + b"end"
+    sizes, total = [], 0
+    for part in warc.inflate(io.BytesIO(gzip.compress(data) + b"\0" * 100 + gzip.compress(b"more"))):
+        sizes.append(len(part))
+        total += len(part)
+    assert total == len(data) + 4 and max(sizes) <= warc.BLOCK
+
+
+def test_attempts_that_run_at_once_leave_a_whole_archive(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    whole = b"".join(b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 200\r\n\r\n" + bytes([65 + i % 26]) * 200 + b"\r\n\r\n" for i in range(2000))
+    (tmp_path / "a.gz").write_bytes(gzip.compress(whole))
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(lambda _: warc.normalise_file(f"file://{tmp_path}/a.gz", f"file://{tmp_path}/a.warc.gz"), range(8))) == [2000] * 8
+    assert gzip.decompress((tmp_path / "a.warc.gz").read_bytes()) == whole
+    assert len((tmp_path / "a.warc.gz.idx").read_text().splitlines()) == 2000 and not list(tmp_path.glob("*.part"))
 
 
 def test_parse_is_independent_of_chunking():
@@ -105,6 +132,19 @@ def test_packing_whole_table(spark, sf):
     check_packing(registry.op3_best_two_fit(spark, sf).collect(), [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
 
 
+def test_ids_are_those_of_the_tokenizers_library(spark):
+    """The rank file's ids, text by text, on the whole table at sf0.1 and on random Unicode."""
+    import random
+
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    rng = random.Random(4)
+    pools = [range(32, 127), range(0x20, 0x2FF), range(0x300, 0x530), range(0x4E00, 0x4E80), range(0x1F600, 0x1F640), [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x2003, 0x200B, 0x3000, 39]]
+    texts += ["".join(chr(rng.choice(rng.choice(pools))) for _ in range(rng.randint(1, 80))) for _ in range(20_000)]
+    encode = packing.tokenizer(*registry.TOKENIZER)
+    for t, ids in zip(texts, full_ids(texts)):
+        assert [*encode(t), 0] == ids, t
+
+
 def test_packing_edge_cases(spark):
     check_packing(packing.pack_documents(edge_docs(spark), registry.TOKENIZER).collect(), [(r[0], r[1]) for r in edge_rows()])
     assert packing.pack_documents(empty_docs(spark), registry.TOKENIZER).count() == 0
@@ -200,6 +240,45 @@ def test_bpe_appends_and_edits(reference):
         assert e.ids() == enc.encode_ordinary(e.text)
 
 
+EDITS = [("'l", None, None, "l"), ("rbts!e'v", None, None, "e"), ("'r", None, None, "er"), ("l\n\ntsv ", 3, 7, "  "), ("\n\n11t", 2, 5, " é")]
+
+
+@pytest.mark.parametrize("text,begin,end,new", EDITS)
+def test_bpe_edits_at_contractions_and_white_space(reference, text, begin, end, new):
+    b, enc = reference
+    e = bpe.EditableText(b, text)
+    if begin is None:
+        e.append(new)
+        want = text + new
+    else:
+        e.replace(begin, end, new)
+        want = text[:begin] + new + text[end:]
+    assert e.ids() == enc.encode_ordinary(want) == b.encode(want)
+
+
+def test_bpe_many_random_edits(reference):
+    """200,000 edits and appends with contractions, runs of white space and newlines at their borders, against a fresh encoding."""
+    import random
+
+    b, enc = reference
+    rng = random.Random(11)
+    letters = "  \n\n\t\x27\x27\x27slrvedmt1é!"
+    done = 0
+    while done < 200_000:
+        e = bpe.EditableText(b, "".join(rng.choices(letters, k=rng.randint(0, 24))))
+        for _ in range(10):
+            if rng.random() < 0.3:
+                want = e.text + (new := "".join(rng.choices(letters, k=rng.randint(0, 4))))
+                e.append(new)
+            else:
+                i = rng.randint(0, len(e.text))
+                j = rng.randint(i, min(len(e.text), i + 5))
+                want = e.text[:i] + (new := "".join(rng.choices(letters, k=rng.randint(0, 5)))) + e.text[j:]
+                e.replace(i, j, new)
+            done += 1
+            assert e.text == want and e.ids() == enc.encode_ordinary(want), (want, new)
+
+
 def test_bpe_edit_redoes_little(reference):
     e = bpe.EditableText(reference[0], "some words here " * 500)
     before = e.fresh
