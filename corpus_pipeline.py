@@ -38,8 +38,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = setsketch.near_duplicates(docs, setsketch.FIVE_WORDS).filter("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """One row of each group stays, that of the smallest doc_id; rows are told apart by a number of their own, so that repeated rows, rows that
+    share an id, and rows without one are documents like others."""
+    rows = materialize(docs.select(*COLUMNS).withColumn("__q_row", F.monotonically_increasing_id()), "rows")
+    groups = setsketch.near_duplicates(rows.select(F.col("__q_row").alias("doc_id"), "text"), setsketch.FIVE_WORDS)
+    linked = rows.select("__q_row", "doc_id").join(groups.select(F.col("doc_id").alias("__q_row"), "component_id"), "__q_row")
+    kept = linked.groupBy("component_id").agg(F.min_by("__q_row", F.struct(F.col("doc_id").isNull(), "doc_id", "__q_row")).alias("__q_row"))
+    return rows.join(kept, "__q_row", "left_semi").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
