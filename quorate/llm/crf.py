@@ -87,8 +87,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1
     return w
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, first: np.ndarray, start: np.ndarray, l2: float = 1e-3, rounds: int = 120, rate: float = 0.1, weight: np.ndarray | None = None) -> Chain:
-    """Maximise the conditional likelihood of the label sequences (Adam on all of the bounded sample). weight: of each row."""
+#: Strength of the Gaussian prior of a chain's weights, around the line model's for features and around 0 for transitions.
+PRIOR = 0.03
+
+
+def fit_chain(x: np.ndarray, y: np.ndarray, first: np.ndarray, start: np.ndarray, prior: float = PRIOR, rounds: int = 400, rate: float = 0.1, weight: np.ndarray | None = None) -> Chain:
+    """Maximise the conditional likelihood of the label sequences, under the prior, until it no longer rises (Adam on all of the bounded
+    sample). start: features' weights that the prior is centred on; weight: of each row, the same within a sequence."""
     weight = np.ones(len(y)) if weight is None else weight
     n = weight.sum()
     inner = np.ones(len(y), bool)
@@ -97,30 +102,28 @@ def fit_chain(x: np.ndarray, y: np.ndarray, first: np.ndarray, start: np.ndarray
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[at - 1], y[at]), weight[at])
     target = x.T @ (weight * y)
-    theta = np.concatenate([start, np.zeros(4)])
+    centre = np.concatenate([start, np.zeros(4)])
+    theta = centre.copy()
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
         chain = Chain(theta[:-4], theta[-4:].reshape(2, 2))
         p, pairs, _ = chain.marginals(x, first, weight)
-        g = np.concatenate([x.T @ (weight * p) - target, (pairs - seen).ravel()]) / n + l2 * theta
+        g = np.concatenate([x.T @ (weight * p) - target, (pairs - seen).ravel()]) / n + prior * (theta - centre)
+        if np.abs(g).max() < 5e-4:
+            break
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        theta = theta - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+        theta = theta - rate * 0.5 ** (k / 60) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     return Chain(theta[:-4], theta[-4:].reshape(2, 2))
 
 
-def fit_lines(x: np.ndarray, first: np.ndarray, size: np.ndarray, bad: np.ndarray, stands_for: np.ndarray | None = None) -> Chain:
-    """Learn line labels from document labels: a line model first tells which lines of bad documents are the bad ones, then the chain is fitted.
-
-    bad[d] is 1 for a bad document.  Lines of good documents are good; of a bad document, those that the line model finds bad, one at least.
-    stands_for[d] is the number of documents that d stands for.
-    """
-    stands_for = np.ones(len(bad)) if stands_for is None else stands_for
+def line_model(x: np.ndarray, first: np.ndarray, size: np.ndarray, bad: np.ndarray, stands_for: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights that tell bad lines without a look at their neighbours, and the line labels: lines of good documents are good; of a bad
+    document, those that the model finds bad, one at least."""
     doc = np.repeat(np.arange(len(bad)), np.diff(first))
     line = np.sqrt(size + 1.0) * stands_for[doc]
     of_class = np.bincount(bad[doc], line, 2)
-    weight = line / np.maximum(of_class, 1e-9)[bad[doc]]
     y = bad[doc].astype(np.int64)
-    w = fit_logistic(x, y, weight)
+    w = fit_logistic(x, y, line / np.maximum(of_class, 1e-9)[y])
     for _ in range(2):
         s = x @ w
         top = np.full(len(bad), -np.inf)
@@ -128,4 +131,17 @@ def fit_lines(x: np.ndarray, first: np.ndarray, size: np.ndarray, bad: np.ndarra
         y = ((bad[doc] == 1) & ((s > 0) | (s >= top[doc]))).astype(np.int64)
         of = np.bincount(y, line, 2)
         w = fit_logistic(x, y, line / np.maximum(of, 1e-9)[y])
-    return fit_chain(x, y, first, w, weight=stands_for[doc])
+    return w, y
+
+
+def fit_lines(x: np.ndarray, first: np.ndarray, size: np.ndarray, bad: np.ndarray, stands_for: np.ndarray | None = None) -> Chain:
+    """Learn a chain from document labels: line_model() labels the lines of bad documents, and the chain is fitted to those sequences.
+
+    bad[d] is 1 for a bad document.  stands_for[d] is the number of documents that d stands for.  Both classes weigh the same in the chain,
+    and its prior holds it near the line model, so that transitions are added only as far as the sequences ask for them.
+    """
+    stands_for = np.ones(len(bad)) if stands_for is None else stands_for
+    doc = np.repeat(np.arange(len(bad)), np.diff(first))
+    w, y = line_model(x, first, size, bad, stands_for)
+    weight = (stands_for / np.maximum(np.bincount(bad, stands_for, 2), 1e-9)[bad])[doc]
+    return fit_chain(x, y, first, w, weight=weight / weight.mean())
