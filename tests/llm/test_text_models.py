@@ -113,7 +113,7 @@ def test_quality_held_out(spark, tenth):
     assert len(rows) == 10_000 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
     assert all(r["held_out"] == (crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     acc, n = held_out(spark, tenth, rows, "quality", 0.7)
-    assert n > 500 and acc > 0.97
+    assert n > 500 and acc > 0.98
 
 
 def test_toxicity_held_out(spark, tenth):
@@ -121,7 +121,7 @@ def test_toxicity_held_out(spark, tenth):
     assert len(rows) == 10_000 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
     assert all(r["held_out"] == (crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
     acc, n = held_out(spark, tenth, rows, "toxic", 0.5)
-    assert n > 500 and acc > 0.96
+    assert n > 500 and acc >= 0.98
 
 
 def test_scores_ignore_labels_language_and_source(spark, sf):
