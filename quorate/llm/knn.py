@@ -1,12 +1,15 @@
 """Exact top-k by inner product: a Voronoi join (operator 9).
 
-Pivots, chosen on a bounded sample, split queries and data into cells.  Summaries per partition - the best lower bounds that data give each
-query cell - yield a score that a cell's k-th best surely reaches.  A data cell, and then a single vector, is copied to a query cell only if its
-upper bound reaches that score.  Bounds: for a query q of a cell with pivot p and radius u, and a vector x, q.x lies within u |x| of p.x.
-Each (query block, data slice) is then solved by itself and the slices' best are merged.
+Pivots, about as many as the square root of the data's size, are chosen on a bounded sample and split queries and data into cells.  Summaries
+per partition - the best lower bounds that data give each query cell - yield a score that a cell's k-th best surely reaches.  A vector is
+sent for a query cell only if its upper bound reaches that score.  Bounds: for a query q of a cell with pivot p and radius u, and a vector x of
+a cell with pivot c, q.x lies within u |x| of p.x, and is at most p.c + u |c| + (|p| + u) |x - c|; the second rules out whole cells of data.
+Neighbouring query cells share a block of queries, and a vector goes to a block once if any of its cells asks for it: where vectors have no
+structure that bounds can use, each is copied once for each block of up to QUERY_BLOCK queries.  Within a block each cell's queries meet only
+what the cell asked for.  A block's vectors are dealt into slices by their counted number, (block, slice) is solved by itself, and the
+slices' best are merged.
 
-Every vector is a candidate and every comparison that could matter is made, so recall is 1.  Where vectors have no structure that
-bounds can use, every vector is copied once for each query block; blocks hold up to 2048 queries.
+Every vector is a candidate and every comparison that could matter is made, so recall is 1.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part; shorter vectors count as padded with zeros; a null id
 takes no part; ties go to the smaller id; fewer than k candidates give fewer rows; of rows that repeat an id each is a candidate of its own,
@@ -17,16 +20,20 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-PIVOTS = 8
-#: Vectors that pivots are chosen from, at most.
-SAMPLE = 2000
+#: Pivots: the square root of the number of vectors, within these bounds.
+MIN_PIVOTS, MAX_PIVOTS = 8, 2048
+#: Vectors that pivots are chosen from: this many for each pivot.
+SAMPLE_PER_PIVOT = 8
 QUERY_BLOCK = 2048
 DATA_SLICE = 20_000
+#: Vectors that meet all cells at a time.
+STEP = 1024
 #: Relative slack of bounds, far above the error of sums of doubles.
 SLACK = 1e-9
 
@@ -50,14 +57,25 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[picked]
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), dim))
-    for i, r in enumerate(rows):
-        out[i, :len(r)] = r
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of a list column, padded with zeros."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if (sizes == dim).all():
+        return flat.reshape(len(sizes), dim)
+    out = np.zeros((len(sizes), dim))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
 
 
+def _packed(x: np.ndarray) -> pa.Array:
+    """Rows of doubles as binaries."""
+    data = np.ascontiguousarray(x, "<f8")
+    width = data.shape[1] * 8
+    return pa.Array.from_buffers(pa.binary(width), len(data), [None, pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer products: doubles while every sum stays below 2^53, Python integers beyond."""
     if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1) < 2.0**53:
@@ -66,29 +84,60 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return whole(a) @ whole(b).T
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1024, pivots: int = PIVOTS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def order_cells(centres: np.ndarray) -> np.ndarray:
+    """The cells in a chain in which each is followed by the nearest that is left."""
+    left = np.arange(len(centres))
+    out = [0]
+    left = left[1:]
+    while len(left):
+        nearest = int(((centres[left] - centres[out[-1]]) ** 2).sum(1).argmin())
+        out.append(int(left[nearest]))
+        left = np.delete(left, nearest)
+    return np.array(out)
+
+
+def _best_distinct(ids: np.ndarray, low: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n best values of different ids (all, if fewer ids)."""
+    take = 4 * n
+    while True:
+        some = np.argpartition(-low, take)[:take] if take < len(low) else np.arange(len(low))
+        some = some[np.argsort(-low[some], kind="stable")]
+        first = some[np.sort(np.unique(ids[some], return_index=True)[1])]
+        if len(first) >= n or take >= len(low):
+            return first[:n]
+        take *= 8
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1024, pivots: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Operator 9: query_id, rank, vec_id, score. A vector is no candidate for the query of its own id."""
     spark = vectors.sparkSession
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     data = materialize(integer_vectors(vectors, scale, id_col, vec_col), "vectors")
     asked = materialize(integer_vectors(queries, scale, id_col, vec_col), "queries")
     dim, n_data = data.agg(F.coalesce(F.max(F.size("x")), F.lit(0)), F.count(F.lit(1))).first()
     dim = max(dim, asked.agg(F.coalesce(F.max(F.size("x")), F.lit(0))).first()[0], 1)
-    # ids alone are sorted; SAMPLE bounds the broadcast and what comes back
-    some = data.select(F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).select("id")
-    rows = data.join(F.broadcast(some), "id", "left_semi").orderBy("id").select("x").collect()
+    pivots = pivots or min(MAX_PIVOTS, max(MIN_PIVOTS, int(np.ceil(n_data**0.5))))
+    # ids alone are sorted; one row of each id comes back, so that the sample's size is bounded
+    n_sample = SAMPLE_PER_PIVOT * pivots
+    some = data.select(F.xxhash64("id").alias("h"), "id").distinct().orderBy("h", "id").limit(n_sample).select("id")
+    rows = data.join(F.broadcast(some), "id", "left_semi").groupBy("id").agg(F.min("x").alias("x")).orderBy("id").select("x").collect()
     sample = np.zeros((len(rows), dim))
     for i, r in enumerate(rows):
         sample[i, :len(r[0])] = r[0]
     centres = choose_pivots(sample, pivots)
+    centres = centres[order_cells(centres)]
     held = spark.sparkContext.broadcast(centres)
 
     def place(batches):
+        p = held.value
+        square = (p**2).sum(1)
         for batch in batches:
-            x, p = _matrix(batch.column(1), dim), held.value
-            square = (x**2).sum(1)[:, None] - 2 * x @ p.T + (p**2).sum(1)[None, :]
-            cell = square.argmin(1)
-            far = np.sqrt(((x - p[cell]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array(far), pa.array(np.sqrt((x**2).sum(1))), batch.column(1)], ["id", "cell", "far", "norm", "x"])
+            for a in range(0, batch.num_rows, STEP):
+                part = batch.slice(a, STEP)
+                x = _matrix(part.column(1), dim)
+                cell = (square[None, :] - 2 * x @ p.T).argmin(1)
+                far = np.sqrt(((x - p[cell]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cell.astype(np.int32)), pa.array(far), pa.array(np.sqrt((x**2).sum(1))), part.column(1)], ["id", "cell", "far", "norm", "x"])
 
     placed_schema = "id long, cell int, far double, norm double, x array<double>"
     data_cells = materialize(data.mapInArrow(place, placed_schema), "data-cells")
@@ -96,87 +145,138 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1
     query_cells = materialize(asked.mapInArrow(place, placed_schema).withColumn("row", F.monotonically_increasing_id()), "query-cells")
     # one row for each of a bounded number of cells
     radius = np.full(len(centres), -1.0)
-    blocks = np.zeros(len(centres), np.int64)
+    n_asked = np.zeros(len(centres), np.int64)
     for r in query_cells.groupBy("cell").agg(F.max("far"), F.count(F.lit(1))).collect():
-        radius[r[0]], blocks[r[0]] = r[1] * (1 + SLACK), -(-r[2] // QUERY_BLOCK)
-    used = np.flatnonzero(blocks)
-    if not len(used):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    reach = spark.sparkContext.broadcast(radius)
+        radius[r[0]], n_asked[r[0]] = r[1] * (1 + SLACK), r[2]
+    used = np.flatnonzero(n_asked)
+    if not len(used) or not n_data:
+        return empty
+    reach = radius[used]
+    lengths = np.sqrt((centres**2).sum(1))
 
     def summarise(batches):
+        p = held.value[used]
         best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in used]
         for batch in batches:
-            ids, x, norm = np.asarray(batch.column(0)), _matrix(batch.column(2), dim), np.asarray(batch.column(1))
-            p = held.value[used]
-            lows = (p @ x.T) - reach.value[used][:, None] * norm[None, :]
+            ids, norm, x = np.asarray(batch.column(0)), np.asarray(batch.column(1)), _matrix(batch.column(2), dim)
+            lows = p @ x.T - reach[:, None] * norm[None, :]
             lows -= SLACK * np.abs(lows)
             for n, low in enumerate(lows):
-                among, low = np.concatenate([best[n][0], ids]), np.concatenate([best[n][1], low])
-                order = np.argsort(-low, kind="stable")
-                top = order[np.sort(np.unique(among[order], return_index=True)[1])[:k + 1]]
+                if len(best[n][0]) > k:  # what is not above the worst held cannot count
+                    able = low > best[n][1][-1]
+                    among, low = np.concatenate([best[n][0], ids[able]]), np.concatenate([best[n][1], low[able]])
+                else:
+                    among, low = np.concatenate([best[n][0], ids]), np.concatenate([best[n][1], low])
+                top = _best_distinct(among, low, k + 1)
                 best[n] = among[top], low[top]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(used, [len(b[0]) for b in best]).astype(np.int32)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], ["cell", "id", "low"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(used)), [len(b[0]) for b in best]).astype(np.int32)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], ["cell", "id", "low"])
 
     # k + 1 ids, each by its best row, as a query's own id may be among them with any number of rows
     lows = data_cells.select("id", "norm", "x").mapInArrow(summarise, "cell int, id long, low double").groupBy("cell", "id").agg(F.max("low").alias("low"))
     ranked = lows.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("low")))).filter(F.col("r") <= k + 1)
-    surely = np.full(len(centres), np.inf)
+    surely = np.full(len(used), -np.inf)
     for c, low, n in ranked.groupBy("cell").agg(F.min("low"), F.count(F.lit(1))).collect():
         surely[c] = low if n == k + 1 else -np.inf
+    # whole cells of data that a query cell's score rules out: at most pivots x pivots values
     of_cell = {r[0]: (r[1], r[2]) for r in data_cells.groupBy("cell").agg(F.max("far"), F.max("norm")).collect()}
-    table = spark.sparkContext.broadcast((surely, of_cell, blocks))
-    slices = max(1, -(-n_data // DATA_SLICE))
+    far, norm = (np.array([of_cell.get(c, (0.0, 0.0))[i] for c in range(len(centres))]) for i in (0, 1))
+    between = centres[used] @ centres.T
+    high = np.minimum(between + reach[:, None] * lengths[None, :] + (lengths[used] + reach)[:, None] * far[None, :], between + lengths[used][:, None] * far[None, :] + reach[:, None] * norm[None, :])
+    alive = high + SLACK * (np.abs(high) + lengths[used][:, None] * norm[None, :]) >= surely[:, None]
 
-    def copy(batches):
-        least, summary, n_blocks = table.value
-        p = held.value
+    # consecutive cells, which are neighbours, share a block; a cell with more queries has blocks of its own
+    block_of, n_blocks, filled = np.zeros(len(centres), np.int64), 0, QUERY_BLOCK
+    own_blocks = np.ones(len(centres), np.int64)
+    for c in used:
+        if filled + n_asked[c] > QUERY_BLOCK:
+            block_of[c], filled = n_blocks, int(n_asked[c])
+            own_blocks[c] = -(-filled // QUERY_BLOCK)
+            n_blocks += int(own_blocks[c])
+        else:
+            block_of[c] = n_blocks - 1
+            filled += int(n_asked[c])
+    blocks = np.unique(block_of[used])
+    starts = np.searchsorted(block_of[used], blocks)
+    table = spark.sparkContext.broadcast((surely, alive))
+
+    def wanted(ids, cell, norm, x) -> np.ndarray:
+        """vectors x used cells: whether the cell asks for the vector"""
+        least, able = table.value
+        high = x @ held.value[used].T + norm[:, None] * reach[None, :]
+        return able.T[cell] & (high + SLACK * (np.abs(high) + norm[:, None] * lengths[used][None, :]) >= least[None, :])
+
+    def parts(batches):
         for batch in batches:
-            ids, cell, norm = (np.asarray(batch.column(i)) for i in (0, 1, 2))
-            x = _matrix(batch.column(3), dim)
-            for i in used:
-                # the data cells whose summaries rule them out need no look at their vectors
-                rival = {c: p[i] @ p[c] + np.linalg.norm(p[i]) * far + radius[i] * top for c, (far, top) in summary.items()}
-                alive = np.array([rival[c] + SLACK * abs(rival[c]) >= least[i] for c in cell], bool)
-                high = x[alive] @ p[i] + reach.value[i] * norm[alive]
-                at = np.flatnonzero(alive)[high + SLACK * np.abs(high) >= least[i]]
-                if len(at):
-                    for b in range(n_blocks[i]):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(np.full(len(at), b, np.int32)), pa.array(ids[at]), pa.array([v.astype("<f8").tobytes() for v in x[at]])], ["cell", "block", "id", "x"])
-
-    sent = data_cells.select("id", "cell", "norm", "x").mapInArrow(copy, "cell int, block int, id long, x binary").withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
-    n_blocks_col = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
-    waiting = query_cells.select("cell", F.pmod(F.xxhash64("row"), n_blocks_col).cast("int").alias("block"), "row", "id", "x").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+            for a in range(0, batch.num_rows, STEP):
+                part = batch.slice(a, STEP)
+                ids, cell, norm = (np.asarray(part.column(i)) for i in (0, 1, 2))
+                x = _matrix(part.column(3), dim)
+                yield ids, norm, x, np.logical_or.reduceat(wanted(ids, cell, norm, x), starts, axis=1)
+
+    def count(batches):
+        total = np.zeros(len(blocks), np.int64)
+        for _, _, _, asks in parts(batches):
+            total += asks.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32)), pa.array(total)], ["block", "n"])
+
+    inputs = data_cells.select("id", "cell", "norm", "x")
+    n_sent = np.zeros(n_blocks, np.int64)
+    for r in inputs.mapInArrow(count, "block int, n long").groupBy("block").agg(F.sum("n")).collect():
+        n_sent[r[0]] = r[1]
+    slices = np.maximum(1, -(-n_sent // DATA_SLICE))
+    copies = np.ones(n_blocks, np.int64)
+    copies[block_of[used]] = own_blocks[used]
+
+    def send(batches):
+        for ids, norm, x, asks in parts(batches):
+            for n, b in enumerate(blocks):
+                at = np.flatnonzero(asks[:, n])
+                for c in range(copies[b] if len(at) else 0):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b + c, np.int32)), pa.array(ids[at]), pa.array(norm[at]), _packed(x[at])], ["block", "id", "norm", "x"])
+
+    for b in blocks:  # blocks of one cell have the same slices
+        slices[b:b + copies[b]] = slices[b]
+    # per block one value: fewer than the queries by QUERY_BLOCK, and at most one for each cell besides
+    n_slices = F.element_at(F.array(*[F.lit(int(n)) for n in slices]), F.col("block") + 1)
+    sent = inputs.mapInArrow(send, "block int, id long, norm double, x binary").withColumn("slice", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), n_slices).cast("int"))
+    per_cell = F.array(*[F.struct(F.lit(int(b)).alias("b"), F.lit(int(n)).alias("n")) for b, n in zip(block_of, own_blocks)])
+    of = F.element_at(per_cell, F.col("cell") + 1)
+    waiting = query_cells.select("cell", (of["b"] + F.pmod(F.xxhash64("row"), of["n"])).cast("int").alias("block"), "row", "id", "x").withColumn("slice", F.explode(F.sequence(F.lit(0), n_slices - 1)))
 
     def solve(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(d):
-            return pd.DataFrame({"row": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
-        qx = np.zeros((len(q), dim))
-        for i, v in enumerate(q["x"]):
-            qx[i, :len(v)] = v
-        d = d.sort_values("id", kind="stable")
-        ids, dx = d["id"].to_numpy(), np.frombuffer(b"".join(d["x"]), "<f8").reshape(len(d), dim)
-        asks, keys, found, scores = [], [], [], []
-        for a in range(0, len(q), 256):
-            s = _products(qx[a:a + 256], dx)
-            for row, query, key in zip(s, q["id"].to_numpy()[a:a + 256], q["row"].to_numpy()[a:a + 256]):
-                own = np.flatnonzero(ids != query)
-                r = row[own]
-                if len(r) > k:
-                    kth = np.sort(r)[-k] if r.dtype == object else -np.partition(-r, k - 1)[k - 1]
-                    own = own[r >= kth]
-                # ids ascend, so that a stable order by score leaves ties to smaller ids
-                best = own[np.argsort(-row[own], kind="stable")[:k]]
-                asks += [query] * len(best)
-                keys += [key] * len(best)
-                found.append(ids[best])
-                scores.append(row[best].astype(np.int64))
-        return pd.DataFrame({"row": np.array(keys, np.int64), "query_id": np.array(asks, np.int64), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
-
-    key = ["cell", "block", "slice"]
+        keys, asks, found, scores = ([np.zeros(0, np.int64)] for _ in range(4))
+        if len(q) and len(d):
+            d = d.sort_values("id", kind="stable")
+            ids, norms, dx = d["id"].to_numpy(), d["norm"].to_numpy(), np.frombuffer(b"".join(d["x"]), "<f8").reshape(len(d), dim)
+            for cell, part in q.groupby("cell"):
+                n = int(np.searchsorted(used, cell))
+                qx = np.zeros((len(part), dim))
+                for i, v in enumerate(part["x"]):
+                    qx[i, :len(v)] = v
+                high = dx @ centres[cell] + norms * reach[n]
+                own = np.flatnonzero(high + SLACK * (np.abs(high) + norms * lengths[cell]) >= surely[n])
+                for a in range(0, len(part), 256):
+                    s = _products(qx[a:a + 256], dx[own])
+                    for row, query, key in zip(s, part["id"].to_numpy()[a:a + 256], part["row"].to_numpy()[a:a + 256]):
+                        able = np.flatnonzero(ids[own] != query)
+                        r = row[able]
+                        if len(r) > k:
+                            kth = np.sort(r)[-k] if r.dtype == object else -np.partition(-r, k - 1)[k - 1]
+                            able = able[r >= kth]
+                        # ids ascend, so that a stable order by score leaves ties to smaller ids
+                        best = able[np.argsort(-row[able], kind="stable")[:k]]
+                        keys.append(np.full(len(best), key))
+                        asks.append(np.full(len(best), query))
+                        found.append(ids[own[best]])
+                        scores.append(row[best].astype(np.int64))
+        return pd.DataFrame({"row": np.concatenate(keys), "query_id": np.concatenate(asks), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
+
+    key = ["block", "slice"]
     partial = waiting.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(solve, "row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
-    return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out._quorate_sent = {"sent": int((n_sent[blocks] * copies[blocks]).sum()), "cells": len(used), "blocks": int(n_blocks), "vectors": int(n_data)}
+    return out
 
 
 #: All pairs of a query and another vector; DuckDB on the small tables only.
