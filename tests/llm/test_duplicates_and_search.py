@@ -208,8 +208,9 @@ def test_top_k_edge_cases(spark, monkeypatch):
     qdf = spark.createDataFrame(q, "vec_id long, embedding array<float>")
     big = {300}
     want = brute_top(rows, q, 5)
-    for slices in (20_000, 30):
+    for slices, block in ((20_000, 2048), (30, 2048), (30, 3)):
         monkeypatch.setattr(knn, "DATA_SLICE", slices)
+        monkeypatch.setattr(knn, "QUERY_BLOCK", block)
         got = got_top(knn.top_k(df, qdf, 5))
         assert got == want, (want - got, got - want, big)
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
@@ -218,14 +219,26 @@ def test_top_k_edge_cases(spark, monkeypatch):
     assert knn.top_k(none, none).count() == 0 and knn.top_k(few, none).count() == 0 and knn.top_k(none, few).count() == 0
 
 
-def test_top_k_bounds_prune_far_cells(spark):
+def test_top_k_bounds_prune_far_cells(spark, monkeypatch):
     """Clustered vectors: most data need not be copied to a query's cell, and the result is still exact."""
     rng = np.random.default_rng(5)
-    centres = np.eye(8)[:4] * 40
-    rows = [(i, [float(x) for x in centres[i % 4] + rng.normal(size=8)]) for i in range(400)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    q = df.filter("vec_id % 20 = 0")
-    assert got_top(knn.top_k(df, q, 10)) == brute_top(rows, [r for r in rows if r[0] % 20 == 0], 10)
+    centres = rng.normal(size=(100, 32)) * 20
+    x = (centres[np.arange(12_000) % 100] + rng.normal(size=(12_000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    whole = np.floor(x.astype(float) * 1024)
+    want = Counter()
+    for q in range(0, 12_000, 61):
+        score = whole @ whole[q]
+        score[q] = -np.inf
+        for n, i in enumerate(np.lexsort((np.arange(12_000), -score))[:10], 1):
+            want[q, n, int(i), int(score[i])] += 1
+    for block in (2048, 2):  # one block of all queries; blocks of a cell or two
+        monkeypatch.setattr(knn, "QUERY_BLOCK", block)
+        out = knn.top_k(df, df.filter("vec_id % 61 = 0"), 10)
+        assert got_top(out) == want
+        sent = out._quorate_sent
+        assert sent["cells"] > 90 and sent["sent"] <= 0.05 * sent["cells"] * sent["vectors"], sent
+    assert sent["blocks"] > 50
 
 
 @pytest.mark.parametrize("copies", [1, 30])
