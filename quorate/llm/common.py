@@ -71,6 +71,16 @@ HOT_KEYS = 10_000
 PART = 64
 
 
+#: Rows of a slim table that one task aggregates, about.
+ROWS_A_TASK = 200_000
+
+
+def in_few_tasks(df: DataFrame, n_rows: int) -> DataFrame:
+    """The rows in as many tasks as they are worth, without a shuffle. A key that is in every task gives the aggregation one partial row for
+    each, so that a table of many small files would send more rows of a hot key than of all others."""
+    return df.coalesce(max(1, -(-n_rows // ROWS_A_TASK)))
+
+
 def hot_limit(n_rows: int) -> int:
     """A key with more rows than this is hot."""
     return max(PART, n_rows // HOT_KEYS)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PART, chunks, hot_limit, map_texts, materialize, spread_join
+from .common import PART, chunks, hot_limit, in_few_tasks, map_texts, materialize, spread_join
 from .components import connected_components
 
 BASE = 1.001
@@ -251,7 +251,7 @@ def _tasks(nodes: DataFrame, p: Params) -> DataFrame:
     A group without loose nodes needs none.  Small groups share tasks.  A group that is larger than a block is cut: its loose nodes into blocks, all its nodes into blocks, and each
     pair of a loose block and a block is a task.  Settled nodes are one tree already, so pairs among them need no task.
     """
-    sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.count_if(~F.col("settled")).alias("lc"), F.coalesce(F.sum(F.when(~F.col("settled"), F.col("n"))), F.lit(0)).alias("ls"), F.max("parts").alias("__q_k"))
+    sizes = in_few_tasks(nodes.select("root", "n", "settled", "parts"), nodes.count()).groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.count_if(~F.col("settled")).alias("lc"), F.coalesce(F.sum(F.when(~F.col("settled"), F.col("n"))), F.lit(0)).alias("ls"), F.max("parts").alias("__q_k"))
     n_blocks = lambda c, s: F.greatest(F.ceil(F.col(c) / p.block_nodes), F.ceil(F.col(s) / p.block_shingles)).cast("int")
     need = sizes.filter("lc > 0").select("root", n_blocks("c", "s").alias("__q_b"), n_blocks("lc", "ls").alias("__q_l"), "c", "s", "__q_k")
     total = need.filter("__q_b <= 1").agg(F.sum("c"), F.sum("s")).first()
@@ -310,7 +310,8 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
         """(node, root, parts, part): all nodes of all groups, roots included; a hot group's nodes are dealt into parts by its size."""
         every = edges.select("node", "root").unionByName(edges.select(F.col("root").alias("node"), "root").distinct())
         # fewer than HOT_KEYS rows, by hot_limit()
-        hot = edges.groupBy("root").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot_limit(edges.count())).select(F.col("root").alias("__q_r"), F.ceil(F.col("c") / PART).cast("int").alias("__q_k"))
+        n = edges.count()
+        hot = in_few_tasks(edges, n).groupBy("root").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot_limit(n)).select(F.col("root").alias("__q_r"), F.ceil(F.col("c") / PART).cast("int").alias("__q_k"))
         parts = F.coalesce("__q_k", F.lit(1))
         return every.join(F.broadcast(hot), F.col("root") == F.col("__q_r"), "left").select("node", "root", parts.alias("parts"), F.pmod(F.xxhash64("node", F.lit(2)), parts).cast("int").alias("part"))
 
