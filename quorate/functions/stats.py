@@ -33,11 +33,25 @@ def ln_factorial(n: Column) -> Column:
     return F.when(n <= 64, direct).otherwise(series)
 
 
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n: summed for small n, by its asymptotic series beyond."""
+    x = n.cast("double")
+    series = F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x) - 1 / (252 * x * x * x * x * x * x)
+    direct = F.aggregate(F.when(n >= 1, F.sequence(F.lit(1), F.least(n, F.lit(64)).cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + 1.0 / i.cast("double"))
+    return F.when(n <= 64, direct).otherwise(series)
+
+
 def sign_test(a_only: Column, b_only: Column) -> Column:
-    """Exact two-sided sign test over the discordant pairs; 1 where there are none."""
-    n, k = a_only + b_only, F.least(a_only, b_only)
-    terms = F.transform(F.sequence(F.lit(0), k.cast("int")), lambda i: F.exp(ln_factorial(n) - ln_factorial(i) - ln_factorial(n - i) - n * F.log(F.lit(2.0))))
-    tail = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
+    """Exact two-sided sign test over the discordant pairs; 1 where there are none.
+
+    The tail is summed from its largest term down, each from the one before by a ratio; what lies ten standard deviations further counts
+    for nothing in a double and is left out, so that the number of terms grows with the square root of the pairs.
+    """
+    n, k = (a_only + b_only).cast("long"), F.least(a_only, b_only).cast("long")
+    largest = F.exp(ln_factorial(n) - ln_factorial(k) - ln_factorial(n - k) - n * F.log(F.lit(2.0)))
+    steps = F.least(k, F.ceil(5 * F.sqrt(n.cast("double"))) + 64).cast("int")
+    step = lambda a, d: F.struct((a["s"] + a["t"]).alias("s"), (a["t"] * (k - d) / (n - k + d + 1)).alias("t"))
+    tail = F.aggregate(F.sequence(F.lit(0), steps), F.struct(F.lit(0.0).alias("s"), largest.alias("t")), step, lambda a: a["s"])
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Declaration keywords and the token pattern that results depend on.
-DECL = r"^\s*(?i:theorem|lemma|example|def|axiom|structure|instance)\s+"
-NAME = r"(?:[A-Za-z_][A-Za-z0-9_'.]*\s*)?"
-TOKEN = r"[A-Za-z_][A-Za-z0-9_'.]*|[0-9]+|[^\s]"
+#: White space, declaration keywords and the token pattern that results depend on.
+SPACES = r"\s\u00a0\u001c-\u001f\u0085\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+DECL = rf"^[{SPACES}]*(?i:theorem|lemma|example|def|axiom|structure|instance)[{SPACES}]+"
+NAME = rf"(?:[A-Za-z_][A-Za-z0-9_'.]*[{SPACES}]*)?"
+TOKEN = rf"[A-Za-z_][A-Za-z0-9_'.]*|[0-9]+|[^{SPACES}]"
 BINDER = r"\([^)]*:[^)]*\)"
 FENCE = r"(?is)```(?:lean)?\s*(.*?)```"
 
@@ -28,7 +29,7 @@ def strip_header(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """White space, NBSP included, becomes single spaces; none at the ends."""
-    return F.trim(F.regexp_replace(c, r"[\s\u00a0\u001c-\u001f\u0085\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " "))
+    return F.trim(F.regexp_replace(c, rf"[{SPACES}]+", " "))
 
 
 def normalize(c: Column) -> Column:

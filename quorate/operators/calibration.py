@@ -6,12 +6,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorate import scratch
 from quorate.functions import stats as st
 from quorate.operators.windows import global_prefix
 
 CLAMP = 1e-12
-#: The range and steps of the temperature search.
-LOW_T, HIGH_T, STEPS = 0.05, 20.0, 80
+#: The range of the temperature search.
+LOW_T, HIGH_T = 0.05, 20.0
+#: Temperatures that one pass over the scores tries, and how near the search goes in ln T.
+GRID, NEAR = 129, 1e-9
 
 
 def finite(scored: DataFrame) -> DataFrame:
@@ -46,35 +49,24 @@ def ece_mce(rel: DataFrame) -> DataFrame:
     return rel.agg((F.sum(F.col("n") * F.col("abs_gap")) / F.nullif(F.sum("n"), F.lit(0))).alias("ece"), F.max("abs_gap").alias("mce"))
 
 
-def fit_temperature(scored: DataFrame, steps: int = STEPS) -> float:
-    """Golden-section search of ln T for the least log loss. The scores are first reduced to one row per distinct score."""
-    g = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).cache()
-
-    def loss(*logs: float) -> list[float]:
-        cols = []
-        for x in logs:
-            p = st.sigmoid(F.col("score") / math.exp(x))
-            cols.append(F.sum(F.col("pos") * nll_term(p, F.lit(1.0)) + (F.col("n") - F.col("pos")) * nll_term(p, F.lit(0.0))))
-        return list(g.agg(*cols).first())
-
-    try:
-        a, b, ratio = math.log(LOW_T), math.log(HIGH_T), (math.sqrt(5) - 1) / 2
-        c, d = b - ratio * (b - a), a + ratio * (b - a)
-        fc, fd = loss(c, d)
-        for _ in range(steps):
-            if b - a < 1e-10:
-                break
-            if fc < fd:
-                b, d, fd = d, c, fc
-                c = b - ratio * (b - a)
-                fc = loss(c)[0]
-            else:
-                a, c, fc = c, d, fd
-                d = a + ratio * (b - a)
-                fd = loss(d)[0]
-        return math.exp((a + b) / 2)
-    finally:
-        g.unpersist()
+def fit_temperature(scored: DataFrame, grid: int = GRID) -> float:
+    """The T with the least log loss, by ever finer grids of ln T: a pass tries a grid in one aggregate (the grid beside each distinct score), and the next one lies between the
+    neighbours of its best point; the loss has one minimum. The scores are first reduced to one row per distinct score."""
+    g = scratch.table(scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")), "scores")
+    a, b = math.log(LOW_T), math.log(HIGH_T)
+    while b - a > NEAR:
+        points = [a + (b - a) * i / (grid - 1) for i in range(grid)]
+        p = st.sigmoid(F.col("score") / F.col("t"))
+        term = F.col("pos") * nll_term(p, F.lit(1.0)) + (F.col("n") - F.col("pos")) * nll_term(p, F.lit(0.0))
+        # one row for each point
+        tried = g.select("*", F.posexplode(F.array(*[F.lit(math.exp(x)) for x in points])).alias("i", "t")).groupBy("i").agg(F.sum(term).alias("loss"))
+        loss = {r["i"]: r["loss"] for r in tried.collect()}
+        if not loss:
+            raise ValueError("no scores")
+        best = min(range(grid), key=loss.__getitem__)
+        a, b = points[max(0, best - 1)], points[min(grid - 1, best + 1)]
+    scratch.discard(g)
+    return math.exp((a + b) / 2)
 
 
 def fit_pair_temperature(pairs: DataFrame, prob: str = "prob", clamp: float = 1e-6) -> float:

@@ -57,8 +57,10 @@ def majority(cands: DataFrame, text_col: str = "candidate") -> DataFrame:
 def violations(groups: DataFrame, require_labels: bool = True) -> DataFrame:
     """(problem_id, problems): what is wrong with each grouped row; rows without faults are left out."""
     c, l = F.col("candidates"), F.col("labels")
+    pid = F.col("problem_id")
     checks = {
-        "problem_id missing": F.col("problem_id").isNull() | (F.trim(F.col("problem_id").cast("string")) == ""),
+        "problem_id missing": pid.isNull(),
+        "problem_id empty": pid.isNotNull() & (pid.cast("string") == ""),
         "candidates missing": c.isNull(),
         "candidate is null": F.exists(F.coalesce(c, F.array()), lambda x: x.isNull()),
         "labels missing": l.isNull() if require_labels else F.lit(False),
@@ -70,6 +72,27 @@ def violations(groups: DataFrame, require_labels: bool = True) -> DataFrame:
     return groups.select("problem_id", faults.alias("problems")).filter(F.size("problems") > 0)
 
 
+def raw_violations(lines: DataFrame, value: str = "value", require_labels: bool = False) -> DataFrame:
+    """(value, problem) of JSON lines: the first of the eleven things that can be wrong with a grouped object; lines without faults are left out.
+
+    Types are read off the JSON text itself, which a schema would have coerced: candidates must be strings, labels integers or booleans.
+    """
+    v = F.parse_json(F.when(F.try_parse_json(value).isNull(), F.lit("null")).otherwise(F.col(value)))
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    missing = lambda path: F.try_variant_get(v, path, "variant").isNull()
+    is_array = lambda path: F.coalesce(kind(path).startswith("ARRAY"), F.lit(False))
+    items = lambda path: F.coalesce(F.when(is_array(path), F.try_variant_get(v, path, "array<variant>")), F.array().cast("array<variant>"))
+    of = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+    c, l = items("$.candidates"), items("$.labels")
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    fault = (
+        F.when(~is_object, "not an object").when(missing("$.problem_id"), "problem_id missing").when(kind("$.problem_id") == "VOID", "problem_id is null").when(F.try_variant_get(v, "$.problem_id", "string") == "", "problem_id empty")
+        .when(~is_array("$.candidates"), "candidates are no list").when(F.exists(c, lambda x: of(x) != "STRING"), "candidate is no string")
+        .when((missing("$.labels") | (kind("$.labels") == "VOID")) & F.lit(require_labels), "labels missing").when(missing("$.labels") | (kind("$.labels") == "VOID"), F.lit(None)).when(~is_array("$.labels"), "labels are no list")
+        .when(F.size(l) != F.size(c), "lengths differ").when(F.exists(l, lambda x: ~of(x).isin("BIGINT", "BOOLEAN")), "label is no integer").when(F.exists(l, lambda x: (of(x) == "BIGINT") & ~F.coalesce(F.try_variant_get(x, "$", "bigint").isin(0, 1), F.lit(False))), "label not 0 or 1"))
+    return lines.select(value, fault.alias("problem")).filter("problem is not null")
+
+
 def require_valid(groups: DataFrame, require_labels: bool = True) -> DataFrame:
     bad = violations(groups, require_labels).limit(1).collect()
     if bad:

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorate.functions import stats as st
+from quorate.operators.windows import first_in_order
 
 
 def order_hash(seed: int, *keys: str) -> Column:
@@ -77,27 +78,24 @@ def mined_negatives(scored: DataFrame, hard_k: int, easy_k: int, total: int, see
 def split_by_id(ids: DataFrame, shares: dict[str, float], seed: int) -> DataFrame:
     """(problem_id, split): distinct ids in hash order, cut at int(n * share); the last split takes the rest. Three ids are needed for three splits.
 
-    Places come from counts of hash ranges, so no single partition sees all ids.
+    Places come from counts of the hash's leading bits; only the ids around a cut are put in order.
     """
-    from quorate.operators.windows import global_prefix
-
-    d = ids.select("problem_id").distinct().withColumn("__h", -order_hash(seed, "problem_id")).withColumn("__one", F.lit(1))
-    p = global_prefix(d, "__h", "problem_id", {"place": "__one"})
-    names, n, upto, cond = list(shares), F.col("n"), F.lit(0), None
+    d = ids.select("problem_id").distinct().withColumn("__h", order_hash(seed, "problem_id"))
+    names = list(shares)
+    if len(names) == 1:
+        return d.select("problem_id", F.lit(names[0]).alias("split"))
+    upto, places = F.lit(0), []
     for name in names[:-1]:
-        upto = upto + F.floor(n * shares[name])
-        cond = F.when(F.col("place") <= upto, name) if cond is None else cond.when(F.col("place") <= upto, name)
-    return p.select("problem_id", (cond.otherwise(names[-1]) if cond is not None else F.lit(names[-1])).alias("split"))
+        upto = upto + F.floor(F.col("n") * shares[name])
+        places.append(upto)
+    return first_in_order(d, "__h", "problem_id", places).select("problem_id", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("part") + 1).alias("split"))
 
 
 def train_eval(ids: DataFrame, eval_share: float, seed: int) -> DataFrame:
     """(problem_id, split): clamp(int(n * share), 1, n - 1) ids for evaluation."""
-    from quorate.operators.windows import global_prefix
-
-    d = ids.select("problem_id").distinct().withColumn("__h", -order_hash(seed, "problem_id")).withColumn("__one", F.lit(1))
-    p = global_prefix(d, "__h", "problem_id", {"place": "__one"})
+    d = ids.select("problem_id").distinct().withColumn("__h", order_hash(seed, "problem_id"))
     k = F.least(F.greatest(F.floor(F.col("n") * eval_share), F.lit(1)), F.col("n") - 1)
-    return p.select("problem_id", F.when(F.col("place") <= k, "eval").otherwise("train").alias("split"))
+    return first_in_order(d, "__h", "problem_id", [k]).select("problem_id", F.when(F.col("part") == 0, "eval").otherwise("train").alias("split"))
 
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -124,6 +124,58 @@ def miss_buckets(misses: DataFrame, bounds: tuple[int, ...] = (1, 2, 5, 10, 20))
     return misses.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean_gap"))
 
 
+def miss_neighbours(misses: DataFrame, ranked: DataFrame, pairs: DataFrame, top_k: int = 10, threshold: float = 0.5) -> DataFrame:
+    """Adds topk, near (of the top_k best-ranked, those as similar to the top choice as the threshold) and max_sim (0 without others)."""
+    best = ranked.join(misses.select("problem_id", "top_index"), "problem_id").filter((F.col("rank") <= top_k)).select("problem_id", F.col("candidate_index").alias("other"), "top_index")
+    sims = pairs.select("problem_id", F.col("i").alias("a"), F.col("j").alias("b"), "score")
+    found = best.filter("other <> top_index").withColumn("a", F.least("other", "top_index")).withColumn("b", F.greatest("other", "top_index")).join(sims, ["problem_id", "a", "b"], "left")
+    n = best.groupBy("problem_id").agg(F.count(F.lit(1)).alias("topk"))
+    g = found.groupBy("problem_id").agg(F.count_if(F.col("score") >= threshold).alias("near"), F.max("score").alias("max_sim"))
+    return misses.join(n, "problem_id").join(g, "problem_id", "left").withColumn("near", F.coalesce("near", F.lit(0))).withColumn("max_sim", F.coalesce("max_sim", F.lit(0.0)))
+
+
+def miss_summary(misses: DataFrame, bounds: tuple[int, ...] = (1, 2, 5, 10, 20)) -> DataFrame:
+    """One row: n, how many best correct ranks are within each bound, mean and upper-median gap, and the means of near and max_sim if there."""
+    from quorate.operators.windows import global_prefix
+
+    more = [F.avg(c).alias(f"mean_{c}") for c in ("near", "max_sim") if c in misses.columns]
+    a = misses.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("best_rank") <= b).alias(f"le_{b}") for b in bounds], F.avg("gap").alias("mean_gap"), *more)
+    counts = misses.groupBy("gap").agg(F.count(F.lit(1)).alias("c")).withColumn("__neg", -F.col("gap"))
+    # one row beside every distinct gap
+    at = global_prefix(counts, "__neg", "__neg", {"upto": "c"}).join(F.broadcast(a.select(F.col("n").alias("n_all"))))
+    median = at.agg(F.min(F.when(F.col("upto") > F.floor(F.col("n_all") / 2), F.col("gap"))).alias("median_gap"))
+    return a.join(F.broadcast(median))
+
+
+def typecheck_stats(scored: DataFrame, conf: DataFrame | None = None) -> DataFrame:
+    """One row: problems, top choices that typecheck (and their share), problems rescued by the filter and without survivors, and with
+    confidence() rows the mean probability and margin."""
+    t = scored.groupBy("problem_id").agg(F.max_by(F.coalesce("typechecks", F.lit(False)), F.struct("score", -F.col("candidate_index"))).alias("top1"), F.max(F.coalesce("typechecks", F.lit(False))).alias("any_tc"))
+    if conf is not None:
+        t = t.join(conf.select("problem_id", "chosen_probability", "probability_margin"), "problem_id", "left")
+    more = [F.avg("chosen_probability").alias("mean_chosen_probability"), F.avg("probability_margin").alias("mean_probability_margin")] if conf is not None else []
+    a = t.agg(F.count(F.lit(1)).alias("problems"), F.count_if("top1").alias("top1_ok"), F.count_if(~F.col("top1") & F.col("any_tc")).alias("rescued"), F.count_if(~F.col("any_tc")).alias("no_survivors"), *more)
+    return a.withColumn("top1_rate", st.rate(F.col("top1_ok"), F.col("problems")))
+
+
+def ab_metrics(cands: DataFrame, a: DataFrame, b: DataFrame, timing: DataFrame | None = None, names: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """One row of the A/B comparison: sizes of the data, percentages of each method, their difference, and select_<name>_seconds of a timing table
+    (name, value). a and b: (problem_id, correct)."""
+    per = cands.groupBy("problem_id").agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("any"))
+    j = per.join(a.select("problem_id", F.col("correct").alias("x")), "problem_id").join(b.select("problem_id", F.col("correct").alias("y")), "problem_id")
+    any_ = F.col("any") == 1
+    pct = lambda c, of: 100.0 * st.rate(F.coalesce(F.sum(F.when(of, c)), F.lit(0)), F.count_if(of))
+    every = F.lit(True)
+    m = j.agg(F.count(F.lit(1)).alias("problems"), F.count_if(any_).alias("with_any"), F.avg("n").alias("candidates_per_problem"), F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")).alias("total_pairs"),
+              pct(F.col("x"), every).alias("a_pct"), pct(F.col("y"), every).alias("b_pct"), pct(F.col("x"), any_).alias("a_given_any_pct"), pct(F.col("y"), any_).alias("b_given_any_pct"))
+    m = m.withColumn("with_any_pct", 100.0 * st.rate(F.col("with_any"), F.col("problems"))).withColumn("b_minus_a_pct", F.col("b_pct") - F.col("a_pct")).withColumn("b_minus_a_given_any_pct", F.col("b_given_any_pct") - F.col("a_given_any_pct"))
+    if timing is None:
+        return m.withColumn("a_seconds", F.lit(None).cast("double")).withColumn("b_seconds", F.lit(None).cast("double"))
+    # one row of a small table
+    of = lambda name: F.max(F.when(F.col("name") == f"select_{name}_seconds", F.col("value")))
+    return m.join(F.broadcast(timing.agg(of(names[0]).alias("a_seconds"), of(names[1]).alias("b_seconds"))))
+
+
 def bucketed(df: DataFrame, value: str, bounds: list[float]) -> DataFrame:
     """(bucket, problems, correct, accuracy, any, accuracy_given_any): the first bound not below the value, else the last; null values are skipped."""
     bucket = F.lit(float(bounds[-1]))

@@ -1,6 +1,7 @@
 """Similarity graphs inside problems. Edges are (problem_id, i, j, score) with i < j, nodes (problem_id, candidate_index)."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +43,12 @@ def rescue_isolates(nodes: DataFrame, edges: DataFrame, eligible: DataFrame) ->
 
     def run(pdf):
         touched = set(pdf.loc[pdf.kind == "edge", "i"]) | set(pdf.loc[pdf.kind == "edge", "j"])
-        best: dict[int, tuple] = {}
-        for r in pdf[pdf.kind == "pair"].itertuples():
-            for me, other in ((r.i, int(r.j)), (int(r.j), r.i)):
-                best[me] = min(best.get(me, (0.0, 1 << 60)), (-r.score, other)) if me in best else (-r.score, other)
+        p = pdf[pdf.kind == "pair"]
+        a, b, score = p["i"].to_numpy(np.int64), p["j"].to_numpy(np.float64).astype(np.int64), p["score"].to_numpy(float)
+        me, other, score = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([score, score])
+        order = np.lexsort((other, -score, me))
+        first = order[np.unique(me[order], return_index=True)[1]] if len(order) else order
+        best = {int(me[k]): (-float(score[k]), int(other[k])) for k in first}
         rows = []
         for node in sorted(pdf.loc[pdf.kind == "node", "i"]):
             if node not in touched and node in best:
@@ -119,7 +122,6 @@ def _thin(inside, link, share: float):
 
 def densify(clusters: DataFrame, edges: DataFrame, share: float) -> DataFrame:
     """(problem_id, indices): clusters thinned until each member is adjacent to enough of the others."""
-    import numpy as np
     import pandas as pd
 
     inner = edges.select(*KEY).groupBy("problem_id").agg(F.collect_list(F.struct("i", "j")).alias("edges"))
@@ -131,9 +133,9 @@ def densify(clusters: DataFrame, edges: DataFrame, share: float) -> DataFrame:
             for r in pdf.itertuples():
                 at = {v: k for k, v in enumerate(sorted(r.indices))}
                 link = np.eye(len(at), dtype=bool)
-                for e in r.edges if r.edges is not None else ():
-                    if e["i"] in at and e["j"] in at:
-                        link[at[e["i"]], at[e["j"]]] = link[at[e["j"]], at[e["i"]]] = True
+                ends = np.array([(at.get(e["i"], -1), at.get(e["j"], -1)) for e in r.edges], np.int64).reshape(-1, 2) if r.edges is not None else np.zeros((0, 2), np.int64)
+                ends = ends[(ends >= 0).all(1)]
+                link[ends[:, 0], ends[:, 1]] = link[ends[:, 1], ends[:, 0]] = True
                 keep = _thin(np.ones(len(at), bool), link, share)
                 out.append([int(v) for v, k in at.items() if keep[k]])
             yield pd.DataFrame({"problem_id": pdf["problem_id"], "indices": out})
@@ -144,7 +146,6 @@ def densify(clusters: DataFrame, edges: DataFrame, share: float) -> DataFrame:
 
 def support_clusters(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, share: float = 0.7) -> DataFrame:
     """(problem_id, indices, size, cohesion): clusters grown from each node by mean score while enough members are adjacent; they may overlap."""
-    import numpy as np
     import pandas as pd
 
     listed = (nodes.select("problem_id", F.col("candidate_index").alias("i"), F.lit(-1).alias("j"), F.lit(0.0).alias("score"), F.lit(False).alias("linked"))
@@ -152,13 +153,12 @@ def support_clusters(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, share
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(pdf.loc[pdf.j < 0, "i"].unique())
-        at = {v: k for k, v in enumerate(ids)}
         n = len(ids)
         s, link = np.zeros((n, n)), np.eye(n, dtype=bool)
-        for r in pdf[pdf.j >= 0].itertuples():
-            a, b = at[r.i], at[r.j]
-            s[a, b] = s[b, a] = r.score
-            link[a, b] = link[b, a] = r.linked
+        p = pdf[pdf.j >= 0]
+        a, b = np.searchsorted(ids, p["i"].to_numpy()), np.searchsorted(ids, p["j"].to_numpy())
+        s[a, b] = s[b, a] = p["score"].to_numpy(float)
+        link[a, b] = link[b, a] = p["linked"].to_numpy(bool)
         found: dict[tuple, float] = {}
         for seed in range(n):
             inside = np.zeros(n, bool)

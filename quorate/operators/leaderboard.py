@@ -71,8 +71,11 @@ def pairwise_wins(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def grid(scored: DataFrame, configs: DataFrame) -> DataFrame:
     """Accuracy of each weighting (config, wa, wb) of two scores: the scores are made once and weighed by every configuration."""
-    s = scored.crossJoin(F.broadcast(configs)).withColumn("s", F.col("wa") * F.col("score_a") + F.col("wb") * F.col("score_b"))
-    pick = s.groupBy("config", "problem_id").agg(F.max_by("label", F.struct("s", -F.col("candidate_index"))).alias("correct"), F.max("label").alias("any_correct"))
+    # the configurations are a short list: one aggregate of the problems with a column for each, so that rows are read and shuffled once
+    listed = [tuple(r) for r in configs.select("config", "wa", "wb").collect()]
+    best = [F.max_by("label", F.struct(F.lit(wa) * F.col("score_a") + F.lit(wb) * F.col("score_b"), -F.col("candidate_index"))).alias(f"c{i}") for i, (_, wa, wb) in enumerate(listed)]
+    one = scored.groupBy("problem_id").agg(F.max("label").alias("any_correct"), *best)
+    pick = one.select("any_correct", F.explode(F.array(*[F.struct(F.lit(c).alias("config"), F.col(f"c{i}").alias("correct")) for i, (c, _, _) in enumerate(listed)])).alias("x")).select("x.*", "any_correct")
     g = pick.groupBy("config").agg(F.count(F.lit(1)).alias("problems"), F.sum("correct").cast("long").alias("n_correct"), F.sum("any_correct").cast("long").alias("n_any"))
     return g.withColumn("accuracy", st.rate(F.col("n_correct"), F.col("problems"))).withColumn("accuracy_given_any", st.rate(F.col("n_correct"), F.col("n_any")))
 

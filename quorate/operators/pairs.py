@@ -36,19 +36,43 @@ def _one_way(overlaps: list[Column], hyp: Column, ref: Column, smooth: float) ->
     return F.when((hyp == 0) & (ref == 0), 1.0).when(hyp == 0, 0.0).otherwise(brevity * F.exp(logs))
 
 
-def bleu_pairs(cands: DataFrame, text_col: str = "candidate", max_n: int = MAX_N, smooth: float = 1.0, normalize: bool = True) -> DataFrame:
-    """Symmetric smoothed BLEU of all pairs: the shared n-grams come from one equi-join on (problem, order, gram)."""
+def _overlaps(toks: DataFrame, max_n: int) -> DataFrame:
+    """(problem_id, i, j, o1..): common n-grams of each order, with multiplicity, of the pairs that have any.
+
+    Grams are 64-bit hashes, dealt once by (problem, gram); those of a single candidate end there, and the others yield their pairs in place.
+    """
+    def grams(n: int) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size("toks") - (n - 1)), lambda k: F.struct(F.lit(n).alias("order"), F.xxhash64(F.lit(n), F.slice("toks", k, F.lit(n))).alias("gram")))
+        return F.when(F.size("toks") >= n, some).otherwise(F.array().cast("array<struct<order:int,gram:bigint>>"))
+
+    long = toks.select("problem_id", "candidate_index", F.explode(F.concat(*[grams(n) for n in range(1, max_n + 1)])).alias("g")).select("problem_id", "candidate_index", "g.*")
+    counts = long.repartition("problem_id", "gram").groupBy("problem_id", "gram", "order", "candidate_index").agg(F.count(F.lit(1)).cast("int").alias("c"))
+    seen = counts.groupBy("problem_id", "gram", "order").agg(F.array_sort(F.collect_list(F.struct("candidate_index", "c"))).alias("m")).filter(F.size("m") > 1)
+    both = F.flatten(F.transform("m", lambda x, k: F.transform(F.slice("m", k + 2, F.size("m")), lambda y: F.struct(x["candidate_index"].alias("i"), y["candidate_index"].alias("j"), F.least(x["c"], y["c"]).alias("o")))))
+    pairs = seen.select("problem_id", "order", F.explode(both).alias("p")).select("problem_id", "order", "p.*")
+    return pairs.groupBy("problem_id", "i", "j").agg(*[F.sum(F.when(F.col("order") == n, F.col("o")).otherwise(0)).alias(f"o{n}") for n in range(1, max_n + 1)])
+
+
+def _both_bleus(cands: DataFrame, text_col: str, max_n: int, smooth: float, normalize: bool) -> DataFrame:
+    """(problem_id, i, j, of_i, of_j): smoothed BLEU of i against j as reference, and of j against i, of all pairs i < j."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    toks = cands.select("problem_id", "candidate_index", tx.tokens(tx.normalize(t) if normalize else t).alias("toks")).withColumn("len", F.size("toks"))
-    grams = gram_counts(toks, "toks", max_n)
-    a = grams.select("problem_id", "order", "gram", F.col("candidate_index").alias("i"), F.col("c").alias("ci"))
-    b = grams.select("problem_id", "order", "gram", F.col("candidate_index").alias("j"), F.col("c").alias("cj"))
-    shared = a.join(b, ["problem_id", "order", "gram"]).filter("i < j").groupBy("problem_id", "i", "j").agg(
-        *[F.sum(F.when(F.col("order") == n, F.least("ci", "cj")).otherwise(0)).alias(f"o{n}") for n in range(1, max_n + 1)])
-    all_pairs = pair_frame(toks, "len").join(shared, ["problem_id", "i", "j"], "left")
+    toks = cands.select("problem_id", "candidate_index", tx.tokens(tx.normalize(t) if normalize else t).alias("toks"))
+    lengths = toks.select("problem_id", "candidate_index", F.size("toks").alias("len"))
+    all_pairs = pair_frame(lengths, "len").join(_overlaps(toks, max_n), ["problem_id", "i", "j"], "left")
     overlaps = [F.coalesce(F.col(f"o{n}"), F.lit(0)) for n in range(1, max_n + 1)]
-    score = 0.5 * (_one_way(overlaps, F.col("len_i"), F.col("len_j"), smooth) + _one_way(overlaps, F.col("len_j"), F.col("len_i"), smooth))
-    return all_pairs.select("problem_id", "i", "j", score.alias("score"))
+    li, lj = F.col("len_i"), F.col("len_j")
+    return all_pairs.select("problem_id", "i", "j", _one_way(overlaps, li, lj, smooth).alias("of_i"), _one_way(overlaps, lj, li, smooth).alias("of_j"))
+
+
+def bleu_pairs(cands: DataFrame, text_col: str = "candidate", max_n: int = MAX_N, smooth: float = 1.0, normalize: bool = True) -> DataFrame:
+    """Symmetric smoothed BLEU of all pairs: the mean of both directions."""
+    return _both_bleus(cands, text_col, max_n, smooth, normalize).select("problem_id", "i", "j", (0.5 * (F.col("of_i") + F.col("of_j"))).alias("score"))
+
+
+def bleu_directed(cands: DataFrame, text_col: str = "candidate", max_n: int = MAX_N, smooth: float = 1.0, normalize: bool = True) -> DataFrame:
+    """(problem_id, hyp, ref, score): smoothed BLEU of each candidate against each other one as its reference."""
+    ways = F.explode(F.array(F.struct(F.col("i").alias("hyp"), F.col("j").alias("ref"), F.col("of_i").alias("score")), F.struct(F.col("j").alias("hyp"), F.col("i").alias("ref"), F.col("of_j").alias("score"))))
+    return _both_bleus(cands, text_col, max_n, smooth, normalize).select("problem_id", ways.alias("w")).select("problem_id", "w.*")
 
 
 def jaccard_pairs(cands: DataFrame, text_col: str = "candidate") -> DataFrame:

@@ -61,7 +61,10 @@ def proof_outcomes(pairs: DataFrame, prover: Callable) -> DataFrame:
     return pairs.withColumn("__ab", run("a", "b")).withColumn("__ba", run("b", "a")).withColumn("ok", F.col("__ab") & F.col("__ba")).drop("__ab", "__ba")
 
 
-def sample_candidates(problems: DataFrame, prompt: str, n: int, model: Callable, seed: int = 0) -> DataFrame:
-    """(problem_id, candidate_index, candidate): n samples per prompt; model(series of prompts, series of seeds) -> series of texts."""
-    rows = problems.select("problem_id", F.col(prompt).alias("prompt"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("candidate_index")).withColumn("seed", st.crc_seed(seed, F.col("problem_id")) + F.col("candidate_index"))
+def sample_candidates(problems: DataFrame, prompt: str, n: int, model: Callable, seed: int | Callable = 0) -> DataFrame:
+    """(problem_id, candidate_index, candidate): n samples per prompt; model(series of prompts, series of seeds) -> series of texts.
+
+    seed: a number that the problem's own seed is made from, or a function of the sample's index (Column -> Column)."""
+    index = F.col("candidate_index")
+    rows = problems.select("problem_id", F.col(prompt).alias("prompt"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("candidate_index")).withColumn("seed", seed(index) if callable(seed) else st.crc_seed(seed, F.col("problem_id")) + index)
     return rows.withColumn("candidate", F.pandas_udf(model, "string")("prompt", "seed")).select("problem_id", "candidate_index", "candidate")

@@ -71,6 +71,29 @@ def with_fallback(primary: DataFrame, fallback: DataFrame, *, min_size: int = 0,
     return primary.join(f, "problem_id", "left").withColumn("primary_index", F.col("chosen_index")).withColumn("fallback_used", F.when(need, F.lit(name))).withColumn("chosen_index", F.when(need, F.coalesce("__f", "chosen_index")).otherwise(F.col("chosen_index"))).drop("__f")
 
 
+def global_medoid_mode(nodes: DataFrame, pairs: DataFrame, *, objective: str = "mean", simple_k: int = 0, max_drop: float = -1.0, pair_mode: str = "all", digits: int = 12) -> DataFrame:
+    """(problem_id, chosen_index, centrality, gap, size, cohesion) over each problem's whole pool: its most central candidate, or the simplest of
+    the simple_k most central that lose at most max_drop. nodes carry ``length`` and, for simple_k, ``penalty``. Pairs must be all pairs."""
+    if pair_mode != "all":
+        raise ValueError("the global medoid needs the scores of all pairs, not of nearest neighbours alone")
+    cents = centrality(nodes, pairs, mode="geometric" if objective == "gmean" else "mean").withColumn("centrality", F.round("centrality", digits))
+    picked = medoid(cents, "length", simple_k=simple_k, max_drop=max_drop, penalty_col="penalty" if simple_k else None)
+    pool = nodes.groupBy("problem_id").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    coh = pairs.groupBy("problem_id").agg(F.avg("score").alias("cohesion"))
+    return picked.join(pool, "problem_id").join(coh, "problem_id", "left").withColumn("cohesion", F.coalesce("cohesion", F.lit(1.0)))
+
+
+FALLBACKS = ("bleu_medoid", "critic_medoid", "critic_knn_medoid")
+
+
+def fallback_choice(name: str, nodes: DataFrame, critic: DataFrame, bleu: DataFrame, k: int = 3, digits: int = 12) -> DataFrame:
+    """(problem_id, chosen_index, centrality) of a fallback: the medoid by BLEU, by the critic, or by the critic's k nearest."""
+    if name not in FALLBACKS:
+        raise ValueError(f"unknown fallback {name!r}")
+    cents = centrality(nodes, bleu if name == "bleu_medoid" else critic, mode="knn" if name == "critic_knn_medoid" else "mean", k=k)
+    return medoid(cents.withColumn("centrality", F.round("centrality", digits)), "length")
+
+
 def top_k_list(chosen: DataFrame, ranked: DataFrame, cands: DataFrame, k: int) -> DataFrame:
     """(problem_id, chosen_indices): the choice, then ranked others (problem_id, candidate_index, place), then the rest by index; distinct, k at most."""
     rows = (chosen.select("problem_id", F.col("chosen_index").alias("candidate_index"), F.lit(0).alias("tier"), F.lit(0).alias("place"))

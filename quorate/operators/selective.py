@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorate.functions import stats as st
+from quorate.joins import spread_join
 from quorate.operators.windows import cut, global_prefix
 
 KEYS = ("chosen_probability", "probability_margin", "score_margin")
@@ -29,9 +30,10 @@ def prefix_curve(examples: DataFrame) -> DataFrame:
 
 def coverage_table(curve: DataFrame, targets: list[float]) -> DataFrame:
     """(target, accepted, coverage, accuracy, risk, threshold): the first prefix that covers each target."""
-    t = curve.sparkSession.createDataFrame([(float(x),) for x in targets], "target double")
-    want = F.greatest(F.lit(1), F.ceil(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("target"))) * F.col("n")))
-    return curve.crossJoin(F.broadcast(t)).filter(F.col("accepted") == want).select("target", "accepted", "coverage", "accuracy", "risk", "threshold")
+    wants = [F.greatest(F.lit(1), F.ceil(F.lit(min(1.0, max(0.0, float(x)))) * F.col("n"))).cast("long") for x in targets]
+    # each place looks up which of the listed targets it is the answer to; nothing is multiplied
+    hits = F.filter(F.array(*[F.when(F.col("accepted") == w, F.lit(float(x))) for x, w in zip(targets, wants)]), lambda x: x.isNotNull())
+    return curve.withColumn("target", F.explode(hits)).select("target", "accepted", "coverage", "accuracy", "risk", "threshold")
 
 
 def best_prefix(curve: DataFrame) -> DataFrame:
@@ -62,12 +64,10 @@ def recommend(curve: DataFrame, targets: list[float], min_accepted: int = 1) ->
 def ranking_quality(curve: DataFrame) -> DataFrame:
     """One row: AUACC, risk area, full accuracy, lift, average precision, ideal and worst area, normalised area."""
     n, pos = F.max("n"), F.max("correct")
-    a = curve.agg(n.alias("n"), pos.alias("pos"), F.avg("accuracy").alias("auacc"), F.avg("risk").alias("risk_area"), F.sum(F.when(F.col("selected_correct") == 1, F.col("accuracy")).otherwise(0.0)).alias("hits"),
-                  F.sum(1 / F.col("accepted")).alias("__h"))
-    # ideal: 1 up to pos, then pos / k; worst: 0 up to n - pos, then (k - (n - pos)) / k
-    upto = lambda m: F.sum(F.when(F.col("accepted") > m, 1 / F.col("accepted")).otherwise(0.0))
-    j = curve.crossJoin(F.broadcast(a.select(F.col("n").alias("n0"), F.col("pos").alias("pos0")))).agg(upto(F.col("pos0")).alias("tail_pos"), upto(F.col("n0") - F.col("pos0")).alias("tail_neg"))
-    x = a.crossJoin(F.broadcast(j))
+    x = curve.agg(n.alias("n"), pos.alias("pos"), F.avg("accuracy").alias("auacc"), F.avg("risk").alias("risk_area"), F.sum(F.when(F.col("selected_correct") == 1, F.col("accuracy")).otherwise(0.0)).alias("hits"))
+    # ideal: 1 up to pos, then pos / k; worst: 0 up to n - pos, then (k - (n - pos)) / k; sums of 1 / k are harmonic numbers
+    h = lambda m: st.harmonic(m)
+    x = x.withColumn("tail_pos", h(F.col("n")) - h(F.col("pos"))).withColumn("tail_neg", h(F.col("n")) - h(F.col("n") - F.col("pos")))
     ideal = (F.col("pos") + F.col("pos") * F.col("tail_pos")) / F.col("n")
     worst = (F.col("pos") - (F.col("n") - F.col("pos")) * F.col("tail_neg")) / F.col("n")
     full = F.col("pos") / F.col("n")
@@ -120,7 +120,9 @@ def resolve_threshold(explicit: float | None, recommendations: list[dict], targe
 
 
 def leave_one_out(examples: DataFrame, target: float, min_accepted: int = 5, chunk: int = 50_000) -> DataFrame:
-    """(omitted, threshold, omitted_accepted, omitted_correct) of every fold, without recomputing it.
+    """Every fold of the leave-one-out report, without recomputing it: omitted, loo_threshold, meets_target, omitted_confidence, omitted_accepted,
+    omitted_correct, full_threshold, full_accepts_omitted, threshold_delta, applied to the full sample (full_accepted, full_correct), to the fold
+    (train_accepted, train_correct), accepted_delta and jaccard of the accepted sets.
 
     Omitting the example at place r shortens every prefix that reaches r by one row, so a fold's answer is the better of two parts:
     full prefixes before r, and prefixes behind r with one row (and the example's correctness) less.  Both are running maxima over the
@@ -152,15 +154,44 @@ def leave_one_out(examples: DataFrame, target: float, min_accepted: int = 5, chu
     top = lambda n: F.greatest(f"i_{n}", f"o_{n}")
     less = lambda n: F.when(F.col("selected_correct") == 1, top(f"{n}1")).otherwise(top(f"{n}0"))
     f = both.select("problem_id", "selected_correct", "threshold", F.greatest(top("cf"), less("c")).alias("certified"), F.greatest(top("bf"), less("b")).alias("best"))
-    loo = F.coalesce("certified.thr", "best.thr")
-    return f.select(F.col("problem_id").alias("omitted"), loo.alias("loo_threshold"), F.col("certified").isNotNull().alias("meets_target"), (F.col("threshold") >= loo).alias("omitted_accepted"), F.col("selected_correct").alias("omitted_correct"))
-
-
-def stability(folds: DataFrame, full_threshold: float) -> DataFrame:
-    """One row: folds, changed, distinct thresholds (12 digits), held-out accepted and correct."""
-    changed = F.abs(F.col("loo_threshold") - full_threshold) > 1e-12
-    return folds.agg(F.count(F.lit(1)).alias("folds"), F.count_if(changed).alias("changed"), F.count_distinct(F.round("loo_threshold", 12)).alias("distinct_thresholds"), F.count_if("omitted_accepted").alias("heldout_accepted"),
-                     F.count_if(F.col("omitted_accepted") & (F.col("omitted_correct") == 1)).alias("heldout_correct"))
+    f = f.withColumn("loo", F.coalesce("certified.thr", "best.thr")).withColumn("meets_target", F.col("certified").isNotNull())
+    # what a threshold accepts is the prefix that ends with the last row of its value
+    ends = c.groupBy("threshold").agg(F.max(F.struct("accepted", "correct")).alias("e"))
+    full = recommend(c, [target], min_accepted).select(F.col("threshold").alias("full_threshold"))
+    # one row
+    whole = full.join(ends, F.col("full_threshold") == F.col("threshold")).select("full_threshold", F.col("e.accepted").alias("n_full"))
+    # many folds share a threshold
+    f = cut(f)
+    found = f.groupBy("loo").agg(F.count(F.lit(1)).alias("c")).join(ends.select(F.col("threshold").alias("loo"), F.col("e.accepted").alias("full_accepted"), F.col("e.correct").alias("full_correct")), "loo", "left")
+    j = spread_join(f, cut(found), ["loo"], "c", f.count(), "left").join(F.broadcast(whole))
+    took = F.coalesce(F.col("threshold") >= F.col("loo"), F.lit(False))
+    one = lambda cond: cond.cast("long")
+    # accepted sets are prefixes of one order, so one holds the other
+    jaccard = F.least("full_accepted", "n_full") / F.nullif(F.greatest("full_accepted", "n_full"), F.lit(0))
+    return j.select(
+        F.col("problem_id").alias("omitted"), F.col("loo").alias("loo_threshold"), "meets_target", F.col("threshold").alias("omitted_confidence"), took.alias("omitted_accepted"), F.col("selected_correct").alias("omitted_correct"),
+        "full_threshold", (F.col("threshold") >= F.col("full_threshold")).alias("full_accepts_omitted"), (F.col("loo") - F.col("full_threshold")).alias("threshold_delta"), "full_accepted", "full_correct",
+        (F.col("full_accepted") - one(took)).alias("train_accepted"), (F.col("full_correct") - one(took & (F.col("selected_correct") == 1))).alias("train_correct"), (F.col("full_accepted") - F.col("n_full")).alias("accepted_delta"), F.coalesce(jaccard, F.lit(1.0)).alias("jaccard"))
+
+
+def stability(folds: DataFrame) -> DataFrame:
+    """One row: folds, changed, distinct thresholds (12 digits) with their range and mean, accepted ranges, Jaccard of accepted sets, held-out accuracy."""
+    changed = F.abs("threshold_delta") > 1e-12
+    a = folds.agg(F.count(F.lit(1)).alias("folds"), F.count_if(changed).alias("changed"), F.count_distinct(F.round("loo_threshold", 12)).alias("distinct_thresholds"), F.min("loo_threshold").alias("threshold_min"), F.max("loo_threshold").alias("threshold_max"),
+                  F.avg("loo_threshold").alias("threshold_mean"), F.min("train_accepted").alias("train_accepted_min"), F.max("train_accepted").alias("train_accepted_max"), F.min("full_accepted").alias("full_accepted_min"), F.max("full_accepted").alias("full_accepted_max"),
+                  F.min("jaccard").alias("jaccard_min"), F.avg("jaccard").alias("jaccard_mean"), F.count_if("meets_target").alias("meets_target"), F.count_if("omitted_accepted").alias("heldout_accepted"), F.count_if(F.col("omitted_accepted") & (F.col("omitted_correct") == 1)).alias("heldout_correct"))
+    low, high = st.wilson(F.col("heldout_correct"), F.col("heldout_accepted"))
+    return a.select("*", (F.col("folds") - F.col("heldout_accepted")).alias("heldout_rejected"), st.rate(F.col("heldout_correct"), F.col("heldout_accepted")).alias("heldout_accuracy"), low.alias("heldout_low"), high.alias("heldout_high"), st.rate(F.col("changed"), F.col("folds")).alias("changed_rate"))
+
+
+def threshold_values(folds: DataFrame) -> DataFrame:
+    """(threshold, resamples): how many folds settle on each threshold."""
+    return folds.groupBy(F.round("loo_threshold", 12).alias("threshold")).agg(F.count(F.lit(1)).alias("resamples"))
+
+
+def sensitive_omissions(folds: DataFrame, limit: int = 10) -> DataFrame:
+    """A report: the folds that move the threshold most, then what is accepted most, then by id descending."""
+    return folds.orderBy(F.desc(F.abs("threshold_delta")), F.desc(F.abs("accepted_delta")), F.desc("omitted")).limit(limit)
 
 
 def case_kind() -> Column:

@@ -163,6 +163,19 @@ def _(s, d):
     return ca.violations(g).select("problem_id", F.array_join("problems", ",").alias("problems"))
 
 
+_RAW = [
+    ('[1]', "not an object"), ('{"candidates": []}', "problem_id missing"), ('{"problem_id": null, "candidates": []}', "problem_id is null"), ('{"problem_id": "", "candidates": []}', "problem_id empty"),
+    ('{"problem_id": "a", "candidates": "x"}', "candidates are no list"), ('{"problem_id": "a"}', "candidates are no list"), ('{"problem_id": "a", "candidates": ["x", 3]}', "candidate is no string"), ('{"problem_id": "a", "candidates": ["x"]}', "labels missing"),
+    ('{"problem_id": "a", "candidates": ["x"], "labels": 1}', "labels are no list"), ('{"problem_id": "a", "candidates": ["x"], "labels": [1, 0]}', "lengths differ"), ('{"problem_id": "a", "candidates": ["x"], "labels": [2]}', "label not 0 or 1"),
+    ('{"problem_id": "a", "candidates": ["x"], "labels": ["1"]}', "label is no integer"), ('{"problem_id": "a", "candidates": ["x"], "labels": [0.5]}', "label is no integer"), ('{"problem_id": 7, "candidates": ["x", "y"], "labels": [true, 0]}', None), ('{"problem_id": "b", "candidates": [], "labels": []}', None),
+]
+
+
+@query("OP-041_raw_cases", "SELECT * FROM (VALUES " + ", ".join(f"('{v}', '{f}')" for v, f in _RAW if f) + ") t(value, problem)")
+def _(s, d):
+    return ca.raw_violations(s.createDataFrame([(v,) for v, _ in _RAW], "value string"), require_labels=True)
+
+
 for _name, _inv in (("OP-060_semi_filter", False), ("OP-060_anti_filter", True)):
     query(_name, f"WITH {LINE} SELECT problem_id, candidate_index FROM lc WHERE problem_id {'NOT ' if _inv else ''}IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")(
         lambda s, d, inv=_inv: ca.by_ids(fx.line_candidates(s, d), fx.table(s, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("problem_id")), inv).select("problem_id", "candidate_index"))
@@ -206,18 +219,23 @@ def _(s, d):
 
 
 _SELS = f"{_ARGMAX}, sel AS (SELECT problem_id, chosen_index, score, CASE WHEN problem_id % 7 = 0 THEN false WHEN problem_id % 5 = 0 THEN true END AS accepted, CASE WHEN problem_id % 11 = 0 AND problem_id % 5 <> 0 THEN true END AS abstained FROM pick WHERE problem_id % 13 <> 0)"
-_SELS = _SELS.replace("WHEN problem_id % 7 = 0 THEN false", "WHEN problem_id % 7 = 0 THEN false")
+_CHOICES = _SELS.replace(" WHERE problem_id % 13 <> 0", "")
 
 
-def _selections(s, d):
-    """Choices with some explicit abstentions and some problems missing: a fixture of a partial run, not a sample."""
+def _choices(s, d):
+    """A choice for every problem, some of them explicit abstentions."""
     p = F.col("problem_id")
-    return se.arg_max(fx.scored_lines(s, d)).withColumn("accepted", F.when(p % 7 == 0, False).when(p % 5 == 0, True)).withColumn("abstained", F.when((p % 11 == 0) & (p % 5 != 0), True)).filter(p % 13 != 0)
+    return se.arg_max(fx.scored_lines(s, d)).withColumn("accepted", F.when(p % 7 == 0, False).when(p % 5 == 0, True)).withColumn("abstained", F.when((p % 11 == 0) & (p % 5 != 0), True))
+
+
+def _selections(s, d):
+    """The choices of a partial run, which lacks some problems: for the operators that say what a missing choice means."""
+    return _choices(s, d).filter(F.col("problem_id") % 13 != 0)
 
 
-@query("OP-066_is_abstention", f"WITH {LINE}, {_SELS} SELECT problem_id, (coalesce(abstained, false) OR coalesce(NOT accepted, false)) AS is_abstained FROM sel")
+@query("OP-066_is_abstention", f"WITH {LINE}, {_CHOICES} SELECT problem_id, (coalesce(abstained, false) OR coalesce(NOT accepted, false)) AS is_abstained FROM sel")
 def _(s, d):
-    return _selections(s, d).select("problem_id", ca.is_abstention().alias("is_abstained"))
+    return _choices(s, d).select("problem_id", ca.is_abstention().alias("is_abstained"))
 
 
 @query("OP-067_index_guard", f"WITH {LINE}, {_ARGMAX} SELECT problem_id, chosen_index FROM pick")
@@ -235,9 +253,9 @@ def _(s, d):
 # --- joins -----------------------------------------------------------------------------------------------------------------------
 
 
-@query("OP-080_inner_join", f"WITH {LINE}, {_SELS} SELECT lc.problem_id, candidate_index, chosen_index FROM lc JOIN sel USING (problem_id)")
+@query("OP-080_inner_join", f"WITH {LINE}, {_CHOICES} SELECT lc.problem_id, candidate_index, chosen_index FROM lc JOIN sel USING (problem_id)")
 def _(s, d):
-    return fx.line_candidates(s, d).join(_selections(s, d), "problem_id").select("problem_id", "candidate_index", "chosen_index")
+    return fx.line_candidates(s, d).join(_choices(s, d), "problem_id").select("problem_id", "candidate_index", "chosen_index")
 
 
 @query("OP-081_left_join", f"WITH {LINE}, {_SELS} SELECT a.problem_id, chosen_index, chosen_index IS NULL AS missing FROM (SELECT DISTINCT problem_id FROM lc) a LEFT JOIN sel USING (problem_id)")
@@ -252,17 +270,17 @@ def _(s, d):
     return ca.by_ids(o, li, True).agg(F.lit("orders_only").alias("side"), F.count(F.lit(1)).alias("n")).unionByName(ca.by_ids(li, o, True).agg(F.lit("lines_only").alias("side"), F.count(F.lit(1)).alias("n")))
 
 
-@query("OP-083_three_way", f"WITH {LINE}, {_SELS}, b AS (SELECT problem_id, arg_max(candidate_index, (score_b, -candidate_index)) AS b_index FROM lc GROUP BY 1) SELECT a.problem_id, chosen_index, b_index FROM (SELECT DISTINCT problem_id FROM lc) a JOIN sel USING (problem_id) JOIN b USING (problem_id)")
+@query("OP-083_three_way", f"WITH {LINE}, {_CHOICES}, b AS (SELECT problem_id, arg_max(candidate_index, (score_b, -candidate_index)) AS b_index FROM lc GROUP BY 1) SELECT a.problem_id, chosen_index, b_index FROM (SELECT DISTINCT problem_id FROM lc) a JOIN sel USING (problem_id) JOIN b USING (problem_id)")
 def _(s, d):
     b = se.arg_max(fx.scored_lines(s, d, "score_b")).select("problem_id", F.col("chosen_index").alias("b_index"))
-    return fx.line_candidates(s, d).select("problem_id").distinct().join(_selections(s, d), "problem_id").join(b, "problem_id").select("problem_id", "chosen_index", "b_index")
+    return fx.line_candidates(s, d).select("problem_id").distinct().join(_choices(s, d), "problem_id").join(b, "problem_id").select("problem_id", "chosen_index", "b_index")
 
 
-@query("OP-084_four_way", f"WITH {LINE}, {_SELS}, b AS (SELECT problem_id, arg_max(candidate_index, (score_b, -candidate_index)) AS b_index FROM lc GROUP BY 1) SELECT sel.problem_id, chosen_index, b_index, o_orderstatus AS outcome FROM sel JOIN b USING (problem_id) JOIN orders ON o_orderkey = problem_id WHERE problem_id IN (SELECT problem_id FROM lc)")
+@query("OP-084_four_way", f"WITH {LINE}, {_CHOICES}, b AS (SELECT problem_id, arg_max(candidate_index, (score_b, -candidate_index)) AS b_index FROM lc GROUP BY 1) SELECT sel.problem_id, chosen_index, b_index, o_orderstatus AS outcome FROM sel JOIN b USING (problem_id) JOIN orders ON o_orderkey = problem_id WHERE problem_id IN (SELECT problem_id FROM lc)")
 def _(s, d):
     b = se.arg_max(fx.scored_lines(s, d, "score_b")).select("problem_id", F.col("chosen_index").alias("b_index"))
     o = fx.table(s, d, "orders").select(F.col("o_orderkey").alias("problem_id"), F.col("o_orderstatus").alias("outcome"))
-    return _selections(s, d).join(b, "problem_id").join(o, "problem_id").select("problem_id", "chosen_index", "b_index", "outcome")
+    return _choices(s, d).join(b, "problem_id").join(o, "problem_id").select("problem_id", "chosen_index", "b_index", "outcome")
 
 
 _METHODS = f"""{_SELS}, methods AS (SELECT 'argmax_a' AS method, problem_id, chosen_index, NOT (coalesce(abstained, false) OR coalesce(NOT accepted, false)) AS accepted FROM sel
@@ -349,10 +367,10 @@ def _(s, d):
     return ca.first_match(c, c.groupBy("problem_id").agg(F.max("candidate").alias("chosen")))
 
 
-@query("OP-094_overlay", f"WITH {LINE}, {_SELS}, b AS (SELECT problem_id, count(*) AS n, max(score_a) AS score FROM lc GROUP BY 1) SELECT b.problem_id, coalesce(sel.score, b.score) AS score, n, chosen_index FROM b JOIN sel USING (problem_id)")
+@query("OP-094_overlay", f"WITH {LINE}, {_CHOICES}, b AS (SELECT problem_id, count(*) AS n, max(score_a) AS score FROM lc GROUP BY 1) SELECT b.problem_id, coalesce(sel.score, b.score) AS score, n, chosen_index FROM b JOIN sel USING (problem_id)")
 def _(s, d):
     b = fx.line_candidates(s, d).groupBy("problem_id").agg(F.count(F.lit(1)).alias("n"), F.max("score_a").alias("score"))
-    return ca.overlay(b, _selections(s, d).select("problem_id", "score", "chosen_index"))
+    return ca.overlay(b, _choices(s, d).select("problem_id", "score", "chosen_index"))
 
 
 @query("OP-095_split_overlap", "SELECT o_orderkey AS problem_id FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'")
@@ -411,9 +429,9 @@ def _conv_nodes(s, d):
     return fx.conv_candidates(s, d).withColumn("length", F.length(tx.normalize(F.coalesce("candidate", F.lit("")))))
 
 
-@query("OP-110_bleu_one_way", f"WITH {_BLEU} SELECT problem_id, i, j, round(score, 9) AS score FROM bl")
+@query("OP-110_bleu_one_way", f"WITH {_BLEU} SELECT problem_id, i AS hyp, j AS ref, round(x, 9) AS score FROM way UNION ALL SELECT problem_id, j, i, round(y, 9) FROM way")
 def _(s, d):
-    return r9(_bleu(s, d))
+    return r9(pr.bleu_directed(fx.conv_candidates(s, d)))
 
 
 @query("OP-111_sym_bleu", f"WITH {_BLEU} SELECT problem_id, count(*) AS pairs, round(avg(score), 7) AS mean_bleu, round(max(score), 9) AS top FROM bl GROUP BY 1")

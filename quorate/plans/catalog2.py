@@ -75,10 +75,22 @@ def _(s, d):
     return _cluster_choice(s, d)[0].select("problem_id", "chosen_index", "centrality", "size", "cohesion")
 
 
-@query("OP-146_global_medoid_mode", f"WITH {_CENT}, {_MEDOID}, gc AS (SELECT problem_id, round(avg(score), 7) AS cohesion FROM bl GROUP BY 1) SELECT mr.problem_id, candidate_index AS chosen_index, coalesce(cohesion, 1.0) AS cohesion FROM mr LEFT JOIN gc USING (problem_id) WHERE r = 1")
+_POOL = "gc AS (SELECT s4.problem_id, count(*)::INTEGER AS size, any_value(a.cohesion) AS cohesion FROM s4 LEFT JOIN (SELECT problem_id, round(avg(score), 7) AS cohesion FROM bl GROUP BY 1) a USING (problem_id) GROUP BY 1)"
+
+
+def _global_mode(s, d, **kw):
+    nodes = _conv_nodes(s, d).withColumn("penalty", F.round(tx.penalty(tx.normalize(F.coalesce("candidate", F.lit("")))), 9))
+    return se.global_medoid_mode(nodes.select("problem_id", "candidate_index", "length", "penalty"), _bleu(s, d), digits=9, **kw).withColumn("cohesion", F.round("cohesion", 7))
+
+
+@query("OP-146_global_medoid_mode", f"WITH {_CENT}, {_MEDOID}, {_POOL} SELECT mr.problem_id, candidate_index AS chosen_index, centrality, round(centrality - nx, 9) AS gap, size, coalesce(cohesion, 1.0) AS cohesion FROM mr JOIN gc USING (problem_id) WHERE r = 1")
+def _(s, d):
+    return r9(_global_mode(s, d)).select("problem_id", "chosen_index", "centrality", "gap", "size", "cohesion")
+
+
+@query("OP-146_global_medoid_simple", f"WITH {_CENT}, {_MEDOID}, {_POOL}, ft AS (SELECT problem_id, candidate_index, {fx.sql_features('norm')} FROM s4), tk AS (SELECT mr.*, round(n_chars / 100.0::DOUBLE + n_binders + n_prop, 9) AS pen, max(centrality) OVER (PARTITION BY problem_id) AS top FROM mr JOIN ft USING (problem_id, candidate_index) WHERE r <= 3) SELECT problem_id, arg_min(candidate_index, (pen, -centrality, len, candidate_index)) AS chosen_index, any_value(size) AS size, coalesce(any_value(cohesion), 1.0) AS cohesion FROM tk JOIN gc USING (problem_id) WHERE round(top - centrality, 12) <= 0.05 GROUP BY 1")
 def _(s, d):
-    coh = _bleu(s, d).groupBy("problem_id").agg(F.round(F.avg("score"), 7).alias("cohesion"))
-    return se.medoid(_cents(s, d), "length").select("problem_id", "chosen_index").join(coh, "problem_id", "left").fillna(1.0, ["cohesion"])
+    return _global_mode(s, d, simple_k=3, max_drop=0.05).select("problem_id", "chosen_index", "size", "cohesion")
 
 
 @query("OP-147_fallback", f"WITH {VEC}, {_COS}, {_EDGES}, {_COMPS}, {_COMPSTAT}, {_REP} SELECT problem_id, CASE WHEN size < 3 OR cohesion < 0.1 THEN 0 ELSE chosen_index END AS chosen_index, chosen_index AS primary_index, CASE WHEN size < 3 OR cohesion < 0.1 THEN 'first' END AS fallback_used FROM rep")
@@ -86,6 +98,31 @@ def _(s, d):
     return se.with_fallback(_cluster_choice(s, d)[0], se.first_candidate(_nodes(s, d)), min_size=3, min_cohesion=0.1, name="first").select("problem_id", "chosen_index", "primary_index", "fallback_used")
 
 
+#: Clusters of turns by token overlap, which stands in for a critic's scores.
+_JT = 0.15
+_CONV_REP = f"{_BLEU_DIR}, {_JAC}, vc AS (SELECT problem_id, candidate_index FROM cc), cosp AS (SELECT problem_id, i, j, round(score, 9) AS score FROM jj), {_EDGES.replace(f'>= {_T}', f'>= {_JT}')}, {_COMPS}, {_COMPSTAT}, {_REP}"
+_FALL = {
+    "bleu_medoid": "SELECT problem_id, node, score FROM bd",
+    "critic_medoid": "SELECT problem_id, node, score FROM din",
+    "critic_knn_medoid": "SELECT problem_id, node, score FROM (SELECT *, row_number() OVER (PARTITION BY problem_id, node ORDER BY score DESC, other) AS r FROM din) WHERE r <= 3",
+}
+
+
+def _conv_cluster_choice(s, d, sim):
+    c, _stats = graph.ranked_components(_conv_nodes(s, d).select("problem_id", "candidate_index"), sim, _JT)
+    top = r9(c)
+    p = se.representatives(top, _conv_nodes(s, d).select("problem_id", "candidate_index").withColumn("length", F.lit(0)), sim)
+    return r9(p).join(top.filter("rank = 1").select("problem_id", "size", "cohesion"), "problem_id")
+
+
+for _fall, _from in _FALL.items():
+    @query(f"OP-147_fallback_{_fall}", f"WITH {_CONV_REP}, fd AS ({_from}), fc AS (SELECT s4.problem_id, s4.candidate_index, length(norm) AS len, round(coalesce(avg(score), 1), 9) AS c FROM s4 LEFT JOIN fd ON fd.problem_id = s4.problem_id AND fd.node = s4.candidate_index GROUP BY 1, 2, 3), fb AS (SELECT problem_id, arg_max(candidate_index, (c, -len, -candidate_index)) AS f FROM fc GROUP BY 1) SELECT problem_id, CASE WHEN size < 3 OR cohesion < 0.2 THEN f ELSE chosen_index END AS chosen_index, chosen_index AS primary_index, CASE WHEN size < 3 OR cohesion < 0.2 THEN '{_fall}' END AS fallback_used FROM rep JOIN fb USING (problem_id)")
+    def _(s, d, name=_fall):
+        sim = r9(pr.jaccard_pairs(fx.conv_candidates(s, d)))
+        f = se.fallback_choice(name, _conv_nodes(s, d).select("problem_id", "candidate_index", "length"), sim, _bleu(s, d), digits=9)
+        return se.with_fallback(_conv_cluster_choice(s, d, sim), f, min_size=3, min_cohesion=0.2, name=name).select("problem_id", "chosen_index", "primary_index", "fallback_used")
+
+
 _LISTS = """pl AS (SELECT problem_id, candidate_index, min(o) AS o FROM (SELECT problem_id, candidate_index, (0, 0) AS o FROM (SELECT problem_id, arg_max(candidate_index, (score_a, -candidate_index)) AS candidate_index FROM lc GROUP BY 1)
   UNION ALL SELECT problem_id, candidate_index, (1, row_number() OVER (PARTITION BY problem_id ORDER BY score_b DESC, candidate_index)) FROM lc UNION ALL SELECT problem_id, candidate_index, (2, candidate_index) FROM lc) GROUP BY 1, 2),
 lists AS (SELECT problem_id, list(candidate_index ORDER BY r) AS chosen_indices FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY o, candidate_index) AS r FROM pl) WHERE r <= 3 GROUP BY 1)"""
@@ -133,10 +170,9 @@ def _(s, d):
     return r9(_examples(s, d)).select("problem_id", "chosen_index", "chosen_score", "chosen_probability", "runner_up_index", "runner_up_score", "score_margin", "probability_margin", "n_candidates")
 
 
-@query("OP-152_typecheck_stats", f"WITH {LINE}, x AS (SELECT problem_id, arg_max(typechecks, (score_a, -candidate_index)) AS top1, max(typechecks) AS any_tc FROM lc GROUP BY 1) SELECT count(*) AS problems, count(*) FILTER (top1) AS top1_ok, count(*) FILTER (NOT top1 AND any_tc) AS rescued, count(*) FILTER (NOT any_tc) AS no_survivors FROM x")
+@query("OP-152_typecheck_stats", f"WITH {LINE}, {_EXAMPLES}, x AS (SELECT problem_id, arg_max(typechecks, (score_a, -candidate_index)) AS top1, max(typechecks) AS any_tc FROM lc GROUP BY 1) SELECT count(*) AS problems, count(*) FILTER (top1) AS top1_ok, round(count(*) FILTER (top1) / count(*)::DOUBLE, 9) AS top1_rate, count(*) FILTER (NOT top1 AND any_tc) AS rescued, count(*) FILTER (NOT any_tc) AS no_survivors, round(avg(chosen_probability), 9) AS mean_chosen_probability, round(avg(probability_margin), 9) AS mean_probability_margin FROM x JOIN ex USING (problem_id)")
 def _(s, d):
-    t = fx.scored_lines(s, d).groupBy("problem_id").agg(F.max_by("typechecks", F.struct("score", -F.col("candidate_index"))).alias("top1"), F.max("typechecks").alias("any_tc"))
-    return t.agg(F.count(F.lit(1)).alias("problems"), F.count_if("top1").alias("top1_ok"), F.count_if(~F.col("top1") & F.col("any_tc")).alias("rescued"), F.count_if(~F.col("any_tc")).alias("no_survivors"))
+    return r9(ev.typecheck_stats(fx.scored_lines(s, d), _examples(s, d)))
 
 
 _CLUSTERS = "rl AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY score_a DESC, candidate_index) AS rank, part % 3 AS component FROM lc), tm AS (SELECT * FROM rl WHERE rank <= 6), sl AS (SELECT problem_id, component, list(score_a ORDER BY score_a DESC) AS s, count(*) AS size, min(rank)::INTEGER AS best_rank FROM tm GROUP BY 1, 2)"
@@ -147,12 +183,22 @@ for _mode, _expr in (("max", "s[1]"), ("mean_top2", "list_avg(s[1:2])"), ("mean_
 
 def _judged(s, d):
     """Conversations with a stand-in for a verifier's score, and their similarities."""
-    c = fx.conv_candidates(s, d).withColumn("score", F.crc32(F.coalesce("candidate", F.lit("")).cast("binary")) % 97 / F.lit(97.0))
+    c = fx.conv_candidates(s, d).withColumn("score", F.length(F.coalesce("candidate", F.lit(""))) * 37 % 97 / F.lit(97.0))
     return c, r9(pr.jaccard_pairs(fx.conv_candidates(s, d)))
 
 
-for _rep in ("best", "simple"):
-    @query(f"OP-153_choice_{_rep}")
+_VC = f"""{_JAC}, {fx.sql_steps('cc', 'problem_id, candidate_index', chr(99) + 'oalesce(candidate, ' + chr(39) * 2 + ')')}, sc AS (SELECT problem_id, candidate_index, length(coalesce(candidate, '')) * 37 % 97 / 97.0::DOUBLE AS score FROM cc),
+rk AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, candidate_index) AS rank FROM sc), tm AS (SELECT rk.*, rank - 1 AS place, length(norm) AS len, round(n_chars / 100.0::DOUBLE + 0.5 * n_binders + 0.25 * n_prop, 9) AS pen FROM rk JOIN (SELECT problem_id, candidate_index, norm, {fx.sql_features('norm')} FROM s4) f USING (problem_id, candidate_index) WHERE rank <= 20),
+pd AS (SELECT jj.problem_id, a.place AS a, b.place AS b, round(jj.score, 9) AS score FROM jj JOIN tm a ON a.problem_id = jj.problem_id AND a.candidate_index = i JOIN tm b ON b.problem_id = jj.problem_id AND b.candidate_index = j),
+pe AS (SELECT problem_id, a, b FROM pd WHERE score >= 0.1 UNION ALL SELECT problem_id, b, a FROM pd WHERE score >= 0.1),
+wk AS (WITH RECURSIVE w(problem_id, place, reach) AS (SELECT problem_id, place, place FROM tm UNION SELECT w.problem_id, w.place, pe.b FROM w JOIN pe ON pe.problem_id = w.problem_id AND pe.a = w.reach) SELECT problem_id, place, min(reach) AS first FROM w GROUP BY 1, 2),
+cl AS (SELECT problem_id, first, list_avg((list(score ORDER BY score DESC))[1:2]) AS cluster_score, count(*) AS size FROM wk JOIN tm USING (problem_id, place) GROUP BY 1, 2),
+bc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY cluster_score DESC, size DESC, first) AS r FROM cl) WHERE r = 1),
+co AS (SELECT pd.problem_id, round(avg(score), 9) AS cohesion FROM pd JOIN bc ON bc.problem_id = pd.problem_id JOIN wk x ON x.problem_id = pd.problem_id AND x.place = pd.a AND x.first = bc.first JOIN wk y ON y.problem_id = pd.problem_id AND y.place = pd.b AND y.first = bc.first GROUP BY 1),
+ins AS (SELECT tm.*, cluster_score, size, max(score) OVER (PARTITION BY problem_id) AS top FROM tm JOIN wk USING (problem_id, place) JOIN bc USING (problem_id, first))"""
+for _rep, _pick in (("best", "SELECT problem_id, arg_min(candidate_index, rank) AS chosen_index, arg_min(score, rank) AS score, any_value(cluster_score) AS cluster_score, any_value(size) AS size FROM ins GROUP BY 1"),
+                    ("simple", "SELECT problem_id, arg_min(candidate_index, (pen, -score, len, candidate_index)) AS chosen_index, arg_min(score, (pen, -score, len, candidate_index)) AS score, any_value(cluster_score) AS cluster_score, any_value(size) AS size FROM ins WHERE score >= top - 0.3 GROUP BY 1")):
+    @query(f"OP-153_choice_{_rep}", f"WITH {CONV}, {_VC}, pk AS ({_pick}) SELECT problem_id, chosen_index, round(score, 9) AS score, round(cluster_score, 9) AS cluster_score, size, coalesce(cohesion, 1.0) AS cohesion FROM pk LEFT JOIN co USING (problem_id)")
     def _(s, d, rep=_rep):
         return r9(se.verifier_choice(*_judged(s, d), 0.1, rep=rep, delta=0.3))
 
@@ -298,11 +344,17 @@ def _(s, d):
     return r9(_examples(s, d).agg(F.avg("score_margin").alias("score_margin"), F.avg("runner_up_score").alias("runner_up_score"), F.count("score_margin").alias("n")))
 
 
-@query("OP-176_ab_totals", f"WITH {LINE}, {_TWO}, n AS (SELECT problem_id, count(*) AS n FROM lc GROUP BY 1) SELECT both_correct + a_only AS a_correct, both_correct + b_only AS b_correct, problems, (SELECT sum(n * (n - 1) // 2)::BIGINT FROM n) AS total_pairs FROM ct")
+_TIMES = [("select_a_seconds", 1.5), ("select_b_seconds", 2.25), ("other", 9.0)]
+
+
+def _ab_metrics(s, d):
+    t = s.createDataFrame(_TIMES, "name string, value double")
+    return ev.ab_metrics(fx.line_candidates(s, d), _correct(s, d, "score_a"), _correct(s, d, "score_b"), t)
+
+
+@query("OP-176_ab_metrics", f"WITH {LINE}, {_TWO}, n AS (SELECT problem_id, count(*) AS n, max(label) AS anyc FROM lc GROUP BY 1), j AS (SELECT * FROM two JOIN n USING (problem_id)), m AS (SELECT count(*) AS problems, count(*) FILTER (anyc = 1) AS with_any, avg(n) AS cpp, sum(n * (n - 1) // 2)::BIGINT AS total_pairs, 100 * avg(a) AS a_pct, 100 * avg(b) AS b_pct, 100 * avg(a) FILTER (anyc = 1) AS ag, 100 * avg(b) FILTER (anyc = 1) AS bg FROM j) SELECT problems, with_any, round(100 * with_any / problems::DOUBLE, 9) AS with_any_pct, round(cpp, 9) AS candidates_per_problem, total_pairs, round(a_pct, 9) AS a_pct, round(b_pct, 9) AS b_pct, round(ag, 9) AS a_given_any_pct, round(bg, 9) AS b_given_any_pct, round(b_pct - a_pct, 9) AS b_minus_a_pct, round(bg - ag, 9) AS b_minus_a_given_any_pct, 1.5::DOUBLE AS a_seconds, 2.25::DOUBLE AS b_seconds FROM m")
 def _(s, d):
-    p = ev.paired(_correct(s, d, "score_a"), _correct(s, d, "score_b"))
-    n = fx.line_candidates(s, d).groupBy("problem_id").count().agg(F.sum((F.col("count") * (F.col("count") - 1) / 2).cast("long")).alias("total_pairs"))
-    return p.crossJoin(F.broadcast(n)).select((F.col("both_correct") + F.col("a_only")).alias("a_correct"), (F.col("both_correct") + F.col("b_only")).alias("b_correct"), "problems", "total_pairs")
+    return r9(_ab_metrics(s, d))
 
 
 @query("OP-177_selection_summary", f"WITH {LINE}, {_SELS}, {_EVAL} SELECT problems, has_any, accepted_correct, round(100.0 * accepted_correct / problems, 7) AS pct, round(100.0 * first_correct / problems, 7) AS first_pct FROM en")
@@ -412,6 +464,26 @@ def _(s, d):
     return r9(ev.miss_buckets(ev.reachable_misses(_ranked(s, d))))
 
 
+_VMISS = f"""vs AS (SELECT *, vec_id * 37 % 101 / 101.0::DOUBLE AS score, row_number() OVER (PARTITION BY problem_id ORDER BY vec_id * 37 % 101 DESC, candidate_index) AS rank FROM vc),
+vm AS (SELECT t.problem_id, t.candidate_index AS top_index, b.rank AS best_rank, t.score - b.score AS gap FROM (SELECT * FROM vs WHERE rank = 1 AND label = 0) t JOIN (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY rank) AS q FROM vs WHERE label = 1) b ON b.problem_id = t.problem_id AND b.q = 1),
+nb AS (SELECT vm.problem_id, count(*) AS topk, count(*) FILTER (round(c.score, 9) >= 0.05) AS near, coalesce(round(max(c.score), 9), 0) AS max_sim FROM vm JOIN vs ON vs.problem_id = vm.problem_id AND vs.rank <= 10 LEFT JOIN cosp c ON c.problem_id = vm.problem_id AND c.i = least(vs.candidate_index, top_index) AND c.j = greatest(vs.candidate_index, top_index) GROUP BY 1)"""
+
+
+def _vec_misses(s, d):
+    ranked = ev.with_rank(fx.vec_candidates(s, d).withColumn("score", F.col("vec_id") * 37 % 101 / F.lit(101.0)))
+    return ev.miss_neighbours(ev.reachable_misses(ranked), ranked, _cos(s, d), 10, 0.05)
+
+
+@query("OP-189_miss_neighbours", f"WITH {VEC}, {_COS}, {_VMISS} SELECT problem_id, top_index, best_rank::INTEGER AS best_rank, round(gap, 9) AS gap, topk, near, max_sim FROM vm JOIN nb USING (problem_id)")
+def _(s, d):
+    return r9(_vec_misses(s, d).select("problem_id", "top_index", "best_rank", "gap", "topk", "near", "max_sim"))
+
+
+@query("OP-189_miss_summary", f"WITH {LINE}, {_RANKED}, {_MISS} SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (best_rank <= {b}) AS le_{b}" for b in (1, 2, 5, 10, 20)) + ", round(avg(gap), 9) AS mean_gap, (list_sort(list(gap)))[count(*) // 2 + 1] AS median_gap FROM ms")
+def _(s, d):
+    return r9(ev.miss_summary(ev.reachable_misses(_ranked(s, d))))
+
+
 @query("OP-190_typecheck_histogram", f"WITH {LINE}, c AS (SELECT problem_id, count(*) FILTER (typechecks) AS n_ok FROM lc GROUP BY 1) SELECT n_ok, count(*) AS problems FROM c GROUP BY 1")
 def _(s, d):
     return fx.line_candidates(s, d).groupBy("problem_id").agg(F.count_if("typechecks").alias("n_ok")).groupBy("n_ok").agg(F.count(F.lit(1)).alias("problems"))
@@ -500,6 +572,12 @@ def _(s, d):
     return x.select("stage", *[F.round(c, 6).alias(c) for c in x.columns[1:]])
 
 
+@query("OP-208_report_at", f"WITH {LINE}, st AS (SELECT * FROM (VALUES ('before', 1.0::DOUBLE), ('after', 2.5)) v(stage, temperature)), q AS (SELECT stage, temperature, label, {SIG('score_a / temperature')} AS p FROM lc, st), lo AS (SELECT stage, temperature, {_NLL} AS nll, avg((p - label) ** 2) AS brier FROM q GROUP BY 1, 2), bi AS (SELECT stage, least(floor(round(p, 12) * 10), 9) AS b, count(*) AS n, abs(avg(round(p, 12)) - avg(label)) AS gap FROM q GROUP BY 1, 2), ec AS (SELECT stage, sum(n * gap) / sum(n) AS ece, max(gap) AS mce FROM bi GROUP BY 1) SELECT stage, temperature, round(nll, 6) AS nll, round(brier, 6) AS brier, round(ece, 6) AS ece, round(mce, 6) AS mce FROM lo JOIN ec USING (stage)")
+def _(s, d):
+    x = cal.report(fx.scored_lines(s, d), temperature=2.5)
+    return x.select("stage", *[F.round(c, 6).alias(c) for c in x.columns[1:]])
+
+
 # --- selective prediction --------------------------------------------------------------------------------------------------------
 
 
@@ -543,7 +621,12 @@ def _(s, d):
     return q.select(*[F.round(c, 8).alias(c) for c in ("auacc", "risk_area", "full_accuracy", "lift", "normalized_area")])
 
 
-@query("OP-213_best_key")
+_KEYS_SQL = f"""kc AS (SELECT problem_id, selected_correct, key, place, round(coalesce(CASE key WHEN 'chosen_probability' THEN chosen_probability WHEN 'probability_margin' THEN probability_margin ELSE score_margin END, 0), 12) AS confidence FROM ex, (VALUES ('chosen_probability', 0), ('probability_margin', 1), ('score_margin', 2)) k(key, place)),
+kv AS (SELECT key, place, row_number() OVER o AS accepted, sum(selected_correct) OVER o AS correct, count(*) OVER (PARTITION BY key) AS n FROM kc WINDOW o AS (PARTITION BY key ORDER BY confidence DESC, problem_id ROWS UNBOUNDED PRECEDING)),
+kt AS (SELECT target, key, place, round(correct / accepted::DOUBLE, 12) AS accuracy FROM kv, (VALUES {', '.join(f'({x}::DOUBLE)' for x in _COV)}) v(target) WHERE accepted = greatest(1, ceil(target * n)))"""
+
+
+@query("OP-213_best_key", f"WITH {LINE}, {_EXAMPLES}, {_KEYS_SQL} SELECT target, arg_max(key, (accuracy, -place)) AS best_key, round(max(accuracy), 9) AS accuracy FROM kt GROUP BY 1")
 def _(s, d):
     return r9(sv.best_key_per_coverage(_examples(s, d), _COV))
 
@@ -566,9 +649,46 @@ def _(s, d):
     return s.createDataFrame([(0.6, round(sv.resolve_threshold(None, rows, 0.6), 9))], "target double, threshold double")
 
 
-@query("OP-216_leave_one_out")
+def _loo_sql() -> str:
+    keys = []
+    for name, k, ok in (("f", "accepted", "correct"), ("0", "(accepted - 1)", "correct"), ("1", "(accepted - 1)", "(correct - 1)")):
+        low, acc = f"round({W(ok, k, 'low')}, 12)", f"round({R(ok, k)}, 12)"
+        keys.append(f"CASE WHEN {k} >= 5 AND {low} >= 0.6 THEN struct_pack(k := {k}, low := {low}, acc := {acc}, thr := threshold) END AS c{name}, CASE WHEN {k} >= 5 THEN struct_pack(low := {low}, acc := {acc}, k := {k}, thr := threshold) END AS b{name}")
+    before = lambda x: f"max({x}) OVER (ORDER BY accepted ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    after = lambda x: f"max({x}) OVER (ORDER BY accepted DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    best = lambda a, b: f"CASE WHEN {a} IS NULL THEN {b} WHEN {b} IS NULL THEN {a} WHEN {a} >= {b} THEN {a} ELSE {b} END"
+    return f"""lk AS (SELECT problem_id, selected_correct, threshold, accepted, correct, {', '.join(keys)} FROM cw),
+lw AS (SELECT problem_id, selected_correct, threshold, {before('cf')} AS pc, {before('bf')} AS pb, CASE WHEN selected_correct = 1 THEN {after('c1')} ELSE {after('c0')} END AS ac, CASE WHEN selected_correct = 1 THEN {after('b1')} ELSE {after('b0')} END AS ab FROM lk),
+lf AS (SELECT problem_id, selected_correct, threshold, {best('pc', 'ac')} AS c, {best('pb', 'ab')} AS b FROM lw),
+ll AS (SELECT problem_id AS omitted, selected_correct AS omitted_correct, threshold AS omitted_confidence, c IS NOT NULL AS meets_target, coalesce(c.thr, b.thr) AS loo_threshold FROM lf),
+en AS (SELECT threshold, max(accepted) AS accepted, max(correct) AS correct FROM cw GROUP BY 1),
+fu AS (SELECT coalesce(max(cf).thr, max(bf).thr) AS full_threshold FROM lk), fn AS (SELECT full_threshold, accepted AS n_full FROM fu JOIN en ON threshold = full_threshold),
+folds AS (SELECT omitted, loo_threshold, meets_target, omitted_confidence, omitted_confidence >= loo_threshold AS omitted_accepted, omitted_correct, full_threshold, omitted_confidence >= full_threshold AS full_accepts_omitted, loo_threshold - full_threshold AS threshold_delta, accepted AS full_accepted, correct AS full_correct,
+  accepted - (omitted_confidence >= loo_threshold)::INTEGER AS train_accepted, correct - (omitted_confidence >= loo_threshold AND omitted_correct = 1)::INTEGER AS train_correct, accepted - n_full AS accepted_delta, least(accepted, n_full) / greatest(accepted, n_full)::DOUBLE AS jaccard FROM ll LEFT JOIN en ON en.threshold = loo_threshold, fn)"""
+
+
+_LOO = f"WITH {LINE}, {_EXAMPLES}, {_CURVE}, {_loo_sql()}"
+_LOO_ROUND = "* REPLACE (round(loo_threshold, 9) AS loo_threshold, round(omitted_confidence, 9) AS omitted_confidence, round(full_threshold, 9) AS full_threshold, round(threshold_delta, 9) AS threshold_delta, round(jaccard, 9) AS jaccard)"
+
+
+def _folds(s, d):
+    return sv.leave_one_out(sv.with_confidence(_examples(s, d), "chosen_probability"), 0.6)
+
+
+@query("OP-216_leave_one_out", f"{_LOO} SELECT {_LOO_ROUND} FROM folds")
+def _(s, d):
+    return r9(_folds(s, d))
+
+
+@query("OP-216_stability", f"{_LOO} SELECT count(*) AS folds, count(*) FILTER (abs(threshold_delta) > 1e-12) AS changed, count(DISTINCT round(loo_threshold, 12)) AS distinct_thresholds, round(min(loo_threshold), 9) AS threshold_min, round(max(loo_threshold), 9) AS threshold_max, min(train_accepted) AS train_accepted_min, max(train_accepted) AS train_accepted_max, min(full_accepted) AS full_accepted_min, max(full_accepted) AS full_accepted_max, round(min(jaccard), 9) AS jaccard_min, round(avg(jaccard), 7) AS jaccard_mean, count(*) FILTER (meets_target) AS meets_target, count(*) FILTER (omitted_accepted) AS heldout_accepted, count(*) FILTER (omitted_accepted AND omitted_correct = 1) AS heldout_correct FROM folds")
+def _(s, d):
+    x = sv.stability(_folds(s, d))
+    return r9(x.withColumn("jaccard_mean", F.round("jaccard_mean", 7)).drop("threshold_mean", "heldout_rejected", "heldout_accuracy", "heldout_low", "heldout_high", "changed_rate"))
+
+
+@query("OP-216_sensitive_omissions", f"{_LOO} SELECT omitted, round(threshold_delta, 9) AS threshold_delta, accepted_delta FROM folds ORDER BY abs(folds.threshold_delta) DESC, abs(folds.accepted_delta) DESC, omitted DESC LIMIT 10")
 def _(s, d):
-    return r9(sv.leave_one_out(sv.with_confidence(_examples(s, d), "chosen_probability"), 0.6))
+    return r9(sv.sensitive_omissions(_folds(s, d)).select("omitted", "threshold_delta", "accepted_delta"))
 
 
 @query("OP-217_casebook", f"WITH {LINE}, {_EXAMPLES}, {_CURVE}, {_APPLY}, {_RANKED}, bc AS (SELECT problem_id, min(rank) FILTER (label = 1) AS best_rank FROM rk GROUP BY 1) SELECT problem_id, CASE WHEN accepted AND selected_correct = 1 THEN 'accepted_correct' WHEN accepted AND has_any_correct = 1 THEN 'accepted_missed' WHEN accepted THEN 'accepted_no_correct' WHEN selected_correct = 1 THEN 'abstained_correct' WHEN has_any_correct = 1 THEN 'abstained_missed' ELSE 'abstained_no_correct' END AS kind, round(confidence - 0.7, 9) AS distance, best_rank FROM ap JOIN bc USING (problem_id)")

@@ -4,15 +4,9 @@ Files are made in scratch space from whole tables and read back by the source un
 """
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from quorate import reports
-from quorate.functions import text as tx
 from quorate.operators import candidates as ca
 from quorate.operators import evaluation as ev
 from quorate.operators import graph, scorers
@@ -20,18 +14,11 @@ from quorate.operators import selection as se
 from quorate.plans import fixtures as fx
 from quorate.plans.catalog import _ARGMAX, _COS, CONV, LINE, VEC, _cos, _selections, query, r9
 from quorate.plans.steps import Steps
+from quorate.scratch import path as scratch
 from quorate.sources import jsonl
 from quorate.streaming import live
 
 
-def scratch(spark, label: str) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="quorate-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def _jsonl(s, d):
     """Every conversation turn as a line; conversations are the keys, so all but one line per key are duplicates."""
     path = scratch(s, "jsonl")
@@ -55,6 +42,15 @@ def _(s, d):
     return jsonl.read_rows(s, path, _SCHEMA).select("problem_id", "row_no", "candidate")
 
 
+@query("OP-002_faulty_lines", f"WITH {CONV}, n AS (SELECT *, 3 * row_number() OVER (ORDER BY problem_id, row_no) AS line FROM cc) SELECT line, 'problem_id is missing' AS fault FROM n WHERE problem_id % 5 = 0")
+def _(s, d):
+    """A file in which a blank line and one of white space stand before each row, and some rows lack their key."""
+    path = scratch(s, "faults")
+    row = F.to_json(F.struct(F.when(F.col("problem_id") % 5 != 0, F.col("problem_id")).alias("problem_id"), "row_no", "candidate"))
+    fx.conv_candidates(s, d).coalesce(1).sortWithinPartitions("problem_id", "row_no").select(F.concat(F.lit("\n \t\u00a0\n"), row).alias("value")).write.text(path)
+    return jsonl.faulty_lines(s, path).select("line", "fault")
+
+
 @query("OP-003_jsonl_rows", f"WITH {CONV} SELECT problem_id, row_no FROM cc")
 def _(s, d):
     return jsonl.read_rows(s, _jsonl(s, d), _SCHEMA).select("problem_id", "row_no")
@@ -74,7 +70,8 @@ _SPLIT = lambda name: f"SELECT DISTINCT conv_id AS problem_id, '{name}' AS split
 
 @query("OP-004_resolve_split", _SPLIT("validation"))
 def _(s, d):
-    return jsonl.resolve_split(s, _folder(s, d, "train", "validation", "test"), "valid")
+    # a published name, which a local folder stands for
+    return jsonl.resolve_split(s, "org/talks", "valid", names={"org/talks": _folder(s, d, "train", "validation", "test")})
 
 
 @query("OP-005_parquet_folder", _SPLIT("test"))
@@ -94,13 +91,9 @@ def _(s, d):
 
 @query("OP-008_arrow_cache", "SELECT r_regionkey, r_name FROM region")
 def _(s, d):
-    import pyarrow as pa
-
-    path = tempfile.mktemp(suffix=".arrow")
-    t = fx.table(s, d, "region").toArrow()
-    with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, t.schema) as w:
-        w.write_table(t)
-    return jsonl.read_arrow(s, path)
+    path = scratch(s, "cached")
+    jsonl.write_arrow_splits({"train": fx.table(s, d, "nation"), "test": fx.table(s, d, "region")}, path)
+    return jsonl.resolve_split(s, "org/regions", "test", names={"org/regions": path})
 
 
 @query("OP-010_local_names", "SELECT * FROM (VALUES ('org/set-a', '/data/a'), ('org/other', 'org/other')) t(name, place)")
@@ -179,6 +172,18 @@ def _(s, d):
     return s.createDataFrame([(text.splitlines()[0].removeprefix("# "), sum(x.startswith("|") for x in text.splitlines()))], "title string, table_lines long")
 
 
+_AB_SQL = "SELECT '# a and b' AS title, 8 AS lines, count(*) AS problems FROM (SELECT DISTINCT l_orderkey FROM lineitem)"
+
+
+@query("OP-020_ab_report", _AB_SQL)
+def _(s, d):
+    from quorate.plans.catalog2 import _ab_metrics
+
+    m = _ab_metrics(s, d)
+    text = reports.ab_metrics(m, "a", "b")
+    return s.createDataFrame([(text.splitlines()[0], len([x for x in text.splitlines() if x.startswith("|")]), m.first()["problems"])], "title string, lines int, problems long")
+
+
 @query("OP-021_resumable_sink", f"WITH {LINE}, {_ARGMAX} SELECT problem_id, chosen_index FROM pick")
 def _(s, d):
     path = scratch(s, "resume")
@@ -196,6 +201,17 @@ def _(s, d):
     return jsonl.cache_misses(rows, known).select("problem_id", "row_no", "key")
 
 
+@query("OP-023_id_lists", "SELECT CASE WHEN o_orderkey % 10 < 8 THEN 'train' ELSE 'test' END AS split, count(*) AS n, min(o_orderkey::VARCHAR) AS first, max(o_orderkey::VARCHAR) AS last FROM orders GROUP BY 1")
+def _(s, d):
+    path = scratch(s, "lists")
+    jsonl.write_id_lists(fx.table(s, d, "orders").select(F.col("o_orderkey").alias("problem_id"), F.when(F.col("o_orderkey") % 10 < 8, "train").otherwise("test").alias("split")), path)
+    out = None
+    for name in ("train", "test"):
+        ids = s.read.text(f"{path}/{name}_ids").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first"), F.max("value").alias("last")).select(F.lit(name).alias("split"), "*")
+        out = ids if out is None else out.unionByName(ids)
+    return out
+
+
 @query("OP-023_split_writer", "SELECT o_orderkey AS problem_id, CASE WHEN o_orderkey % 10 < 8 THEN 'train' ELSE 'test' END AS split FROM orders")
 def _(s, d):
     path = scratch(s, "written")
@@ -261,11 +277,11 @@ def _(s, d):
     return scorers.checked(c, lambda v: v.str.len() % 3 == 0, cache).select("problem_id", "candidate_index", "typechecks")
 
 
-@query("OP-257_sampler", "SELECT c.problem_id, i::INTEGER AS candidate_index, 'sample ' || i AS candidate FROM (SELECT DISTINCT conv_id AS problem_id FROM conversations) c, range(3) t(i)")
+@query("OP-257_sampler", "SELECT c.problem_id, i::INTEGER AS candidate_index, 'about ' || c.problem_id || ' by ' || (7 * c.problem_id + i) AS candidate FROM (SELECT DISTINCT conv_id AS problem_id FROM conversations) c, range(3) t(i)")
 def _(s, d):
-    p = fx.table(s, d, "conversations").select(F.col("conv_id").alias("problem_id")).distinct().withColumn("prompt", F.lit("p"))
-    out = scorers.sample_candidates(p, "prompt", 3, lambda prompt, seed: prompt + seed.astype(str))
-    return out.select("problem_id", "candidate_index", F.concat(F.lit("sample "), F.col("candidate_index").cast("string")).alias("candidate"))
+    p = fx.table(s, d, "conversations").select(F.col("conv_id").alias("problem_id")).distinct().withColumn("prompt", F.concat(F.lit("about "), F.col("problem_id").cast("string")))
+    # the stand-in for a model answers with its prompt and seed
+    return scorers.sample_candidates(p, "prompt", 3, lambda prompt, seed: prompt + " by " + seed.astype(str), seed=lambda i: 7 * F.col("problem_id") + i).select("problem_id", "candidate_index", "candidate")
 
 
 @query("OP-258_timed_steps", f"WITH {LINE}, {_ARGMAX} SELECT 'choose' AS step, count(*) AS rows FROM pick UNION ALL SELECT 'evaluate', 1")

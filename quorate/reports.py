@@ -43,6 +43,33 @@ def comparison(paired: DataFrame, a: str, b: str) -> str:
     return f"# {a} and {b}\n\nBoth correct {r['both_correct']}, only {a} {r['a_only']}, only {b} {r['b_only']}, neither {r['neither']}; difference {100 * r['b_minus_a']:+.1f} points, exact sign test p = {r['p_value']:.6g}.\n"
 
 
+def ab_metrics(metrics: DataFrame, a: str, b: str) -> str:
+    """The A/B report over evaluation.ab_metrics(): one table row for each method, and the difference."""
+    r = metrics.first()
+    num = lambda x, form="{:.1f}": "-" if x is None else form.format(x)
+    lines = [f"# {a} and {b}", "", f"{r['problems']} problems, {r['with_any']} with a correct candidate; {r['total_pairs']} pairs of candidates, {num(r['candidates_per_problem'])} candidates a problem.", "",
+             "| method | selected correct (%) | given any correct (%) | seconds |", "|-|-|-|-|"]
+    for side, name in (("a", a), ("b", b)):
+        lines.append(f"| {name} | {num(r[f'{side}_pct'])} | {num(r[f'{side}_given_any_pct'])} | {num(r[f'{side}_seconds'], '{:.3f}')} |")
+    lines += ["", "| difference | points |", "|-|-|", f"| {b} minus {a}, selected correct | {r['b_minus_a_pct']:+.1f} |", f"| {b} minus {a}, given any | {r['b_minus_a_given_any_pct']:+.1f} |"]
+    return "\n".join(lines) + "\n"
+
+
+def results(metrics: DataFrame, wins: dict[tuple[str, str], DataFrame], title: str = "Results") -> str:
+    """The results report: (method, problems, n_correct, n_any, n_correct_any) rows against the oracle's ceiling, and paired wins."""
+    rows = metrics.orderBy("method").collect()
+    lines = [f"# {title}", ""]
+    if rows:
+        r = rows[0]
+        lines += [f"Oracle ceiling (any correct): {100 * r['n_any'] / max(1, r['problems']):.1f}% ({r['n_any']}/{r['problems']})", ""]
+    lines += ["| method | selected correct (%) | given any correct (%) | problems |", "|-|-|-|-|"]
+    lines += [f"| {r['method']} | {100 * r['n_correct'] / max(1, r['problems']):.1f} | {100 * r['n_correct_any'] / max(1, r['n_any']):.1f} | {r['problems']} |" for r in rows]
+    for (x, y), df in wins.items():
+        w = df.first()
+        lines += ["", f"Paired wins: {x} against {y} = {w['wins']}/{w['losses']}/{w['ties']} (n={w['wins'] + w['losses'] + w['ties']})"]
+    return "\n".join(lines) + "\n"
+
+
 def leaderboard(summary: DataFrame, frontier: DataFrame, matrix: DataFrame, cases: DataFrame) -> str:
     return report("Leaderboard", [("Methods", summary.orderBy("place")), ("Coverage and accuracy frontier", frontier.orderBy("coverage")), ("Pairs", matrix.orderBy("a", "b")), ("Disagreements", cases.orderBy("method", "place"))])
 

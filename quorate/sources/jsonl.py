@@ -5,7 +5,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorate import scratch
 from quorate.functions import stats as st
+from quorate.functions import text as tx
 
 BOM = "﻿"
 #: The names under which a split may be stored, and where a missing training split is taken from.
@@ -14,9 +16,38 @@ TRAIN_FALLBACK = ["valid", "test"]
 
 
 def read_rows(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Every non-blank line as a row, duplicates kept, with file and place in it (__file, __place)."""
+    """Every line that is not white space alone as a row, duplicates kept, with file and place in it (__file, __start, __place)."""
     lines = spark.read.text(path).select(F.regexp_replace("value", f"^{BOM}", "").alias("value"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__place"))
-    return lines.filter(F.trim("value") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), "__file", "__start", "__place").select("r.*", "__file", "__start", "__place")
+    return lines.filter(tx.squeeze(F.col("value")) != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), "__file", "__start", "__place").select("r.*", "__file", "__start", "__place")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): every line of the files with its number in its file, from 1, the byte-order mark removed.
+
+    Blocks of a file are counted first, so that only a block's own lines are numbered in one place.
+    """
+    at = ["__file", "__start"]
+    lines = scratch.table(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__place")), "lines")
+    # one row for each block
+    blocks = lines.groupBy(*at).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy(*at).orderBy("__place"))
+    out = lines.withColumn("__own", inside).join(blocks.select(*at, before.alias("__before")), at)
+    return out.select(F.col("__file").alias("file"), (F.col("__before") + F.col("__own")).alias("line"), F.regexp_replace("value", f"^{BOM}", "").alias("value"))
+
+
+def faulty_lines(spark: SparkSession, path: str, key: str = "problem_id") -> DataFrame:
+    """(file, line, fault) of lines that are not blank and have no key, or are no JSON object."""
+    rows = numbered_lines(spark, path).filter(tx.squeeze(F.col("value")) != "")
+    value = F.get_json_object("value", f"$.{key}")
+    fault = F.when(~F.trim("value").startswith("{") | F.json_object_keys("value").isNull(), "not an object").when(value.isNull(), f"{key} is missing")
+    return rows.select("file", "line", fault.alias("fault")).filter("fault is not null")
+
+
+def require_keys(spark: SparkSession, path: str, key: str = "problem_id") -> None:
+    """An error that names file and line of the first faulty line."""
+    for r in faulty_lines(spark, path, key).orderBy("file", "line").limit(1).collect():
+        raise ValueError(f"{r['fault']} at {r['file']}:{r['line']}")
 
 
 def read_keyed(spark: SparkSession, path: str, schema: str | T.StructType, key: str = "problem_id", first: bool = False) -> DataFrame:
@@ -48,21 +79,32 @@ def temperature(js: F.Column, default: float = 1.0):
     return F.coalesce(*[F.when((v > 0) & (v < float("inf")), v) for v in values], F.lit(default))
 
 
-def resolve_split(spark: SparkSession, path: str, split: str, formats: tuple[str, ...] = ("parquet", "jsonl", "json")) -> DataFrame:
-    """A split of a folder by its file names; a missing training split falls back to valid, then test. A single file is a split itself."""
+def resolve_split(spark: SparkSession, path: str, split: str, formats: tuple[str, ...] = ("parquet", "jsonl", "json", "arrow"), names: dict[str, str] | None = None) -> DataFrame:
+    """A split of a folder by its file names; a missing training split falls back to valid, then test. A single file is a split itself.
+
+    ``names`` maps published names to the folders that stand for them.  Arrow files, by split or one folder of them per split, are read as caches.
+    """
+    path = local_name(path, names or {})
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.getFileStatus(root).isFile():
         return spark.read.parquet(path) if path.endswith(".parquet") else spark.read.json(path)
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    found = [s.getPath().getName() for s in fs.listStatus(root)]
     tried = [split] + (TRAIN_FALLBACK if split == "train" else [])
     for want in tried:
         for fmt in formats:
-            hits = [n for n in names if n.endswith(f".{fmt}") and any(n.startswith(p) for p in SPLIT_NAMES.get(want, [want]))]
-            if hits:
-                files = [f"{path.rstrip('/')}/{n}" for n in sorted(hits)]
-                return spark.read.parquet(*files) if fmt == "parquet" else spark.read.json(files)
+            mine = [n for n in found if any(n.startswith(p) for p in SPLIT_NAMES.get(want, [want]))]
+            hits = [f"{path.rstrip('/')}/{n}" for n in sorted(mine) if n.endswith(f".{fmt}")]
+            if fmt == "arrow":
+                for n in sorted(mine):  # a cached split is a folder of Arrow files
+                    inner = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{n}")
+                    if fs.getFileStatus(inner).isDirectory():
+                        hits += sorted(f"{path.rstrip('/')}/{n}/{s.getPath().getName()}" for s in fs.listStatus(inner) if s.getPath().getName().endswith(".arrow"))
+                if hits:
+                    return read_arrow(spark, hits)
+            elif hits:
+                return spark.read.parquet(*hits) if fmt == "parquet" else spark.read.json(hits)
     raise FileNotFoundError(f"no split {split!r} in {path}")
 
 
@@ -71,17 +113,70 @@ def local_name(name: str, known: dict[str, str]) -> str:
     return known.get(name.strip().rstrip("/"), name)
 
 
-def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """An Arrow stream or file as a table; the driver reads it, so it is for small caches."""
+def _arrow_batches(path: str):
+    """Record batches of an Arrow file or stream, one at a time."""
     import pyarrow as pa
+    from pyarrow import fs
 
-    with pa.memory_map(path) as f:
+    scheme, colon, rest = path.partition(":")
+    where, name = fs.FileSystem.from_uri(f"{scheme}://{rest}" if colon and not rest.startswith("//") else path if colon else f"file://{path}")
+    with where.open_input_file(name) as f:
         try:
-            t = pa.ipc.open_file(f).read_all()
+            r = pa.ipc.open_file(f)
+            yield r.schema
+            for i in range(r.num_record_batches):
+                yield r.get_batch(i)
         except pa.ArrowInvalid:
             f.seek(0)
-            t = pa.ipc.open_stream(f).read_all()
-    return spark.createDataFrame(t)
+            r = pa.ipc.open_stream(f)
+            yield r.schema
+            yield from r
+
+
+def read_arrow(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Arrow files or streams as a table: the schema comes from the first, and executors read the files, a record batch at a time."""
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    paths = [paths] if isinstance(paths, str) else paths
+    schema = from_arrow_schema(next(_arrow_batches(paths[0])))
+
+    def run(batches):
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                content = _arrow_batches(p)
+                next(content)
+                yield from content
+
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths), "path")
+    return files.mapInArrow(run, schema)
+
+
+def write_arrow_splits(splits: dict[str, DataFrame], path: str) -> None:
+    """A cached data set: a folder for each split with an Arrow file for each of its parts, written by the executors."""
+    import pyarrow as pa
+    from pyarrow import fs
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    for name, df in splits.items():
+        where, folder = fs.FileSystem.from_uri(f"{path}/{name}" if "://" in path else f"file://{path}/{name}")
+        where.create_dir(folder, recursive=True)
+        kinds = to_arrow_schema(df.schema)
+
+        def run(batches, uri=f"{path}/{name}" if "://" in path else f"file://{path}/{name}", kinds=kinds):
+            import uuid
+
+            fs_, target = fs.FileSystem.from_uri(uri)
+            part = f"{target}/{uuid.uuid4().hex}"
+            n = 0
+            with fs_.open_output_stream(f"{part}.part", compression=None) as f, pa.ipc.new_file(f, kinds) as w:
+                for b in batches:
+                    w.write_batch(pa.RecordBatch.from_arrays([c.cast(k.type) for c, k in zip(b.columns, kinds)], schema=kinds))
+                    n += b.num_rows
+            yield pa.RecordBatch.from_pydict({"part": [part if n else None]})
+
+        # a repeated task leaves a part that nobody names
+        for r in df.mapInArrow(run, "part string").filter("part is not null").collect():
+            where.move(f"{r['part']}.part", f"{r['part']}.arrow")
 
 
 def inspect(df: DataFrame, n: int = 3, width: int = 160) -> DataFrame:
@@ -135,6 +230,14 @@ def write_splits(df: DataFrame, path: str, split_col: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(split_col).json(path)
 
 
+def write_id_lists(df: DataFrame, path: str, split_col: str = "split", key: str = "problem_id") -> None:
+    """<split>_ids beside the splits: each split's distinct ids as text, sorted, in ranges of files."""
+    ids = scratch.table(df.select(F.col(split_col).alias("split"), F.col(key).cast("string").alias("id")).distinct(), "ids")
+    # a bounded number of split names
+    for r in ids.select("split").distinct().collect():
+        ids.filter(F.col("split") == r["split"]).select("id").orderBy("id").write.mode("overwrite").text(f"{path}/{r['split']}_ids")
+
+
 def first_ids(rows: DataFrame, order: str, max_rows: int = 0, max_problems: int = 0) -> DataFrame:
     """At most max_rows rows in order; then only rows of the first max_problems distinct ids."""
     from quorate.operators.candidates import first_problems

@@ -29,10 +29,12 @@ def _best(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.Dat
     index, score = state.get if state.exists else (None, None)
     before = index
     for pdf in batches:
-        for r in pdf.itertuples():
-            better = score is None or r.score > score or (r.score == score and r.candidate_index < index)
-            if better:
-                index, score = int(r.candidate_index), float(r.score)
+        if not len(pdf):
+            continue
+        top = float(pdf["score"].max())
+        first = int(pdf.loc[pdf["score"] == top, "candidate_index"].min())
+        if score is None or top > score or (top == score and first < index):
+            index, score = first, top
     state.update((index, score))
     if index != before:
         yield pd.DataFrame({"problem_id": [key[0]], "chosen_index": [index], "score": [score]})

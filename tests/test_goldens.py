@@ -34,11 +34,21 @@ def test_recommendations(decisions):
 
 def test_leave_one_out(decisions):
     folds = sv.leave_one_out(sv.with_confidence(decisions, "chosen_probability"), 0.5, 5)
-    full = sv.recommend(sv.prefix_curve(sv.with_confidence(decisions, "chosen_probability")), [0.5], 5).first()["threshold"]
-    s = sv.stability(folds, full).first()
+    s = sv.stability(folds).first()
     assert (s["folds"], s["changed"], s["distinct_thresholds"], s["heldout_accepted"], s["heldout_correct"]) == (55, 36, 3, 36, 24)
     counts = {round(r["loo_threshold"], 4): r["count"] for r in folds.groupBy("loo_threshold").count().collect()}
     assert counts == {0.6006: 24, 0.5413: 19, 0.5132: 12}
+    assert round(s["jaccard_min"], 4) == 0.9722 and s["heldout_rejected"] == 19
+    rows = decisions.orderBy("problem_id").collect()
+    assert {r["threshold"]: r["resamples"] for r in sv.threshold_values(folds).collect()}.keys() == {round(r["loo_threshold"], 12) for r in folds.collect()}
+    for f in folds.collect():
+        kept = [r for r in rows if round(r["chosen_probability"], 12) >= f["loo_threshold"]]
+        train = [r for r in kept if r["problem_id"] != f["omitted"]]
+        assert (f["full_accepted"], f["full_correct"], f["train_accepted"], f["train_correct"]) == (len(kept), sum(r["selected_correct"] for r in kept), len(train), sum(r["selected_correct"] for r in train))
+        full = [r for r in rows if round(r["chosen_probability"], 12) >= f["full_threshold"]]
+        assert f["jaccard"] == pytest.approx(min(len(kept), len(full)) / max(len(kept), len(full))) and f["accepted_delta"] == len(kept) - len(full)
+    top = sv.sensitive_omissions(folds, 5).collect()
+    assert [abs(r["threshold_delta"]) for r in top] == sorted((abs(r["threshold_delta"]) for r in folds.collect()), reverse=True)[:5]
 
 
 def test_abstention_policy(decisions):

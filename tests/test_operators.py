@@ -221,7 +221,7 @@ def test_global_prefix_matches_one_window(spark):
 
     rng = random.Random(1)
     rows = [(i, rng.choice((0.1, 0.5, rng.random())), rng.randint(0, 1)) for i in range(500)]
-    got = {r["id"]: (r["k"], r["n"], r["s"]) for r in global_prefix(spark.createDataFrame(rows, "id int, x double, y int"), "x", "id", {"s": "y"}, ranges=7).collect()}
+    got = {r["id"]: (r["k"], r["n"], r["s"]) for r in global_prefix(spark.createDataFrame(rows, "id int, x double, y int"), "x", "id", {"s": "y"}, range_rows=70).collect()}
     total = 0
     for k, (i, _, y) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1):
         total += y
