@@ -1,10 +1,6 @@
 """Shared helpers: tables, scratch space that all executors see, and batched text maps."""
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,100 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorate import scratch
+from quorate.joins import HOT_KEYS, PART, hot_limit, in_few_tasks, parts_of, spread_join  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a folder of this process where it is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.conf.get("spark.quorate.scratch", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="quorate-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        root = f"file://{root}"
-        spark.conf.set("spark.quorate.scratch", root)
-    return root.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/quorate-{label}-{uuid.uuid4().hex}"
+    return scratch.path(spark, label)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write a table in the shared folder and read it back. Survives the loss of any executor."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return read_back(spark, path, df.schema)
+    return scratch.table(df, label)
 
 
-def read_back(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A table that materialize() wrote, in any session of the application."""
-    out = spark.read.schema(schema).parquet(path)
-    out._quorate_path = path
-    return out
+read_back, discard = scratch.read, scratch.discard
 
 
 def path_of(df: DataFrame) -> str:
     return df._quorate_path
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete tables made by materialize() that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_quorate_path", None)
-        if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-
-
-#: A key with more than this share of all rows is hot, so that there are fewer hot keys than this, whatever the data: they can be broadcast.
-HOT_KEYS = 10_000
-#: Rows of a hot key that meet in one place, about.
-PART = 64
-
-
-#: Rows of a slim table that one task aggregates, about.
-ROWS_A_TASK = 200_000
-
-
-def in_few_tasks(df: DataFrame, n_rows: int) -> DataFrame:
-    """The rows in as many tasks as they are worth, without a shuffle. A key that is in every task gives the aggregation one partial row for
-    each, so that a table of many small files would send more rows of a hot key than of all others."""
-    return df.coalesce(max(1, -(-n_rows // ROWS_A_TASK)))
-
-
-def hot_limit(n_rows: int) -> int:
-    """A key with more rows than this is hot."""
-    return max(PART, n_rows // HOT_KEYS)
-
-
-def parts_of(count: str, n_rows: int):
-    """Parts that the rows of a key are dealt into, by their counted number: 1 unless the key is hot."""
-    return F.when(F.col(count) > hot_limit(n_rows), F.ceil(F.col(count) / PART)).otherwise(F.lit(1)).cast("int")
-
-
-def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], count: str, n_rows: int, how: str = "inner") -> DataFrame:
-    """Join rows with ``one``, which has a row for each key that is looked for, and for each hot key, with the counted number of the key's rows in
-    column ``count`` (dropped).
-
-    The rows of a hot key are dealt into parts by its count, and its row of ``one`` is copied to each part, so that no key's rows meet in
-    one task.  The table of hot keys that tells rows of their number of parts has fewer than HOT_KEYS rows.  ``rows`` should be a table
-    that was written, as rows are dealt by their place in it.
-    """
-    parts = one.withColumn("__q_k", parts_of(count, n_rows))
-    hot = parts.filter("__q_k > 1").select(*[F.col(k).alias(f"__q_hot{i}") for i, k in enumerate(keys)], F.col("__q_k").alias("__q_of"))
-    same = [F.col(k) == F.col(f"__q_hot{i}") for i, k in enumerate(keys)]
-    dealt = rows.join(F.broadcast(hot), same, "left").withColumn("__q_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("__q_of", F.lit(1))).cast("int"))
-    dealt = dealt.drop("__q_of", *[f"__q_hot{i}" for i in range(len(keys))])
-    copies = parts.withColumn("__q_part", F.explode(F.sequence(F.lit(0), F.col("__q_k") - 1))).drop("__q_k", count)
-    return dealt.join(copies, [*keys, "__q_part"], how).drop("__q_part")
-
-
 def text_slices(column: pa.Array, max_chars: int) -> Iterator[tuple[int, list[str | None]]]:
     """(place, texts) of a column in consecutive lists of whole texts of about max_chars bytes each; one list at a time is in Python."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
