@@ -308,9 +308,10 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     def members(edges: DataFrame) -> DataFrame:
         """(node, root, parts, part): all nodes of all groups, roots included; a hot group's nodes are dealt into parts by its size."""
-        every = edges.select("node", "root").unionByName(edges.select(F.col("root").alias("node"), "root").distinct())
-        # fewer than HOT_KEYS rows, by hot_limit()
         n = edges.count()
+        # the scan's few large parts and the roots' many small ones become parts of a size
+        every = in_few_tasks(edges.select("node", "root").unionByName(edges.select(F.col("root").alias("node"), "root").distinct()), 2 * n)
+        # fewer than HOT_KEYS rows, by hot_limit()
         hot = in_few_tasks(edges, n).groupBy("root").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot_limit(n)).select(F.col("root").alias("__q_r"), F.ceil(F.col("c") / PART).cast("int").alias("__q_k"))
         parts = F.coalesce("__q_k", F.lit(1))
         return every.join(F.broadcast(hot), F.col("root") == F.col("__q_r"), "left").select("node", "root", parts.alias("parts"), F.pmod(F.xxhash64("node", F.lit(2)), parts).cast("int").alias("part"))
