@@ -214,11 +214,29 @@ def _(s, d):
     return se.first_candidate(c).withColumnRenamed("chosen_index", "first_index").join(se.shortest(c).withColumnRenamed("chosen_index", "shortest_index"), "problem_id")
 
 
-@query("OP-156_audit")
-def _(s, d):
+def _audit(s, d):
     c = fx.vec_candidates(s, d).withColumn("candidate", F.concat(F.lit("vector "), F.col("vec_id").cast("string")))
     comps, _stats = graph.ranked_components(_nodes(s, d), _cos(s, d), _T)
-    return se.audit(c, comps, _cos(s, d)).select("problem_id", F.to_json("components").alias("components"), F.to_json("top_edges").alias("top_edges"), F.to_json("candidates").alias("candidates"))
+    return se.audit(c, r9(comps), _cos(s, d))
+
+
+_AUDIT_RANK = "ak AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY size DESC, cohesion DESC, component) AS rank FROM cst)"
+
+
+@query("OP-156_audit_components", f"WITH {VEC}, {_COS}, {_EDGES}, {_COMPS}, {_COMPSTAT}, {_AUDIT_RANK} SELECT problem_id, rank::INTEGER AS rank, array_to_string(indices, ',') AS indices, size::INTEGER AS size, cohesion, (SELECT sum(vc.label)::BIGINT FROM vc WHERE vc.problem_id = ak.problem_id AND list_contains(ak.indices, vc.candidate_index)) AS n_labeled_correct FROM ak WHERE rank <= 3")
+def _(s, d):
+    x = _audit(s, d).select("problem_id", F.explode("components").alias("c")).select("problem_id", "c.*")
+    return x.select("problem_id", "rank", F.array_join(F.transform("indices", lambda v: v.cast("string")), ",").alias("indices"), "size", "cohesion", "n_labeled_correct")
+
+
+@query("OP-156_audit_edges", f"WITH {VEC}, {_COS} SELECT problem_id, r::INTEGER AS r, i, j, score FROM (SELECT problem_id, i, j, round(score, 9) AS score, row_number() OVER (PARTITION BY problem_id ORDER BY round(score, 9) DESC, i, j) AS r FROM cosp) WHERE r <= 5")
+def _(s, d):
+    return r9(_audit(s, d).select("problem_id", F.explode("top_edges").alias("e")).select("problem_id", "e.*"))
+
+
+@query("OP-156_audit")
+def _(s, d):
+    return _audit(s, d).select("problem_id", F.to_json("components").alias("components"), F.to_json("top_edges").alias("top_edges"), F.to_json("candidates").alias("candidates"))
 
 
 # --- ranking and windows ---------------------------------------------------------------------------------------------------------
