@@ -131,3 +131,28 @@ def test_packing_deals_repeated_rows_evenly(spark):
     packed = common.materialize(packing.pack_pieces(pieces, 64, group=1_000), "t")
     groups = [r["count"] for r in packed.groupBy(F.shiftright("sequence_id", 32).alias("g")).count().collect()]
     assert packed.count() == 16_000 and max(groups) < 1_300 and len(groups) == 16
+
+
+@pytest.mark.parametrize("params, low", [(setsketch.Params(), 0.85), (setsketch.FIVE_WORDS, 0.8)])
+def test_bands_find_pairs_at_the_threshold(params, low):
+    """Pairs of random sets at and just above the threshold: all share a band and pass the likelihood cut."""
+    rng = np.random.default_rng(12)
+    lost = total = 0
+    for size in (20, 60, 200, 1000):
+        for _ in range(6):
+            n, width = 250, size
+            # k common values of two sets of a size give k / (2 size - k)
+            k = np.ceil(2 * width * rng.uniform(low, low + 0.02, n) / (1 + rng.uniform(low, low + 0.02, n))).astype(int)
+            k = np.maximum(k, int(np.ceil(2 * width * low / (1 + low))))
+            values, first = [], [0]
+            for m in np.minimum(k, width):
+                base = rng.integers(0, 2**63, 2 * width - m, dtype=np.uint64)
+                values += [np.sort(base[:width]), np.sort(np.concatenate([base[:m], base[width:]]))]
+                first += [first[-1] + width, first[-1] + 2 * width]
+            regs = setsketch.registers(np.concatenate(values), np.array(first), params.m)
+            a, b = regs[::2], regs[1::2]
+            banded = (a == b).reshape(n, params.bands, params.rows).all(2).any(1)
+            sizes = np.full(n, float(width))
+            lost += int((~(banded & setsketch.likely(a, b, sizes, sizes, params.cut))).sum())
+            total += n
+    assert total == 6_000 and lost <= 3, lost
