@@ -156,3 +156,23 @@ def test_bands_find_pairs_at_the_threshold(params, low):
             lost += int((~(banded & setsketch.likely(a, b, sizes, sizes, params.cut))).sum())
             total += n
     assert total == 6_000 and lost <= 3, lost
+
+
+def test_top_k_with_ten_thousand_rows_of_one_id(spark):
+    """The sample holds one row of each id, and the id's rows are candidates each of their own."""
+    from quorate.llm import knn
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(10_300, 4)).astype(np.float32)
+    ids = np.concatenate([np.full(10_000, 7), np.arange(100, 400)])
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>").repartition(5)
+    got = {}
+    for r in knn.top_k(df, df.filter("vec_id >= 100 and vec_id % 20 = 0"), 10).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = np.floor(x.astype(float) * 1024)
+    assert len(got) == 15
+    for q, rows in got.items():
+        other = ids != q
+        score = whole[other] @ whole[np.flatnonzero(ids == q)[0]]
+        order = np.lexsort((ids[other], -score))[:10]
+        assert [(i, s) for _, i, s in sorted(rows)] == [(int(ids[other][k]), int(score[k])) for k in order]
