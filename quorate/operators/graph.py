@@ -176,7 +176,7 @@ def support_clusters(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, share
                 block = s[np.ix_(inside, inside)]
                 m = len(members)
                 found[members] = float(block[np.triu_indices(m, 1)].mean()) if m > 1 else 1.0
-        return pd.DataFrame({"problem_id": pdf.problem_id.iloc[0], "indices": [list(k) for k in found], "size": [len(k) for k in found], "cohesion": list(found.values())})
+        return pd.DataFrame({"problem_id": [pdf.problem_id.iloc[0]] * len(found), "indices": [list(k) for k in found], "size": [len(k) for k in found], "cohesion": list(found.values())})
 
     kind = dict(nodes.dtypes)["problem_id"]
     return listed.groupBy("problem_id").applyInPandas(run, f"problem_id {kind}, indices array<int>, size int, cohesion double")

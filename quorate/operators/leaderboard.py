@@ -83,6 +83,39 @@ def grid(scored: DataFrame, configs: DataFrame) -> DataFrame:
 CONFIG = ["threshold", "tie_break", "cluster_rank", "mutual_k", "margin", "support"]
 
 
+def _of(df: DataFrame, n: int) -> DataFrame:
+    """The rows with (graph, problem) as their problem, so that problems of different graphs never meet."""
+    return df.withColumn("problem_id", F.struct(F.lit(n).alias("graph"), F.col("problem_id").alias("id")))
+
+
+def _beside(df: DataFrame, n: int) -> DataFrame:
+    """The rows for each of n graphs."""
+    out = df.withColumn("graph", F.explode(F.array(*[F.lit(i) for i in range(n)]).cast("array<int>")))
+    return out.withColumn("problem_id", F.struct("graph", F.col("problem_id").alias("id"))).drop("graph")
+
+
+def _clusters(nodes: DataFrame, pairs: DataFrame, graphs: list[tuple], mode: str) -> DataFrame:
+    """(problem_id, indices, size, cohesion) of every graph (threshold, mutual_k, margin, support), problem_id being (graph, id): one loop finds the components of all."""
+    if mode not in ("components", "support"):
+        raise ValueError(f"unknown cluster mode {mode!r}")
+    first = [graph.threshold_edges(pairs, t, k) for t, k, _, _ in graphs]
+    edges = cut(reduce(DataFrame.unionByName, [_of(graph.prune_triangles(e, pairs, t, margin), n) for n, (e, (t, _, margin, _)) in enumerate(zip(first, graphs))]))
+    listed = _beside(nodes.select("problem_id", "candidate_index"), len(graphs))
+    pruned = [n for n, g in enumerate(graphs) if g[2] > 0]
+    if pruned:
+        at = F.col("problem_id.graph").isin(pruned)
+        eligible = reduce(DataFrame.unionByName, [_of(first[n], n) for n in pruned])
+        edges = cut(edges.unionByName(graph.rescue_isolates(listed.filter(at), edges.filter(at), eligible)))
+    scored = _beside(pairs, len(graphs))
+    if mode == "components":
+        return graph.cohesion(graph.components(listed, edges), scored).drop("component")
+    parts = []
+    for share in dict.fromkeys(g[3] for g in graphs):
+        at = F.col("problem_id.graph").isin([n for n, g in enumerate(graphs) if g[3] == share])
+        parts.append(graph.support_clusters(listed.filter(at), edges.filter(at), scored.filter(at), share))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def selection_grid(nodes: DataFrame, pairs: DataFrame, configs: list[tuple], baselines: dict[str, DataFrame], *, mode: str = "components", ensemble: str | None = None) -> DataFrame:
     """The strategy grid: cluster selection for every configuration (the columns of CONFIG), the baselines, and an ensemble, one row each.
 
@@ -90,15 +123,20 @@ def selection_grid(nodes: DataFrame, pairs: DataFrame, configs: list[tuple], bas
     (problem_id, chosen_index, and centrality if it has one). ensemble: the weighted vote of all configurations with that tie break.
     """
     nodes, pairs = cut(nodes), cut(pairs)
-    found, picks = {}, []
+    graphs = list(dict.fromkeys((c[0], c[3], c[4], c[5] if mode == "support" else None) for c in configs))
+    stats = cut(_clusters(nodes, pairs, graphs, mode)) if configs else None
+    own_nodes, own_pairs = _beside(nodes.select("problem_id", "candidate_index", "length"), len(graphs)), _beside(pairs, len(graphs))
+    # a plan for each rank and tie break, over all graphs at once; the configurations are a short list
+    named_by: dict[tuple, list[tuple]] = {}
     for n, (threshold, tie, rank, k, margin, support) in enumerate(configs):
-        graph_of = (threshold, k, margin, support if mode == "support" else None)
-        if graph_of not in found:
-            comps, _stats = graph.ranked_components(nodes.select("problem_id", "candidate_index"), pairs, threshold, mutual_k=k, margin=margin, mode=mode, support=support)
-            found[graph_of] = cut(comps.drop("rank"))
-        comps = graph.rank_components(found[graph_of], rank)
-        chosen = se.representatives(comps, nodes.select("problem_id", "candidate_index", "length"), pairs, tie)
-        picks.append(chosen.join(comps.filter("rank = 1").select("problem_id", "size", "cohesion"), "problem_id").select("problem_id", F.lit(n).alias("config"), F.lit("selection").alias("strategy"), "chosen_index", "size", "cohesion", "centrality"))
+        named_by.setdefault((rank, tie), []).append((graphs.index((threshold, k, margin, support if mode == "support" else None)), n))
+    picks = []
+    for (rank, tie), members in named_by.items():
+        best = graph.rank_components(stats, rank).filter("rank = 1")
+        chosen = se.representatives(best, own_nodes, own_pairs, tie).join(best.select("problem_id", "size", "cohesion"), "problem_id")
+        numbers = nodes.sparkSession.createDataFrame(members, "graph int, config int")
+        chosen = chosen.select(F.col("problem_id.graph").alias("graph"), F.col("problem_id.id").alias("problem_id"), "chosen_index", "size", "cohesion", "centrality").join(F.broadcast(numbers), "graph")
+        picks.append(chosen.select("problem_id", "config", F.lit("selection").alias("strategy"), "chosen_index", "size", "cohesion", "centrality"))
     chosen = cut(reduce(DataFrame.unionByName, picks)) if picks else None
     others = dict(baselines)
     if ensemble is not None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quorate import joins, scratch
 from quorate.functions import stats as st
 from quorate.operators import candidates as ca
-from quorate.operators import etl, leaderboard
+from quorate.operators import etl, graph, leaderboard
 from quorate.operators import evaluation as ev
 from quorate.operators import pairs as pr
 from quorate.operators import selection as se
@@ -238,3 +238,22 @@ def test_selection_grid_by_brute_force(spark):
         assert by[c]["n_any"] == sum(max(la) for _, _, _, la in problems.values())
     first = next(r for r in rows if r["strategy"] == "first")
     assert first["n_correct"] == sum(la[0] for *_, la in problems.values())
+
+
+@pytest.mark.parametrize("mode", ["components", "support"])
+def test_selection_grid_is_each_graph_by_itself(spark, mode):
+    """All graphs go through one loop; pruned, thinned and rescued ones too give what each gives alone."""
+    rng = random.Random(11)
+    sizes = {p: rng.randint(1, 7) for p in range(12)}
+    nodes = spark.createDataFrame([(p, i, rng.randint(1, 9), rng.randint(0, 1)) for p, n in sizes.items() for i in range(n)], "problem_id int, candidate_index int, length int, label int")
+    pairs = spark.createDataFrame([(p, i, j, rng.randint(0, 20) / 20) for p, n in sizes.items() for i in range(n) for j in range(i + 1, n)], "problem_id int, i int, j int, score double")
+    configs = [(0.4, "medoid", "size", 0, 0.2, 0.7), (0.4, "shortest", "cohesion", 2, 0.2, 0.5), (0.6, "first", "size_times_cohesion", 0, 0.0, 0.5)]
+    by = {r["config"]: r for r in leaderboard.selection_grid(nodes, pairs, configs, {}, mode=mode).collect()}
+    labels = {(r["problem_id"], r["candidate_index"]): r["label"] for r in nodes.collect()}
+    for c, (t, tie, rank, k, margin, share) in enumerate(configs):
+        comps, _ = graph.ranked_components(nodes.select("problem_id", "candidate_index"), pairs, t, rank=rank, mutual_k=k, margin=margin, mode=mode, support=share)
+        alone = se.representatives(comps, nodes.select("problem_id", "candidate_index", "length"), pairs, tie).collect()
+        best = comps.filter("rank = 1").collect()
+        assert by[c]["n_correct"] == sum(labels[r["problem_id"], r["chosen_index"]] for r in alone)
+        assert by[c]["problems"] == len(sizes) and by[c]["avg_size"] == pytest.approx(sum(r["size"] for r in best) / len(best))
+        assert by[c]["avg_cohesion"] == pytest.approx(sum(r["cohesion"] for r in best) / len(best))
