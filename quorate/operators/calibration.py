@@ -15,6 +15,8 @@ CLAMP = 1e-12
 LOW_T, HIGH_T = 0.05, 20.0
 #: Temperatures that one pass over the scores tries, and how near the search goes in ln T.
 GRID, NEAR = 129, 1e-9
+#: Below this width of ln T the loss differs by no more than sums of doubles err, and its slope decides.
+BY_LOSS = 1e-3
 
 
 def finite(scored: DataFrame) -> DataFrame:
@@ -51,20 +53,27 @@ def ece_mce(rel: DataFrame) -> DataFrame:
 
 def fit_temperature(scored: DataFrame, grid: int = GRID) -> float:
     """The T with the least log loss, by ever finer grids of ln T: a pass tries a grid in one aggregate (the grid beside each distinct score), and the next one lies between the
-    neighbours of its best point; the loss has one minimum. The scores are first reduced to one row per distinct score."""
+    neighbours of its best point, or, once it is narrow, between the points where the slope turns; the loss has one minimum. The scores are first reduced to one row per distinct score."""
     g = scratch.table(scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")), "scores")
     a, b = math.log(LOW_T), math.log(HIGH_T)
     while b - a > NEAR:
         points = [a + (b - a) * i / (grid - 1) for i in range(grid)]
         p = st.sigmoid(F.col("score") / F.col("t"))
         term = F.col("pos") * nll_term(p, F.lit(1.0)) + (F.col("n") - F.col("pos")) * nll_term(p, F.lit(0.0))
+        # a clamped probability does not move with T
+        pull = F.when((p > CLAMP) & (p < 1 - CLAMP), (F.col("n") * p - F.col("pos")) * F.col("score")).otherwise(0.0)
         # one row for each point
-        tried = g.select("*", F.posexplode(F.array(*[F.lit(math.exp(x)) for x in points])).alias("i", "t")).groupBy("i").agg(F.sum(term).alias("loss"))
-        loss = {r["i"]: r["loss"] for r in tried.collect()}
-        if not loss:
+        tried = g.select("*", F.posexplode(F.array(*[F.lit(math.exp(x)) for x in points])).alias("i", "t")).groupBy("i").agg(F.sum(term).alias("loss"), F.sum(pull).alias("pull"))
+        found = {r["i"]: r for r in tried.collect()}
+        if not found:
             raise ValueError("no scores")
-        best = min(range(grid), key=loss.__getitem__)
-        a, b = points[max(0, best - 1)], points[min(grid - 1, best + 1)]
+        if b - a > BY_LOSS:
+            best = min(range(grid), key=lambda i: found[i]["loss"])
+            a, b = points[max(0, best - 1)], points[min(grid - 1, best + 1)]
+        else:
+            # the loss falls with T as long as its scores are pulled down
+            turn = next((i for i in range(grid) if found[i]["pull"] <= 0), grid)
+            a, b = points[max(0, turn - 1)], points[min(grid - 1, turn)]
     scratch.discard(g)
     return math.exp((a + b) / 2)
 

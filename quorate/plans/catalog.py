@@ -141,7 +141,11 @@ def _(s, d):
     return s.createDataFrame([(1, "0.5"), (2, "-1.25"), (3, "3.0")], "id int, v string").select("id", tx.float_tag(F.col("v")).alias("tag"))
 
 
-@query("OP-051_crc_seed")
+# one byte of the text at a time, one bit of a byte at a time
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(problem_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)), lambda z, k: xor(z >> 1, 3988292384 * (z & 1)))), 4294967295)"
+
+
+@query("OP-051_crc_seed", f"WITH {CONV} SELECT problem_id, xor({_CRC}, 17) AS seed FROM (SELECT DISTINCT problem_id FROM cc)")
 def _(s, d):
     return fx.conv_candidates(s, d).select("problem_id").distinct().select("problem_id", st.crc_seed(17, F.col("problem_id")).alias("seed"))
 
@@ -504,7 +508,15 @@ def _(s, d):
     return graph.prune_triangles(graph.threshold_edges(p, _T), p, _T, 0.2)
 
 
-@query("OP-123_rescue_isolates")
+# a node without edges, in index order, takes its best pair unless it was taken before
+_RESCUE = """kept AS (SELECT ed.* FROM ed ANTI JOIN drops USING (problem_id, i, j)), had AS (SELECT problem_id, i AS node FROM kept UNION SELECT problem_id, j FROM kept),
+alone AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY node) AS r FROM (SELECT problem_id, node, arg_min(other, (-score, other)) AS other, max(score) AS score FROM bo GROUP BY 1, 2) ANTI JOIN had USING (problem_id, node)),
+added AS (WITH RECURSIVE w(problem_id, r, seen, node, other, score) AS (SELECT DISTINCT problem_id, 0::BIGINT, []::INTEGER[], NULL::INTEGER, NULL::INTEGER, NULL::DOUBLE FROM alone
+  UNION ALL SELECT w.problem_id, a.r, CASE WHEN list_contains(seen, a.node) THEN seen ELSE list_concat(seen, [a.node, a.other]) END, CASE WHEN NOT list_contains(seen, a.node) THEN a.node END, a.other, a.score FROM w JOIN alone a ON a.problem_id = w.problem_id AND a.r = w.r + 1)
+  SELECT problem_id, least(node, other) AS i, greatest(node, other) AS j, score FROM w WHERE node IS NOT NULL)"""
+
+
+@query("OP-123_rescue_isolates", f"WITH {VEC}, {_COS}, {_EDGES}, {_TRI}, {_PRUNE.replace('>= 0.2)', '>= 0.05)')}, {_RESCUE} SELECT * FROM added")
 def _(s, d):
     p = _cos(s, d)
     e = graph.threshold_edges(p, _T)
@@ -534,17 +546,43 @@ for _by, _keys in (("size", "size DESC"), ("cohesion", "cohesion DESC, size DESC
         lambda s, d, by=_by: graph.rank_components(r9(graph.cohesion(graph.components(_nodes(s, d), _edges(s, d)), _cos(s, d))), by).select("problem_id", "component", "rank"))
 
 
-@query("OP-128_support_clusters")
+# problems as square tables of scores and links, so that a node's row lies at node * n
+_SQUARE = f"""sq AS (SELECT a.problem_id, max(a.candidate_index) OVER (PARTITION BY a.problem_id) + 1 AS n, a.candidate_index AS a, b.candidate_index AS b, CASE WHEN a.candidate_index = b.candidate_index THEN 0.0::DOUBLE ELSE round(c.score, 9) END AS score
+  FROM vc a JOIN vc b USING (problem_id) LEFT JOIN cosp c ON c.problem_id = a.problem_id AND c.i = least(a.candidate_index, b.candidate_index) AND c.j = greatest(a.candidate_index, b.candidate_index)),
+tab AS (SELECT problem_id, n, list(score ORDER BY a, b) AS s, list(a = b OR score >= {_T} ORDER BY a, b) AS l FROM sq GROUP BY 1, 2)"""
+
+
+def _thinned(start: str, share: float) -> str:
+    """Drops the member with the least support, of equals the smallest, while it is too little; start is (problem_id, seed, members)."""
+    weakest = "list_min(list_transform(members, lambda m: {'s': len(list_filter(members, lambda x: l[m * n + x + 1])), 'm': m}))"
+    return f"""thin AS (WITH RECURSIVE t(problem_id, seed, members) AS (SELECT problem_id, seed, members FROM {start}
+  UNION ALL SELECT problem_id, seed, list_filter(members, lambda m: m <> weak.m) FROM (SELECT t.*, {weakest} AS weak FROM t JOIN tab USING (problem_id) WHERE len(members) >= 2) WHERE weak.s < floor({share} * len(members) + 0.999999))
+  SELECT problem_id, seed, arg_min(members, len(members)) AS members FROM t GROUP BY 1, 2)"""
+
+
+# from each node, the linked enough with the best mean joins; equals by links, then the smaller
+_GROWN = """grown AS (WITH RECURSIVE g(problem_id, seed, members) AS (SELECT problem_id, candidate_index, [candidate_index] FROM vc
+  UNION ALL SELECT problem_id, seed, list_append(members, best.k) FROM (SELECT g.*, list_max(list_transform(list_filter(range(n), lambda k: NOT list_contains(members, k::INTEGER) AND len(list_filter(members, lambda m: l[k * n + m + 1])) >= floor(0.5 * len(members) + 0.999999)),
+      lambda k: {'mean': list_sum(list_transform(members, lambda m: s[k * n + m + 1])) / len(members), 'links': len(list_filter(members, lambda m: l[k * n + m + 1])), 'minus': -k, 'k': k::INTEGER})) AS best FROM g JOIN tab USING (problem_id)) WHERE best IS NOT NULL)
+  SELECT problem_id, seed, arg_max(members, len(members)) AS members FROM g GROUP BY 1, 2)"""
+
+
+def _listed(df):
+    return r9(df.withColumn("indices", F.array_join(F.transform("indices", lambda v: v.cast("string")), ",")))
+
+
+@query("OP-128_support_clusters", f"WITH {VEC}, {_COS}, {_SQUARE}, {_GROWN}, {_thinned('grown', 0.5)}, u AS (SELECT DISTINCT problem_id, list_sort(members) AS x FROM thin) SELECT problem_id, array_to_string(x, ',') AS indices, len(x)::INTEGER AS size, round(round(CASE WHEN len(x) = 1 THEN 1 ELSE list_sum(list_transform(x, lambda a: list_sum(list_transform(x, lambda b: s[a * n + b + 1])))) / (len(x) * (len(x) - 1)) END, 12), 9) AS cohesion FROM u JOIN tab USING (problem_id)")
 def _(s, d):
     p = _cos(s, d)
-    return r9(graph.support_clusters(_nodes(s, d), graph.threshold_edges(p, _T), p, 0.5))
+    # a mean may lie halfway between two values of nine digits
+    return _listed(graph.support_clusters(_nodes(s, d), graph.threshold_edges(p, _T), p, 0.5).withColumn("cohesion", F.round("cohesion", 12)))
 
 
-@query("OP-129_densify")
+@query("OP-129_densify", f"WITH {VEC}, {_COS}, {_EDGES}, {_COMPS}, {_SQUARE}, cl AS (SELECT problem_id, component AS seed, list(candidate_index ORDER BY candidate_index) AS members FROM walk GROUP BY 1, 2), {_thinned('cl', 0.3)} SELECT problem_id, array_to_string(members, ',') AS indices FROM thin")
 def _(s, d):
     e = _edges(s, d)
     comps = graph.components(_nodes(s, d), e).groupBy("problem_id", "component").agg(F.array_sort(F.collect_list("candidate_index")).alias("indices"))
-    return graph.densify(comps, e, 0.3)
+    return _listed(graph.densify(comps, e, 0.3))
 
 
 @query("OP-130_ranked_components", f"WITH {VEC}, {_COS}, {_EDGES}, {_COMPS}, {_COMPSTAT} SELECT problem_id, array_to_string(indices, ',') AS indices, (row_number() OVER (PARTITION BY problem_id ORDER BY size DESC, cohesion DESC, component))::INTEGER AS rank, size::INTEGER AS size, cohesion FROM cst")

@@ -557,13 +557,23 @@ def _(s, d):
     return r9(cal.ece_mce(cal.reliability(fx.scored_lines(s, d))))
 
 
-@query("OP-205_fit_temperature")
+def _sql_fit(score: str) -> str:
+    """tf(t): where the log loss of lc's score over T has no slope, by halving ln T."""
+    return f"""gl AS (SELECT list({{'s': s, 'n': n, 'p': p}}) AS l FROM (SELECT {score} AS s, count(*) AS n, sum(label) AS p FROM lc GROUP BY 1)),
+tf AS (WITH RECURSIVE h(k, a, b) AS (SELECT 0, ln(0.05::DOUBLE), ln(20.0::DOUBLE) UNION ALL SELECT k + 1, CASE WHEN pull > 0 THEN mid ELSE a END, CASE WHEN pull > 0 THEN b ELSE mid END
+  FROM (SELECT k, a, b, (a + b) / 2 AS mid, list_sum(list_transform(l, lambda x: x.s * (x.n / (1 + exp(-x.s * exp(-(a + b) / 2))) - x.p))) AS pull FROM h, gl WHERE k < 50)) SELECT exp((a + b) / 2) AS t FROM h WHERE k = 50)"""
+
+
+@query("OP-205_fit_temperature", f"WITH {LINE}, {_sql_fit('score_a')} SELECT round(t, 6) AS temperature FROM tf")
 def _(s, d):
     t = cal.fit_temperature(fx.scored_lines(s, d))
     return s.createDataFrame([(round(t, 6),)], "temperature double")
 
 
-@query("OP-206_fit_pair_temperature")
+_LOGIT = "ln(least(greatest({0}, 1e-6), 1 - 1e-6) / (1 - least(greatest({0}, 1e-6), 1 - 1e-6)))".format(SIG("score_a"))
+
+
+@query("OP-206_fit_pair_temperature", f"WITH {LINE}, {_sql_fit(_LOGIT)} SELECT round(t, 6) AS temperature FROM tf")
 def _(s, d):
     p = fx.line_candidates(s, d).select("label", st.sigmoid(F.col("score_a")).alias("prob"))
     return s.createDataFrame([(round(cal.fit_pair_temperature(p), 6),)], "temperature double")
@@ -584,13 +594,16 @@ def _(s, d):
     return r9(cal.best_thresholds(cal.threshold_table(fx.scored_lines(s, d))))
 
 
-@query("OP-208_calibration_report")
+_REPORT = f"q AS (SELECT stage, temperature, label, {SIG('score_a / temperature')} AS p FROM lc, st), lo AS (SELECT stage, temperature, {_NLL} AS nll, avg((p - label) ** 2) AS brier FROM q GROUP BY 1, 2), bi AS (SELECT stage, least(floor(round(p, 12) * 10), 9) AS b, count(*) AS n, abs(avg(round(p, 12)) - avg(label)) AS gap FROM q GROUP BY 1, 2), ec AS (SELECT stage, sum(n * gap) / sum(n) AS ece, max(gap) AS mce FROM bi GROUP BY 1) SELECT stage, temperature, round(nll, 6) AS nll, round(brier, 6) AS brier, round(ece, 6) AS ece, round(mce, 6) AS mce FROM lo JOIN ec USING (stage)"
+
+
+@query("OP-208_calibration_report", f"WITH {LINE}, {_sql_fit('score_a')}, st AS (SELECT 'before' AS stage, 1.0::DOUBLE AS temperature UNION ALL SELECT 'after', t FROM tf), {_REPORT.replace('SELECT stage, temperature, round(nll', 'SELECT stage, round(temperature, 6) AS temperature, round(nll')}")
 def _(s, d):
     x = cal.report(fx.scored_lines(s, d))
     return x.select("stage", *[F.round(c, 6).alias(c) for c in x.columns[1:]])
 
 
-@query("OP-208_report_at", f"WITH {LINE}, st AS (SELECT * FROM (VALUES ('before', 1.0::DOUBLE), ('after', 2.5)) v(stage, temperature)), q AS (SELECT stage, temperature, label, {SIG('score_a / temperature')} AS p FROM lc, st), lo AS (SELECT stage, temperature, {_NLL} AS nll, avg((p - label) ** 2) AS brier FROM q GROUP BY 1, 2), bi AS (SELECT stage, least(floor(round(p, 12) * 10), 9) AS b, count(*) AS n, abs(avg(round(p, 12)) - avg(label)) AS gap FROM q GROUP BY 1, 2), ec AS (SELECT stage, sum(n * gap) / sum(n) AS ece, max(gap) AS mce FROM bi GROUP BY 1) SELECT stage, temperature, round(nll, 6) AS nll, round(brier, 6) AS brier, round(ece, 6) AS ece, round(mce, 6) AS mce FROM lo JOIN ec USING (stage)")
+@query("OP-208_report_at", f"WITH {LINE}, st AS (SELECT * FROM (VALUES ('before', 1.0::DOUBLE), ('after', 2.5)) v(stage, temperature)), {_REPORT}")
 def _(s, d):
     x = cal.report(fx.scored_lines(s, d), temperature=2.5)
     return x.select("stage", *[F.round(c, 6).alias(c) for c in x.columns[1:]])
