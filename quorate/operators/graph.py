@@ -80,11 +80,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cohesion(comps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(problem_id, component, indices, size, cohesion): mean score over all pairs inside; 1 for a single node."""
+    """(problem_id, component, indices, size, cohesion): mean score over all pairs inside, to twelve digits, as those beyond hang on the order of sums; 1 for a single node."""
     a = comps.select("problem_id", F.col("candidate_index").alias("i"), "component")
     b = comps.select("problem_id", F.col("candidate_index").alias("j"), F.col("component").alias("component_j"))
     inner = pairs.join(a, ["problem_id", "i"]).join(b, ["problem_id", "j"]).filter("component = component_j")
-    mean = inner.groupBy("problem_id", "component").agg(F.avg("score").alias("cohesion"))
+    mean = inner.groupBy("problem_id", "component").agg(F.round(F.avg("score"), 12).alias("cohesion"))
     members = comps.groupBy("problem_id", "component").agg(F.array_sort(F.collect_list("candidate_index")).alias("indices"))
     return members.join(mean, ["problem_id", "component"], "left").withColumn("size", F.size("indices")).withColumn("cohesion", F.coalesce("cohesion", F.lit(1.0)))
 

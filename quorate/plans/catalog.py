@@ -482,7 +482,7 @@ def _(s, d):
 # --- graph -----------------------------------------------------------------------------------------------------------------------
 
 _COMPS = """walk AS (WITH RECURSIVE w(problem_id, node, reach) AS (SELECT problem_id, candidate_index, candidate_index FROM vc UNION SELECT w.problem_id, w.node, bo.other FROM w JOIN bo ON bo.problem_id = w.problem_id AND bo.node = w.reach) SELECT problem_id, node AS candidate_index, min(reach) AS component FROM w GROUP BY 1, 2)"""
-_COMPSTAT = "cs AS (SELECT a.problem_id, a.component, list(a.candidate_index ORDER BY a.candidate_index) AS indices FROM walk a GROUP BY 1, 2), ch AS (SELECT a.problem_id, a.component, avg(round(c.score, 9)) AS coh FROM cosp c JOIN walk a ON a.problem_id = c.problem_id AND a.candidate_index = c.i JOIN walk b ON b.problem_id = c.problem_id AND b.candidate_index = c.j AND b.component = a.component GROUP BY 1, 2), cst AS (SELECT cs.problem_id, cs.component, indices, len(indices) AS size, round(coalesce(coh, 1), 9) AS cohesion FROM cs LEFT JOIN ch USING (problem_id, component))"
+_COMPSTAT = "cs AS (SELECT a.problem_id, a.component, list(a.candidate_index ORDER BY a.candidate_index) AS indices FROM walk a GROUP BY 1, 2), ch AS (SELECT a.problem_id, a.component, avg(round(c.score, 9)) AS coh FROM cosp c JOIN walk a ON a.problem_id = c.problem_id AND a.candidate_index = c.i JOIN walk b ON b.problem_id = c.problem_id AND b.candidate_index = c.j AND b.component = a.component GROUP BY 1, 2), cst AS (SELECT cs.problem_id, cs.component, indices, len(indices) AS size, round(coalesce(coh, 1)::DECIMAL(18, 12), 9)::DOUBLE AS cohesion FROM cs LEFT JOIN ch USING (problem_id, component))"
 
 
 def _nodes(s, d):
@@ -571,7 +571,7 @@ def _listed(df):
     return r9(df.withColumn("indices", F.array_join(F.transform("indices", lambda v: v.cast("string")), ",")))
 
 
-@query("OP-128_support_clusters", f"WITH {VEC}, {_COS}, {_SQUARE}, {_GROWN}, {_thinned('grown', 0.5)}, u AS (SELECT DISTINCT problem_id, list_sort(members) AS x FROM thin) SELECT problem_id, array_to_string(x, ',') AS indices, len(x)::INTEGER AS size, round(round(CASE WHEN len(x) = 1 THEN 1 ELSE list_sum(list_transform(x, lambda a: list_sum(list_transform(x, lambda b: s[a * n + b + 1])))) / (len(x) * (len(x) - 1)) END, 12), 9) AS cohesion FROM u JOIN tab USING (problem_id)")
+@query("OP-128_support_clusters", f"WITH {VEC}, {_COS}, {_SQUARE}, {_GROWN}, {_thinned('grown', 0.5)}, u AS (SELECT DISTINCT problem_id, list_sort(members) AS x FROM thin) SELECT problem_id, array_to_string(x, ',') AS indices, len(x)::INTEGER AS size, round((CASE WHEN len(x) = 1 THEN 1 ELSE list_sum(list_transform(x, lambda a: list_sum(list_transform(x, lambda b: s[a * n + b + 1])))) / (len(x) * (len(x) - 1)) END)::DECIMAL(18, 12), 9)::DOUBLE AS cohesion FROM u JOIN tab USING (problem_id)")
 def _(s, d):
     p = _cos(s, d)
     # a mean may lie halfway between two values of nine digits
