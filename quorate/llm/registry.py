@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, knn, licences, line_dedup, packing, quality, setsketch, toxicity, warc
+from . import bpe, divergence, knn, licences, line_dedup, packing, quality, setsketch, spelling, toxicity, warc, word_bpe
 from .common import table
 
 TOKENIZER = tuple(public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")) + (public_tokenizers.PATTERN,)
@@ -57,13 +57,25 @@ def op10_licences(spark, sf_dir):
     return licences.scan_licences(docs, licences.fit(docs))
 
 
+def op11_word_bpe(spark, sf_dir):
+    return word_bpe.word_bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_QUERIES = (op1_warc, op2_toxicity, op3_best_two_fit, op4_quality_rules, op5_prefix_bpe, op6_quality_classifier, op7_line_dedup, op8_setsketch, op9_voronoi_knn, op10_licences, pipeline)
+_QUERIES = (op1_warc, op2_toxicity, op3_best_two_fit, op4_quality_rules, op5_prefix_bpe, op6_quality_classifier, op7_line_dedup, op8_setsketch, op9_voronoi_knn, op10_licences, op11_word_bpe, op12_source_divergence, op13_spelling_variants, pipeline)
 
 
 def queries():
@@ -71,4 +83,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_warc": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_setsketch": setsketch.ORACLE, "op9_voronoi_knn": knn.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_setsketch": setsketch.ORACLE, "op9_voronoi_knn": knn.ORACLE, "op12_source_divergence": divergence.ORACLE}
