@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quorate import scratch
-from quorate.joins import HOT_KEYS, PART, hot_limit, in_few_tasks, parts_of, spread_join  # noqa: F401
+from quorate.joins import HOT_KEYS, PART, dealt_join, hot_keys, hot_limit, in_few_tasks, parts_of, spread_join  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -189,7 +189,7 @@ def roots(links: DataFrame) -> DataFrame:
     state = materialize(links.select("word", F.col("form").alias("root")), "roots")
     while True:
         many = state.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
-        on = state.select(F.col("word").alias("root"), F.col("root").alias("next")).join(many, "root")
+        on = many.join(state.select(F.col("word").alias("root"), F.col("root").alias("next")), "root", "left")
         after = materialize(spread_join(state, on, ["root"], "c", state.count(), "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         discard(state)
         if after.filter("moved").isEmpty():

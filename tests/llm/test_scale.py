@@ -176,3 +176,28 @@ def test_top_k_with_ten_thousand_rows_of_one_id(spark):
         score = whole[other] @ whole[np.flatnonzero(ids == q)[0]]
         order = np.lexsort((ids[other], -score))[:10]
         assert [(i, s) for _, i, s in sorted(rows)] == [(int(ids[other][k]), int(score[k])) for k in order]
+
+
+def test_lines_of_a_long_text_are_not_met_by_each_other(spark):
+    """Texts of 200,000 boilerplate lines: the time grows with the lines."""
+    import time
+
+    seconds = []
+    for n in (20_000, 200_000):
+        text = "\n".join(f"menu line {k}" for k in range(n))
+        docs = common.materialize(spark.createDataFrame([(i, text, f"s{i}") for i in range(6)], "doc_id long, text string, source string"), "long")
+        began = time.perf_counter()
+        got = line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.length("text").alias("k")).collect()
+        seconds.append(time.perf_counter() - began)
+        assert sorted(map(tuple, got)) == [(0, n, 0, len(text))] + [(i, n, n, 0) for i in range(1, 6)]
+    assert seconds[1] < 6 * seconds[0] + 10
+
+
+def test_rows_of_one_id_and_text_spread_when_lines_go(spark):
+    rows = [(1, "kept\nshared", "a")] * 20_000 + [(None, "kept\nshared", "b")] * 5_000 + [(i, "shared\nother", f"s{i}") for i in range(2, 2_000)] + [(0, "shared", "z")]
+    docs = common.materialize(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(24), "same")
+    with no_broadcasts(spark):
+        after = last_stage(spark)
+        got = common.materialize(line_dedup.dedup_lines(docs), "t")
+        assert not uneven(spark, after)
+    assert {(r["doc_id"] is None, r["text"]): r["count"] for r in got.groupBy(F.col("doc_id").isNull().alias("x"), "doc_id", "text").count().filter("doc_id is null or doc_id < 2").collect()} == {(True, "kept"): 5_000, (False, "kept"): 20_000, (False, "shared"): 1}
