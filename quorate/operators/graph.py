@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quorate.operators.pairs import both_ways, knn_edges
 from quorate.operators.windows import cut as _cut
+from quorate.scratch import discard
 
 KEY = ["problem_id", "i", "j"]
 
@@ -74,9 +75,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         step = labels.join(low, node, "left").select(*node, "component", F.least("component", F.coalesce("near", "component")).alias("next"))
         up = step.select("problem_id", F.col("candidate_index").alias("next"), F.col("next").alias("far"))
         after = _cut(step.join(up, ["problem_id", "next"]).select(*node, F.least("next", "far").alias("component"), (F.least("next", "far") != F.col("component")).alias("moved")))
+        discard(labels)
         if after.filter("moved").isEmpty():
+            discard(both)
             return after.drop("moved")
         labels = after.drop("moved")
+        labels._quorate_path = after._quorate_path
 
 
 def cohesion(comps: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -108,18 +112,57 @@ def _needed(share: float, n: int) -> int:
     return int(share * n + 0.999999)
 
 
-def _thin(inside, link, share: float):
-    """Drop the member with the least support (of equals the smallest index) while one has too little."""
+def _thin(inside: np.ndarray, link: np.ndarray, share: float) -> np.ndarray:
+    """Drop the member with the least support (of equals the smallest index) while one has too little; supports are kept up as members go."""
     inside = inside.copy()
-    while share > 0 and inside.sum() >= 2:
-        support, need = link[:, inside].sum(1), _needed(share, int(inside.sum()))
-        weak = [(support[k], k) for k in inside.nonzero()[0] if support[k] < need]
-        if not weak:
+    size, support = int(inside.sum()), link[:, inside].sum(1)
+    while share > 0 and size >= 2:
+        least = np.where(inside, support, np.iinfo(np.int64).max)
+        weakest = int(least.argmin())
+        if least[weakest] >= _needed(share, size):
             break
-        inside[min(weak)[1]] = False
+        inside[weakest] = False
+        size -= 1
+        support = support - link[weakest]
     return inside
 
 
+def _grown_sets(scores: np.ndarray, link: np.ndarray, share: float) -> list[np.ndarray]:
+    """The distinct clusters, as masks, that grow from each node.
+
+    Sums and supports of all nodes are kept up by one row for each member that joins.  Scores are summed as whole numbers of twelve digits (fewer if
+    they are large), so that a sum does not hang on the order in which members joined: what a set grows to depends on the set alone,
+    and a seed whose set was met before stops there.  Sets are known by 128 random bits of each member, combined.
+    """
+    n = len(scores)
+    top = max(1.0, float(np.abs(scores).max(initial=0.0)) * n)
+    whole = np.rint(scores * 10.0 ** min(12, 18 - int(np.ceil(np.log10(top))))).astype(np.int64)
+    np.fill_diagonal(whole, 0)
+    rng = np.random.default_rng(0)
+    bits = [int.from_bytes(rng.bytes(16), "little") for _ in range(n)]
+    met: set[int] = set()
+    found: dict[bytes, np.ndarray] = {}
+    for seed in range(n):
+        inside, out = np.zeros(n, bool), np.ones(n, bool)
+        inside[seed], out[seed] = True, False
+        sums, support, size, name = whole[seed].copy(), link[seed].astype(np.int64), 1, bits[seed]
+        while name not in met:
+            met.add(name)
+            able = out & (support >= _needed(share, size))
+            if not able.any():
+                cluster = _thin(inside, link, share)
+                found.setdefault(np.packbits(cluster).tobytes(), cluster)
+                break
+            best = np.flatnonzero(able)
+            best = best[sums[best] == sums[best].max()]
+            k = int(best[support[best].argmax()])
+            inside[k], out[k] = True, False
+            sums += whole[k]
+            support += link[k]
+            size, name = size + 1, name ^ bits[k]
+    return list(found.values())
+
+
 def densify(clusters: DataFrame, edges: DataFrame, share: float) -> DataFrame:
     """(problem_id, indices): clusters thinned until each member is adjacent to enough of the others."""
     import pandas as pd
@@ -160,22 +203,9 @@ def support_clusters(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, share
         s[a, b] = s[b, a] = p["score"].to_numpy(float)
         link[a, b] = link[b, a] = p["linked"].to_numpy(bool)
         found: dict[tuple, float] = {}
-        for seed in range(n):
-            inside = np.zeros(n, bool)
-            inside[seed] = True
-            while not inside.all():
-                size = int(inside.sum())
-                support, mean = link[:, inside].sum(1), s[:, inside].sum(1) / size
-                able = np.flatnonzero(~inside & (support >= _needed(share, size)))
-                if not len(able):
-                    break
-                inside[max(able, key=lambda k: (mean[k], support[k], -k))] = True
-            inside = _thin(inside, link, share)
-            members = tuple(int(v) for v in ids[inside])
-            if members not in found:
-                block = s[np.ix_(inside, inside)]
-                m = len(members)
-                found[members] = float(block[np.triu_indices(m, 1)].mean()) if m > 1 else 1.0
+        for inside in _grown_sets(s, link, share):
+            block, m = s[np.ix_(inside, inside)], int(inside.sum())
+            found[tuple(int(v) for v in ids[inside])] = float(block[np.triu_indices(m, 1)].mean()) if m > 1 else 1.0
         return pd.DataFrame({"problem_id": [pdf.problem_id.iloc[0]] * len(found), "indices": [list(k) for k in found], "size": [len(k) for k in found], "cohesion": list(found.values())})
 
     kind = dict(nodes.dtypes)["problem_id"]

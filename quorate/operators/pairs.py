@@ -3,22 +3,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorate.functions import text as tx
+from quorate.operators import tiles
+from quorate.operators.tiles import cosine_pairs, nearest, pair_frame  # noqa: F401
 
 MAX_N = 4
 FLOOR = 1e-12
 
 
-def pair_frame(cands: DataFrame, *cols: str) -> DataFrame:
-    """All pairs i < j of each problem; each of cols as <col>_i and <col>_j."""
-    a = cands.select("problem_id", F.col("candidate_index").alias("i"), *[F.col(c).alias(f"{c}_i") for c in cols])
-    b = cands.select("problem_id", F.col("candidate_index").alias("j"), *[F.col(c).alias(f"{c}_j") for c in cols])
-    return a.join(b, "problem_id").filter("i < j")
-
-
 def gram_counts(cands: DataFrame, toks: str, max_n: int = MAX_N) -> DataFrame:
     """(problem_id, candidate_index, order, gram, c)."""
     orders = F.array(*[F.struct(F.lit(n).alias("order"), tx.ngrams(F.col(toks), n).alias("grams")) for n in range(1, max_n + 1)])
@@ -26,42 +23,41 @@ def gram_counts(cands: DataFrame, toks: str, max_n: int = MAX_N) -> DataFrame:
     return long.groupBy("problem_id", "candidate_index", "order", "gram").agg(F.count(F.lit(1)).alias("c"))
 
 
-def _one_way(overlaps: list[Column], hyp: Column, ref: Column, smooth: float) -> Column:
-    logs = F.lit(0.0)
+def _one_way(overlaps: np.ndarray, hyp: np.ndarray, ref: np.ndarray, smooth: float) -> np.ndarray:
+    logs = np.zeros(len(hyp))
     for n, o in enumerate(overlaps, 1):
-        total = F.greatest(hyp - (n - 1), F.lit(0))
-        p = F.when(total > 0, (o + smooth) / (total + smooth)).otherwise(0.0)
-        logs = logs + F.log(F.greatest(F.lit(FLOOR), p)) / len(overlaps)
-    brevity = F.when((hyp < ref) & (hyp > 0), F.exp(1.0 - ref / F.nullif(hyp, F.lit(0)))).otherwise(1.0)
-    return F.when((hyp == 0) & (ref == 0), 1.0).when(hyp == 0, 0.0).otherwise(brevity * F.exp(logs))
+        total = np.maximum(hyp - (n - 1), 0)
+        logs += np.log(np.maximum(FLOOR, np.where(total > 0, (o + smooth) / np.where(total > 0, total + smooth, 1.0), 0.0))) / len(overlaps)
+    brevity = np.where((hyp < ref) & (hyp > 0), np.exp(np.minimum(0.0, 1.0 - ref / np.maximum(hyp, 1))), 1.0)
+    return np.where(hyp == 0, np.where(ref == 0, 1.0, 0.0), brevity * np.exp(logs))
 
 
-def _overlaps(toks: DataFrame, max_n: int) -> DataFrame:
-    """(problem_id, i, j, o1..): common n-grams of each order, with multiplicity, of the pairs that have any.
-
-    Grams are 64-bit hashes, dealt once by (problem, gram); those of a single candidate end there, and the others yield their pairs in place.
-    """
+def _gram_hashes(toks: str, max_n: int) -> Column:
+    """All n-grams of orders 1 to max_n as 64-bit hashes, order by order."""
     def grams(n: int) -> Column:
-        some = F.transform(F.sequence(F.lit(1), F.size("toks") - (n - 1)), lambda k: F.struct(F.lit(n).alias("order"), F.xxhash64(F.lit(n), F.slice("toks", k, F.lit(n))).alias("gram")))
-        return F.when(F.size("toks") >= n, some).otherwise(F.array().cast("array<struct<order:int,gram:bigint>>"))
+        some = F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda k: F.xxhash64(F.lit(n), F.slice(toks, k, F.lit(n))))
+        return F.when(F.size(toks) >= n, some).otherwise(F.array().cast("array<bigint>"))
 
-    long = toks.select("problem_id", "candidate_index", F.explode(F.concat(*[grams(n) for n in range(1, max_n + 1)])).alias("g")).select("problem_id", "candidate_index", "g.*")
-    counts = long.repartition("problem_id", "gram").groupBy("problem_id", "gram", "order", "candidate_index").agg(F.count(F.lit(1)).cast("int").alias("c"))
-    seen = counts.groupBy("problem_id", "gram", "order").agg(F.array_sort(F.collect_list(F.struct("candidate_index", "c"))).alias("m")).filter(F.size("m") > 1)
-    both = F.flatten(F.transform("m", lambda x, k: F.transform(F.slice("m", k + 2, F.size("m")), lambda y: F.struct(x["candidate_index"].alias("i"), y["candidate_index"].alias("j"), F.least(x["c"], y["c"]).alias("o")))))
-    pairs = seen.select("problem_id", "order", F.explode(both).alias("p")).select("problem_id", "order", "p.*")
-    return pairs.groupBy("problem_id", "i", "j").agg(*[F.sum(F.when(F.col("order") == n, F.col("o")).otherwise(0)).alias(f"o{n}") for n in range(1, max_n + 1)])
+    return F.concat(*[grams(n) for n in range(1, max_n + 1)])
 
 
-def _both_bleus(cands: DataFrame, text_col: str, max_n: int, smooth: float, normalize: bool) -> DataFrame:
+def _both_bleus(cands: DataFrame, text_col: str, max_n: int, smooth: float, normalize: bool, block: int = tiles.BLOCK) -> DataFrame:
     """(problem_id, i, j, of_i, of_j): smoothed BLEU of i against j as reference, and of j against i, of all pairs i < j."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    toks = cands.select("problem_id", "candidate_index", tx.tokens(tx.normalize(t) if normalize else t).alias("toks"))
-    lengths = toks.select("problem_id", "candidate_index", F.size("toks").alias("len"))
-    all_pairs = pair_frame(lengths, "len").join(_overlaps(toks, max_n), ["problem_id", "i", "j"], "left")
-    overlaps = [F.coalesce(F.col(f"o{n}"), F.lit(0)) for n in range(1, max_n + 1)]
-    li, lj = F.col("len_i"), F.col("len_j")
-    return all_pairs.select("problem_id", "i", "j", _one_way(overlaps, li, lj, smooth).alias("of_i"), _one_way(overlaps, lj, li, smooth).alias("of_j"))
+    def kernel(t: tiles.Tiles):
+        grams, n = t.lists("grams", np.int64)
+        row, length = np.repeat(np.arange(len(n)), n), t.column("len").to_numpy().astype(np.int64)
+        # a row's grams stand order by order, of each order as many as its length has
+        per = np.maximum(length[:, None] - np.arange(max_n), 0)
+        overlaps = tiles.common_features(t, row, grams, np.repeat(np.tile(np.arange(max_n), len(n)), per.ravel()), max_n)
+        x, y, at = t.pairs()
+        for a in range(0, len(x), 500_000):
+            p, q, o = x[a:a + 500_000], y[a:a + 500_000], overlaps[:, at[a:a + 500_000]].astype(float)
+            yield [t.ids(p), pa.array(t.index[p]), pa.array(t.index[q]), pa.array(_one_way(o, length[p], length[q], smooth)), pa.array(_one_way(o, length[q], length[p], smooth))]
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    toks = cands.select("problem_id", "candidate_index", tx.tokens(tx.normalize(text) if normalize else text).alias("toks"))
+    kind = dict(cands.dtypes)["candidate_index"]
+    return tiles.Tiled(toks, [F.size("toks").alias("len"), _gram_hashes("toks", max_n).alias("grams")], block).apply(kernel, f"i {kind}, j {kind}, of_i double, of_j double")
 
 
 def bleu_pairs(cands: DataFrame, text_col: str = "candidate", max_n: int = MAX_N, smooth: float = 1.0, normalize: bool = True) -> DataFrame:
@@ -75,26 +71,20 @@ def bleu_directed(cands: DataFrame, text_col: str = "candidate", max_n: int = MA
     return _both_bleus(cands, text_col, max_n, smooth, normalize).select("problem_id", ways.alias("w")).select("problem_id", "w.*")
 
 
-def jaccard_pairs(cands: DataFrame, text_col: str = "candidate") -> DataFrame:
+def jaccard_pairs(cands: DataFrame, text_col: str = "candidate", block: int = tiles.BLOCK) -> DataFrame:
     """Jaccard similarity of distinct tokens; 1 where both have none."""
-    toks = cands.select("problem_id", "candidate_index", F.array_distinct(tx.tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("t")).withColumn("n", F.size("t"))
-    e = toks.select("problem_id", "candidate_index", F.explode("t").alias("tok"))
-    a = e.select("problem_id", "tok", F.col("candidate_index").alias("i"))
-    b = e.select("problem_id", "tok", F.col("candidate_index").alias("j"))
-    both = a.join(b, ["problem_id", "tok"]).filter("i < j").groupBy("problem_id", "i", "j").agg(F.count(F.lit(1)).alias("o"))
-    o = F.coalesce(F.col("o"), F.lit(0))
-    union = F.col("n_i") + F.col("n_j") - o
-    return pair_frame(toks, "n").join(both, ["problem_id", "i", "j"], "left").select("problem_id", "i", "j", F.when(union > 0, o / F.nullif(union, F.lit(0))).otherwise(1.0).alias("score"))
-
+    def kernel(t: tiles.Tiles):
+        hashes, n = t.lists("t", np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        both = tiles.common_features(t, row, hashes, np.zeros(len(row), np.int64), 1)[0]
+        x, y, at = t.pairs()
+        o = both[at].astype(float)
+        union = n[x] + n[y] - o
+        yield [t.ids(x), pa.array(t.index[x]), pa.array(t.index[y]), pa.array(np.where(union > 0, o / np.maximum(union, 1), 1.0))]
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
-def cosine_pairs(cands: DataFrame, vec_col: str = "embedding") -> DataFrame:
-    with_norm = cands.select("problem_id", "candidate_index", F.col(vec_col).alias("v"), F.sqrt(_dot(F.col(vec_col), F.col(vec_col))).alias("norm"))
-    den = F.col("norm_i") * F.col("norm_j")
-    return pair_frame(with_norm, "v", "norm").select("problem_id", "i", "j", F.when(den > 0, _dot(F.col("v_i"), F.col("v_j")) / F.nullif(den, F.lit(0.0))).otherwise(0.0).alias("score"))
+    toks = F.transform(F.array_distinct(tx.tokens(F.coalesce(F.col(text_col), F.lit("")))), lambda w: F.xxhash64(w))
+    kind = dict(cands.dtypes)["candidate_index"]
+    return tiles.Tiled(cands, [toks.alias("t")], block).apply(kernel, f"i {kind}, j {kind}, score double")
 
 
 def hybrid_pairs(critic: DataFrame, bleu: DataFrame, alpha: float) -> DataFrame:
@@ -113,7 +103,11 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 def knn_edges(pairs: DataFrame, k: int, mutual: bool) -> DataFrame:
     """Pairs of which each (mutual), or one, is among the other's k most similar; ties go to the smaller index."""
     w = Window.partitionBy("problem_id", "node").orderBy(F.desc("score"), "other")
-    near = both_ways(pairs).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
+    return near_edges(both_ways(pairs).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k), mutual)
+
+
+def near_edges(near: DataFrame, mutual: bool) -> DataFrame:
+    """knn_edges() of what nearest() found."""
     votes = near.groupBy("problem_id", F.least("node", "other").alias("i"), F.greatest("node", "other").alias("j")).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
     return votes.filter(F.col("n") >= (2 if mutual else 1)).select("problem_id", "i", "j", "score")
 

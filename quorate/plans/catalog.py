@@ -349,7 +349,7 @@ def _cos(s, d):
 
 for _name, _need in (("OP-091_knn_mutual", 2), ("OP-091_knn_union", 1)):
     query(_name, f"WITH {VEC}, {_COS}, {_DIRECTED} SELECT problem_id, least(node, other) AS i, greatest(node, other) AS j, max(score) AS score FROM near GROUP BY 1, 2, 3 HAVING count(*) >= {_need}")(
-        lambda s, d, need=_need: pr.knn_edges(_cos(s, d), 3, need == 2))
+        lambda s, d, need=_need: pr.near_edges(pr.nearest(fx.vec_candidates(s, d), 3), need == 2))
 
 _T = 0.2
 _EDGES = f"ed AS (SELECT problem_id, i, j, round(score, 9) AS score FROM cosp WHERE round(score, 9) >= {_T}), bo AS (SELECT problem_id, i AS node, j AS other, score FROM ed UNION ALL SELECT problem_id, j, i, score FROM ed)"
@@ -464,8 +464,7 @@ def _(s, d):
 
 @query("OP-115_knn_scored", f"WITH {VEC}, {_COS}, {_DIRECTED}, k AS (SELECT DISTINCT problem_id, least(node, other) AS i, greatest(node, other) AS j FROM near) SELECT c.problem_id, c.i, c.j, CASE WHEN k.i IS NULL THEN 0 ELSE round(c.score, 9) END AS score FROM cosp c LEFT JOIN k ON k.problem_id = c.problem_id AND k.i = c.i AND k.j = c.j")
 def _(s, d):
-    p = _cos(s, d)
-    return pr.knn_scored(p, pr.knn_edges(p, 3, mutual=False))
+    return pr.knn_scored(_cos(s, d), pr.near_edges(pr.nearest(fx.vec_candidates(s, d), 3), mutual=False))
 
 
 _JAC = f"""jt AS (SELECT problem_id, candidate_index, list_distinct(regexp_extract_all(coalesce(candidate, ''), '{fx.SQL_TOKEN}')) AS k FROM cc),

@@ -51,14 +51,18 @@ def conv_candidates(spark, sf_dir):
 
 
 def vec_candidates(spark, sf_dir):
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("problem_id"), (F.row_number().over(w) - 1).alias("candidate_index"), "embedding", (F.col("vec_id") % 3 == 0).cast("int").alias("label"), F.col("vec_id"))
+    """A problem is a label within 500 vectors, so that problems grow in number with the data and not in size."""
+    w = Window.partitionBy("problem_id").orderBy("vec_id")
+    vectors = table(spark, sf_dir, "embeddings").withColumn("problem_id", F.col("label") + 1000 * F.expr("vec_id div 500"))
+    return vectors.select("problem_id", (F.row_number().over(w) - 1).alias("candidate_index"), "embedding", (F.col("vec_id") % 3 == 0).cast("int").alias("label"), F.col("vec_id"))
 
 
 def doc_candidates(spark, sf_dir):
-    w = Window.partitionBy("lang", "source").orderBy("doc_id")
+    """A problem is a source in a language within 1,000 documents."""
+    w = Window.partitionBy("problem_id").orderBy("doc_id")
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return d.select(F.concat_ws("|", "lang", "source").alias("problem_id"), (F.row_number().over(w) - 1).alias("candidate_index"), F.col("text").alias("candidate"), F.coalesce("quality", F.lit(0)).alias("label"), F.col("doc_id").alias("row_no"))
+    d = d.withColumn("problem_id", F.concat_ws("|", "lang", "source", F.expr("doc_id div 1000").cast("string")))
+    return d.select("problem_id", (F.row_number().over(w) - 1).alias("candidate_index"), F.col("text").alias("candidate"), F.coalesce("quality", F.lit(0)).alias("label"), F.col("doc_id").alias("row_no"))
 
 
 def _quote(s: str) -> str:
@@ -72,8 +76,8 @@ SQL = {
   (3 * round(l_discount * 100)::BIGINT - l_quantity::BIGINT + 6 * (l_returnflag = 'R')::INTEGER) / 8::DOUBLE AS score_a,
   (5 * round(l_tax * 100)::BIGINT - l_linenumber) / 4::DOUBLE AS score_b, l_partkey AS part FROM lineitem)""",
     "conv": """cc AS (SELECT conv_id AS problem_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS candidate_index, text AS candidate, (role = 'assistant')::INTEGER AS label, turn AS row_no FROM conversations)""",
-    "vec": """vc AS (SELECT label AS problem_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INTEGER AS candidate_index, list_transform(embedding, lambda x: x::DOUBLE) AS embedding, (vec_id % 3 = 0)::INTEGER AS label, vec_id FROM embeddings)""",
-    "doc": """dc AS (SELECT lang || '|' || source AS problem_id, (row_number() OVER (PARTITION BY lang, source ORDER BY d.doc_id) - 1)::INTEGER AS candidate_index, text AS candidate, coalesce(quality, 0) AS label, d.doc_id AS row_no FROM documents d LEFT JOIN (SELECT doc_id, quality FROM labels) l ON d.doc_id = l.doc_id)""",
+    "vec": """vc AS (SELECT label + 1000 * (vec_id // 500) AS problem_id, (row_number() OVER (PARTITION BY label, vec_id // 500 ORDER BY vec_id) - 1)::INTEGER AS candidate_index, list_transform(embedding, lambda x: x::DOUBLE) AS embedding, (vec_id % 3 = 0)::INTEGER AS label, vec_id FROM embeddings)""",
+    "doc": """dc AS (SELECT lang || '|' || source || '|' || d.doc_id // 1000 AS problem_id, (row_number() OVER (PARTITION BY lang, source, d.doc_id // 1000 ORDER BY d.doc_id) - 1)::INTEGER AS candidate_index, text AS candidate, coalesce(quality, 0) AS label, d.doc_id AS row_no FROM documents d LEFT JOIN (SELECT doc_id, quality FROM labels) l ON d.doc_id = l.doc_id)""",
 }
 
 
