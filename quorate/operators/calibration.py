@@ -13,10 +13,8 @@ from quorate.operators.windows import global_prefix
 CLAMP = 1e-12
 #: The range of the temperature search.
 LOW_T, HIGH_T = 0.05, 20.0
-#: Temperatures that one pass over the scores tries, and how near the search goes in ln T.
-GRID, NEAR = 129, 1e-9
-#: Below this width of ln T the loss differs by no more than sums of doubles err, and its slope decides.
-BY_LOSS = 1e-3
+#: Temperatures that the first pass over the scores looks at, and how near the search goes in ln T.
+STARTS, NEAR = 13, 1e-10
 
 
 def finite(scored: DataFrame) -> DataFrame:
@@ -51,29 +49,58 @@ def ece_mce(rel: DataFrame) -> DataFrame:
     return rel.agg((F.sum(F.col("n") * F.col("abs_gap")) / F.nullif(F.sum("n"), F.lit(0))).alias("ece"), F.max("abs_gap").alias("mce"))
 
 
-def fit_temperature(scored: DataFrame, grid: int = GRID) -> float:
-    """The T with the least log loss, by ever finer grids of ln T: a pass tries a grid in one aggregate (the grid beside each distinct score), and the next one lies between the
-    neighbours of its best point, or, once it is narrow, between the points where the slope turns; the loss has one minimum. The scores are first reduced to one row per distinct score."""
+def _slopes(g: DataFrame, points: list[float]) -> list[tuple[float, float, float]]:
+    """(loss, slope, curvature) at each ln T of points, by one aggregate of one row for each score: loss in all, slope and curvature over 1 / T."""
+    sums = []
+    for x in points:
+        b = math.exp(-x)
+        p = st.sigmoid(F.col("score") * b)
+        # a clamped probability does not move with T
+        free = (p > CLAMP) & (p < 1 - CLAMP)
+        sums += [F.sum(F.col("pos") * nll_term(p, F.lit(1.0)) + (F.col("n") - F.col("pos")) * nll_term(p, F.lit(0.0))),
+                 F.sum(F.when(free, (F.col("n") * p - F.col("pos")) * F.col("score")).otherwise(0.0)), F.sum(F.when(free, F.col("n") * p * (1 - p) * F.col("score") * F.col("score")).otherwise(0.0))]
+    row = g.agg(*[c.alias(f"s{i}") for i, c in enumerate(sums)]).first()
+    if row[0] is None:
+        raise ValueError("no scores")
+    return [tuple(row[3 * i:3 * i + 3]) for i in range(len(points))]
+
+
+def fit_temperature(scored: DataFrame, starts: int = STARTS) -> float:
+    """The T with the least log loss.
+
+    Scores are first reduced to one row for each distinct score.  One pass looks at the loss at ``starts`` temperatures; the least and its neighbours
+    are the bracket.  Then each pass gives slope and curvature at a few points of it: Newton's steps from both ends and from the flattest
+    point, the secant and the middle, all inside the bracket, which the signs of their slopes narrow.
+    """
     g = scratch.table(scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")), "scores")
-    a, b = math.log(LOW_T), math.log(HIGH_T)
+    low, high = math.log(LOW_T), math.log(HIGH_T)
+    points = [low + (high - low) * i / (starts - 1) for i in range(starts)]
+    known = dict(zip(points, _slopes(g, points)))
+    best = min(range(starts), key=lambda i: known[points[i]][0])
+    a, b = points[max(0, best - 1)], points[min(starts - 1, best + 1)]
+    # the loss falls with T as long as its scores are pulled down, so that the least lies where the slope turns
+    if known[a][1] <= 0 or known[b][1] > 0:
+        a, b = (a, a) if known[a][1] <= 0 and best == 0 else (b, b) if known[b][1] > 0 and best == starts - 1 else (a, b)
     while b - a > NEAR:
-        points = [a + (b - a) * i / (grid - 1) for i in range(grid)]
-        p = st.sigmoid(F.col("score") / F.col("t"))
-        term = F.col("pos") * nll_term(p, F.lit(1.0)) + (F.col("n") - F.col("pos")) * nll_term(p, F.lit(0.0))
-        # a clamped probability does not move with T
-        pull = F.when((p > CLAMP) & (p < 1 - CLAMP), (F.col("n") * p - F.col("pos")) * F.col("score")).otherwise(0.0)
-        # one row for each point
-        tried = g.select("*", F.posexplode(F.array(*[F.lit(math.exp(x)) for x in points])).alias("i", "t")).groupBy("i").agg(F.sum(term).alias("loss"), F.sum(pull).alias("pull"))
-        found = {r["i"]: r for r in tried.collect()}
-        if not found:
-            raise ValueError("no scores")
-        if b - a > BY_LOSS:
-            best = min(range(grid), key=lambda i: found[i]["loss"])
-            a, b = points[max(0, best - 1)], points[min(grid - 1, best + 1)]
-        else:
-            # the loss falls with T as long as its scores are pulled down
-            turn = next((i for i in range(grid) if found[i]["pull"] <= 0), grid)
-            a, b = points[max(0, turn - 1)], points[min(grid - 1, turn)]
+        inside, steps = [(a + b) / 2], []
+        for x in sorted((x for x in known if a <= x <= b), key=lambda x: abs(known[x][1]))[:3]:
+            _, slope, curve = known[x]
+            if curve > 0 and (beta := math.exp(-x) - slope / curve) > 0:
+                steps.append((abs(-math.log(beta) - x), -math.log(beta)))
+        u, v = math.exp(-a), math.exp(-b)
+        if (rise := known[a][1] - known[b][1]) > 0:
+            steps.append((b - a, -math.log(u - known[a][1] * (u - v) / rise)))
+        for size, x in steps:
+            # beside a step a point on either side of it, so that the bracket closes around it
+            around = max(NEAR / 4, min(size * size, size / 8))
+            inside += [y for y in (x - around, x, x + around) if a < y < b]
+        new = [x for x in dict.fromkeys(inside) if x not in known]
+        if not new:
+            break
+        known |= dict(zip(new, _slopes(g, new)))
+        between = sorted(x for x in known if a <= x <= b)
+        turn = next((x for x in between if known[x][1] <= 0), b)
+        a, b = max((x for x in between if x < turn and known[x][1] > 0), default=a), turn
     scratch.discard(g)
     return math.exp((a + b) / 2)
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorate.functions import stats as st
+from quorate.operators.windows import cut
 
 
 def equivalence_probability(pairs: DataFrame, a: str, b: str, logits: Callable, temperature: float = 1.0) -> DataFrame:
@@ -45,6 +46,18 @@ def checked(cands: DataFrame, checker: Callable, cache: DataFrame | None = None)
     return known.unionByName(fresh, allowMissingColumns=True).drop("__key")
 
 
+def checked_once(cands: DataFrame, checker: Callable, store) -> DataFrame:
+    """checked() with a stored cache (sources.jsonl.memo_store): candidates that it lacks are checked, each distinct text once, and stored;
+    a second run checks none."""
+    key = st.memo_key(F.coalesce(F.col("header"), F.lit("")) if "header" in cands.columns else F.lit(""), F.col("candidate"))
+    rows = cut(cands.withColumn("key", key))
+    misses = rows.join(store.lookup(rows).select("key"), "key", "left_anti").groupBy("key").agg(F.first("candidate").alias("candidate"))
+    # the checker's answers are written before they are used, so that none is asked for twice
+    fresh = cut(misses.select("key", F.pandas_udf(checker, "boolean")("candidate").alias("ok")))
+    store.append_new(fresh)
+    return rows.join(store.lookup(rows).withColumnRenamed("ok", "typechecks"), "key", "left").drop("key")
+
+
 def typecheck_filter(cands: DataFrame, checker: Callable, cache: DataFrame | None = None, drop_empty: bool = True) -> tuple[DataFrame, DataFrame]:
     """(survivors, failures): candidates that pass the checker, and the others; without drop_empty a problem without survivors keeps all."""
     rows = checked(cands, checker, cache)
@@ -61,6 +74,39 @@ def proof_outcomes(pairs: DataFrame, prover: Callable) -> DataFrame:
     return pairs.withColumn("__ab", run("a", "b")).withColumn("__ba", run("b", "a")).withColumn("ok", F.col("__ab") & F.col("__ba")).drop("__ab", "__ba")
 
 
+class _Samples:
+    """A table function's handler: one prompt, as many rows as the model gives for it, at most n, without repeated texts."""
+
+    def __init__(self, model: Callable):
+        self.model = model
+
+    def rows(self, problem_id, prompt: str, n: int, seed: int):
+        seen = set()
+        for i in range(n or 0):
+            text = self.model(prompt, seed + i)
+            if text is not None and text not in seen:
+                seen.add(text)
+                yield problem_id, i, text
+
+
+def register_sampler(spark, name: str, model: Callable, id_type: str = "bigint"):
+    """A table function name(problem_id, prompt, n, seed) -> (problem_id, candidate_index, candidate), for lateral joins from DataFrames and from SQL:
+
+        SELECT s.* FROM problems p, LATERAL name(p.problem_id, p.prompt, 3, 7) s
+
+    model(prompt, seed) -> text, or None for no sample; a text that repeats gives no row of its own.  Returns the function itself.
+    """
+    samples = _Samples(model)
+
+    class Sampler:
+        def eval(self, problem_id, prompt: str, n: int, seed: int):
+            yield from samples.rows(problem_id, prompt, n, seed)
+
+    fn = F.udtf(Sampler, returnType=f"problem_id {id_type}, candidate_index int, candidate string")
+    spark.udtf.register(name, fn)
+    return fn
+
+
 def sample_candidates(problems: DataFrame, prompt: str, n: int, model: Callable, seed: int | Callable = 0) -> DataFrame:
     """(problem_id, candidate_index, candidate): n samples per prompt; model(series of prompts, series of seeds) -> series of texts.
 

@@ -15,15 +15,20 @@ from quorate.plans import fixtures as fx
 from quorate.plans.catalog import _ARGMAX, _COS, CONV, LINE, VEC, _cos, _selections, query, r9
 from quorate.plans.steps import Steps
 from quorate.scratch import path as scratch
-from quorate.sources import jsonl
+from quorate.sources import cache, jsonl
 from quorate.streaming import live
 
 
+#: Files that a table is written as, where a query needs some.
+_PARTS = 4
+
+
 def _jsonl(s, d):
     """Every conversation turn as a line; conversations are the keys, so all but one line per key are duplicates."""
     path = scratch(s, "jsonl")
     c = fx.conv_candidates(s, d).select("problem_id", "row_no", "candidate")
-    c.coalesce(1).sortWithinPartitions("problem_id", "row_no").write.json(path)
+    # a file for each range of conversations
+    c.repartitionByRange(_PARTS, "problem_id").sortWithinPartitions("problem_id", "row_no").write.json(path)
     return path
 
 
@@ -42,13 +47,14 @@ def _(s, d):
     return jsonl.read_rows(s, path, _SCHEMA).select("problem_id", "row_no", "candidate")
 
 
-@query("OP-002_faulty_lines", f"WITH {CONV}, n AS (SELECT *, 3 * row_number() OVER (ORDER BY problem_id, row_no) AS line FROM cc) SELECT line, 'problem_id is missing' AS fault FROM n WHERE problem_id % 5 = 0")
+@query("OP-002_faulty_lines", f"WITH {CONV}, n AS (SELECT *, problem_id // 20 AS part, 3 * row_number() OVER (PARTITION BY problem_id // 20 ORDER BY problem_id, row_no) AS line FROM cc) SELECT part, line, 'problem_id is missing' AS fault FROM n WHERE problem_id % 5 = 0")
 def _(s, d):
-    """A file in which a blank line and one of white space stand before each row, and some rows lack their key."""
+    """Files, one for 20 conversations each, in which a blank line and one of white space stand before each row, and some rows lack their key."""
     path = scratch(s, "faults")
     row = F.to_json(F.struct(F.when(F.col("problem_id") % 5 != 0, F.col("problem_id")).alias("problem_id"), "row_no", "candidate"))
-    fx.conv_candidates(s, d).coalesce(1).sortWithinPartitions("problem_id", "row_no").select(F.concat(F.lit("\n \t\u00a0\n"), row).alias("value")).write.text(path)
-    return jsonl.faulty_lines(s, path).select("line", "fault")
+    rows = fx.conv_candidates(s, d).withColumn("part", F.expr("problem_id div 20"))
+    rows.repartition("part").sortWithinPartitions("part", "problem_id", "row_no").select("part", F.concat(F.lit("\n \t\u00a0\n"), row).alias("value")).write.partitionBy("part").text(path)
+    return jsonl.faulty_lines(s, path).select(F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part"), "line", "fault")
 
 
 @query("OP-003_jsonl_rows", f"WITH {CONV} SELECT problem_id, row_no FROM cc")
@@ -68,10 +74,16 @@ def _folder(s, d, *names, fmt="json"):
 _SPLIT = lambda name: f"SELECT DISTINCT conv_id AS problem_id, '{name}' AS split FROM conversations"
 
 
-@query("OP-004_resolve_split", _SPLIT("validation"))
+@query("OP-004_resolve_split", " UNION ALL ".join([_SPLIT("validation"), _SPLIT("test"), "SELECT DISTINCT conv_id AS problem_id, 'cached' AS split FROM conversations"]))
 def _(s, d):
-    # a published name, which a local folder stands for
-    return jsonl.resolve_split(s, "org/talks", "valid", names={"org/talks": _folder(s, d, "train", "validation", "test")})
+    """A published name that a folder stands for, a path below a base, and a name that only a cache has."""
+    folder, cached = _folder(s, d, "train", "validation", "test"), scratch(s, "hub")
+    base, name = folder.rsplit("/", 1)
+    rows = fx.table(s, d, "conversations").select(F.col("conv_id").alias("problem_id"), F.lit("cached").alias("split")).distinct()
+    cache.write_cached(rows, cached, "org/other", "r1", "test", ["test"])
+    named = jsonl.resolve_split(s, "org/talks", "valid", names={"org/talks": folder}, base=base, cache=cached)
+    below = jsonl.resolve_split(s, name, "test", base=base, cache=cached)
+    return named.unionByName(below).unionByName(jsonl.resolve_split(s, "org/other", "test", base=base, cache=cached))
 
 
 @query("OP-005_parquet_folder", _SPLIT("test"))
@@ -84,18 +96,36 @@ def _(s, d):
     return jsonl.resolve_split(s, _folder(s, d, "train", "dev"), "valid")
 
 
-@query("OP-007_single_file", "SELECT region.* FROM region")
+@query("OP-007_single_file", f"WITH {CONV} SELECT problem_id, row_no, candidate FROM cc")
 def _(s, d):
-    return jsonl.resolve_split(s, f"{d}/region.parquet", "train")
+    """Each JSON-lines file of a folder as a split by itself."""
+    path = _jsonl(s, d)
+    files = sorted(r[0] for r in s.read.text(path).select(F.input_file_name()).distinct().collect())
+    out = None
+    for f in files:
+        one = jsonl.resolve_split(s, f, "train").select("problem_id", "row_no", "candidate")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("OP-008_arrow_cache", "SELECT r_regionkey, r_name FROM region")
+@query("OP-008_arrow_folders", "SELECT r_regionkey, r_name FROM region")
 def _(s, d):
     path = scratch(s, "cached")
     jsonl.write_arrow_splits({"train": fx.table(s, d, "nation"), "test": fx.table(s, d, "region")}, path)
     return jsonl.resolve_split(s, "org/regions", "test", names={"org/regions": path})
 
 
+@query("OP-008_arrow_cache", "SELECT o_orderkey, o_orderstatus, 'new' AS revision FROM orders WHERE o_orderkey % 2 = 1 UNION ALL SELECT o_orderkey, o_orderstatus, 'old' FROM orders WHERE o_orderkey % 2 = 0")
+def _(s, d):
+    """Two versions of two sets of one owner; the info files say which is which. Read by the data source, a partition for each batch."""
+    root, o = scratch(s, "cache"), fx.table(s, d, "orders").select("o_orderkey", "o_orderstatus")
+    cache.write_cached(o.filter("o_orderkey % 2 = 0"), root, "org/orders", "a1", "test", ["test"], 1000)
+    cache.write_cached(o.filter("o_orderkey % 2 = 1"), root, "org/orders", "b2", "test", ["test"], 1000)
+    cache.write_cached(o.filter("o_orderkey % 3 = 0"), root, "org/orders-more", "b2", "test", ["test"], 1000)
+    cache.write_cached(o.limit(5), root, "org/orders-more", "a1", "valid", ["valid"])
+    return cache.read_cached(s, root, "org/orders", "test", "b2").withColumn("revision", F.lit("new")).unionByName(cache.read_cached(s, root, "org/orders", "test", "a1").withColumn("revision", F.lit("old")))
+
+
 @query("OP-010_local_names", "SELECT * FROM (VALUES ('org/set-a', '/data/a'), ('org/other', 'org/other')) t(name, place)")
 def _(s, d):
     names = {"org/set-a": "/data/a"}
@@ -147,9 +177,9 @@ def _(s, d):
     return ca.lookup_first(li, "k", "o", "v", keep_last=True)
 
 
-@query("OP-017_inspect", "SELECT * FROM (VALUES ('r_regionkey', 'int', 3), ('r_name', 'string', 3)) t(\"column\", \"type\", n)")
+@query("OP-017_inspect", "WITH f AS (SELECT row_number() OVER () - 1 AS row, * FROM (SELECT * FROM documents LIMIT 3)) " + " UNION ALL ".join(f"SELECT row, '{c}' AS \"column\", '{t}' AS \"type\", left({c}::VARCHAR, 160) AS value FROM f" for c, t in (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"))))
 def _(s, d):
-    return jsonl.inspect(fx.table(s, d, "region"), 3).groupBy("column", "type").agg(F.count(F.lit(1)).alias("n"))
+    return jsonl.inspect(fx.table(s, d, "documents"), 3)
 
 
 @query("OP-018_jsonl_sink", f"WITH {CONV} SELECT problem_id, row_no, candidate FROM cc")
@@ -166,10 +196,11 @@ def _(s, d):
     return s.read.option("multiLine", "true").schema("n long, name string").json(path)
 
 
-@query("OP-020_markdown_report", "SELECT 'Regions' AS title, count(*) AS table_lines FROM (SELECT * FROM region UNION ALL (SELECT * FROM region LIMIT 2))")
+@query("OP-020_markdown_report", f"WITH {LINE}, t AS (SELECT label, typechecks, count(*) AS n FROM lc GROUP BY 1, 2), r AS (SELECT row_number() OVER (ORDER BY label, typechecks) + 5 AS place, '| ' || label || ' | ' || CASE WHEN typechecks THEN 'yes' ELSE 'no' END || ' | ' || n || ' |' AS line FROM t) SELECT * FROM r UNION ALL SELECT * FROM (VALUES (0, '# Lines'), (1, ''), (2, '## By label'), (3, ''), (4, '| label | typechecks | n |'), (5, '| --- | --- | --- |')) v(place, line)")
 def _(s, d):
-    text = reports.report("Regions", [("All", fx.table(s, d, "region"))])
-    return s.createDataFrame([(text.splitlines()[0].removeprefix("# "), sum(x.startswith("|") for x in text.splitlines()))], "title string, table_lines long")
+    counts = fx.line_candidates(s, d).groupBy("label", "typechecks").agg(F.count(F.lit(1)).alias("n")).orderBy("label", "typechecks")
+    text = reports.report("Lines", [("By label", counts)])
+    return s.createDataFrame(list(enumerate(text.splitlines())), "place long, line string")
 
 
 _AB_SQL = "SELECT '# a and b' AS title, 8 AS lines, count(*) AS problems FROM (SELECT DISTINCT l_orderkey FROM lineitem)"
@@ -191,14 +222,15 @@ def _(s, d):
     jsonl.append_new(s, rows.filter("problem_id % 2 = 0"), path)
     jsonl.append_new(s, rows, path)
     jsonl.append_new(s, rows, path)
-    return s.read.parquet(path)
+    return jsonl.read_sink(s, path, rows.schema)
 
 
 @query("OP-022_memo_cache", f"WITH {CONV}, k AS (SELECT problem_id, row_no, sha256('h' || chr(10) || chr(10) || coalesce(candidate, '')) AS key FROM cc) SELECT * FROM k WHERE key NOT IN (SELECT key FROM k WHERE problem_id % 2 = 0)")
 def _(s, d):
     rows = fx.conv_candidates(s, d).withColumn("header", F.lit("h"))
-    known = jsonl.cache_misses(rows.filter("problem_id % 2 = 0"), s.createDataFrame([], "key string")).select("key").distinct()
-    return jsonl.cache_misses(rows, known).select("problem_id", "row_no", "key")
+    store = jsonl.memo_store(s, scratch(s, "memo"))
+    store.append_new(jsonl.cache_misses(rows.filter("problem_id % 2 = 0"), store).select("key", F.lit(True).alias("ok")))
+    return jsonl.cache_misses(rows, store).select("problem_id", "row_no", "key")
 
 
 @query("OP-023_id_lists", "SELECT CASE WHEN o_orderkey % 10 < 8 THEN 'train' ELSE 'test' END AS split, count(*) AS n, min(o_orderkey::VARCHAR) AS first, max(o_orderkey::VARCHAR) AS last FROM orders GROUP BY 1")
@@ -269,12 +301,9 @@ def _(s, d):
 
 @query("OP-256_typecheck_model", f"WITH {CONV} SELECT problem_id, candidate_index, length(candidate) % 3 = 0 AS typechecks FROM cc")
 def _(s, d):
-    c = fx.conv_candidates(s, d)
-    known = scorers.checked(c.filter("problem_id % 2 = 0"), lambda v: v.str.len() % 3 == 0)
-    from quorate.functions import stats as st
-
-    cache = known.select(st.memo_key(F.lit(""), F.col("candidate")).alias("key"), F.col("typechecks").alias("ok")).distinct()
-    return scorers.checked(c, lambda v: v.str.len() % 3 == 0, cache).select("problem_id", "candidate_index", "typechecks")
+    c, store = fx.conv_candidates(s, d), jsonl.memo_store(s, scratch(s, "checks"))
+    scorers.checked_once(c.filter("problem_id % 2 = 0"), lambda v: v.str.len() % 3 == 0, store)
+    return scorers.checked_once(c, lambda v: v.str.len() % 3 == 0, store).select("problem_id", "candidate_index", "typechecks")
 
 
 @query("OP-257_sampler", "SELECT c.problem_id, i::INTEGER AS candidate_index, 'about ' || c.problem_id || ' by ' || (7 * c.problem_id + i) AS candidate FROM (SELECT DISTINCT conv_id AS problem_id FROM conversations) c, range(3) t(i)")
@@ -284,6 +313,33 @@ def _(s, d):
     return scorers.sample_candidates(p, "prompt", 3, lambda prompt, seed: prompt + " by " + seed.astype(str), seed=lambda i: 7 * F.col("problem_id") + i).select("problem_id", "candidate_index", "candidate")
 
 
+def _stand_in(prompt, seed):
+    """Says what it is asked for; nothing where prompt and seed make a multiple of five, and the same for seeds that share a third."""
+    return None if (len(prompt) + seed) % 5 == 0 else f"{prompt} {seed // 3}"
+
+
+_SAMPLED = "WITH p AS (SELECT conv_id AS problem_id, count(*) AS n, arg_min(role, turn) AS prompt FROM conversations GROUP BY 1), m AS (SELECT problem_id, i, prompt || ' ' || ((problem_id + i) // 3) AS candidate FROM p, range(20) t(i) WHERE i < n AND (length(prompt) + problem_id + i) % 5 <> 0) SELECT problem_id, min(i)::INTEGER AS candidate_index, candidate FROM m GROUP BY problem_id, candidate"
+
+
+def _prompts(s, d):
+    return fx.table(s, d, "conversations").groupBy(F.col("conv_id").alias("problem_id")).agg(F.least(F.count(F.lit(1)), F.lit(20)).cast("int").alias("n"), F.min_by("role", "turn").alias("prompt"))
+
+
+@query("OP-257_table_function", _SAMPLED)
+def _(s, d):
+    """As many samples as a conversation has turns, by a lateral join; a repeated or missing answer gives no row."""
+    fn = scorers.register_sampler(s, "sampled", _stand_in)
+    p = _prompts(s, d)
+    return p.lateralJoin(fn(F.col("problem_id").outer(), F.col("prompt").outer(), F.col("n").outer(), F.col("problem_id").cast("int").outer()).select(F.col("problem_id").alias("of"), "candidate_index", "candidate")).select("problem_id", "candidate_index", "candidate")
+
+
+@query("OP-257_table_function_sql", _SAMPLED)
+def _(s, d):
+    scorers.register_sampler(s, "sampled", _stand_in)
+    _prompts(s, d).createOrReplaceTempView("quorate_prompts")
+    return s.sql("SELECT s.* FROM quorate_prompts p, LATERAL sampled(p.problem_id, p.prompt, p.n, CAST(p.problem_id AS INT)) s")
+
+
 @query("OP-258_timed_steps", f"WITH {LINE}, {_ARGMAX} SELECT 'choose' AS step, count(*) AS rows FROM pick UNION ALL SELECT 'evaluate', 1")
 def _(s, d):
     run = Steps(s, scratch(s, "steps"))
@@ -321,3 +377,36 @@ def _(s, d):
     out = _drain(s, live.running_choice(ev_), "problem_id long, chosen_index int, score double", "update")
     # of a problem's updates the last has the best score
     return out.groupBy("problem_id").agg(F.max_by(F.struct(F.col("chosen_index").cast("long").alias("chosen_index"), "score"), F.struct("score", -F.col("chosen_index"))).alias("b")).select("problem_id", "b.*")
+
+
+_CLOSED = "(SELECT max(ts) - INTERVAL 2 HOUR FROM events WHERE event_id % 7 <> 0)"
+
+
+def _deliveries(s, d):
+    """The events in three files: most, those of the last hour, and late ones, ten days older than the newest. A batch drops what is older than the
+    watermark that the batch before it began with, so that the third is the first that can."""
+    path, e = scratch(s, "deliveries"), fx.table(s, d, "events")
+    late = F.col("event_id") % 7 == 0
+    newest = F.lit(e.filter(~late).agg(F.max("ts")).first()[0])
+    last = F.col("ts") >= newest - F.expr("INTERVAL 1 HOUR")
+    for n, part in enumerate((e.filter(~late & ~last), e.filter(~late & last), e.filter(late & (F.col("ts") < newest - F.expr("INTERVAL 10 DAYS"))))):
+        part.repartition(1).write.parquet(f"{path}/part={n}")
+    return live.read_stream(s, f"{path}/part=*", _EVENTS, files_per_trigger=1)
+
+
+@query("STREAM_sessions", f"WITH e AS (SELECT user_id, ts FROM events WHERE event_id % 7 <> 0), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM e)) SELECT user_id AS problem_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM g GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= {_CLOSED}")
+def _(s, d):
+    rows = _deliveries(s, d).select("ts", F.col("user_id").alias("problem_id"))
+    return _drain(s, live.sessions(rows, "6 hours", "2 hours"), "problem_id long, session_start timestamp, session_end timestamp, n long")
+
+
+@query("STREAM_closing_choice", f"WITH e AS (SELECT * FROM events WHERE event_id % 7 <> 0) SELECT user_id AS problem_id, arg_max(event_id, (value, -event_id))::INTEGER AS chosen_index, max(value) AS score, count(*) AS n FROM e GROUP BY 1 HAVING max(ts) + INTERVAL 12 HOUR <= {_CLOSED}")
+def _(s, d):
+    """Users without an event for twelve hours: their best event, given out once; late events change nothing."""
+    own = s.newSession()
+    for k, v in {**{"spark.sql.session.timeZone": s.conf.get("spark.sql.session.timeZone"), "spark.sql.shuffle.partitions": s.conf.get("spark.sql.shuffle.partitions")}, **live.STATE_STORE}.items():
+        own.conf.set(k, v)
+    rows = _deliveries(own, d).select(F.col("user_id").alias("problem_id"), F.col("event_id").cast("int").alias("candidate_index"), F.col("value").alias("score"), "ts")
+    out = "problem_id long, chosen_index int, score double, n long"
+    path = _drain(own, live.closing_choice(rows, 12 * 60), out).inputFiles()
+    return s.read.schema(out).parquet(*path) if path else s.createDataFrame([], out)

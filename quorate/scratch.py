@@ -22,7 +22,7 @@ def root(spark: SparkSession) -> str:
     if not named and not (found := sc._jsc.sc().getCheckpointDir()).isEmpty():
         named = found.get()
     if named:
-        return named.rstrip("/")
+        return qualified(spark, named).rstrip("/")
     if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if sc.applicationId not in _own:
@@ -32,6 +32,15 @@ def root(spark: SparkSession) -> str:
     return _own[sc.applicationId]
 
 
+def qualified(spark: SparkSession, where: str) -> str:
+    """A path with the scheme that Spark takes it by, so that other libraries open the same file system."""
+    if ":" in where:
+        return where
+    p = spark._jvm.org.apache.hadoop.fs.Path(where)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; clear() deletes what was written there."""
     p = f"{root(spark)}/quorate-{label}-{uuid.uuid4().hex}"

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 from quorate import scratch
 from quorate.functions import stats as st
 from quorate.functions import text as tx
+from quorate.sources.cache import open_fs, read_cached
+from quorate.sources.store import KeyedStore
 
 BOM = "﻿"
 #: The names under which a split may be stored, and where a missing training split is taken from.
@@ -79,13 +81,23 @@ def temperature(js: F.Column, default: float = 1.0):
     return F.coalesce(*[F.when((v > 0) & (v < float("inf")), v) for v in values], F.lit(default))
 
 
-def resolve_split(spark: SparkSession, path: str, split: str, formats: tuple[str, ...] = ("parquet", "jsonl", "json", "arrow"), names: dict[str, str] | None = None) -> DataFrame:
+def resolve_split(spark: SparkSession, path: str, split: str, formats: tuple[str, ...] = ("parquet", "jsonl", "json", "arrow"), names: dict[str, str] | None = None, base: str | None = None, cache: str | None = None) -> DataFrame:
     """A split of a folder by its file names; a missing training split falls back to valid, then test. A single file is a split itself.
 
-    ``names`` maps published names to the folders that stand for them.  Arrow files, by split or one folder of them per split, are read as caches.
+    What ``path`` names is looked for in this order: the path itself; the path below ``base``; the folder that ``names`` gives for it, a published
+    name; the cache at ``cache``, by the id in its info files.  Arrow files, by split or one folder of them per split, are read as caches.
     """
-    path = local_name(path, names or {})
     jvm = spark._jvm
+
+    def there(p: str) -> bool:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+    tried_first = [path, *([f"{base.rstrip('/')}/{path}"] if base and ":" not in path and not path.startswith("/") else []), *([mapped] if (mapped := local_name(path, names or {})) != path else [])]
+    found_at = next((p for p in tried_first if there(p)), None)
+    if found_at is None and cache is not None:
+        return read_cached(spark, cache, path, split)
+    path = found_at or path
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.getFileStatus(root).isFile():
@@ -116,10 +128,8 @@ def local_name(name: str, known: dict[str, str]) -> str:
 def _arrow_batches(path: str):
     """Record batches of an Arrow file or stream, one at a time."""
     import pyarrow as pa
-    from pyarrow import fs
 
-    scheme, colon, rest = path.partition(":")
-    where, name = fs.FileSystem.from_uri(f"{scheme}://{rest}" if colon and not rest.startswith("//") else path if colon else f"file://{path}")
+    where, name = open_fs(path)
     with where.open_input_file(name) as f:
         try:
             r = pa.ipc.open_file(f)
@@ -154,18 +164,17 @@ def read_arrow(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def write_arrow_splits(splits: dict[str, DataFrame], path: str) -> None:
     """A cached data set: a folder for each split with an Arrow file for each of its parts, written by the executors."""
     import pyarrow as pa
-    from pyarrow import fs
     from pyspark.sql.pandas.types import to_arrow_schema
 
     for name, df in splits.items():
-        where, folder = fs.FileSystem.from_uri(f"{path}/{name}" if "://" in path else f"file://{path}/{name}")
+        where, folder = open_fs(f"{path}/{name}")
         where.create_dir(folder, recursive=True)
         kinds = to_arrow_schema(df.schema)
 
-        def run(batches, uri=f"{path}/{name}" if "://" in path else f"file://{path}/{name}", kinds=kinds):
+        def run(batches, uri=f"{path}/{name}", kinds=kinds):
             import uuid
 
-            fs_, target = fs.FileSystem.from_uri(uri)
+            fs_, target = open_fs(uri)
             part = f"{target}/{uuid.uuid4().hex}"
             n = 0
             with fs_.open_output_stream(f"{part}.part", compression=None) as f, pa.ipc.new_file(f, kinds) as w:
@@ -208,22 +217,30 @@ def write_text(spark: SparkSession, path: str, text: str) -> str:
 
 
 def append_new(spark: SparkSession, df: DataFrame, path: str, key: str = "problem_id") -> int:
-    """Append the rows whose key the sink lacks; returns how many keys it had. Running it again adds nothing."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fresh, had = df, 0
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        done = spark.read.parquet(path).select(key).distinct()
-        had = done.count()
-        fresh = df.join(done, key, "left_anti")
-    fresh.write.mode("append").parquet(path)
+    """Append the rows whose key the sink lacks, one of each key; returns how many keys it had. Running it again, or twice at once, adds nothing twice."""
+    store = KeyedStore(spark, path, df.schema, key)
+    had = store.count()
+    store.append_new(df)
     return had
 
 
-def cache_misses(rows: DataFrame, cache: DataFrame) -> DataFrame:
-    """Rows with their memo key that the cache lacks."""
+def read_sink(spark: SparkSession, path: str, schema: str | T.StructType, key: str = "problem_id") -> DataFrame:
+    """The rows of a sink that append_new() writes."""
+    return KeyedStore(spark, path, schema, key).read()
+
+
+#: A stored cache of checks: the key of a header and a candidate, and what the checker said.
+MEMO = "key string, ok boolean"
+
+
+def memo_store(spark: SparkSession, path: str) -> KeyedStore:
+    return KeyedStore(spark, path, MEMO, "key")
+
+
+def cache_misses(rows: DataFrame, cache: DataFrame | KeyedStore) -> DataFrame:
+    """Rows with their memo key that the cache, a table or a store, lacks; of a store only the buckets of the rows' keys are read."""
     keyed = rows.withColumn("key", st.memo_key(F.col("header"), F.col("candidate")))
-    return keyed.join(cache.select("key"), "key", "left_anti")
+    return keyed.join((cache.lookup(keyed) if isinstance(cache, KeyedStore) else cache).select("key"), "key", "left_anti")
 
 
 def write_splits(df: DataFrame, path: str, split_col: str = "split") -> None:
