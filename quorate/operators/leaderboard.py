@@ -1,16 +1,12 @@
 """Comparing methods over the same problems: decisions are (method, problem_id, correct 0/1, accepted boolean, any_correct 0/1)."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorate.functions import stats as st
-from quorate.operators import graph
-from quorate.operators import selection as se
 from quorate.operators.evaluation import label_at, labels_of
-from quorate.operators.windows import cut
+from quorate.operators.grid import CONFIG, selection_grid, top_selections  # noqa: F401
 
 
 def method_decisions(cands: DataFrame, selections: DataFrame, methods: list[str], missing: str = "abstain") -> DataFrame:
@@ -80,86 +76,6 @@ def grid(scored: DataFrame, configs: DataFrame) -> DataFrame:
     return g.withColumn("accuracy", st.rate(F.col("n_correct"), F.col("problems"))).withColumn("accuracy_given_any", st.rate(F.col("n_correct"), F.col("n_any")))
 
 
-CONFIG = ["threshold", "tie_break", "cluster_rank", "mutual_k", "margin", "support"]
-
-
-def _of(df: DataFrame, n: int) -> DataFrame:
-    """The rows with (graph, problem) as their problem, so that problems of different graphs never meet."""
-    return df.withColumn("problem_id", F.struct(F.lit(n).alias("graph"), F.col("problem_id").alias("id")))
-
-
-def _beside(df: DataFrame, n: int) -> DataFrame:
-    """The rows for each of n graphs."""
-    out = df.withColumn("graph", F.explode(F.array(*[F.lit(i) for i in range(n)]).cast("array<int>")))
-    return out.withColumn("problem_id", F.struct("graph", F.col("problem_id").alias("id"))).drop("graph")
-
-
-def _clusters(nodes: DataFrame, pairs: DataFrame, graphs: list[tuple], mode: str) -> DataFrame:
-    """(problem_id, indices, size, cohesion) of every graph (threshold, mutual_k, margin, support), problem_id being (graph, id): one loop finds the components of all."""
-    if mode not in ("components", "support"):
-        raise ValueError(f"unknown cluster mode {mode!r}")
-    first = [graph.threshold_edges(pairs, t, k) for t, k, _, _ in graphs]
-    edges = cut(reduce(DataFrame.unionByName, [_of(graph.prune_triangles(e, pairs, t, margin), n) for n, (e, (t, _, margin, _)) in enumerate(zip(first, graphs))]))
-    listed = _beside(nodes.select("problem_id", "candidate_index"), len(graphs))
-    pruned = [n for n, g in enumerate(graphs) if g[2] > 0]
-    if pruned:
-        at = F.col("problem_id.graph").isin(pruned)
-        eligible = reduce(DataFrame.unionByName, [_of(first[n], n) for n in pruned])
-        edges = cut(edges.unionByName(graph.rescue_isolates(listed.filter(at), edges.filter(at), eligible)))
-    scored = _beside(pairs, len(graphs))
-    if mode == "components":
-        return graph.cohesion(graph.components(listed, edges), scored).drop("component")
-    parts = []
-    for share in dict.fromkeys(g[3] for g in graphs):
-        at = F.col("problem_id.graph").isin([n for n, g in enumerate(graphs) if g[3] == share])
-        parts.append(graph.support_clusters(listed.filter(at), edges.filter(at), scored.filter(at), share))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def selection_grid(nodes: DataFrame, pairs: DataFrame, configs: list[tuple], baselines: dict[str, DataFrame], *, mode: str = "components", ensemble: str | None = None) -> DataFrame:
-    """The strategy grid: cluster selection for every configuration (the columns of CONFIG), the baselines, and an ensemble, one row each.
-
-    nodes: (problem_id, candidate_index, length, label); pairs are scored once and used by every configuration. baselines: name ->
-    (problem_id, chosen_index, and centrality if it has one). ensemble: the weighted vote of all configurations with that tie break.
-    """
-    nodes, pairs = cut(nodes), cut(pairs)
-    graphs = list(dict.fromkeys((c[0], c[3], c[4], c[5] if mode == "support" else None) for c in configs))
-    stats = cut(_clusters(nodes, pairs, graphs, mode)) if configs else None
-    own_nodes, own_pairs = _beside(nodes.select("problem_id", "candidate_index", "length"), len(graphs)), _beside(pairs, len(graphs))
-    # a plan for each rank and tie break, over all graphs at once; the configurations are a short list
-    named_by: dict[tuple, list[tuple]] = {}
-    for n, (threshold, tie, rank, k, margin, support) in enumerate(configs):
-        named_by.setdefault((rank, tie), []).append((graphs.index((threshold, k, margin, support if mode == "support" else None)), n))
-    picks = []
-    for (rank, tie), members in named_by.items():
-        best = graph.rank_components(stats, rank).filter("rank = 1")
-        chosen = se.representatives(best, own_nodes, own_pairs, tie).join(best.select("problem_id", "size", "cohesion"), "problem_id")
-        numbers = nodes.sparkSession.createDataFrame(members, "graph int, config int")
-        chosen = chosen.select(F.col("problem_id.graph").alias("graph"), F.col("problem_id.id").alias("problem_id"), "chosen_index", "size", "cohesion", "centrality").join(F.broadcast(numbers), "graph")
-        picks.append(chosen.select("problem_id", "config", F.lit("selection").alias("strategy"), "chosen_index", "size", "cohesion", "centrality"))
-    chosen = cut(reduce(DataFrame.unionByName, picks)) if picks else None
-    others = dict(baselines)
-    if ensemble is not None:
-        own = chosen.filter(F.col("config").isin([n for n, c in enumerate(configs) if c[1] == ensemble])).withColumn("member", F.col("config"))
-        voted = se.vote(own, nodes).select("problem_id", "chosen_index")
-        # the vote carries the numbers of its strongest member that agrees
-        strength = F.struct(F.greatest(F.lit(1), F.col("size")) * F.coalesce("cohesion", F.lit(1.0)) * F.coalesce("centrality", F.lit(1.0)), -F.col("config"))
-        others["ensemble"] = own.join(voted, ["problem_id", "chosen_index"]).groupBy("problem_id", "chosen_index").agg(F.max_by(F.struct("size", "cohesion", "centrality"), strength).alias("b")).select("problem_id", "chosen_index", "b.*")
-    rest = {"size": "1", "cohesion": "cast(null as double)", "centrality": "cast(null as double)"}
-    rows = [d.select("problem_id", F.lit(None).cast("int").alias("config"), F.lit(name).alias("strategy"), "chosen_index", *[F.col(c) if c in d.columns else F.expr(e).alias(c) for c, e in rest.items()]) for name, d in others.items()]
-    rows = reduce(DataFrame.unionByName, ([chosen] if picks else []) + rows)
-    any_of = nodes.groupBy("problem_id").agg(F.max("label").alias("any_correct"))
-    j = rows.join(nodes.select("problem_id", F.col("candidate_index").alias("chosen_index"), "label"), ["problem_id", "chosen_index"]).join(any_of, "problem_id")
-    g = j.groupBy("strategy", "config").agg(F.count(F.lit(1)).alias("problems"), F.sum("label").cast("long").alias("n_correct"), F.sum("any_correct").cast("long").alias("n_any"), F.avg("size").alias("avg_size"), F.avg("cohesion").alias("avg_cohesion"), F.avg(F.coalesce("centrality", F.lit(0.0))).alias("avg_centrality"))
-    named = nodes.sparkSession.createDataFrame([(n, float(c[0]), c[1], c[2], int(c[3]), float(c[4]), float(c[5])) for n, c in enumerate(configs)], "config int, threshold double, tie_break string, cluster_rank string, mutual_k int, margin double, support double")
-    return g.join(F.broadcast(named), "config", "left").select("strategy", "config", *CONFIG, "problems", "n_correct", "n_any", st.rate(F.col("n_correct"), F.col("problems")).alias("accuracy"), st.rate(F.col("n_correct"), F.col("n_any")).alias("accuracy_given_any"), "avg_size", "avg_cohesion", "avg_centrality")
-
-
-def top_selections(g: DataFrame, n: int, by: str = "accuracy_given_any") -> DataFrame:
-    """A report: the n best configurations of a selection grid, by key, accuracy, then the configuration itself."""
-    return g.filter("strategy = 'selection'").orderBy(F.desc(F.round(by, 12)), F.desc(F.round("accuracy", 12)), *CONFIG).limit(n)
-
-
 def top_configs(g: DataFrame, n: int) -> DataFrame:
     """A report: the n best configurations."""
     return g.orderBy(F.desc(F.round("accuracy", 12)), F.desc("n_correct"), "config").limit(n)

@@ -7,14 +7,14 @@ from quorate.functions import stats as st
 from quorate.functions import text as tx
 from quorate.operators import calibration as cal
 from quorate.operators import candidates as ca
-from quorate.operators import etl, graph, leaderboard
+from quorate.operators import etl, graph, grid, leaderboard
 from quorate.operators import evaluation as ev
 from quorate.operators import pairs as pr
 from quorate.operators import selection as se
 from quorate.operators import selective as sv
-from quorate.operators.windows import global_prefix, per_problem
+from quorate.operators.windows import cut, global_prefix, per_problem
 from quorate.plans import fixtures as fx
-from quorate.plans.catalog import (_ARGMAX, _BLEU, _BLEU_DIR, _CENT, _COMPS, _COMPSTAT, _COS, _DEC, _EDGES, _EXAMPLES, _JAC, _METHODS, _SELS, _T, CONV, DOC, LINE, VEC, _bleu, _conv_nodes, _cos, _decisions, _edges, _examples, _methods, _nodes, _selections, query, r9)
+from quorate.plans.catalog import (_ARGMAX, _BLEU, _BLEU_DIR, _CENT, _COMPS, _COMPSTAT, _COS, _DEC, _EDGES, _EXAMPLES, _JAC, _METHODS, _RESCUE, _SELS, _T, _TRI, CONV, DOC, LINE, VEC, _bleu, _conv_nodes, _cos, _decisions, _edges, _examples, _methods, _nodes, _selections, query, r9)
 from quorate.sources import jsonl
 
 W = fx.sql_wilson
@@ -429,24 +429,86 @@ def _(s, d):
 
 
 _CONFIGS = [(t, tie, rank, k, m, 0.7) for t in (0.1, 0.3) for tie in ("medoid", "shortest") for rank in ("size_then_cohesion", "cohesion") for k in (0, 2) for m in (0.0, 0.1)]
-
-
-def _selection_grid(s, d):
+_GRAPHS = list(dict.fromkeys((c[0], c[3], c[4]) for c in _CONFIGS))
+_BOUNDS = {"length": [60, 200], "candidates": [4, 6], "component": [1, 3]}
+
+
+def _choice_sql(vote: str) -> str:
+    """al: what each configuration, baseline and the ensemble chooses. A problem of a graph is 100 * problem + graph, so that the graph queries' steps hold."""
+    rows = lambda cols, values: "(VALUES " + ", ".join("(" + ", ".join(map(str, v)) + ")" for v in values) + f") v({cols})"
+    graphs = rows("g, thr, mk, mg", [(n, f"{t}::DOUBLE", k, f"{m}::DOUBLE") for n, (t, k, m) in enumerate(_GRAPHS)])
+    configs = rows("config, g, tie, rk", [(n, _GRAPHS.index((c[0], c[3], c[4])), f"'{c[1]}'", f"'{c[2]}'") for n, c in enumerate(_CONFIGS)])
+    keys = {"size_then_cohesion": "size DESC, cohesion DESC", "cohesion": "cohesion DESC, size DESC"}
+    tops = " UNION ALL ".join(f"SELECT *, '{k}' AS rk, row_number() OVER (PARTITION BY problem_id ORDER BY {o}, component) AS r FROM cst" for k, o in keys.items())
+    central = lambda name, rel: f"{name} AS (SELECT problem_id, candidate_index AS chosen_index, c AS centrality FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY c DESC, len, candidate_index) AS r FROM (SELECT nd.problem_id, nd.candidate_index, len, round(coalesce(avg(x.score), 1), 9) AS c FROM nd LEFT JOIN {rel} x ON x.problem_id = nd.problem_id AND x.node = nd.candidate_index GROUP BY 1, 2, 3)) WHERE r = 1)"
+    weight = "greatest(1, size) * cohesion * coalesce(centrality, 1)"
+    one = lambda name, rel, cent="NULL": f"SELECT problem_id, '{name}', NULL, chosen_index, 1, NULL, {cent} FROM {rel}"
+    return f"""{_BLEU_DIR}, {_JAC}, ft AS (SELECT problem_id, candidate_index, {fx.sql_features('norm')} FROM s4),
+nd AS (SELECT s4.problem_id, s4.candidate_index, length(norm) AS len, label, round(n_chars / 100.0::DOUBLE + n_binders + n_prop, 9) AS pen, norm FROM s4 JOIN cc USING (problem_id, candidate_index) JOIN ft USING (problem_id, candidate_index)),
+sim AS (SELECT problem_id, i, j, round(score, 9) AS score FROM jj), sd AS (SELECT problem_id, i AS node, j AS other, score FROM sim UNION ALL SELECT problem_id, j, i, score FROM sim),
+sr AS (SELECT *, row_number() OVER (PARTITION BY problem_id, node ORDER BY score DESC, other) AS r FROM sd), wr AS (SELECT problem_id, least(node, other) AS i, greatest(node, other) AS j, max(score) AS score, max(r) AS worst FROM sr GROUP BY 1, 2, 3),
+gr AS (SELECT * FROM {graphs}), vc AS (SELECT problem_id * 100 + g AS problem_id, candidate_index FROM nd, gr), cosp AS (SELECT problem_id * 100 + g AS problem_id, i, j, score FROM sim, gr),
+ed AS (SELECT problem_id * 100 + g AS problem_id, i, j, score FROM wr, gr WHERE score >= thr AND (mk = 0 OR worst <= mk)), bo AS (SELECT problem_id, i AS node, j AS other, score FROM ed UNION ALL SELECT problem_id, j, i, score FROM ed), {_TRI},
+bad AS (SELECT tri.problem_id, centre, CASE WHEN s_i <= s_k THEN tri.i ELSE k END AS weak FROM tri JOIN cosp f ON f.problem_id = tri.problem_id AND f.i = tri.i AND f.j = tri.k JOIN gr ON g = tri.problem_id % 100 WHERE mg > 0 AND f.score < thr AND least(s_i, s_k) - f.score >= mg), drops AS (SELECT DISTINCT problem_id, least(centre, weak) AS i, greatest(centre, weak) AS j FROM bad), {_RESCUE},
+ed2 AS (SELECT problem_id, i, j FROM kept UNION ALL SELECT problem_id, i, j FROM added), bo2 AS (SELECT problem_id, i AS node, j AS other FROM ed2 UNION ALL SELECT problem_id, j, i FROM ed2),
+{_COMPS.replace('JOIN bo ON', 'JOIN bo2 ON').replace('bo.', 'bo2.')}, {_COMPSTAT}, tops AS ({tops}), mem AS (SELECT problem_id, rk, size, cohesion, unnest(indices) AS candidate_index FROM tops WHERE r = 1),
+din AS (SELECT problem_id, i AS node, j AS other, score FROM cosp UNION ALL SELECT problem_id, j, i, score FROM cosp),
+ct AS (SELECT m.problem_id, m.rk, m.size, m.cohesion, m.candidate_index, round(coalesce((sum(x.score::DECIMAL(18, 12))::DOUBLE / count(x.score))::DECIMAL(18, 12), 1), 9)::DOUBLE AS centrality FROM mem m LEFT JOIN (SELECT din.*, o.rk FROM din JOIN mem o ON o.problem_id = din.problem_id AND o.candidate_index = din.other) x ON x.problem_id = m.problem_id AND x.rk = m.rk AND x.node = m.candidate_index GROUP BY ALL),
+cl AS (SELECT ct.*, len, pen, row_number() OVER w AS r, max(centrality) OVER (PARTITION BY ct.problem_id, rk) AS top FROM ct JOIN nd ON nd.problem_id = ct.problem_id // 100 AND nd.candidate_index = ct.candidate_index WINDOW w AS (PARTITION BY ct.problem_id, rk ORDER BY centrality DESC, len, ct.candidate_index)),
+se AS (SELECT problem_id, rk, 'medoid' AS tie, any_value(size) AS size, any_value(cohesion) AS cohesion, arg_min(candidate_index, (pen, -centrality, len, candidate_index)) AS chosen_index, arg_min(centrality, (pen, -centrality, len, candidate_index)) AS centrality FROM cl WHERE r <= 3 AND top - centrality <= 0.05::DOUBLE GROUP BY 1, 2
+  UNION ALL SELECT problem_id, rk, 'shortest', any_value(size), any_value(cohesion), arg_min(candidate_index, (len, candidate_index)), NULL FROM cl GROUP BY 1, 2),
+cfg AS (SELECT * FROM {configs}), pk AS (SELECT se.problem_id // 100 AS problem_id, config, se.tie, chosen_index, size, cohesion, centrality FROM se JOIN cfg ON cfg.g = se.problem_id % 100 AND cfg.tie = se.tie AND cfg.rk = se.rk),
+vo AS (SELECT problem_id, chosen_index, {f"round(sum({weight}), 9)" if vote == "weighted" else "count(*)"} AS weight, count(*) AS votes FROM pk WHERE tie = 'medoid' GROUP BY 1, 2),
+vw AS (SELECT problem_id, arg_max(chosen_index, (weight, votes, -len, -chosen_index)) AS chosen_index FROM vo JOIN (SELECT problem_id, candidate_index AS chosen_index, len FROM nd) USING (problem_id, chosen_index) GROUP BY 1),
+en AS (SELECT problem_id, chosen_index, arg_max({{'s': size, 'h': cohesion, 'c': centrality}}, (round({weight}, 9), -config)) AS b FROM pk JOIN vw USING (problem_id, chosen_index) WHERE tie = 'medoid' GROUP BY 1, 2),
+{central("mbg", "sd")}, {central("mbk", "(SELECT * FROM sr WHERE r <= 3)")}, {central("blm", "bd")},
+mj AS (SELECT problem_id, arg_max(f, (n, -len, -f)) AS chosen_index FROM (SELECT problem_id, norm, count(*) AS n, min(candidate_index) AS f, any_value(len) AS len FROM nd GROUP BY 1, 2) GROUP BY 1),
+fi AS (SELECT problem_id, min(candidate_index) AS chosen_index, arg_min(candidate_index, (len, candidate_index)) AS sh, count(*) AS n FROM nd GROUP BY 1),
+al(problem_id, strategy, config, chosen_index, size, cohesion, centrality) AS (SELECT problem_id, 'selection', config, chosen_index, size, cohesion, centrality FROM pk UNION ALL {one("first", "fi")} UNION ALL SELECT problem_id, 'shortest', NULL, sh, 1, NULL, NULL FROM fi UNION ALL {one("majority", "mj")}
+  UNION ALL SELECT problem_id, 'random', NULL, (('0x' || left(sha256('123:' || problem_id), 15))::BIGINT % n), 1, NULL, NULL FROM fi UNION ALL {one("bleu_medoid", "blm", "centrality")} UNION ALL {one("mbr_global", "mbg", "centrality")} UNION ALL {one("mbr_knn", "mbk", "centrality")} UNION ALL SELECT problem_id, 'ensemble', NULL, chosen_index, b.s, b.h, b.c FROM en),
+pr AS (SELECT problem_id, max(label) AS any_correct, count(*) AS candidates, max(len) FILTER (candidate_index = 0) AS length FROM nd GROUP BY 1), jn AS (SELECT al.*, label, any_correct, candidates, length FROM al JOIN pr USING (problem_id) JOIN nd ON nd.problem_id = al.problem_id AND nd.candidate_index = al.chosen_index)"""
+
+
+_MEAN = "round((sum(({0})::DECIMAL(18, 12))::DOUBLE / count({0}))::DECIMAL(18, 12), 9)::DOUBLE"
+_SUMS = f"count(*) AS problems, sum(label)::BIGINT AS n_correct, sum(any_correct)::BIGINT AS n_any, round({R('sum(label)', 'count(*)')}, 9) AS accuracy, round({R('sum(label)', 'sum(any_correct)')}, 9) AS accuracy_given_any, round(avg(size), 9) AS avg_size, {_MEAN.format('cohesion')} AS avg_cohesion, {_MEAN.format('coalesce(centrality, 0)')} AS avg_centrality"
+_NAMED = "nm AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, {c[0]}::DOUBLE, '{c[1]}', '{c[2]}', {c[3]}, {c[4]}::DOUBLE, {c[5]}::DOUBLE)" for n, c in enumerate(_CONFIGS)) + ") v(config, threshold, tie_break, cluster_rank, mutual_k, margin, support))"
+_GRID_ROWS = f"WITH {_choice_sql('weighted')}, {_NAMED}, sg AS (SELECT strategy, config, {_SUMS} FROM jn GROUP BY 1, 2) SELECT sg.*, threshold, tie_break, cluster_rank, mutual_k, margin, support FROM sg LEFT JOIN nm USING (config)"
+_BUCKET = {r: f"CASE WHEN {v} <= {_BOUNDS[r][0]} THEN 0 WHEN {v} <= {_BOUNDS[r][1]} THEN 1 WHEN {v} IS NOT NULL THEN 2 END" for r, v in (("length", "length"), ("candidates", "candidates"), ("component", "size"))}
+
+
+def _grid_inputs(s, d):
     nodes, sim = _conv_nodes(s, d), r9(pr.jaccard_pairs(fx.conv_candidates(s, d)))
+    nodes = nodes.withColumn("penalty", F.round(tx.penalty(tx.normalize(F.coalesce("candidate", F.lit("")))), 9))
     cents = lambda **kw: r9(pr.centrality(nodes.select("problem_id", "candidate_index", "length"), sim, **kw))
     baselines = {
         "first": se.first_candidate(nodes), "shortest": se.shortest(nodes), "majority": ca.majority(nodes).withColumnRenamed("candidate_index", "chosen_index"), "random": se.random_choice(nodes, 123),
         "bleu_medoid": se.medoid(_cents(s, d), "length"), "mbr_global": se.medoid(cents(), "length"), "mbr_knn": se.medoid(cents(mode="knn", k=3), "length"),
     }
-    return leaderboard.selection_grid(nodes.select("problem_id", "candidate_index", "length", "label"), sim, _CONFIGS, baselines, ensemble="medoid")
+    return nodes.select("problem_id", "candidate_index", "length", "penalty", "label"), sim, baselines
 
 
-@query("OP-182_selection_grid")
+_GRID_OPTIONS = {"ensemble": "medoid", "simple_k": 3, "max_drop": 0.05, "digits": 9}
+
+
+def _selection_grid(s, d):
+    nodes, sim, baselines = _grid_inputs(s, d)
+    return leaderboard.selection_grid(nodes, sim, _CONFIGS, baselines, **_GRID_OPTIONS)
+
+
+@query("OP-182_selection_grid", _GRID_ROWS)
 def _(s, d):
     return r9(_selection_grid(s, d))
 
 
-@query("OP-184_top_selections")
+@query("OP-183_grid_buckets", f"WITH {_choice_sql('majority')}, bk AS (SELECT *, {', '.join(f'{e} AS b_{r}' for r, e in _BUCKET.items())} FROM jn), sg AS (SELECT strategy, config, b_length, b_candidates, b_component, grouping(b_length) AS gl, grouping(b_candidates) AS gc, grouping(b_component) AS gk, {_SUMS} FROM bk GROUP BY GROUPING SETS ((strategy, config), (strategy, config, b_length), (strategy, config, b_candidates), (strategy, config, b_component))) SELECT CASE WHEN gl = 0 THEN 'length' WHEN gc = 0 THEN 'candidates' WHEN gk = 0 THEN 'component' ELSE 'all' END AS report, coalesce(b_length, b_candidates, b_component) AS bucket, * EXCLUDE (gl, gc, gk, b_length, b_candidates, b_component) FROM sg WHERE gl + gc + gk = 3 OR coalesce(b_length, b_candidates, b_component) IS NOT NULL")
+def _(s, d):
+    nodes, sim, baselines = _grid_inputs(s, d)
+    nodes = cut(nodes)
+    chosen = grid.choices(nodes, sim, _CONFIGS, baselines, vote="majority", **_GRID_OPTIONS)
+    return r9(grid.totals(chosen, nodes, nodes.filter("candidate_index = 0").select("problem_id", "length"), _BOUNDS))
+
+
+@query("OP-184_top_selections", f"SELECT * FROM ({_GRID_ROWS}) WHERE strategy = 'selection' ORDER BY accuracy_given_any DESC, accuracy DESC, threshold, tie_break, cluster_rank, mutual_k, margin, support LIMIT 3")
 def _(s, d):
     return r9(leaderboard.top_selections(_selection_grid(s, d), 3))
 
