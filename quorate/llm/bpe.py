@@ -6,7 +6,9 @@ where the old and new cuts meet again.  A token sequence is the encoding of its
 encodes to itself, so a prefix of length i ends in token t if t's bytes end there and the pair (last token of the shorter prefix, t) is
 one; pairs are decided by merging their few bytes and are remembered.
 
-Defined cases: a null text is an empty text: no ids, the digests of no bytes.  Ids and repeated rows are carried through.
+Defined cases: a null text is an empty text: no ids, the digests of no bytes; null ids and repeated rows are carried through; texts of any length
+are read whole, a piece of any length takes time and memory in proportion to it; an empty table gives an empty result; other columns, whatever
+their names, are not read.
 """
 from __future__ import annotations
 
@@ -150,7 +152,11 @@ def _load(path: str, pattern: str) -> PrefixBpe:
 
 
 class EditableText:
-    """A text whose encoding is kept up to date through appends and edits."""
+    """A text whose encoding is kept up to date through appends and edits.
+
+    Prefix entries are redone near an edit alone; the text itself and the list of its pieces are rebuilt by each edit, in time that grows with the
+    text, though far less than encoding it again would take.
+    """
 
     def __init__(self, bpe: PrefixBpe, text: str = ""):
         self.bpe, self.text = bpe, ""

@@ -13,7 +13,8 @@ Every vector is a candidate and every comparison that could matter is made, so r
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part; shorter vectors count as padded with zeros; a null id
 takes no part; ties go to the smaller id; fewer than k candidates give fewer rows; of rows that repeat an id each is a candidate of its own,
-except for queries of that id, and each is a query of its own; a score beyond 64 bits is an error; an empty table gives an empty result; other columns take no part.
+except for queries of that id, and each is a query of its own; a score beyond 64 bits is an error; an empty table gives an empty result; vectors may have any
+number of components; other columns take no part.
 """
 from __future__ import annotations
 

@@ -11,7 +11,8 @@ class, and is not scored.
 A paragraph is a line, joined with the next while it is short and does not end a sentence (hard-wrapped text); blank lines end it.
 
 Defined cases: null and empty texts have no paragraphs and no licences; null ids and repeated rows are carried through; of equal scores the
-family earlier in the list wins; an empty table gives an empty result; other columns take no part.
+family earlier in the list wins; an empty table gives an empty result; texts and paragraphs of any
+length are read whole; other columns, whatever their names, take no part.
 """
 from __future__ import annotations
 

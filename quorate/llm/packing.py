@@ -5,8 +5,9 @@ remainder).  Pieces are dealt by a hash of their place into groups of bounded si
 sequence or so a group.  A sequence is filled greedily, largest piece first, with the largest that still fits; if a gap remains, its
 smallest piece is replaced by the two unpacked pieces that fill the widened gap most tightly.
 
-Defined cases: a null text is an empty text and yields its end id alone; null ids and repeated rows are packed like others; an empty table
-gives an empty result.
+Defined cases: a null text is an empty text and yields its end id alone; null ids and repeated rows are packed like others; a text of any
+length is cut into as many pieces as it needs; pieces of equal length are packed in order of document and place; an empty table gives an empty result; other
+columns, whatever their names, are not read.
 """
 from __future__ import annotations
 

@@ -5,7 +5,8 @@ operator 4 decodes the best label sequence (Viterbi) and keeps a document by its
 forward-backward marginals, weighted by line length, and calibrates them into a score.
 
 Defined cases: a null text is an empty text; an empty text has no words, fails the base rules, and gets a score like any other; a null
-doc_id is carried through; repeated rows are scored each; an empty table gives an empty result; other columns take no part.  If the
+doc_id is carried through; repeated rows are scored each; an empty table gives an empty result; texts of any
+length are read whole, a long one as a chain of all its lines; other columns, whatever their names, take no part.  If the
 sample lacks one of the two classes, a neutral model is used: operator 4 keeps what passes the base rules, operator 6 gives every text
 the observed class's smoothed share.
 """

@@ -13,7 +13,8 @@ With rows r in a band, pairs at the threshold t are missed with probability (1 -
 
 Defined cases: texts without words, null or empty, have an empty set and are linked with nothing; a row with a null doc_id takes no part and
 has a null component_id and kept true; rows of one doc_id, of equal texts or not, are one node (each row is returned); ties and equal sets go to the
-smallest doc_id; an empty table gives an empty result; other columns take no part.
+smallest doc_id; an empty table gives an empty result; texts of any length are read
+whole; other columns, whatever their names, take no part.
 """
 from __future__ import annotations
 

@@ -5,7 +5,9 @@ whole text; each filter's maximum feeds a logistic output that is then calibrate
 chosen on rows kept out of training.  Language never enters the score: it only picks the threshold behind ``flagged``.
 
 Defined cases: a null or empty text has no words and gets the score of all-zero maxima; null ids and repeated rows are carried through;
-languages without enough calibration rows, and null languages, use 0.5; a sample with one class only gives a constant score.
+languages without enough calibration rows, and null languages, use 0.5; a sample with one class only gives a constant score; texts of any length
+are read whole, a list of bounded size at a time or one long text by itself; equal texts get equal scores; an empty table gives an empty result; other
+columns, whatever their names, are not read.
 """
 from __future__ import annotations
 

@@ -8,7 +8,8 @@ Records of equal payload: the one with the smallest page_id is a response, the o
 
 Defined cases: a null html is an empty payload; a null url is written as about:blank; rows with a null page_id are written and read
 back, but never named by a revisit unless all their group's ids are null (then all are responses); repeated rows of one page_id that
-is its payload's smallest are each a response; an empty table gives an empty result; other columns take no part.
+is its payload's smallest are each a response; an empty table gives an empty result; payloads may be of
+any length, each being one record in memory; ties of page_id are repeated rows; other columns, whatever their names, take no part.
 """
 from __future__ import annotations
 

@@ -202,3 +202,58 @@ def test_line_features_by_brute_force(labelled):
     for r in labelled[:60]:
         for neighbours in (False, True):
             assert np.allclose(line_features(line_arrays([r[1]]), neighbours), brute_features(r[1], neighbours)[1])
+
+
+def plain_licence(model, text):
+    """(n_paragraphs, [(family, begin, end, probability, cover)]) of a text by loops over the fitted model's numbers."""
+    n, rows = len(model.ids), []
+    pairs = {int(c): n + k for k, c in enumerate(model.pairs)}
+    mass: dict[int, dict[int, float]] = {}
+    for sentence, feature, share in zip(model.owner.tolist(), model.feat.tolist(), model.share.tolist()):
+        mass.setdefault(feature, {})[sentence] = share
+    spans, at, open_ = [], 0, False
+    for line in (text or "").split("\n"):
+        if line.strip():
+            if open_:
+                spans[-1][1] = at + len(line)
+            else:
+                spans.append([at, at + len(line)])
+            open_ = len(line) <= 100 and line.strip()[-1] not in ".!?:;"
+        else:
+            open_ = False
+        at += len(line) + 1
+    for a, b in spans:
+        ws = licences.words(text[a:b])
+        ids = [model.ids.get(w, -1) for w in ws]
+        found = {i for i in ids if i >= 0} | {pairs[x * n + y] for x, y in zip(ids, ids[1:]) if x >= 0 and y >= 0 and x * n + y in pairs}
+        cover: dict[int, float] = {}
+        for f in sorted(found):
+            for sentence, share in mass.get(f, {}).items():
+                cover[sentence] = cover.get(sentence, 0.0) + share
+        if max(cover.values(), default=0.0) < licences.MIN_COVER:
+            continue
+        size = math.sqrt(min(max(len(ws), 1), 40))
+        z = [sum(float(model.weights[f, c]) for f in found) / size + float(model.bias[c]) for c in range(model.weights.shape[1])]
+        best = max(range(1, len(z)), key=lambda c: (z[c], -c))
+        p = 1 / (1 + math.exp(-(model.scale[0] + model.scale[1] * (z[best] - z[0]))))
+        own = max((v for s, v in cover.items() if model.classes[s] == best), default=0.0)
+        if p >= 0.5 and own >= licences.MIN_COVER:
+            rows.append((licences.FAMILIES[best - 1], a, b, p, own))
+    return len(spans), rows
+
+
+def test_licences_by_plain_loops_over_the_whole_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = licences.fit(docs)
+    got = {r["doc_id"]: r for r in licences.scan_licences(docs, model).collect()}
+    notices = 0
+    for d in docs.select("doc_id", "text").collect():
+        n, rows = plain_licence(model, d["text"])
+        r = got[d["doc_id"]]
+        assert r["n_paragraphs"] == n and r["families"] == sorted({x[0] for x in rows})
+        assert [(x["family"], x["begin"], x["end"]) for x in r["notices"]] == [x[:3] for x in rows]
+        assert all(abs(x["probability"] - y[3]) < 1e-4 and abs(x["cover"] - y[4]) < 1e-9 for x, y in zip(r["notices"], rows))
+        notices += len(rows)
+    assert notices > 3
+    for t in ["Licensed under the MIT License.", *[x for f in licences.FAMILIES for x in licences.TEMPLATES[f]], "The MIT License is short.", ""]:
+        assert [x["family"] for x in licences.scan([t], model)["notices"].to_pylist()[0]] == [x[0] for x in plain_licence(model, t)[1]]
