@@ -31,6 +31,8 @@ from .common import materialize
 MIN_PIVOTS, MAX_PIVOTS = 8, 2048
 #: Vectors that pivots are chosen from: this many for each pivot.
 SAMPLE_PER_PIVOT = 8
+#: Bytes of sample vectors that come to the driver, as arrays, at most; a vector for each pivot comes in any case.
+SAMPLE_BYTES = 64 << 20
 QUERY_BLOCK = 2048
 DATA_SLICE = 20_000
 #: Vectors that meet all cells at a time.
@@ -119,12 +121,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1
     dim = max(dim, asked.agg(F.coalesce(F.max(F.size("x")), F.lit(0))).first()[0], 1)
     pivots = pivots or min(MAX_PIVOTS, max(MIN_PIVOTS, int(np.ceil(n_data**0.5))))
     # ids alone are sorted; one row of each id comes back, so that the sample's size is bounded
-    n_sample = SAMPLE_PER_PIVOT * pivots
+    n_sample = max(pivots, min(SAMPLE_PER_PIVOT * pivots, SAMPLE_BYTES // (8 * dim)))
     some = data.select(F.xxhash64("id").alias("h"), "id").distinct().orderBy("h", "id").limit(n_sample).select("id")
-    rows = data.join(F.broadcast(some), "id", "left_semi").groupBy("id").agg(F.min("x").alias("x")).orderBy("id").select("x").collect()
-    sample = np.zeros((len(rows), dim))
-    for i, r in enumerate(rows):
-        sample[i, :len(r[0])] = r[0]
+    rows = data.join(F.broadcast(some), "id", "left_semi").groupBy("id").agg(F.min("x").alias("x")).orderBy("id").select("x").toArrow()
+    sample = np.concatenate([np.zeros((0, dim)), *(_matrix(c, dim) for c in rows.column(0).chunks)])
     centres = choose_pivots(sample, pivots)
     centres = centres[order_cells(centres)]
     held = spark.sparkContext.broadcast(centres)
