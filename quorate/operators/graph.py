@@ -64,10 +64,61 @@ def rescue_isolates(nodes: DataFrame, edges: DataFrame, eligible: DataFrame) ->
     return listed.groupBy("problem_id").applyInPandas(run, f"problem_id {kind}, i int, j int, score double")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(problem_id, candidate_index, component): component is its smallest index. Labels spread along edges and through labels of labels."""
+#: Rows (nodes and edges) of a problem up to which its components are found inside one task.
+LOCAL_ROWS = 200_000
+
+
+def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0 to n - 1 and edges (a, b) the smallest node of each one's component."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
+
+
+def components(nodes: DataFrame, edges: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """(problem_id, candidate_index, component): component is its smallest index.
+
+    Rows are counted by problem: problems of up to local_rows are solved in one task each, of which there may be many; larger ones by rounds of
+    joins, in which labels spread along edges and through labels of labels.  Edges of nodes that are not listed do not count.
+    """
+    import pandas as pd
+
+    kinds = dict(nodes.dtypes)
+    rows = _cut(nodes.select("problem_id", F.col("candidate_index").alias("i"), F.col("candidate_index").alias("j")).distinct().unionByName(edges.select(*KEY)))
+    large = _cut(rows.groupBy("problem_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > local_rows).select("problem_id"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].to_numpy(np.int64), pdf["j"].to_numpy(np.int64)
+        ids = np.sort(i[i == j])
+        i, j = i[i != j], j[i != j]
+        known = np.isin(i, ids) & np.isin(j, ids)
+        found = ids[_least_labels(len(ids), np.searchsorted(ids, i[known]), np.searchsorted(ids, j[known]))]
+        return pd.DataFrame({"problem_id": pdf["problem_id"].iloc[:1].repeat(len(ids)).to_numpy(), "candidate_index": ids, "component": found})
+
+    schema = f"problem_id {kinds['problem_id']}, candidate_index {kinds['candidate_index']}, component {kinds['candidate_index']}"
+    if large.isEmpty():
+        out = _cut(rows.groupBy("problem_id").applyInPandas(run, schema))
+    else:
+        small = rows.join(large, "problem_id", "left_anti").groupBy("problem_id").applyInPandas(run, schema)
+        rest = rows.join(large, "problem_id", "left_semi")
+        spread = _spread_labels(rest.filter("i = j").select("problem_id", F.col("i").alias("candidate_index")), rest.filter("i <> j"))
+        out = _cut(small.unionByName(spread))
+        discard(spread)
+    discard(rows, large)
+    return out
+
+
+def _spread_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """components() by rounds of joins, each of which is a table."""
     node = ["problem_id", "candidate_index"]
-    both = _cut(both_ways(edges).select("problem_id", F.col("node").alias("candidate_index"), "other").distinct())
+    both = _cut(edges.select("problem_id", F.col("i").alias("candidate_index"), F.col("j").alias("other")).unionByName(edges.select("problem_id", F.col("j").alias("candidate_index"), F.col("i").alias("other"))).distinct())
     labels = _cut(nodes.select(*node, F.col("candidate_index").alias("component")))
     while True:
         of = labels.select("problem_id", F.col("candidate_index").alias("other"), F.col("component").alias("near"))
@@ -76,11 +127,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         up = step.select("problem_id", F.col("candidate_index").alias("next"), F.col("next").alias("far"))
         after = _cut(step.join(up, ["problem_id", "next"]).select(*node, F.least("next", "far").alias("component"), (F.least("next", "far") != F.col("component")).alias("moved")))
         discard(labels)
-        if after.filter("moved").isEmpty():
-            discard(both)
-            return after.drop("moved")
         labels = after.drop("moved")
         labels._quorate_path = after._quorate_path
+        if after.filter("moved").isEmpty():
+            discard(both)
+            return labels
 
 
 def cohesion(comps: DataFrame, pairs: DataFrame) -> DataFrame:

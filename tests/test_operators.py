@@ -100,6 +100,29 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(10)}, 10: 10, 11: 11}
 
 
+def test_components_in_tasks_and_by_rounds(spark):
+    import random
+
+    rng = random.Random(3)
+    links = {(p, *sorted(rng.sample(range(60), 2))) for p in ("a", "b", "c") for _ in range({"a": 20, "b": 45, "c": 0}[p])}
+    n = spark.createDataFrame([(p, i) for p in ("a", "b", "c") for i in range(60) if i % 7] + [("a", 1)], "problem_id string, candidate_index int")
+    e = spark.createDataFrame([(*x, 1.0) for x in links] + [("d", 0, 1, 1.0)], "problem_id string, i int, j int, score double")
+    want = {}
+    for p in ("a", "b", "c"):
+        ids = [i for i in range(60) if i % 7]
+        label = {i: i for i in ids}
+        for _ in ids:
+            for q, i, j in links:
+                if q == p and i in label and j in label:
+                    label[i] = label[j] = min(label[i], label[j])
+        want |= {(p, i): label[i] for i in ids}
+    # all in tasks; the two with the most rows by rounds; all by rounds
+    for bound in (graph.LOCAL_ROWS, 60, 0):
+        got = graph.components(n, e, local_rows=bound).collect()
+        assert len(got) == len(want) and {(r["problem_id"], r["candidate_index"]): r["component"] for r in got} == want
+    assert graph.components(n.limit(0), e).count() == 0
+
+
 def test_support_clusters(spark):
     n = nodes(spark, 1, 1, 1, 1)
     p = pairs(spark, {(0, 1): 0.9, (0, 2): 0.9, (1, 2): 0.9, (0, 3): 0.6, (1, 3): 0.1, (2, 3): 0.1})
