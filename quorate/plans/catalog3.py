@@ -179,7 +179,7 @@ def _(s, d):
 
 @query("OP-017_inspect", "WITH f AS (SELECT row_number() OVER () - 1 AS row, * FROM (SELECT * FROM documents LIMIT 3)) " + " UNION ALL ".join(f"SELECT row, '{c}' AS \"column\", '{t}' AS \"type\", left({c}::VARCHAR, 160) AS value FROM f" for c, t in (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"))))
 def _(s, d):
-    return jsonl.inspect(fx.table(s, d, "documents"), 3)
+    return jsonl.inspect(fx.table(s, d, "documents"), 3, order=jsonl.FILE_ORDER)
 
 
 @query("OP-018_jsonl_sink", f"WITH {CONV} SELECT problem_id, row_no, candidate FROM cc")

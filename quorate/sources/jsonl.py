@@ -188,11 +188,17 @@ def write_arrow_splits(splits: dict[str, DataFrame], path: str) -> None:
             where.move(f"{r['part']}.part", f"{r['part']}.arrow")
 
 
-def inspect(df: DataFrame, n: int = 3, width: int = 160) -> DataFrame:
-    """(row, column, type, value): the first rows' values, cut to width."""
-    rows = df.limit(n).withColumn("__row", F.monotonically_increasing_id())
+#: Where a row of a table of Parquet files stands. Files are dealt to tasks by size, so that the tasks' order is not that of the files.
+FILE_ORDER = ("_metadata.file_path", "_metadata.row_index")
+
+
+def inspect(df: DataFrame, n: int = 3, width: int = 160, order: tuple[str, ...] = ()) -> DataFrame:
+    """(row, column, type, value): the first rows' values, cut to width; first by the columns of ``order``, or else as the tasks have them."""
     items = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.substring(F.col(c).cast("string"), 1, width).alias("value")) for c, t in df.dtypes])
-    return rows.select("__row", F.explode(items).alias("x")).select(F.col("__row").alias("row"), "x.*")
+    rows = df.select(F.struct(*[F.col(c).alias(f"p{k}") for k, c in enumerate(order)], F.monotonically_increasing_id().alias("id")).alias("__place"), items.alias("__items"))
+    # n rows
+    first = rows.orderBy("__place").limit(n).select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__place")) - 1).cast("long").alias("row"), "__items")
+    return first.select("row", F.explode("__items").alias("x")).select("row", "x.*")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -169,6 +169,15 @@ def test_lines_are_numbered_across_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_first_rows_are_those_of_the_first_file(spark, tmp_path):
+    # the larger file goes to the first task
+    spark.range(2).coalesce(1).write.parquet(f"{tmp_path}/t/a")
+    spark.range(100, 60_000).coalesce(1).write.parquet(f"{tmp_path}/t/b")
+    df = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/t")
+    got = [tuple(r) for r in jsonl.inspect(df, 3, order=jsonl.FILE_ORDER).orderBy("row").collect()]
+    assert got == [(0, "id", "bigint", "0"), (1, "id", "bigint", "1"), (2, "id", "bigint", "100")]
+
+
 def test_arrow_caches_by_split(spark, tmp_path):
     df = spark.range(1000).select("id", F.array(F.col("id"), F.lit(None)).alias("a"), F.concat(F.lit("é"), F.col("id")).alias("s")).repartition(3)
     jsonl.write_arrow_splits({"train": df.filter("id < 900"), "test": df.filter("id >= 900")}, str(tmp_path))
