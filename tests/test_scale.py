@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from quorate import joins, scratch
 from quorate.functions import stats as st
 from quorate.operators import candidates as ca
@@ -14,6 +15,7 @@ from quorate.operators import evaluation as ev
 from quorate.operators import pairs as pr
 from quorate.operators import selection as se
 from quorate.operators.windows import first_in_order, global_prefix
+from quorate.plans import fixtures as fx
 from quorate.sources import jsonl
 
 
@@ -178,6 +180,22 @@ def test_first_rows_are_those_of_the_first_file(spark, tmp_path):
     assert got == [(0, "id", "bigint", "0"), (1, "id", "bigint", "1"), (2, "id", "bigint", "100")]
 
 
+def _many_documents(spark, tmp_path):
+    """3,000 documents of one source and one of another."""
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 2999, "x").when(F.col("id") % 3 == 2, F.concat(F.lit("other text "), F.col("id"))).otherwise("same text").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    d = d.unionByName(d.limit(1).withColumn("source", F.lit("t"))).repartition(3)
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+
+
+def test_a_source_is_one_problem_however_many_documents_it_has(spark, tmp_path):
+    _many_documents(spark, tmp_path)
+    rows = fx.doc_candidates(spark, str(tmp_path)).filter("problem_id = 'en|s'").select("candidate_index", "row_no").collect()
+    assert sorted(map(tuple, rows)) == [(i, i) for i in range(3000)]
+    got = entry.queries()["OP-104_majority"](spark, str(tmp_path)).collect()
+    assert sorted((r["problem_id"], r["candidate_index"]) for r in got) == [("en|s", 0), ("en|t", 0)]
+
+
 def test_arrow_caches_by_split(spark, tmp_path):
     df = spark.range(1000).select("id", F.array(F.col("id"), F.lit(None)).alias("a"), F.concat(F.lit("é"), F.col("id")).alias("s")).repartition(3)
     jsonl.write_arrow_splits({"train": df.filter("id < 900"), "test": df.filter("id >= 900")}, str(tmp_path))
