@@ -196,6 +196,12 @@ def test_a_source_is_one_problem_however_many_documents_it_has(spark, tmp_path):
     assert sorted((r["problem_id"], r["candidate_index"]) for r in got) == [("en|s", 0), ("en|t", 0)]
 
 
+def test_first_and_shortest_of_a_source_are_of_all_its_documents(spark, tmp_path):
+    _many_documents(spark, tmp_path)
+    got = entry.queries()["OP-155_first_and_shortest"](spark, str(tmp_path)).collect()
+    assert sorted((r["problem_id"], r["first_index"], r["shortest_index"]) for r in got) == [("en|s", 0, 2999), ("en|t", 0, 0)]
+
+
 def test_arrow_caches_by_split(spark, tmp_path):
     df = spark.range(1000).select("id", F.array(F.col("id"), F.lit(None)).alias("a"), F.concat(F.lit("é"), F.col("id")).alias("s")).repartition(3)
     jsonl.write_arrow_splits({"train": df.filter("id < 900"), "test": df.filter("id >= 900")}, str(tmp_path))
