@@ -47,14 +47,15 @@ def _(s, d):
     return jsonl.read_rows(s, path, _SCHEMA).select("problem_id", "row_no", "candidate")
 
 
-@query("OP-002_faulty_lines", f"WITH {CONV}, n AS (SELECT *, problem_id // 20 AS part, 3 * row_number() OVER (PARTITION BY problem_id // 20 ORDER BY problem_id, row_no) AS line FROM cc) SELECT part, line, 'problem_id is missing' AS fault FROM n WHERE problem_id % 5 = 0")
+@query("OP-002_faulty_lines", f"WITH {CONV}, n AS (SELECT *, 3 * row_number() OVER (ORDER BY problem_id, row_no) AS line FROM cc) SELECT line, 'problem_id is missing' AS fault FROM n WHERE problem_id % 5 = 0")
 def _(s, d):
-    """Files, one for 20 conversations each, in which a blank line and one of white space stand before each row, and some rows lack their key."""
+    """A file in parts, in which a blank line and one of white space stand before each row, and some rows lack their key; its lines are numbered
+    from its first part to its last."""
     path = scratch(s, "faults")
     row = F.to_json(F.struct(F.when(F.col("problem_id") % 5 != 0, F.col("problem_id")).alias("problem_id"), "row_no", "candidate"))
-    rows = fx.conv_candidates(s, d).withColumn("part", F.expr("problem_id div 20"))
-    rows.repartition("part").sortWithinPartitions("part", "problem_id", "row_no").select("part", F.concat(F.lit("\n \t\u00a0\n"), row).alias("value")).write.partitionBy("part").text(path)
-    return jsonl.faulty_lines(s, path).select(F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part"), "line", "fault")
+    rows = fx.conv_candidates(s, d).repartitionByRange("problem_id", "row_no").sortWithinPartitions("problem_id", "row_no")
+    rows.select(F.concat(F.lit("\n \t\u00a0\n"), row).alias("value")).write.text(path)
+    return jsonl.faulty_lines(s, path, as_one=True).select("line", "fault")
 
 
 @query("OP-003_jsonl_rows", f"WITH {CONV} SELECT problem_id, row_no FROM cc")

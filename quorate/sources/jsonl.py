@@ -23,24 +23,26 @@ def read_rows(spark: SparkSession, path: str, schema: str | T.StructType) -> Dat
     return lines.filter(tx.squeeze(F.col("value")) != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), "__file", "__start", "__place").select("r.*", "__file", "__start", "__place")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, as_one: bool = False) -> DataFrame:
     """(file, line, value): every line of the files with its number in its file, from 1, the byte-order mark removed.
 
+    as_one: the files are parts of one, in the order of their names, and numbers run on from each to the next.
     Blocks of a file are counted first, so that only a block's own lines are numbered in one place.
     """
     at = ["__file", "__start"]
     lines = scratch.table(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__place")), "lines")
     # one row for each block
     blocks = lines.groupBy(*at).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    order = Window.partitionBy(F.lit(0)).orderBy(*at) if as_one else Window.partitionBy("__file").orderBy("__start")
+    before = F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.row_number().over(Window.partitionBy(*at).orderBy("__place"))
     out = lines.withColumn("__own", inside).join(blocks.select(*at, before.alias("__before")), at)
     return out.select(F.col("__file").alias("file"), (F.col("__before") + F.col("__own")).alias("line"), F.regexp_replace("value", f"^{BOM}", "").alias("value"))
 
 
-def faulty_lines(spark: SparkSession, path: str, key: str = "problem_id") -> DataFrame:
-    """(file, line, fault) of lines that are not blank and have no key, or are no JSON object."""
-    rows = numbered_lines(spark, path).filter(tx.squeeze(F.col("value")) != "")
+def faulty_lines(spark: SparkSession, path: str, key: str = "problem_id", as_one: bool = False) -> DataFrame:
+    """(file, line, fault) of lines that are not blank and have no key, or are no JSON object; as_one: the files are parts of one."""
+    rows = numbered_lines(spark, path, as_one).filter(tx.squeeze(F.col("value")) != "")
     value = F.get_json_object("value", f"$.{key}")
     fault = F.when(~F.trim("value").startswith("{") | F.json_object_keys("value").isNull(), "not an object").when(value.isNull(), f"{key} is missing")
     return rows.select("file", "line", fault.alias("fault")).filter("fault is not null")

@@ -171,6 +171,16 @@ def test_lines_are_numbered_across_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_lines_are_numbered_across_the_parts_of_a_file(spark, sf, tmp_path):
+    for part in range(3):
+        (tmp_path / f"part-{part}.txt").write_text("\n".join('{"problem_id": 1}' if i % 5 else '{"x": 1}' for i in range(10 * part, 10 * part + 10)) + "\n")
+    assert sorted(r["line"] for r in jsonl.faulty_lines(spark, f"file://{tmp_path}", as_one=True).collect()) == [1, 6, 11, 16, 21, 26]
+    # the query's numbers run over the whole table
+    turns = [r["conv_id"] for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").orderBy("conv_id").collect()]
+    got = entry.queries()["OP-002_faulty_lines"](spark, sf).select("line").collect()
+    assert sorted(r["line"] for r in got) == [3 * (i + 1) for i, c in enumerate(turns) if c % 5 == 0]
+
+
 def test_first_rows_are_those_of_the_first_file(spark, tmp_path):
     # the larger file goes to the first task
     spark.range(2).coalesce(1).write.parquet(f"{tmp_path}/t/a")
