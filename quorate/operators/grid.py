@@ -262,7 +262,7 @@ def totals(chosen: DataFrame, nodes: DataFrame, problems: DataFrame | None = Non
     choices: over all problems (report "all", bucket null) and by buckets of each report that has bounds, by one aggregate over grouping sets.
 
     Reports: length, of problems' (problem_id, length), null lengths left out; candidates, their number; component, the chosen one's size."""
-    bounds = bounds or {}
+    bounds, nodes = bounds or {}, nodes.hint("merge")
     if set(bounds) - set(REPORTS):
         raise ValueError(f"unknown reports {sorted(set(bounds) - set(REPORTS))}")
     per = nodes.groupBy("problem_id").agg(F.max("label").alias("any_correct"), F.count(F.lit(1)).alias("candidates"))

@@ -292,7 +292,7 @@ def test_selection_grid_sends_no_table_of_nodes_through_the_driver(spark, monkey
     monkeypatch.setattr(grid, "cut", lambda df: plans.append(plan(df)) or cut(df))
     configs = [(0.3, tie, "cohesion", k, m, 0.7) for tie in ("medoid", "shortest") for k in (0, 2) for m in (0.0, 0.1)]
     chosen = grid.choices(nodes, pairs, configs, {}, ensemble="medoid")
-    plans.append(plan(chosen))
+    plans.append(plan(grid.totals(chosen, nodes)))
     # but for the list of configurations, which is short
     assert len(plans) > 10 and not [x for x in plans if "BroadcastHashJoin" in x and "slot" not in x]
 
