@@ -35,6 +35,13 @@ def read_by_task(spark, after):
         yield [r for r in rows if r]
 
 
+def written_to_shuffles(spark, after):
+    """Bytes that the stages behind ``after`` wrote to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    tasks = [store.taskList(stage, 0, 1000) for stage in range(after + 1, last_stage(spark) + 1)]
+    return sum(m.get().shuffleWriteMetrics().bytesWritten() for t in tasks for i in range(t.size()) if (m := t.apply(i).taskMetrics()).isDefined())
+
+
 @pytest.mark.parametrize("value", ["same", "null", "two", "many"])
 def test_prefixes_spread_equal_keys(spark, value):
     x = {"same": F.lit(1.0), "null": F.lit(None).cast("double"), "two": (F.col("id") % 2).cast("double"), "many": F.rand(3)}[value]
@@ -212,6 +219,17 @@ def test_first_and_shortest_of_a_source_are_of_all_its_documents(spark, tmp_path
     assert sorted((r["problem_id"], r["first_index"], r["shortest_index"]) for r in got) == [("en|s", 0, 2999), ("en|t", 0, 0)]
 
 
+def test_first_and_shortest_move_no_texts(spark, tmp_path):
+    d = spark.range(500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.sha2(F.concat(F.col("id").cast("string"), i.cast("string")), 256))).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    d.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    after = last_stage(spark)
+    got = entry.queries()["OP-155_first_and_shortest"](spark, str(tmp_path)).collect()
+    assert [(r["problem_id"], r["first_index"], r["shortest_index"]) for r in got] == [("en|s", 0, 0)]
+    # the texts have 1.6 MB
+    assert 0 < written_to_shuffles(spark, after) < 100_000
+
+
 def test_arrow_caches_by_split(spark, tmp_path):
     df = spark.range(1000).select("id", F.array(F.col("id"), F.lit(None)).alias("a"), F.concat(F.lit("é"), F.col("id")).alias("s")).repartition(3)
     jsonl.write_arrow_splits({"train": df.filter("id < 900"), "test": df.filter("id >= 900")}, str(tmp_path))
