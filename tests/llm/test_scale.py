@@ -201,3 +201,17 @@ def test_rows_of_one_id_and_text_spread_when_lines_go(spark):
         got = common.materialize(line_dedup.dedup_lines(docs), "t")
         assert not uneven(spark, after)
     assert {(r["doc_id"] is None, r["text"]): r["count"] for r in got.groupBy(F.col("doc_id").isNull().alias("x"), "doc_id", "text").count().filter("doc_id is null or doc_id < 2").collect()} == {(True, "kept"): 5_000, (False, "kept"): 20_000, (False, "shared"): 1}
+
+
+def test_row_groups_of_scratch_tables_are_bounded(spark):
+    """A task holds a row group that it writes, one that it reads, and a batch of rows within it: of whole texts these took up a heap of 1 GB."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 24), i -> sha2(concat_ws(' ', id, i), 512)), ' ') AS text")
+    kept = common.materialize(docs, "row-groups")
+    assert kept.count() == 6000 and kept.exceptAll(docs).isEmpty()
+    groups = [g for f in Path(common.path_of(kept).removeprefix("file:")).glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for g in [m.row_group(i).total_byte_size for i in range(m.num_row_groups)]]
+    assert sum(groups) > 15e6 and max(groups) < 4e6
+    common.discard(kept)
